@@ -109,6 +109,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return joined.withColumnRenamed("rate", "host_rate").withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("_host", "host_ok")
 
 
+def kept(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """Rows of `docs`, all columns, that `judged` keeps. Rejected hosts, and no texts, are joined to documents."""
+    rows = written(measured(docs, text_col), "measured")
+    bad = written(host_verdicts(rows, host_col, max_rate).where(~F.col("host_ok")).select(F.col(host_col).alias("_host")), "hosts")
+    return rows.where(~F.col("base_failed")).join(bad, rows[host_col].eqNullSafe(bad["_host"]), "left_anti").select(docs.columns)
+
+
 #: The same result in DuckDB.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, lines, packing, quality_rules, ranker, simhash, sstable, urls
+from gleaner.llm import bpe, langid, lines, media, packing, quality_rules, ranker, simhash, sstable, urls
 from gleaner.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op3_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_and_read(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ranker.scored(docs, ranker.trained(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +56,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents"), min_sites=10).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predicted(docs, langid.trained(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
