@@ -150,4 +150,4 @@ def split_description(text: Column, mode: str = "balanced") -> tuple[Column, Col
 
 def render_colours(colours: Column) -> Column:
     """Lines `[r, g, b] (12.5%)` of an array of (rgb, share)."""
-    return F.array_join(F.transform(colours, lambda c: F.concat(F.lit("["), F.array_join(F.transform(c["rgb"], lambda v: v.cast("string")), ", "), F.lit("] ("), F.format_number(c["share"] * 100, "0.0"), F.lit("%)"))), "\n")
+    return F.array_join(F.transform(colours, lambda c: F.concat(F.lit("["), F.array_join(F.transform(c["rgb"], lambda v: v.cast("string")), ", "), F.lit("] ("), F.format_string("%.1f%%)", c["share"] * 100))), "\n")

@@ -239,3 +239,22 @@ def spaced_peaks(cells: DataFrame, value: str, n: int, separation: float, pool:
         return pd.DataFrame([(*a[:3], i + 1, a[3]) for i, a in enumerate(out)], columns=["grid_id", "y", "x", "rank", "value"])
 
     return top.groupBy("grid_id").applyInPandas(taken, "grid_id long, y long, x long, rank int, value double")
+
+
+def shared_boundary(cells: DataFrame, a: str, b: str, distance: float) -> DataFrame:
+    """Per grid: perimeter cells of one mask near the other (the larger of both ways), the smaller perimeter, and their ratio; zeros where a perimeter is empty."""
+    pa, pb = boundary(cells, a), boundary(cells, b)
+    sides = [
+        pa.select("grid_id", *[F.lit(x).alias(n) for n, x in zip(("na", "nb", "sa", "sb"), (1, 0, 0, 0), strict=True)]),
+        pb.select("grid_id", F.lit(0), F.lit(1), F.lit(0), F.lit(0)),
+        within(pa, cells.where(F.col(b)), distance).select("grid_id", F.lit(0), F.lit(0), F.lit(1), F.lit(0)),
+        within(pb, cells.where(F.col(a)), distance).select("grid_id", F.lit(0), F.lit(0), F.lit(0), F.lit(1)),
+        cells.select("grid_id", F.lit(0), F.lit(0), F.lit(0), F.lit(0)),
+    ]
+    every = sides[0]
+    for s in sides[1:]:
+        every = every.union(s)
+    sums = every.groupBy("grid_id").agg(*[F.sum(c).alias(c) for c in ("na", "nb", "sa", "sb")])
+    ok = (F.col("na") > 0) & (F.col("nb") > 0)
+    top, small = F.greatest("sa", "sb"), F.least("na", "nb")
+    return sums.select("grid_id", F.when(ok, top).otherwise(0).alias("shared"), F.when(ok, small).otherwise(0).alias("perimeter"), F.when(ok, top / F.nullif(small, F.lit(0))).otherwise(F.lit(0.0)).alias("ratio"))

@@ -120,13 +120,13 @@ def f10_eta(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", seconds.cast("long").alias("seconds"))
 
 
-@query(duck("vecs", "SELECT vec_id, list_transform(e[1:4], x -> round(x / greatest(norm, 1e-8), 6)) AS head FROM vecs"))
+@query(duck("vecs", "SELECT vec_id, [round(x / greatest(norm, 1e-8), 6) for x in e[1:4]] AS head FROM vecs"))
 def f11_l2_normalize(spark, sf_dir):
     unit = vectors.l2_normalized(F.col("e"))
     return views.vecs(spark, sf_dir).select("vec_id", F.transform(F.slice(unit, 1, 4), lambda x: F.round(x, 6)).alias("head"))
 
 
-@query(duck("vecs", "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), i -> a.e[i] * b.e[i])) / (a.norm * b.norm), 6) AS cosine, round(list_sum(list_transform(range(1, 65), i -> a.e[i] * b.e[i])) / ((a.norm + 1e-8) * (b.norm + 1e-8)), 6) AS eased FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1"))
+@query(duck("vecs", "SELECT a.vec_id, round(list_sum([a.e[i] * b.e[i] for i in range(1, 65)]) / (a.norm * b.norm), 6) AS cosine, round(list_sum([a.e[i] * b.e[i] for i in range(1, 65)]) / ((a.norm + 1e-8) * (b.norm + 1e-8)), 6) AS eased FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1"))
 def f12_cosine(spark, sf_dir):
     rows = views.vecs(spark, sf_dir)
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f"))

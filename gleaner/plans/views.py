@@ -34,8 +34,8 @@ FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)
 FROM (SELECT doc_id, lang, source, string_split(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), ' ') AS w FROM documents) t""",
     "preds": _PREDS.format(documents="documents", labels="labels"),
     "runlog": _RUNLOG.format(events="events"),
-    "vecs": """SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm, 0.5 + (vec_id * 37 % 500) / 1000.0 AS score
-FROM (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings) t""",
+    "vecs": """SELECT vec_id, label, e, sqrt(list_sum([x * x for x in e])) AS norm, 0.5 + (vec_id * 37 % 500) / 1000.0 AS score
+FROM (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings) t""",
 }
 
 
