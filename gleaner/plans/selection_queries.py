@@ -1 +1,101 @@
-"""Queries of this kind."""
+"""Selection, suppression and matching (K)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleaner.functions import boxes as B
+from gleaner.operators import selection
+from gleaner.operators import vectors as VO
+from gleaner.plans import views
+from gleaner.plans.registry import query
+from gleaner.plans.views import duck, table
+
+K = 8
+
+
+def _picked(spark, sf_dir, method, **options):
+    rows = views.vecs(spark, sf_dir).select("vec_id", "e", "score")
+    return selection.select(rows, "vec_id", "e", "score", K, method, **options)
+
+
+@query()
+def k1_k_center(spark, sf_dir):
+    return _picked(spark, sf_dir, "k_center")
+
+
+@query()
+def k2_k_medoids(spark, sf_dir):
+    return _picked(spark, sf_dir, "k_medoids")
+
+
+@query()
+def k3_maxmin_diversity(spark, sf_dir):
+    return _picked(spark, sf_dir, "maxmin")
+
+
+@query()
+def k4_facility_location(spark, sf_dir):
+    return _picked(spark, sf_dir, "facility_location")
+
+
+@query()
+def k5_quality_diversity(spark, sf_dir):
+    return _picked(spark, sf_dir, "quality_diversity")
+
+
+@query()
+def k6_select_with_constraints(spark, sf_dir):
+    rows = views.vecs(spark, sf_dir)
+    return _picked(spark, sf_dir, "quality_diversity", include=rows.where("vec_id IN (0, 1)"), exclude=rows.where("vec_id IN (2, 3)"), least=0.5, weight=0.3)
+
+
+@query()
+def k6_select_partitioned(spark, sf_dir):
+    return _picked(spark, sf_dir, "k_center", mode="partitioned", parts=4)
+
+
+@query()
+def k7_suppress_overlaps(spark, sf_dir):
+    return selection.suppress_overlaps(views.boxes(spark, sf_dir))
+
+
+@query()
+def k8_nms(spark, sf_dir):
+    return selection.nms(views.boxes(spark, sf_dir))
+
+
+@query()
+def k9_process_bboxes(spark, sf_dir):
+    return selection.process_bboxes(views.boxes(spark, sf_dir)).select("image_id", "box_id", *B.Box._fields, "was_fixed")
+
+
+@query()
+def k9_rank_crops(spark, sf_dir):
+    return selection.rank_crops(views.boxes(spark, sf_dir), "score", least=0.2)
+
+
+@query()
+def k10_dedup_mask_pairs(spark, sf_dir):
+    cells = views.grid(spark, sf_dir)
+    sides = F.explode(F.array(F.when(F.col("in_a"), "a"), F.when(F.col("in_b"), "b")))
+    masks = cells.withColumn("side", sides).where("side IS NOT NULL").select(F.expr("grid_id DIV 50").alias("image_id"), F.col("grid_id").alias("pair_id"), "side", "y", "x")
+    return selection.dedup_pairs(masks.select("image_id", "pair_id").distinct(), masks, 0.3)
+
+
+@query(duck("pairs", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY least(lower(trim(texture_a)), lower(trim(texture_b))), greatest(lower(trim(texture_a)), lower(trim(texture_b))) ORDER BY doc_id) AS k FROM pairs) SELECT doc_id FROM r WHERE k = 1"))
+def k11_dedup_text_pairs(spark, sf_dir):
+    return selection.dedup_text_pairs(views.pairs(spark, sf_dir), "texture_a", "texture_b", "doc_id").select("doc_id")
+
+
+@query()
+def k12_dedup_across_parents(spark, sf_dir):
+    crop = F.struct("box_id", "score", *B.Box._fields)
+    nested = views.boxes(spark, sf_dir).groupBy("image_id", (F.col("box_id") % 2).alias("parent_id")).agg(F.collect_list(crop).alias("crops"))
+    return selection.dedup_across_parents(nested).select("image_id", "parent_id", F.transform("crops", lambda c: c["box_id"]).alias("box_ids"))
+
+
+@query("SELECT count(*) AS n, CASE WHEN count(*) < 10000 THEN 'flat' WHEN count(*) < 1000000 THEN 'ivf' ELSE 'graph' END AS kind FROM embeddings")
+def k13_choose_index(spark, sf_dir):
+    counted = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
+    return counted.withColumn("kind", F.lit(VO.choose_index(counted.first()["n"])))
