@@ -313,7 +313,8 @@ def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str
     marks = strict.unionByName(wide).where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     marks = written(marks, "marks")
     heads = marks.where(F.col("_id") == F.col("least")).select(F.col("_id").alias(id_col))
-    chosen = docs.join(heads, id_col, "left_semi").select(docs.columns)
+    # the number of heads follows that of documents: a merge join at every size, not a broadcast while they are few
+    chosen = docs.join(heads.hint("merge"), id_col, "left_semi").select(docs.columns)
     if marks.where("n > 2").limit(1).count():
         chosen = chosen.dropDuplicates([id_col])
     if strict.where(F.col("_id").isNull()).limit(1).count():
