@@ -53,26 +53,29 @@ def deduplicated(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", t
     everything remains; lines without a word always stay. Null texts stay null, with 0 lines. Of repeated rows of the same
     id, each keeps the first place. A document of shared lines alone ends as an empty text. An empty table stays empty.
     """
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    exploded = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.posexplode(_hashes(F.col(text_col))).alias("p", "h")).where("h IS NOT NULL")
+    names = docs.columns
+    own_names = {n: f"__c{i}" for i, n in enumerate(names)}  # whatever `docs` calls its columns
+    docs = docs.toDF(*own_names.values())
+    doc, text, site = (F.col(own_names[c]) for c in (id_col, text_col, site_col))
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    exploded = docs.select(doc.alias("id"), site.alias("site"), F.posexplode(_hashes(text)).alias("p", "h")).where("h IS NOT NULL")
     shared = written(spread_lines(exploded.select("h", "site"), min_sites), "shared")
     at = F.struct(F.col("id").isNotNull().alias("known"), "id", "p")
     hits = exploded.join(shared, "h", "left_semi")
     first = hits.groupBy("h").agg(F.min(at).alias("first"))
     table = written(first.select("h", F.col("first.id").alias("first_id"), F.col("first.p").alias("first_p")), "first")
 
-    text_hits = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.posexplode(_hashes(F.col(text_col))).alias("p", "h")).where("h IS NOT NULL")
+    text_hits = docs.select(doc.alias("id"), key.alias("k"), F.posexplode(_hashes(text)).alias("p", "h")).where("h IS NOT NULL")
     found = text_hits.join(table, "h").where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("p") == F.col("first_p"))))
     gone = found.groupBy("id", "k").agg(F.collect_set("p").alias("gone"))
-    marked = docs.withColumn("_k", key)
-    joined = marked.join(gone, (marked["_k"] == gone["k"]) & marked[id_col].eqNullSafe(gone["id"]), "left")
-    lines = F.split(F.col(text_col), "\n")
+    joined = docs.withColumn("__k", key).join(gone, (F.col("__k") == F.col("k")) & doc.eqNullSafe(F.col("id")), "left")
+    lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    names = docs.columns
-    out = joined.withColumn("_n", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("_r", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("_t", F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept))
-    counts = [F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.greatest(F.col(c), F.lit(0))).cast("long").alias(n) for c, n in (("_n", "n_lines"), ("_r", "n_removed"))]
-    return out.select(*[F.col("_t").alias(c) if c == text_col else marked[c] for c in names], *counts)
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    out = joined.select(*[cleaned if n == text_col else F.col(c) for n, c in own_names.items()], n_lines, n_removed)
+    return out.toDF(*names, "n_lines", "n_removed")
 
 
 #: The query's result in DuckDB, by exact counts throughout.

@@ -87,14 +87,16 @@ def host_verdicts(rows: DataFrame, host_col: str = "source", max_rate: float = 0
     is false if the shrunk rate is above `max_rate`. Rows with a null host form a host of their own.
     """
     by_host = rows.groupBy(host_col).agg(F.count("*").alias("docs"), F.sum((rule_failures() > 0).cast("long")).alias("failed"))
+    by_host = written(by_host, "by-host")
     raw = F.col("failed") / F.col("docs")
     prior = by_host.agg((F.sum("failed") / F.sum("docs")).alias("mean"), F.var_samp(raw).alias("var"), F.avg(1 / F.col("docs")).alias("noise"))
     spread = F.col("mean") * (1 - F.col("mean"))
     own = F.col("var") - spread * F.col("noise")  # beyond what draws of so few documents give by chance
     strength = F.when(own > 0, F.greatest(F.least(spread / own - 1, F.lit(10000.0)), F.lit(1.0))).otherwise(F.lit(100.0))
-    prior = prior.select("mean", strength.alias("strength"))
-    rate = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))
-    return by_host.join(F.broadcast(prior)).select(host_col, "docs", "failed", rate.alias("rate"), (rate <= max_rate).alias("host_ok"))
+    fitted = prior.select("mean", strength.alias("strength")).first()  # one row
+    mean, strength = F.lit(fitted["mean"]).cast("double"), F.lit(fitted["strength"]).cast("double")
+    rate = (F.col("failed") + mean * strength) / (F.col("docs") + strength)
+    return by_host.select(host_col, "docs", "failed", rate.alias("rate"), (rate <= max_rate).alias("host_ok"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
@@ -111,9 +113,13 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 def kept(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Rows of `docs`, all columns, that `judged` keeps. Rejected hosts, and no texts, are joined to documents."""
-    rows = written(measured(docs, text_col), "measured")
-    bad = written(host_verdicts(rows, host_col, max_rate).where(~F.col("host_ok")).select(F.col(host_col).alias("_host")), "hosts")
-    return rows.where(~F.col("base_failed")).join(bad, rows[host_col].eqNullSafe(bad["_host"]), "left_anti").select(docs.columns)
+    names = docs.columns
+    own = {n: f"__c{i}" for i, n in enumerate(names)}  # whatever `docs` calls its columns
+    rows = written(measured(docs.toDF(*own.values()), own[text_col]), "measured")
+    host = own[host_col]
+    bad = written(host_verdicts(rows, host, max_rate).where(~F.col("host_ok")).select(F.col(host).alias("_host")), "hosts")
+    left = rows.where(~F.col("base_failed")).join(bad, rows[host].eqNullSafe(bad["_host"]), "left_anti")
+    return left.select(*[F.col(c).alias(n) for n, c in own.items()])
 
 
 #: The same result in DuckDB.

@@ -49,17 +49,17 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col:
     Repeated rows and null ids are each judged. Columns besides the two named are not read.
     """
     known = expressions(rules)
-    sizes = known.select(F.length(F.regexp_extract("rule", "(?s)/.*$", 0)).alias("n")).distinct()
-    lengths = sizes.agg(F.array_sort(F.collect_set("n")).alias("lengths"))  # one short list: path lengths that rules have
+    # path lengths that rules have: a short list, as no path is longer than a URL may be
+    lengths = sorted(r["n"] for r in known.select(F.length(F.regexp_extract("rule", "(?s)/.*$", 0)).alias("n")).distinct().collect())
     rows = pages.select(id_col, F.col(url_col).alias("_url"))
     host, path = parts(F.col("_url"))
     rows = rows.select(id_col, host.alias("host"), path.alias("path"))
 
     distinct = rows.where((F.col("host") != "") & F.col("path").startswith("/")).select("host", "path").distinct()
-    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(fitting, lambda n: F.col("path").substr(F.lit(1), n))
     # every host suffix with every prefix: labels times path lengths, a few for each distinct URL
-    each = distinct.join(F.broadcast(lengths)).select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
+    each = distinct.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
     each = each.select("host", "path", F.col("suffix"), F.explode("prefixes").alias("prefix")).withColumn("expression", F.concat("suffix", "prefix"))
     each = each.withColumn("short", _short(F.col("expression")))
     few = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
