@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import boxes as B
 from gleaner.functions import vectors as V
 from gleaner.operators import vectors as VO
+from gleaner.operators.joins import overlapping_pairs
+from gleaner.operators.ordering import minmax, seeded
 from gleaner.operators.records import fix_tiny, valid_boxes
 from gleaner.sources.tables import staged
 
@@ -69,15 +71,13 @@ def maxmin(df: DataFrame, key: str, vector: str, k: int, true_maxmin: bool = Fal
     """From a start that a seeded hash picks, the row whose least similarity to the chosen is smallest: far from some
     chosen row. With `true_maxmin`, far from all of them, as in `k_center`."""
     rows = _units(df, key, vector, [])
-    start = F.xxhash64(F.lit(seed), key).cast("double")
+    start = F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("double")
     step = (lambda m, s: F.greatest(m, s)) if true_maxmin else (lambda m, s: F.least(m, s))
     return _loop(rows, key, k, start, True, step, F.col("m"), False)
 
 
 def quality_diversity(df: DataFrame, key: str, vector: str, score: str, k: int, weight: float = 0.3, normalize: bool = True) -> list[int]:
     """Score (scaled to [0, 1] over all rows, or raw) less `weight` times the greatest similarity to the chosen."""
-    from gleaner.operators.ordering import minmax
-
     scaled = minmax(df, score) if normalize else df.withColumn("scaled", F.col(score))
     rows = _units(scaled, key, vector, ["scaled"])
     return _loop(rows, key, k, F.col("scaled"), True, lambda m, s: F.greatest(m, s), F.col("scaled") - weight * F.col("m"), True)
@@ -218,24 +218,21 @@ def _overlap(a: tuple, b: tuple) -> float:
     return inter / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - inter)
 
 
-def _area(a: tuple) -> int:
-    return (a[4] - a[2]) * (a[5] - a[3])
-
-
 def suppress_overlaps(df: DataFrame, group: str = "image_id", key: str = "box_id", threshold: float = 0.6, keep_larger: bool = True) -> DataFrame:
     """(group, key) of boxes that stay. In list order, of two boxes with an IoU of `threshold` or more the smaller goes (of
-    equals the later; without `keep_larger` always the later). A box that went still makes later ones go."""
+    equals the later; without `keep_larger` always the later). A box that went still makes later ones go.
 
-    def decide(rows: list[tuple]) -> list[tuple]:
-        gone = set()
-        for i, a in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                if j not in gone and _overlap(a, rows[j]) >= threshold:
-                    gone.add(i if keep_larger and _area(a) < _area(rows[j]) else j)
-        return [r[:2] for i, r in enumerate(rows) if i not in gone]
-
-    rows = df.select(F.col(group).cast("long"), F.col(key).cast("long"), *[F.col(c).cast("long") for c in B.Box._fields])
-    return _by_group(rows, group, [F.col(key)], decide, f"{group} long, {key} long")
+    What a list pass does has a closed form: box j goes at the first earlier i that is at least as large, and from then on
+    no pair with j counts; so i goes by a larger j if it comes before that first one. That is two aggregations of a join.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), *B.Box._fields, B.Box.of().area.alias("area"))
+    pairs = overlapping_pairs(rows, "g", "k", threshold)
+    sizes = rows.select("g", "k", "area")
+    pairs = pairs.join(sizes.select("g", F.col("k").alias("i"), F.col("area").alias("ai")), ["g", "i"]).join(sizes.select("g", F.col("k").alias("j"), F.col("area").alias("aj")), ["g", "j"])
+    later = F.col("ai") >= F.col("aj") if keep_larger else F.lit(True)
+    marked = pairs.withColumn("first", F.min(F.when(later, F.col("i"))).over(Window.partitionBy("g", "j")))
+    gone = marked.where(later).select("g", F.col("j").alias("k")).unionByName(marked.where(~later & (F.col("first").isNull() | (F.col("i") < F.col("first")))).select("g", F.col("i").alias("k")))
+    return rows.join(gone, ["g", "k"], "left_anti").select(F.col("g").alias(group), F.col("k").alias(key))
 
 
 def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str = "score", threshold: float = 0.3, top: int | None = None) -> DataFrame:

@@ -131,7 +131,19 @@ def j15_ann_join_ivf(spark, sf_dir):
     return _neighbours(VO.ann_ivf(rows.where("vec_id % 20 = 0"), rows, 10, "vec_id", "e", lists=20, probes=8))
 
 
-@query()
+@query(
+    duck(
+        "boxes",
+        """WITH RECURSIVE t AS (SELECT image_id, box_id, x1 + 7 AS x1, y1 + 5 AS y1, x2 + 7 AS x2, y2 + 5 AS y2 FROM boxes WHERE box_id % 3 <> 0),
+q AS (SELECT a.image_id, a.box_id AS i, b.box_id AS j, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM boxes a JOIN t b ON a.image_id = b.image_id),
+o AS (SELECT image_id, i, j, inter / (s - inter) AS iou, row_number() OVER (PARTITION BY image_id ORDER BY inter / (s - inter) DESC, i, j) AS k FROM q WHERE inter / (s - inter) >= 0.5),
+r AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::BIGINT[] AS ui, []::BIGINT[] AS uj, []::BIGINT[] AS ks FROM o
+ UNION ALL SELECT r.image_id, o.k, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN ui ELSE list_append(ui, o.i) END, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN uj ELSE list_append(uj, o.j) END, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN ks ELSE list_append(ks, o.k) END
+ FROM r JOIN o ON o.image_id = r.image_id AND o.k = r.k + 1),
+z AS (SELECT image_id, unnest(arg_max(ks, k)) AS k FROM r GROUP BY image_id)
+SELECT o.image_id, i, j, round(iou, 6) AS iou FROM z JOIN o ON o.image_id = z.image_id AND o.k = z.k""",
+    )
+)
 def j16_match_boxes_greedy(spark, sf_dir):
     rows = views.boxes(spark, sf_dir)
     moved = rows.where("box_id % 3 <> 0").select("image_id", "box_id", F.col("x1") + 7, F.col("y1") + 5, F.col("x2") + 7, F.col("y2") + 5).toDF("image_id", "box_id", *B.Box._fields)

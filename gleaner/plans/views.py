@@ -43,7 +43,10 @@ def duck(views: str, body: str) -> str:
     """A DuckDB query over some of the views (names set apart by spaces)."""
     named = ",\n".join(f"{v} AS ({DUCK[v]})" for v in views.split())
     body = body.strip()
-    return f"WITH {named}{',' + body[4:] if body.upper().startswith('WITH') else body and chr(10) + body}"
+    recursive = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else ""
+    if body.upper().startswith("WITH "):
+        return f"WITH {recursive}{named}, {body[5 + len(recursive) :]}"
+    return f"WITH {named}\n{body}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
