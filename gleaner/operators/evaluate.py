@@ -94,7 +94,7 @@ def detection_metrics(images: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("images"), *[F.avg(c).alias(c) for c in per.columns])
 
 
-def ranked_counts(df: DataFrame, score: str, matched: str, key: str, buckets: int = 1000) -> DataFrame:
+def ranked_counts(df: DataFrame, score: str, matched: str, key: str, buckets: int = 65_536) -> DataFrame:
     """Adds rank, tp and fp, counted down the ranking by score (ties by key).
 
     Rows are dealt by ranges of the score, which a bucket number of equal width names: totals of the buckets before are

@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: Column, ties: list[str], name: str = "n", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: Column, ties: list[str], name: str = "n", parts: int = 65_536) -> DataFrame:
     """`df` with a row number from 1 in the order of an integer or hex-string column's value, ties by the columns named.
 
-    `order` must be a long or a hash string; its first bits (or its span divided by `parts`) name the range of a row.
+    `order` must be a long or a hash string; its first 16 bits (or its span divided by `parts`) name the range of a row, and
+    only the table of ranges, of 65,536 rows at most, is numbered in one task and sent to all.
     """
     kind = df.select(order.alias("_o")).dtypes[0][1]
     rows = df.withColumn("_o", order)
     if kind == "string":
-        filed = rows.withColumn("_f", F.conv(F.substring("_o", 1, 2), 16, 10).cast("int"))
+        filed = rows.withColumn("_f", F.conv(F.substring("_o", 1, 4), 16, 10).cast("int"))
     else:
         ends = rows.agg(F.min("_o").alias("lo"), F.max("_o").alias("hi")).first()
         lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
