@@ -180,3 +180,11 @@ def test_stage_is_computed_once(spark, tmp_path):
     path = f"file://{tmp_path}/stage"
     first = tables.staged(spark.range(3).select(F.rand().alias("r")), "s", path).collect()
     assert tables.staged(spark.range(3).select(F.rand().alias("r")), "s", path).collect() == first
+
+
+def test_clear_deletes_what_a_session_wrote(spark):
+    tables.staged(spark.range(3), "gone")
+    path = tables.new_path(spark, "other")
+    spark.range(2).write.parquet(path)
+    assert tables.exists(spark, path) and tables.clear(spark) >= 2
+    assert not tables.exists(spark, path) and tables.clear(spark) == 0
