@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -30,7 +31,18 @@ def work_path(spark: SparkSession, label: str) -> str:
         root = "file://" + root
     elif root.startswith("file:/") and not root.startswith("file://"):
         root = "file://" + root[len("file:") :]
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this session has written below `work_path`, and returns how many paths; results must be saved before."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -422,3 +422,15 @@ def test_spread_near_the_threshold_is_exact(spark):
     rows = [(h, f"site{s}") for h in range(60) for s in range(40 + h)]
     got = {r["h"] for r in lines.spread_lines(spark.createDataFrame(rows, "h long, site string"), 70, precision=6).collect()}
     assert got == set(range(30, 60))
+
+
+def test_clear_deletes_what_a_session_wrote(spark, tmp_path):
+    from gleaner.llm import shared
+
+    kept = dict(shared._MADE)
+    shared._MADE.clear()
+    df = shared.written(spark.range(3), "gone")
+    assert df.count() == 3 and shared.clear(spark) == 1 and shared.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|path"):
+        spark.read.parquet(df.inputFiles()[0] if df.inputFiles() else str(tmp_path / "none")).count()
+    shared._MADE.update(kept)
