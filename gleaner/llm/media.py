@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textscan
-from gleaner.llm.shared import work_path
+from gleaner.llm.shared import work_path, written
 
 UNIT = 192
 BLOCK_BYTES = 4 << 20
@@ -137,7 +137,8 @@ def recipes(chunks: DataFrame) -> DataFrame:
     A digest's place is the least (pack, offset) of all; a digest that a third of all documents share is summed up before
     it is shuffled, and its rows meet one row in a join that Spark can split.
     """
-    places = chunks.groupBy("digest").agg(F.min(F.struct("home", "offset", "stored")).alias("place"))
+    # written, so that the join below has nothing but its own exchanges and a hot digest's rows can be split
+    places = written(chunks.groupBy("digest").agg(F.min(F.struct("home", "offset", "stored")).alias("place")), "places")
     part = F.struct("ord", F.col("place.home").alias("pack"), F.col("place.offset").alias("offset"), F.col("place.stored").alias("stored"), "size", "digest")
     packs = chunks.select("home").distinct().count()
     joined = chunks.select("home", "doc_no", "id", "n_bytes", "payload_bytes", "ord", "size", "digest").join(places, "digest")
