@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 SPACES = r"[ \t\r\n\f\x0b]+"
 
+#: What answers are matched against.
+KEEP_WORDS = ("GOOD_AS_IS", "GOOD AS IS")
+DROP_WORDS = ("NO_TRANSITION", "NO TRANSITION")
+FOUR_NUMBERS = r"(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
+SOME_OBJECTS = r"(?s)\[\s*\{.*?\}\s*\]"
+SOME_LISTS = r"\[\s*\[[\d,\s]+\]\s*(?:,\s*\[[\d,\s]+\]\s*)*\]"
+CLASS_FIELD = r'(?i)classification["\s:]+([A-Za-z]+)'
+REASON_FIELD = r"""(?i)reasoning["\s:]+["']?([^"'}\]]+)"""
+OPENING_FENCE, CLOSING_FENCE = r"^```(?:json)?\s*", r"\s*```$"
+ONE_OBJECT = r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+SEPARATORS = (" <TO> ", " to ", " and ", " vs ", " | ")
+
 
 def words(text: Column) -> Column:
     """Words apart by white space; none for an empty text."""
@@ -41,10 +53,8 @@ def refine_action(answer: Column, width: Column, height: Column) -> tuple[Column
     Key words decide first; then the first box in the text, double brackets before single ones, must lie in the image.
     """
     upper = F.upper(F.trim(answer))
-    keep = upper.contains("GOOD_AS_IS") | upper.contains("GOOD AS IS")
-    drop = upper.contains("NO_TRANSITION") | upper.contains("NO TRANSITION")
-    number = r"(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
-    double, single = r"\[\[" + number + r"\]\]", r"\[" + number + r"\]"
+    keep, drop = (upper.contains(w[0]) | upper.contains(w[1]) for w in (KEEP_WORDS, DROP_WORDS))
+    double, single = r"\[\[" + FOUR_NUMBERS + r"\]\]", r"\[" + FOUR_NUMBERS + r"\]"
 
     def side(k: int) -> Column:
         found = F.when(F.regexp_extract(answer, double, 0) != "", F.regexp_extract(answer, double, k)).otherwise(F.regexp_extract(answer, single, k))
@@ -81,8 +91,8 @@ def parse_boxes(text: Column) -> Column:
     def lists(t: Column) -> Column:
         return F.when(t.rlike(r"(?s)^\s*\[\s*\["), F.from_json(t, BOX_LIST))
 
-    some_objects = F.regexp_extract(text, r"(?s)\[\s*\{.*?\}\s*\]", 0)
-    some_lists = F.regexp_extract(text, r"\[\s*\[[\d,\s]+\]\s*(?:,\s*\[[\d,\s]+\]\s*)*\]", 0)
+    some_objects = F.regexp_extract(text, SOME_OBJECTS, 0)
+    some_lists = F.regexp_extract(text, SOME_LISTS, 0)
     found = [numbered(objects(text), True), numbered(lists(text), False), numbered(objects(some_objects), True), numbered(lists(some_lists), False)]
     return F.coalesce(*found, F.array().cast(shape))
 
@@ -91,8 +101,8 @@ def parse_classification(text: Column) -> tuple[Column, Column]:
     """Class (upper case, UNKNOWN if none) and reasoning, from JSON or else by pattern."""
     parsed = F.from_json(F.trim(text), "classification string, reasoning string", {"mode": "PERMISSIVE"})
     ok = F.trim(text).rlike(r"(?s)^\{.*\}$") & (parsed["classification"].isNotNull() | parsed["reasoning"].isNotNull())
-    by_pattern = F.upper(F.regexp_extract(text, r'(?i)classification["\s:]+([A-Za-z]+)', 1))
-    reason = F.trim(F.regexp_extract(text, r"""(?i)reasoning["\s:]+["']?([^"'}\]]+)""", 1))
+    by_pattern = F.upper(F.regexp_extract(text, CLASS_FIELD, 1))
+    reason = F.trim(F.regexp_extract(text, REASON_FIELD, 1))
     label = F.when(ok, F.upper(F.coalesce(parsed["classification"], F.lit("UNKNOWN")))).otherwise(F.when(by_pattern != "", by_pattern).otherwise("UNKNOWN"))
     return label, F.when(ok, F.coalesce(parsed["reasoning"], F.lit(""))).otherwise(reason)
 
@@ -102,7 +112,7 @@ TRANSITIONS = "struct<transitions:array<struct<texture_a:string,texture_b:string
 
 def parse_transitions(text: Column) -> Column:
     """Array of transitions with both names and RGB lists; fences are stripped, and prose around the widest braces."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), OPENING_FENCE, ""), CLOSING_FENCE, ""))
     widest = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     parsed = F.from_json(widest, TRANSITIONS)["transitions"]
 
@@ -118,7 +128,7 @@ def fenced_json(text: Column) -> Column:
     trimmed = F.trim(text)
     block = F.regexp_extract(trimmed, r"(?s)^```[^\n]*\n(.*?)(?:\n```|$)", 1)
     body = F.when(trimmed.startswith("```"), block).otherwise(trimmed)
-    found = F.regexp_extract(body, r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0)
+    found = F.regexp_extract(body, ONE_OBJECT, 0)
     return F.when(found != "", found)
 
 
@@ -130,10 +140,11 @@ def split_description(text: Column, mode: str = "balanced") -> tuple[Column, Col
         n = F.instr(text, sep)
         return F.array(F.trim(F.substring(text, F.lit(1), n - 1)), F.trim(F.substring(text, n + F.lit(len(sep)), F.length(text))))
 
-    parts = F.split(text, " to ", -1)
+    sure, usual, *others = SEPARATORS
+    parts = F.split(text, usual, -1)
 
     def cut(i: Column) -> Column:
-        left, right = F.array_join(F.slice(parts, F.lit(1), i), " to "), F.array_join(F.slice(parts, i + 1, F.size(parts)), " to ")
+        left, right = F.array_join(F.slice(parts, F.lit(1), i), usual), F.array_join(F.slice(parts, i + 1, F.size(parts)), usual)
         return F.struct(F.abs(F.size(words(left)) - F.size(words(right))).alias("d"), i.alias("i"), F.trim(left).alias("a"), F.trim(right).alias("b"))
 
     best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), cut))
@@ -141,8 +152,8 @@ def split_description(text: Column, mode: str = "balanced") -> tuple[Column, Col
     whole = words(text)
     half = F.floor(F.size(whole) / 2).cast("int")
     halves = F.array(F.array_join(F.slice(whole, F.lit(1), half), " "), F.array_join(F.slice(whole, half + 1, F.size(whole)), " "))
-    both = F.when(F.instr(text, " <TO> ") > 0, at_first(" <TO> ")).when(F.instr(text, " to ") > 0, balanced if mode == "balanced" else at_first(" to "))
-    for sep in (" and ", " vs ", " | "):
+    both = F.when(F.instr(text, sure) > 0, at_first(sure)).when(F.instr(text, usual) > 0, balanced if mode == "balanced" else at_first(usual))
+    for sep in others:
         both = both.when(F.instr(text, sep) > 0, at_first(sep))
     both = both.otherwise(halves)
     return both[0], both[1]
