@@ -209,7 +209,8 @@ def grouped(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     roots = components(forests(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the rows of a large component's root can be split in the join
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     of = named.join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(of, "fp").select(id_col, hexed.alias("fingerprint"), "component_id", "fp")
@@ -263,7 +264,7 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: st
     roots = components(filed.mapInArrow(run, "a long, b long"))
     named = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = written(named, "roots")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return rows.join(named.join(ids, "root").select("node", "component_id"), "node").select(id_col, "component_id", "near", "fp")
 
 
