@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from gleaner.llm.textscan import blocks, utf8
 
 #: Bytes of text cut at a time. Bounds the memory of a task, whatever the number and length of its texts.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Distinct pieces that a Python worker remembers between batches.
 REMEMBERED = 1_500_000
 
@@ -29,14 +29,13 @@ def _classes() -> np.ndarray:
     """0 other, 1 letter, 2 digit, 3 white space, for every code point."""
     import regex
 
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    text = "".join(map(chr, points))
     out = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            out[[points[m.start()], points[m.end() - 1]]] = kind
-            out[points[m.start()] : points[m.end() - 1] + 1] = kind
-    out[0xD800:0xE000] = 0
+    patterns = [(1, regex.compile(r"\p{L}+")), (2, regex.compile(r"\p{N}+")), (3, regex.compile(r"\s+"))]
+    for low in (x for x in range(0, 0x110000, 0x800) if x != 0xD800):  # the surrogates are one such range
+        text = "".join(map(chr, range(low, low + 0x800)))
+        for kind, pattern in patterns:
+            for m in pattern.finditer(text):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
@@ -57,8 +56,9 @@ def cut(data: np.ndarray, offsets: np.ndarray, special: bytes = b"") -> tuple[np
     n = len(points)
     wide = len(raw) != n
     if wide:
-        to_byte = np.zeros(n + 1, np.int64)
-        np.cumsum(1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000), out=to_byte[1:])
+        to_byte = np.zeros(n + 1, np.int32)  # a block is far below 2 GB
+        sizes = (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8) + np.uint8(1)
+        np.cumsum(sizes, dtype=np.int32, out=to_byte[1:])
         bounds = np.searchsorted(to_byte, bounds)
     firsts = bounds[:-1][bounds[:-1] < n]
     kind = _classes()[points]
@@ -114,10 +114,13 @@ class Memory:
         where = where.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         ids, at = self.ids, self.at
         if len(new):
-            blobs = list(encode(new.to_pylist()))
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
-            at = np.concatenate([at, at[-1] + np.cumsum(sizes)])
-            ids = np.concatenate([ids, np.frombuffer(b"".join(blobs), "<u4")])
+            sizes, parts = [], [ids]
+            for k in range(0, len(new), 32_768):
+                blobs = list(encode(new[k : k + 32_768].to_pylist()))
+                sizes.append(np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2)
+                parts.append(np.frombuffer(b"".join(blobs), "<u4"))
+            at = np.concatenate([at, at[-1] + np.cumsum(np.concatenate(sizes))])
+            ids = np.concatenate(parts)
             where[where < 0] = len(self.words) + np.arange(len(new))
             room = REMEMBERED - len(self.words)
             if room > 0:
