@@ -216,101 +216,16 @@ def grouped(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     return rows.join(of, "fp").select(id_col, hexed.alias("fingerprint"), "component_id", "fp")
 
 
-#: Keys under which `alike` files a fingerprint, and the bits of each beyond the logarithm of the number of fingerprints.
-TABLES = 40
-
-
-def _samples(bits: int, tables: int = TABLES) -> list[int]:
-    """Masks of `bits` of 64 places, drawn with a fixed seed."""
-    draw = np.random.default_rng(64)
-    return [sum(1 << int(b) for b in draw.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
-def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, component_id, pair of fingerprints (`near`, `fp`): groups of texts whose fingerprints are alike in many bits.
-
-    Texts link if the share of equal bits is `similarity` or more in fingerprints of `shingle` words and, which tells chance
-    likeness, in those of three words. That is far beyond what blocks of bits can find for sure, so fingerprints are filed
-    under TABLES samples of as many bits as the number of fingerprints has, which keeps files small at any size; a pair
-    with a ninth of its bits different (near copies with a Jaccard similarity of 0.8 differ in less, mostly) meets in one
-    of them with a chance of 0.99 at 250,000 fingerprints. Files return forests, and components are as in `grouped`, as is
-    the treatment of nulls, empty texts and repeated rows.
-    """
-    reach = int((1 - similarity) * 64 + 1e-9)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (i, j, three), (_, _, own) in zip(shingle_bits(batch.column(1), 3), shingle_bits(batch.column(1), shingle), strict=True):
-                yield pa.record_batch([batch.column(0)[i:j], pa.array(three.view(np.int64)), pa.array(own.view(np.int64))], ["id", "near", "fp"])
-
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(id_col, text_col).mapInArrow(prints, f"id {kind}, near long, fp long")
-    rows = written(rows.withColumnRenamed("id", id_col).withColumn("node", F.xxhash64("near", "fp")), "fingerprints")
-    distinct = written(rows.groupBy("node", "near", "fp").agg(F.min(id_col).alias("least")), "distinct")
-    bits = min(max(int(distinct.count()).bit_length(), 10), 40)
-    keys = [F.xxhash64(F.lit(k), F.col("near").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(_samples(bits))]
-    filed = distinct.select("near", "fp", "node", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rest = np.empty(0, np.int64), np.empty((3, 0), np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column(3).to_numpy()])
-            rest = np.concatenate([rest, np.stack([batch.column(k).to_numpy().view(np.uint64) for k in range(3)])], axis=1)
-            whole = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
-            yield from _alike_files(key[:whole], rest[:, :whole], reach)
-            key, rest = key[whole:], rest[:, whole:]
-        yield from _alike_files(key, rest, reach)
-
-    roots = components(filed.mapInArrow(run, "a long, b long"))
-    named = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = written(named, "roots")
-    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    return rows.join(named.join(ids, "root").select("node", "component_id"), "node").select(id_col, "component_id", "near", "fp")
-
-
-def _alike_files(key: np.ndarray, rest: np.ndarray, reach: int) -> Iterator[pa.RecordBatch]:
-    """Forests of the links of complete files: by ascending shift, pairs that are not yet joined are compared."""
-    if len(key) < 2:
-        return
-    near, fp, node = rest
-    # within a file by the distance to a pivot, so that those too far apart in it need not be compared
-    table = np.bitwise_count(near ^ pivots()[0]).astype(np.int16)
-    order = np.lexsort((table, key))
-    key, near, fp, node, table = key[order], near[order], fp[order], node[order], table[order]
-    root = np.arange(len(key))
-    active, shift = np.arange(len(key) - 1), 1
-    while len(active):
-        active = active[active + shift < len(key)]
-        active = active[key[active] == key[active + shift]]
-        active = active[table[active + shift] - table[active] <= reach]
-        hit = active[np.bitwise_count(near[active] ^ near[active + shift]) <= reach]
-        hit = hit[np.bitwise_count(fp[hit] ^ fp[hit + shift]) <= reach]
-        for i in hit[root[hit] != root[hit + shift]].tolist():
-            a, b = i, i + shift
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        shift += 1
-    member = np.flatnonzero(root != np.arange(len(root)))
-    if len(member):
-        top = root[member]
-        while (root[top] != top).any():
-            top = root[top]
-        yield pa.record_batch([node[member].view(np.int64), node[top].view(np.int64)], ["a", "b"])
-
-
 def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs` with one row of each group of copies or near copies: that with the group's smallest id.
 
-    Groups are those of `grouped` and of `alike` together: a row goes if either has a smaller id for it. Of rows that repeat
+    Groups are those of `grouped` and of `jaccard.alike` together: a row goes if either has a smaller id for it. Of rows that repeat
     an id one stays; of rows without an id, one of each text.
     """
+    from gleaner.llm import jaccard  # which needs this module
+
     strict = grouped(docs, 3, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
-    wide = alike(docs, shingle, similarity, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
+    wide = jaccard.alike(docs, shingle, similarity, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
     marks = strict.unionByName(wide).where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     marks = written(marks, "marks")
     heads = marks.where(F.col("_id") == F.col("least")).select(F.col("_id").alias(id_col))
