@@ -128,7 +128,7 @@ def j14_similarity_pairs(spark, sf_dir):
 @query()
 def j15_ann_join_ivf(spark, sf_dir):
     rows = views.vecs(spark, sf_dir)
-    return _neighbours(VO.ann_ivf(rows.where("vec_id % 20 = 0"), rows, 10, "vec_id", "e", lists=20, probes=8))
+    return _neighbours(VO.ann_ivf(rows.where("vec_id % 20 = 0"), rows, 10, "vec_id", "e", lists=20, probes=16))
 
 
 @query(

@@ -105,6 +105,13 @@ def test_ivf_recall(spark, sf_dir):
     assert len(found & exact) / len(exact) >= 0.8
 
 
+def test_ivf_query_recall(spark, sf_dir):
+    from gleaner.plans import registry
+
+    exact, found = ({(r[0], r[1]) for r in registry.queries()[q](spark, sf_dir).select("query_id", "neighbour_id").collect()} for q in ("j11_knn_join", "j15_ann_join_ivf"))
+    assert len(found & exact) / len(exact) >= 0.9
+
+
 def boxes(spark, rows):
     return spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long, score double")
 
