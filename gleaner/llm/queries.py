@@ -18,7 +18,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    columns = ("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_broken", "host_verdict", "kept")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
@@ -44,8 +44,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(urls.RULES, "action string, rule string")
-    return urls.judged(table(spark, sf_dir, "pages"), rules)
+    return urls.judged(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

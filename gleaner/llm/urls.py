@@ -1,23 +1,26 @@
 """Block and allow rules for URLs by host and path, in DataFrame functions alone.
 
-A URL is expanded into all suffixes of its host and all prefixes of its path that could be a rule; expressions meet rules
-by an equi-join on the first bits of a hash, full digests confirm a match, and the longest rule decides. Rules are thus
+A URL is expanded into the suffixes of its host and those prefixes of its path that could be a rule; expressions meet rules
+by an equi-join on the first bits of a digest, full digests confirm a match, and the longest rule decides. Rules are thus
 never compared with each URL in turn, and either side may be large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rules up to this number are sent to all tasks: 100,000 expressions of some 100 bytes are 10 MB.
-BROADCAST_RULES = 100_000
+from gleaner.llm.shared import written
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hexadecimal digits of a digest that the join goes by.
+PREFIX = 8
 
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path. Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: then up to `?` or `#`."""
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url")))
-    host = F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    after = F.when(F.instr(url, "://") > 0, url.substr(F.instr(url, "://") + 3, F.length(url)))
+    host = F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
@@ -27,17 +30,17 @@ def _suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def _short(expression: Column) -> Column:
-    """32 bits of the digest: what the join goes by."""
-    return F.xxhash64(expression).bitwiseAND(0xFFFFFFFF)
+def _digested(rows: DataFrame, expression: str) -> DataFrame:
+    """`rows` with the expression's digest and the prefix of it that the join goes by."""
+    return rows.withColumn("digest", F.sha2(expression, 256)).withColumn("short", F.substring("digest", 1, PREFIX))
 
 
 def expressions(rules: DataFrame) -> DataFrame:
     """Rules (action, rule) by their expression `host` + `path`; of two actions for one rule, block holds."""
     made = rules.where(F.col("rule").isNotNull() & F.col("action").isin("block", "allow") & (F.instr("rule", "/") > 0))
-    made = made.select(F.concat(F.translate(F.regexp_extract("rule", "^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract("rule", "(?s)/.*$", 0)).alias("rule"), "action")
-    made = made.groupBy("rule").agg(F.max("action").alias("action"))  # "block" comes after "allow"
-    return made.select("rule", "action", _short(F.col("rule")).alias("short"), F.sha2("rule", 256).alias("digest"))
+    host, path = F.translate(F.regexp_extract("rule", "^[^/]*", 0), UPPER, LOWER), F.regexp_extract("rule", "(?s)/.*$", 0)
+    made = made.select(F.concat(host, path).alias("rule"), host.alias("of"), F.length(path).alias("n"), "action")
+    return _digested(made.groupBy("rule", "of", "n").agg(F.max("action").alias("action")), "rule")  # "block" comes after "allow"
 
 
 def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -46,33 +49,39 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col:
     A rule `host/path` fits that host and its subdomains if the URL's path starts with its path; rules without `/`, with
     another action or null are ignored. Ties in length can only be one rule (an expression of a URL of a given length and
     host is unique) or go to the longer host. Null URLs and those without `://` have an empty host and path and no rule.
-    Repeated rows and null ids are each judged. Columns besides the two named are not read.
+    Repeated rows and null ids are each judged. Columns besides the two named are not read. Each distinct host and path is
+    judged once. Sides of joins are broadcast only if Spark's size check finds them small; else hot hosts and URLs meet in
+    joins that Spark can split.
     """
-    known = expressions(rules)
-    # path lengths that rules have: a short list, as no path is longer than a URL may be
-    lengths = sorted(r["n"] for r in known.select(F.length(F.regexp_extract("rule", "(?s)/.*$", 0)).alias("n")).distinct().collect())
-    rows = pages.select(id_col, F.col(url_col).alias("_url"))
+    known = written(expressions(rules), "rules")
     host, path = parts(F.col("_url"))
-    rows = rows.select(id_col, host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).select("_id", host.alias("host"), path.alias("path"))
 
     distinct = rows.where((F.col("host") != "") & F.col("path").startswith("/")).select("host", "path").distinct()
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    prefixes = F.transform(fitting, lambda n: F.col("path").substr(F.lit(1), n))
-    # every host suffix with every prefix: labels times path lengths, a few for each distinct URL
-    each = distinct.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
-    each = each.select("host", "path", F.col("suffix"), F.explode("prefixes").alias("prefix")).withColumn("expression", F.concat("suffix", "prefix"))
-    each = each.withColumn("short", _short(F.col("expression")))
-    few = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    met = each.join(F.broadcast(known) if few else known, "short").where(F.sha2("expression", 256) == F.col("digest"))
+    suffixed = distinct.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"))
+    # prefixes of the lengths that rules of that host have
+    lengths = known.select(F.col("of").alias("suffix"), "n").distinct()
+    each = suffixed.join(lengths, "suffix").where(F.col("n") <= F.length("path"))
+    each = each.withColumn("expression", F.concat("suffix", F.col("path").substr(F.lit(1), F.col("n"))))
+    each = _digested(each.select("host", "path", "suffix", "expression"), "expression").withColumnRenamed("digest", "found")
+    met = each.join(known.select("short", "digest", "rule", "action"), "short").where(F.col("found") == F.col("digest"))
     order = F.struct(F.length("rule").alias("n"), F.length("suffix").alias("m"), "rule", "action")
     best = met.groupBy("host", "path").agg(F.max(order).alias("best")).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
+    best = written(best, "best")  # so that a hot URL's rows can be split in the join
     out = rows.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("action", F.lit(otherwise)).alias("verdict"))
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("action", F.lit(otherwise)).alias("verdict"))
 
 
 #: Rules of the registered query, as its contract gives them.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
+
+def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    """Rules as a table of constants, without a Python worker."""
+    each = [F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule")) for action, rule in rules]
+    return spark.range(1).select(F.explode(F.array(*each)).alias("r")).select("r.action", "r.rule")
+
+
 ORACLE = r"""
 WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS a FROM pages),
 p AS (SELECT page_id, a, regexp_extract(a, '^[^/?#]*') AS raw FROM u),
