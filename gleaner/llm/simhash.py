@@ -1,9 +1,10 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Fingerprints within three bits agree on two of five blocks of bits whatever the three bits are, so each distinct
-fingerprint is filed under the ten pairs of its blocks. Within a file, a table of Hamming distances to pivots discards
-pairs: two fingerprints within three bits are within three of each other in every coordinate. Survivors are verified. Each
-file returns a forest of its links, not all pairs, and Spark joins turn the forests into components.
+Each distinct fingerprint gets, once, its Hamming distances to sixteen reference fingerprints. Two fingerprints within three
+bits are within three of each other in every coordinate, so pairs with a larger difference are discarded and survivors are
+verified. Pairs meet in files: three bits leave two of five blocks of bits alone whatever they are, so a fingerprint is filed
+under the ten pairs of its blocks, and a large file is filed anew by the rest of its bits. Each file returns a forest of its
+links, not all pairs, and Spark joins turn the forests into components.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ SEED = 42
 REACH = 3
 #: Bytes of text fingerprinted at a time.
 BLOCK_BYTES = 2 << 20
-#: Rows of a file compared at a time; larger files are gone through in steps, by ascending first coordinate.
-STEP = 65_536
+#: Fingerprints of a file; larger files are filed anew.
+FILE_ROWS = 4096
+#: Rows whose pairs are formed at a time.
+STEP = 1 << 16
 
 
 def shingle_bits(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -74,31 +77,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def pivots(n: int = 16) -> np.ndarray:
+def pivots(n: int = 16) -> list[int]:
     """Reference fingerprints: random ones of a fixed seed, the same in every task."""
-    return np.random.default_rng(20).integers(0, 1 << 64, n, np.uint64, endpoint=False)
-
-
-def _masks() -> list[int]:
-    """Masks of the ten pairs of five blocks of 13, 13, 13, 13 and 12 bits."""
-    edges = [0, 13, 26, 39, 52, 64]
-    own = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [a | b for a, b in combinations(own, 2)]
+    return np.random.default_rng(20).integers(0, 1 << 64, n, np.uint64, endpoint=False).tolist()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links_of_file(fps: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links among distinct fingerprints: (member, root) pairs by index.
+def distances(rows: DataFrame, fp_col: str = "fp") -> DataFrame:
+    """`rows` with the distances of fp_col to the sixteen pivots, a byte each: the first eight in `near`, the others in `far`."""
+    each = [F.bit_count(F.col(fp_col).bitwiseXOR(F.lit(_signed(p)))).cast("long") for p in pivots()]
+    pack = lambda columns: sum((F.shiftleft(c, 8 * k) for k, c in enumerate(columns[1:], 1)), columns[0])
+    return rows.select("*", pack(each[:8]).alias("near"), pack(each[8:]).alias("far"))
+
+
+def _cut(free: list[int], n: int) -> list[int]:
+    """Masks of n runs of the given bits, of sizes as equal as can be."""
+    edges = [round(k * len(free) / n) for k in range(n + 1)]
+    return [sum(1 << x for x in free[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def masks(level: int = 0) -> list[int]:
+    """Bits that fingerprints of a file share: pairs of five blocks; at the next level, for each mask, four that add a quarter of the rest."""
+    if level == 0:
+        return [a | b for a, b in combinations(_cut(list(range(64)), REACH + 2), 2)]
+    return [m | own for m in masks(level - 1) for own in _cut([x for x in range(64) if not m >> x & 1], REACH + 1)]
+
+
+def links_among(fps: np.ndarray, table: np.ndarray, key: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among fingerprints of equal keys (sorted by key, then by the first coordinate of `table`): (member, root) by index.
 
-    The fingerprints are sorted by their distance to the first pivot; only those within `reach` in that coordinate are
-    looked at, those further apart in any other coordinate are discarded, and the rest are verified.
+    Pairs further apart than `reach` in the first coordinate are never formed, those further apart in any other coordinate
+    are discarded, the rest are verified.
     """
-    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
     root = np.arange(len(fps))
 
     def find(x: int) -> int:
@@ -112,85 +125,108 @@ def links_of_file(fps: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.n
         shift = 1
         while True:
             active = active[active + shift < len(fps)]
-            active = active[table[active + shift, 0] - table[active, 0] <= reach]
+            active = active[(key[active + shift] == key[active]) & (table[active + shift, 0] - table[active, 0] <= reach)]
             if not len(active):
                 break
-            near = active[np.abs(table[active + shift, 1:4] - table[active, 1:4]).max(axis=1) <= reach]
-            near = near[np.abs(table[near + shift, 4:] - table[near, 4:]).max(axis=1) <= reach] if len(near) else near
-            near = near[np.bitwise_count(fps[near] ^ fps[near + shift]) <= reach] if len(near) else near
-            for i in near[root[near] != root[near + shift]].tolist() if len(near) else ():
+            pair = active
+            for columns in (slice(1, 4), slice(4, 16)):
+                pair = pair[np.abs(table[pair + shift, columns] - table[pair, columns]).max(axis=1) <= reach] if len(pair) else pair
+            pair = pair[np.bitwise_count(fps[pair] ^ fps[pair + shift]) <= reach] if len(pair) else pair
+            pair = pair[root[pair] != root[pair + shift]] if len(pair) else pair
+            for i in pair.tolist():
                 a, b = find(i), find(i + shift)
                 if a != b:
                     root[max(a, b)] = min(a, b)
+            if len(pair):  # all point at their roots again
+                while len(moved := np.flatnonzero(root[root] != root)):
+                    root[moved] = root[root[moved]]
             shift += 1
     member = np.flatnonzero(root != np.arange(len(fps)))
-    top = np.array([find(int(x)) for x in member], np.int64)
-    return order[member], order[top] if len(member) else order[:0]
+    return member, root[member]
 
 
-def forests(distinct: DataFrame, fp_col: str = "fp") -> DataFrame:
-    """Links (a, b) of each file of each pair of blocks, as forests; over all files they connect what is to be connected."""
-    keys: list[Column] = [F.xxhash64(F.lit(k), F.col(fp_col).bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(_masks())]
-    filed = distinct.select(F.col(fp_col).alias("fp"), F.explode(F.array(*keys)).alias("key"))
-    filed = filed.repartition("key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column(1).to_numpy()])
-            fp = np.concatenate([fp, batch.column(0).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last file may go on in the next batch
-            yield from _files(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-        yield from _files(key, fp)
+def _files(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of complete files; rows: key, fp, near, far."""
+    if rows.shape[1] < 2:
+        return
+    first = rows[2] & 0xFF
+    rows = rows[:, np.lexsort((first, rows[0]))]
+    alone = np.concatenate([[True], rows[0, 1:] != rows[0, :-1], [True]])
+    rows = rows[:, ~(alone[:-1] & alone[1:])]
+    if rows.shape[1]:
+        fps = rows[1].view(np.uint64)
+        table = np.ascontiguousarray(rows[2:4].T).view(np.int8)
+        member, root = links_among(fps, table, rows[0])
+        if len(member):
+            yield pa.record_batch([fps[member].view(np.int64), fps[root].view(np.int64)], ["a", "b"])
 
-    return filed.mapInArrow(run, "a long, b long")
 
+def _links(filed: DataFrame) -> DataFrame:
+    """Links (a, b) of all files, each a key's rows (key, fp, near, far), at most about FILE_ROWS."""
 
-def _files(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links of complete files. Files of two to four rows, the most by far, are compared together."""
-    if len(key) < 2:
-        return
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    a, b = [], []
-    small = (sizes > 1) & (sizes <= 4)
-    for x in range(4):
-        for y in range(x + 1, 4):
-            at = starts[small & (sizes > y)]
-            hit = at[np.bitwise_count(fp[at + x] ^ fp[at + y]) <= REACH]
-            a.append(fp[hit + y])
-            b.append(fp[hit + x])
-    for at, n in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
-        own = fp[at : at + n]
-        member, top = links_of_file(own)
-        a.append(own[member])
-        b.append(own[top])
-    left, right = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-    if len(left):
-        yield pa.record_batch([left, right], ["a", "b"])
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy() for k in range(4)])
+            if not rows.shape[1]:
+                continue
+            whole = int(np.searchsorted(rows[0], rows[0, -1], "left"))  # the last file may go on in the next batch
+            if whole:
+                yield from _files(np.concatenate([*held, rows[:, :whole]], axis=1))
+                held = []
+            held.append(rows[:, whole:])
+        if held:
+            yield from _files(np.concatenate(held, axis=1))
+
+    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def forests(table: DataFrame) -> DataFrame:
+    """Links (a, b) among rows of `distances` (fp, near, far), as forests of files; over all files they connect what is to be connected.
+
+    Files are counted before their rows are shuffled. Those over FILE_ROWS, such as families of templates make, are filed by
+    longer keys until they are small: a file of distinct fingerprints can't be larger than the number of values of the bits
+    that its key leaves open, so this ends.
+    """
+    rows, level, links = table.select("fp", "near", "far", F.array(*[F.lit(k) for k in range(len(masks()))]).alias("of")), 0, None
+    while True:
+        own = F.array(*[F.lit(_signed(m)) for m in masks(level)])
+        filed = rows.select("fp", "near", "far", F.explode("of").alias("k"))
+        filed = filed.withColumn("key", F.xxhash64("k", F.get(own, F.col("k")).bitwiseAND(F.col("fp"))))
+        large = written(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FILE_ROWS).select("key"), "large")
+        again = large.limit(1).count() > 0
+        small = filed.join(large, "key", "left_anti") if again else filed
+        found = written(_links(small.select("key", "fp", "near", "far")), "forest")
+        links = found if links is None else links.unionByName(found)
+        if not again:
+            return links
+        children = F.transform(F.sequence(F.lit(0), F.lit(REACH)), lambda j: F.col("k") * (REACH + 1) + j)
+        rows = written(filed.join(large, "key", "left_semi").select("fp", "near", "far", children.alias("of")), "refiled")
+        level += 1
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (a, b): root is the least node of its component.
 
-    Large-star and small-star rounds, each a written table: links point ever nearer to the least node until all point at it.
+    Large-star and small-star rounds until nothing changes: links point ever nearer to the least node until all point at it.
+    What a node's links are joined with is a written table, so that Spark can split the links of a hub.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     sign = _sign(edges)
-    for _ in range(rounds):
+    while sign[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = written(small, "links")
         now = _sign(edges)
         if now == sign:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         sign = now
-    raise RuntimeError("components did not settle")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -204,8 +240,9 @@ def grouped(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     and empty texts have fingerprint zero and are linked by it. Repeated rows are rows of their own. An empty table gives an
     empty result. Copies meet as one fingerprint first, so a group of copies of any size costs no more than one row later.
     """
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    given = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = written(fingerprints(given, shingle, "__id", "__text"), "fingerprints")
+    distinct = written(distances(rows.groupBy("fp").agg(F.min("__id").alias("least"))), "distances")
     roots = components(forests(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "roots")
@@ -213,14 +250,15 @@ def grouped(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
     ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     of = named.join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of, "fp").select(id_col, hexed.alias("fingerprint"), "component_id", "fp")
+    return rows.join(of, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id", "fp")
 
 
 def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs` with one row of each group of copies or near copies: that with the group's smallest id.
 
-    Groups are those of `grouped` and of `jaccard.alike` together: a row goes if either has a smaller id for it. Of rows that repeat
-    an id one stays; of rows without an id, one of each text.
+    Groups are those of `grouped` and of `jaccard.alike` together: a row goes if either has a smaller id for it. Null and empty
+    texts are one group. Of rows that repeat an id one stays; of rows without an id, one of each text. An empty table stays
+    empty, and all columns stay.
     """
     from gleaner.llm import jaccard  # which needs this module
 
