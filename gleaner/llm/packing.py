@@ -6,6 +6,7 @@ once on the driver; Spark counts the lengths, ranks the pieces of a length and p
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -45,73 +46,98 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Kinds of sequences, each as (lengths, how many such), that use up `counts` pieces of each length.
+class SumIndex:
+    """Sums of one, two and three lengths, by hash: which lengths make a sum, the longest first, while pieces of them are left.
 
-    From the longest length down, a gap is closed exactly by one, two or three lengths whose sum it is, as often as their
-    counts allow (so sums of pairs and triples are looked up, not searched); what has no exact complement goes by best fit.
+    `singles[s]`, `pairs[s]` and `triples[s]` hold the longest length of each such combination; the rest of a pair is the
+    difference, the rest of a triple a pair of the difference. Entries whose lengths have run out are dropped when a look-up
+    meets them; counts only fall, so they never come back.
     """
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] += n
-    out: list[tuple[tuple[int, ...], int]] = []
 
-    def use(lengths: tuple[int, ...]) -> None:
-        need: dict[int, int] = {}
-        for x in lengths:
-            need[x] = need.get(x, 0) + 1
-        times = min(int(have[x]) // k for x, k in need.items())
-        for x, k in need.items():
-            have[x] -= k * times
-        out.append((lengths, times))
-
-    def pair(total: int, least: dict[int, int]) -> tuple[int, int] | None:
-        """Two lengths with this sum, the longer one as long as can be, besides those that `least` sets aside."""
-        if total < 2:
-            return None
-        a = np.arange((total + 1) // 2, total)
-        b = total - a
-        ha, hb = have[a].copy(), have[b].copy()
-        for x, k in least.items():
-            ha[a == x] -= k
-            hb[b == x] -= k
-        found = np.flatnonzero((ha > 0) & (hb > 0) & ((a != b) | (ha > 1)))
-        return (int(a[found[-1]]), int(b[found[-1]])) if len(found) else None
-
-    def complement(length: int) -> tuple[int, ...] | None:
-        gap = capacity - length
-        if gap == 0:
-            return (length,)
-        aside = {length: 1}
-        if have[gap] - aside.get(gap, 0) > 0:
-            return (length, gap)
-        if two := pair(gap, aside):
-            return (length, *two)
-        there = (have[:gap] > 0).astype(np.int32)
-        sums = np.convolve(there, there)  # how many pairs of lengths have each sum
-        for x in np.flatnonzero(there[1:] & (sums[gap - 1 : 0 : -1] > 0))[::-1].tolist():
-            x += 1
-            if have[x] - aside.get(x, 0) > 0 and (two := pair(gap - x, {**aside, x: aside.get(x, 0) + 1})):
-                return (length, x, *two)
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.have = dict(counts)
+        lengths = np.array(sorted(x for x, n in counts.items() if n > 0), np.int64)
+        self.singles = {int(x): [int(x)] for x in lengths}
+        a, b = (x.reshape(-1) for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        fits = (a >= b) & (a + b <= capacity)
+        self.pairs = self._by_sum(a[fits] + b[fits], a[fits])
+        a, b = (x.reshape(-1) for x in np.meshgrid(lengths, np.array(sorted(self.pairs), np.int64), indexing="ij"))
+        # the longest of three is at least a third of the sum
+        fits = (a + b <= capacity) & (2 * a >= b)
+        self.triples = self._by_sum(a[fits] + b[fits], a[fits])
+
+    @staticmethod
+    def _by_sum(sums: np.ndarray, longest: np.ndarray) -> dict[int, list[int]]:
+        order = np.lexsort((longest, sums))  # ascending: the longest is at the end of its list
+        sums, longest = sums[order], longest[order]
+        edge = np.flatnonzero(np.concatenate([[True], sums[1:] != sums[:-1], [True]])) if len(sums) else np.zeros(1, np.int64)
+        return {int(sums[i]): longest[i:j].tolist() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+
+    def _left(self, length: int, taken: tuple[int, ...]) -> bool:
+        return self.have.get(length, 0) > taken.count(length)
+
+    def single(self, total: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if total in self.singles and self._left(total, taken) else None
+
+    def pair(self, total: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        entries = self.pairs.get(total, [])
+        for k in range(len(entries) - 1, -1, -1):
+            a = entries[k]
+            if not (self._left(a, ()) and self._left(total - a, (a,))):
+                del entries[k]  # near the end of the list: what a look-up drops it does not move
+            elif self._left(a, taken) and self._left(total - a, (*taken, a)):
+                return (a, total - a)
+        return None
+
+    def triple(self, total: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        entries = self.triples.get(total, [])
+        for k in range(len(entries) - 1, -1, -1):
+            a = entries[k]
+            if not self._left(a, ()) or not self.pairs.get(total - a):
+                del entries[k]
+            elif self._left(a, taken) and (rest := self.pair(total - a, (*taken, a))):
+                return (a, *rest)
         return None
 
-    for length in range(capacity, 0, -1):
-        while have[length] > 0 and (found := complement(length)):
-            use(found)
-    left = np.flatnonzero(have)
-    while len(left):
-        lengths, gap = [int(left[-1])], capacity - int(left[-1])
-        taken = {lengths[0]: 1}
+    def filling(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three lengths that add up to `gap`, besides the pieces `taken`."""
+        return self.single(gap, taken) or self.pair(gap, taken) or self.triple(gap, taken)
+
+    def use(self, lengths: tuple[int, ...]) -> int:
+        """Takes as many such combinations as counts allow, and returns how many."""
+        times = min(self.have[x] // lengths.count(x) for x in set(lengths))
+        for x in lengths:
+            self.have[x] -= times
+        return times
+
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Kinds of sequences, each as (lengths, how many such), that use up `counts` pieces of each length.
+
+    From the longest length down, a gap is closed exactly by one, two or three lengths whose sum the index has, as often as
+    their counts allow; what has no exact complement goes by best fit.
+    """
+    index = SumIndex(counts, capacity)
+    have, out = index.have, []
+    for length in sorted(index.singles, reverse=True):
+        while have[length] > 0:
+            rest = () if length == capacity else index.filling(capacity - length, (length,))
+            if rest is None:
+                break
+            out.append(((length, *rest), index.use((length, *rest))))
+    left = sorted(x for x, n in have.items() if n > 0)
+    while left:
+        lengths, gap = (left[-1],), capacity - left[-1]
         while True:
-            fits = left[: np.searchsorted(left, gap, "right")]
-            fits = [int(x) for x in fits[::-1][:4] if have[x] > taken.get(int(x), 0)] or [int(x) for x in fits[::-1] if have[x] > taken.get(int(x), 0)][:1]
-            if not fits:
+            k = bisect.bisect_right(left, gap) - 1
+            while k >= 0 and have[left[k]] <= lengths.count(left[k]):
+                k -= 1
+            if k < 0:
                 break
-            lengths.append(fits[0])
-            taken[fits[0]] = taken.get(fits[0], 0) + 1
-            gap -= fits[0]
-        use(tuple(lengths))
-        left = np.flatnonzero(have)
+            lengths += (left[k],)
+            gap -= left[k]
+        out.append((lengths, index.use(lengths)))
+        left = [x for x in left if have[x] > 0]
     return out
 
 
@@ -130,9 +156,17 @@ def slots(kinds: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {x: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
 
 
-def ranked(pieces: DataFrame, id_col: str, salts: int) -> DataFrame:
-    """`pieces` with `rank`, from 0 within each length. A length that a third of all pieces have is dealt over `salts` groups."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)))
+#: Least number of groups that a length is dealt over, and pieces of a group, about, beyond that.
+SALTS, GROUP_ROWS = 64, 200_000
+
+
+def ranked(pieces: DataFrame, counts: dict[int, int], id_col: str, salts: int = SALTS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`pieces` with `rank`, from 0 within each length. A length is dealt over groups, the more the more pieces it has."""
+    many = {x: -(-n // group_rows) for x, n in counts.items() if n > salts * group_rows}
+    groups = F.lit(salts)
+    if many:  # `capacity` lengths at most
+        groups = F.coalesce(F.get(F.array(*[F.lit(many.get(x)) for x in range(max(many) + 1)]), F.col("length").cast("int")), groups)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), groups))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -140,7 +174,7 @@ def ranked(pieces: DataFrame, id_col: str, salts: int) -> DataFrame:
     return salted.withColumn("own", F.row_number().over(own) - 1).join(sizes, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "base", "own")
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, salts: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, salts: int = SALTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces of a sequence follow each other from offset 0 without a gap and hold at most `capacity` tokens. Null or empty
@@ -165,4 +199,4 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, sa
             yield pa.record_batch([*kept, pa.array(sequence), pa.array(offset)], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)[id_col]
-    return ranked(cut, id_col, salts).mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return ranked(cut, counts, id_col, salts).mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
