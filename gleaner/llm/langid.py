@@ -86,7 +86,7 @@ def marginals(emission: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.n
     forward, backward = np.empty_like(e), np.ones((n, t, k))
     state = np.full((n, k), 1 / k)
     for i in range(t):
-        state = (state @ a) * e[:, i]
+        state = (state @ a if i else state) * e[:, i]
         state /= state.sum(axis=1, keepdims=True)
         forward[:, i] = state
     back = np.ones((n, k))
@@ -168,12 +168,16 @@ def expected_words(emission: np.ndarray, letter: np.ndarray, docs: np.ndarray, m
     running = np.searchsorted(-size_, -np.arange(SEGMENT), "left")
     e = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float32)
     a = np.exp(moves - moves.max()).astype(np.float32)
+    opens = (nth == 0)[order]  # a document's first word follows none
     whole = np.tile(np.eye(k, dtype=np.float32), (total, 1, 1))
     for t in range(SEGMENT):
         r = int(running[t])
         if not r:
             break
-        m = (whole[:r].reshape(-1, k) @ a).reshape(r, k, k) * e[start_[:r] + t][:, None, :]
+        m = (whole[:r].reshape(-1, k) @ a).reshape(r, k, k)
+        if not t:
+            m[opens[:r]] = whole[:r][opens[:r]]
+        m *= e[start_[:r] + t][:, None, :]
         whole[:r] = m / m.max(axis=(1, 2), keepdims=True)
     unsorted = np.empty_like(whole)
     unsorted[order] = whole
@@ -193,7 +197,10 @@ def expected_words(emission: np.ndarray, letter: np.ndarray, docs: np.ndarray, m
         r = int(running[t])
         if not r:
             break
-        step = (state[:r] @ a) * e[start_[:r] + t]
+        step = state[:r] @ a
+        if not t:
+            step[opens[:r]] = state[:r][opens[:r]]
+        step *= e[start_[:r] + t]
         state[:r] = step / step.sum(axis=1, keepdims=True)
         forward[t, :r] = state[:r]
     sums = np.zeros((total, k))
@@ -218,15 +225,19 @@ def trained(docs: DataFrame, quota: int = 500, held_out: tuple[int, int] = (5, 0
     """A field from about `quota` documents of each language at most, none of the held-out fold.
 
     Of each sampled document, two runs of 48 words from places that a hash picks reach the driver, so what it holds is
-    bounded by the quota and the number of languages. Null languages, ids and texts are left out.
+    bounded by the quota and the number of languages. Of rows that repeat an id and language, one counts. Null languages,
+    ids and texts are left out.
     """
     modulus, remainder = held_out
-    own = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (fold(id_col, modulus) != remainder))
-    ids = written(class_sample(own.select(id_col, lang_col), id_col, lang_col, quota), "languages").select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
-    chosen = own.join(F.broadcast(ids), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
-    words = chosen.select(id_col, lang_col, F.array_remove(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), "").alias("w")).where(F.size("w") > 0)
-    places = [F.slice("w", F.pmod(F.xxhash64(id_col, F.lit(s)), F.greatest(F.size("w") - 47, F.lit(1))).cast("int") + 1, 48).alias(f"w{s}") for s in (1, 2)]
-    rows = sorted((r[lang_col], r["w1"], r["w2"]) for r in words.select(lang_col, *places).collect())
+    given = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_in"))
+    own = given.where(F.col("_of").isNotNull() & F.col("_in").isNotNull() & (fold("_of", modulus) != remainder))
+    ids = class_sample(own.select("_of", "_in"), "_of", "_in", quota).select(F.col("_of").alias("_id"), F.col("_in").alias("_lang")).distinct()
+    ids = written(ids, "languages")  # the quota for each language
+    chosen = own.join(F.broadcast(ids), (F.col("_of") == F.col("_id")) & (F.col("_in") == F.col("_lang")))
+    words = chosen.select("_id", "_lang", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "").alias("w")).where(F.size("w") > 0)
+    places = [F.slice("w", F.pmod(F.xxhash64("_id", F.lit(s)), F.greatest(F.size("w") - 47, F.lit(1))).cast("int") + 1, 48).alias(f"w{s}") for s in (1, 2)]
+    runs = words.select("_id", "_lang", F.struct(*places).alias("runs")).groupBy("_id", "_lang").agg(F.min("runs").alias("runs"))
+    rows = sorted((r["_lang"], r["runs"]["w1"], r["runs"]["w2"]) for r in runs.collect())
     langs = sorted({r[0] for r in rows})
     at = {x: i for i, x in enumerate(langs)}
     return fitted([(list(w), at[y]) for y, *both in rows for w in both], langs)
