@@ -109,7 +109,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue = merge_queue(path)
         for batch in batches:
-            for i, j, p in pieces(batch.column(1), _encoder(queue), _memory.setdefault(path, Memory()), b"".join([*queue.special][:1])):
+            for i, j, p in pieces(batch.column(1), _encoder(queue), _memory.setdefault(path, Memory()), tuple(queue.special)):
                 ids, at = p.tokens()
                 texts = [queue.decode(ids[at[k] : at[k + 1]].tolist()).decode("utf-8", "replace") for k in range(j - i)]
                 yield pa.record_batch([batch.column(0)[i:j], pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "decoded"])
@@ -129,7 +129,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         queue = merge_queue(path)
         for batch in batches:
             known = None
-            for i, j, p in pieces(batch.column(1), _encoder(queue), _memory.setdefault(path, Memory()), b"".join([*queue.special][:1])):
+            for i, j, p in pieces(batch.column(1), _encoder(queue), _memory.setdefault(path, Memory()), tuple(queue.special)):
                 if known is not p.words:  # one vocabulary of pieces for all blocks of a batch
                     known, said, decoded = p.words, [], []
                     for a, b in zip(p.lo.tolist(), p.hi.tolist(), strict=True):

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: Number that glibc's mallopt has for the size from which a block of memory is returned as soon as it is freed.
+_M_MMAP_THRESHOLD = -3
+
 #: Characters between words: space and the five ASCII controls from tab to carriage return.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -14,8 +20,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+@functools.cache
+def lean() -> None:
+    """Lets this worker return the memory of large arrays once they are freed, where the C library can be told so."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts on end and the int64 offsets of each; null counts as empty."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

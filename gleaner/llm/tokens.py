@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,11 @@ import pyarrow.compute as pc
 from gleaner.llm.textscan import blocks, utf8
 
 #: Bytes of text cut at a time. Bounds the memory of a task, whatever the number and length of its texts.
-BLOCK_BYTES = 2 << 20
-#: Distinct pieces that a Python worker remembers between batches.
-REMEMBERED = 1_500_000
+BLOCK_BYTES = 1 << 20
+#: Bytes of text whose pieces are put together and encoded at a time.
+GROUP_BYTES = 8 << 20
+#: Bytes of distinct pieces that a Python worker remembers between batches, and of their ids and places.
+REMEMBERED_BYTES = 24 << 20
 
 
 @functools.cache
@@ -39,19 +42,63 @@ def _classes() -> np.ndarray:
     return out
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets of all pieces (and the end), and the range of pieces of each document."""
+def cut(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets of all pieces (and the end), and the range of pieces of each document. Special tokens' strings are pieces.
+
+    Long texts are cut part by part: a space after another character than white space begins a piece whatever follows, so
+    parts may end there.
+    """
     raw = data.tobytes()
-    bounds = offsets
-    holes: list[int] = []
-    if special:
-        at = raw.find(special)
-        while at >= 0:
-            if np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + len(special) - 1, "right"):
-                holes.append(at)
-            at = raw.find(special, at + len(special))
-        if holes:
-            bounds = np.unique(np.concatenate([offsets, holes, np.array(holes) + len(special)]))
+    holes = np.array(list(_found(raw, offsets, special)) if special else [], np.int64).reshape(-1, 2)
+    bounds = np.unique(np.concatenate([offsets, holes.reshape(-1)]))
+    starts, low = [], 0
+    while low < len(raw):
+        high = _part_end(raw, low, bounds)
+        inner = bounds[(bounds > low) & (bounds < high)] - low
+        starts.append(_piece_starts(raw[low:high], np.concatenate([[0], inner, [high - low]])) + low)
+        low = high
+    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    if len(holes):
+        inside = np.searchsorted(holes[:, 0], starts, "right") - 1
+        at = np.maximum(inside, 0)
+        starts = starts[(inside < 0) | (starts == holes[at, 0]) | (starts >= holes[at, 1])]
+    return np.append(starts, len(raw)), np.searchsorted(starts, offsets)
+
+
+@functools.cache
+def _special(strings: tuple[bytes, ...]) -> re.Pattern:
+    """Any of the strings; the longest of those that begin at a place."""
+    return re.compile(b"|".join(re.escape(x) for x in sorted(strings, key=len, reverse=True)))
+
+
+def _found(raw: bytes, offsets: np.ndarray, special: tuple[bytes, ...]) -> Iterator[tuple[int, int]]:
+    """Where special strings stand, none reaching from one document into the next."""
+    at, pattern = 0, _special(special)
+    while m := pattern.search(raw, at):
+        edge = int(offsets[np.searchsorted(offsets, m.start(), "right")])
+        if m.end() <= edge:
+            yield m.span()
+        at = min(m.end(), edge)
+
+
+_SOLID_SPACE = re.compile(rb"[!-~] ")
+
+
+def _part_end(raw: bytes, low: int, bounds: np.ndarray) -> int:
+    """Where a part that begins at `low` may end: at a document's edge, else before a space after a printing ASCII character."""
+    want = low + BLOCK_BYTES
+    if want >= len(raw):
+        return len(raw)
+    k = int(np.searchsorted(bounds, want, "right")) - 1
+    if bounds[k] > low + BLOCK_BYTES // 2:
+        return int(bounds[k])
+    following = int(bounds[k + 1]) if k + 1 < len(bounds) else len(raw)
+    found = _SOLID_SPACE.search(raw, want, following)
+    return found.end() - 1 if found else following
+
+
+def _piece_starts(raw: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Byte offsets of the pieces of some text; pieces don't cross `bounds`."""
     points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
     n = len(points)
     wide = len(raw) != n
@@ -90,22 +137,17 @@ def cut(data: np.ndarray, offsets: np.ndarray, special: bytes = b"") -> tuple[np
             start[m + 1] = False
             start[np.minimum(m + size, n)] = True
     starts = np.flatnonzero(start[:n])
-    if wide:
-        starts = to_byte[starts]
-    if holes:
-        lo = np.array(holes)
-        inside = np.searchsorted(lo, starts, "right") - 1
-        starts = starts[(inside < 0) | (starts == lo[np.maximum(inside, 0)]) | (starts >= lo[np.maximum(inside, 0)] + len(special))]
-    return np.append(starts, len(raw)), np.searchsorted(starts, offsets)
+    return to_byte[starts].astype(np.int64) if wide else starts
 
 
 class Memory:
-    """Distinct pieces that a worker has encoded, held in Arrow and numpy buffers (about 40 bytes each)."""
+    """Distinct pieces that a worker has encoded, held in Arrow and numpy buffers."""
 
     def __init__(self) -> None:
         self.words = pa.array([], pa.string())
         self.ids = np.empty(0, np.uint32)
         self.at = np.zeros(1, np.int64)
+        self.bytes = 0
 
     def coded(self, words: pa.StringArray, encode: Callable[[list[str]], Iterable[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All known ids and, for each word, where its own begin and end."""
@@ -122,11 +164,14 @@ class Memory:
             at = np.concatenate([at, at[-1] + np.cumsum(np.concatenate(sizes))])
             ids = np.concatenate(parts)
             where[where < 0] = len(self.words) + np.arange(len(new))
-            room = REMEMBERED - len(self.words)
+            # what each new piece would take: its bytes, its offset, its ids and their place
+            taken = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64) + 12 + 4 * np.diff(at[len(self.words) :])
+            room = int(np.searchsorted(np.cumsum(taken), REMEMBERED_BYTES - self.bytes, "right"))
             if room > 0:
                 self.words = pa.concat_arrays([self.words, new[:room]])
-                self.at = at[: len(self.words) + 1]
-                self.ids = ids[: self.at[-1]]
+                self.at = at[: len(self.words) + 1].copy()
+                self.ids = ids[: self.at[-1]].copy()
+                self.bytes += int(taken[:room].sum())
         return ids, at[where], at[where + 1]
 
 
@@ -150,23 +195,23 @@ class Pieces:
         return self.ids[np.repeat(lo - ends[:-1], size) + np.arange(int(ends[-1]))], ends[self.docs]
 
 
-def pieces(column: pa.Array, encode: Callable[[list[str]], Iterable[bytes]], memory: Memory, special: bytes = b"") -> Iterator[tuple[int, int, Pieces]]:
+def pieces(column: pa.Array, encode: Callable[[list[str]], Iterable[bytes]], memory: Memory, special: tuple[bytes, ...] = ()) -> Iterator[tuple[int, int, Pieces]]:
     """Block by block: the range of rows and its pieces. `encode` gives uint32 little-endian ids of distinct pieces."""
     data, offsets = utf8(column)
-    parts, ranges = [], []
-    for i, j in blocks(offsets, BLOCK_BYTES):
-        own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        starts, docs = cut(own, at, special) if len(own) else (np.zeros(1, np.int64), np.zeros(j - i + 1, np.int64))
-        texts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(own.tobytes()))
-        parts.append(texts.dictionary_encode())
-        ranges.append((i, j, docs))
-    if not parts:
-        return
-    whole = pa.chunked_array(parts).unify_dictionaries()
-    words = whole.chunk(0).dictionary
-    ids, lo, hi = memory.coded(words, encode)
-    for (i, j, docs), part in zip(ranges, whole.chunks, strict=True):
-        yield i, j, Pieces(words, part.indices.to_numpy(), docs, ids, lo, hi)
+    for first, last in blocks(offsets, GROUP_BYTES):
+        parts, ranges = [], []
+        for i, j in blocks(offsets[first : last + 1], BLOCK_BYTES):
+            i, j = i + first, j + first
+            own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            starts, docs = cut(own, at, special) if len(own) else (np.zeros(1, np.int64), np.zeros(j - i + 1, np.int64))
+            texts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(own.tobytes()))
+            parts.append(texts.dictionary_encode())
+            ranges.append((i, j, docs))
+        whole = pa.chunked_array(parts).unify_dictionaries()
+        words = whole.chunk(0).dictionary
+        ids, lo, hi = memory.coded(words, encode)
+        for (i, j, docs), part in zip(ranges, whole.chunks, strict=True):
+            yield i, j, Pieces(words, part.indices.to_numpy(), docs, ids, lo, hi)
 
 
 @functools.cache
@@ -184,11 +229,10 @@ def tokenizer(path: str):
 
 
 @functools.cache
-def special_text(path: str) -> bytes:
-    """The special token's string; the library gives its id wherever the string stands in a text."""
+def special_texts(path: str) -> tuple[bytes, ...]:
+    """The added tokens' strings; the library gives their ids wherever the strings stand in a text."""
     with open(path, encoding="utf-8") as f:
-        added = json.load(f).get("added_tokens", [])
-    return added[0]["content"].encode() if added else b""
+        return tuple(t["content"].encode() for t in json.load(f).get("added_tokens", []))
 
 
 _memory: dict[str, Memory] = {}
@@ -203,4 +247,4 @@ def library_pieces(column: pa.Array, path: str) -> Iterator[tuple[int, int, Piec
             for e in own.encode_batch_fast(words[k : k + 8192], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
-    return pieces(column, encode, _memory.setdefault(path, Memory()), special_text(path))
+    return pieces(column, encode, _memory.setdefault(path, Memory()), special_texts(path))
