@@ -21,7 +21,7 @@ from gleaner.llm.shared import written
 from gleaner.llm.simhash import SEED, components
 
 #: Bytes of text cut into shingles at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Texts, about, in which common shingles are counted, how often one must be there, and how many at most are put last. They
 #: decide the order of shingles alone: any order finds all pairs.
 SAMPLE, OFTEN, COMMON = 20_000, 3, 200_000
@@ -30,7 +30,7 @@ HUBS, FILES = 3, 6
 #: Pairs returned at a time, and bits (a power of two) of the map of sets that are to be verified.
 PAIRS, MAP_BITS = 1 << 17, 1 << 25
 #: Sets whose repetition a task remembers.
-SEEN = 1 << 20
+SEEN = 1 << 17
 
 
 def sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:

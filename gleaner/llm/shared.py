@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
+_LEFT: dict[str, list[str]] = {}
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -36,15 +39,39 @@ def work_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes what this session has written below `work_path`, and returns how many paths; results must be saved before."""
-    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this session has written below `work_path`, and returns how many paths; results must be saved before."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 
+@contextlib.contextmanager
+def leaving(spark: SparkSession) -> Iterator[None]:
+    """Notes the paths that are made within, for `drop_left`."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    yield
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).extend(made[before:])
+
+
+def drop_left(spark: SparkSession, unless_read: DataFrame) -> None:
+    """Deletes what `leaving` has noted, but not if `unless_read` reads any of it."""
+    paths = _LEFT.get(spark.sparkContext.applicationId, [])
+    ends = tuple({p.rsplit("/", 1)[1] for p in paths})  # a random name each
+    if paths and not any(f"/{end}/" in file for file in unless_read.inputFiles() for end in ends):
+        _delete(spark, paths)
+        made = _MADE.get(spark.sparkContext.applicationId, [])
+        made[:] = [p for p in made if p not in set(paths)]
+        paths.clear()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends there, and a lost executor costs no earlier work."""
     path = work_path(df.sparkSession, label)
