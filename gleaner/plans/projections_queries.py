@@ -75,11 +75,12 @@ def p8_scale_to_square(spark, sf_dir):
     return views.boxes(spark, sf_dir).select(*KEYS, *[F.round(c, 6).alias(n) for c, n in zip(box, box._fields, strict=True)])
 
 
-@query(duck("boxes", "SELECT image_id, box_id, round((x1 + x2) / 2 / img_w, 6) AS cx, round((y1 + y2) / 2 / img_h, 6) AS cy, round((x2 - x1) / img_w, 6) AS w, round((y2 - y1) / img_h, 6) AS h, x1::DOUBLE AS back_x1, y2::DOUBLE AS back_y2 FROM boxes"))
+# not rounded: halves of pixels lie on ties of six places, which engines round differently
+@query(duck("boxes", "SELECT image_id, box_id, (x1 + x2) / 2 / img_w AS cx, (y1 + y2) / 2 / img_h AS cy, (x2 - x1) / img_w AS w, (y2 - y1) / img_h AS h, x1::DOUBLE AS back_x1, y2::DOUBLE AS back_y2 FROM boxes"))
 def p9_centre_form(spark, sf_dir):
     form = B.to_centre(B.Box.of(), *_img())
     back = B.from_centre(form["cx"], form["cy"], form["w"], form["h"], *_img())
-    return views.boxes(spark, sf_dir).select(*KEYS, *[F.round(c, 6).alias(n) for n, c in form.items()], F.round(back.x1, 6).alias("back_x1"), F.round(back.y2, 6).alias("back_y2"))
+    return views.boxes(spark, sf_dir).select(*KEYS, *[c.alias(n) for n, c in form.items()], F.round(back.x1, 6).alias("back_x1"), F.round(back.y2, 6).alias("back_y2"))
 
 
 _CATEGORY = "CASE WHEN greatest(x2 - x1, y2 - y1) < 64 OR (x2 - x1) * (y2 - y1) < 2000 THEN 'tiny' WHEN greatest(x2 - x1, y2 - y1) < 128 OR (x2 - x1) * (y2 - y1) < 8000 THEN 'small' WHEN greatest(x2 - x1, y2 - y1) < 256 OR (x2 - x1) * (y2 - y1) < 32000 THEN 'medium' WHEN greatest(x2 - x1, y2 - y1) < 512 OR (x2 - x1) * (y2 - y1) < 128000 THEN 'large' ELSE 'xlarge' END"
