@@ -32,19 +32,12 @@ def length_reason(a: Column, b: Column, least: int = 4, most: int = 12) -> Colum
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits, within the row: sorted characters, lengths of equal runs. 0 for an empty text."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-
-    def closed(acc: Column) -> Column:
-        return acc["sum"] + F.when(acc["run"] > 0, acc["run"] * F.log2(F.greatest(acc["run"], F.lit(1.0)))).otherwise(F.lit(0.0))
-
-    def step(acc: Column, c: Column) -> Column:
-        same = c == acc["last"]
-        return F.struct(c.alias("last"), F.when(same, acc["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, acc["sum"]).otherwise(closed(acc)).alias("sum"))
-
+    """Shannon entropy of a text's characters in bits, within the row; 0 for an empty text. Each distinct character is counted once."""
     total = F.length(text).cast("double")
-    return F.when(total > 0, F.log2(total) - F.aggregate(chars, start, step, closed) / total).otherwise(F.lit(0.0))
+    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    counts = F.transform(kinds, lambda c: total - F.length(F.replace(text, c, F.lit(""))))
+    sums = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * F.log2(n))
+    return F.when(total > 0, F.log2(total) - sums / total).otherwise(F.lit(0.0))
 
 
 def refine_action(answer: Column, width: Column, height: Column) -> tuple[Column, Column]:
@@ -143,12 +136,18 @@ def split_description(text: Column, mode: str = "balanced") -> tuple[Column, Col
     sure, usual, *others = SEPARATORS
     parts = F.split(text, usual, -1)
 
-    def cut(i: Column) -> Column:
-        left, right = F.array_join(F.slice(parts, F.lit(1), i), usual), F.array_join(F.slice(parts, i + 1, F.size(parts)), usual)
-        return F.struct(F.abs(F.size(words(left)) - F.size(words(right))).alias("d"), i.alias("i"), F.trim(left).alias("a"), F.trim(right).alias("b"))
+    # words left of the i-th separator are those of the first i parts and the separators between them
+    sizes = F.transform(parts, lambda p: F.size(words(p)))
+    total = F.aggregate(sizes, F.size(parts) - 1, lambda n, x: n + x)  # with all separators as words
+    nothing = F.struct(F.lit(0).alias("left"), F.lit(0).alias("i"), F.lit(2**31 - 1).alias("d"), F.lit(0).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left, i = acc["left"] + x + F.when(acc["i"] > 0, 1).otherwise(0), acc["i"] + 1
+        d = F.when(i < F.size(parts), F.abs(total - 1 - 2 * left)).otherwise(2**31 - 1)  # what is right: total - 1 - left
+        return F.struct(left.alias("left"), i.alias("i"), F.least(acc["d"], d).alias("d"), F.when(d < acc["d"], i).otherwise(acc["at"]).alias("at"))
 
-    best = F.array_min(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), cut))
-    balanced = F.array(best["a"], best["b"])
+    at = F.aggregate(sizes, nothing, step)["at"]
+    balanced = F.array(F.trim(F.array_join(F.slice(parts, F.lit(1), at), usual)), F.trim(F.array_join(F.slice(parts, at + 1, F.size(parts)), usual)))
     whole = words(text)
     half = F.floor(F.size(whole) / 2).cast("int")
     halves = F.array(F.array_join(F.slice(whole, F.lit(1), half), " "), F.array_join(F.slice(whole, half + 1, F.size(whole)), " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators import grids
+from gleaner.operators import grids, ordering
 
 
 def quality_band(iou: Column, good: float = 0.7, bad: float = 0.4) -> Column:
@@ -94,23 +94,19 @@ def detection_metrics(images: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("images"), *[F.avg(c).alias(c) for c in per.columns])
 
 
-def ranked_counts(df: DataFrame, score: str, matched: str, key: str, buckets: int = 65_536) -> DataFrame:
+def ranked_counts(df: DataFrame, score: str, matched: str, key: str) -> DataFrame:
     """Adds rank, tp and fp, counted down the ranking by score (ties by key).
 
-    Rows are dealt by ranges of the score, which a bucket number of equal width names: totals of the buckets before are
-    joined to running counts within, so that no task holds the whole ranking. Scores outside [0, 1] count as its ends.
+    Rows are dealt by sampled ranges of the ranking: totals of the ranges before are joined to running counts within, so
+    that no task holds the whole ranking.
     """
-    bucket = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * buckets)
+    rows = ordering.in_ranges(df, [-F.col(score), F.col(key)])
     hit = F.col(matched).cast("long")
-    filed = df.withColumn("_b", bucket)
-    sums = filed.groupBy("_b").agg(F.count("*").alias("n"), F.sum(hit).alias("h"))
-    before = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    sums = sums.select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("_h"))
-    own = Window.partitionBy("_b").orderBy(F.col(score).desc(), key)
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    out = filed.join(F.broadcast(sums), "_b")  # `buckets` rows at most
-    out = out.withColumn("rank", F.col("_n") + F.row_number().over(own)).withColumn("tp", F.col("_h") + F.sum(hit).over(upto))
-    return out.withColumn("fp", F.col("rank") - F.col("tp")).drop("_b", "_n", "_h")
+    sums = ordering.before(rows.groupBy("_range").agg(F.count("*").alias("n"), F.sum(hit).alias("h")), ["n", "h"])
+    upto = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(sums, F.col("_range") == F.col("_of_range"))
+    out = out.withColumn("rank", F.col("_n") + F.col("_place") + 1).withColumn("tp", F.col("_h") + F.sum(hit).over(upto))
+    return out.withColumn("fp", F.col("rank") - F.col("tp")).drop("_range", "_place", "_of_range", "_n", "_h")
 
 
 def average_precision(ranked: DataFrame, n_truth: int, points: int = 101) -> DataFrame:
@@ -127,15 +123,29 @@ def average_precision(ranked: DataFrame, n_truth: int, points: int = 101) -> Dat
 
 
 def pr_sweep(scores: DataFrame, truth: DataFrame, thresholds: list[float], distance: float) -> DataFrame:
-    """Per grid and threshold (index t): tp, fp, fn, precision, recall, f of cells with score >= threshold, matched within the distance."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(float(x)).alias("cut")) for i, x in enumerate(thresholds)]))
-    pred = scores.withColumn("_s", steps).where(F.col("score") >= F.col("_s.cut")).select("grid_id", F.col("_s.t").alias("t"), "y", "x")
-    every = truth.withColumn("_s", steps).select("grid_id", F.col("_s.t").alias("t"), "y", "x")
-    counts = grids.match_counts(pred, every, distance, ["grid_id", "t"])
+    """Per grid and threshold (index t): tp, fp, fn, precision, recall, f of cells with score >= threshold, matched within the distance.
+
+    `thresholds` ascend. Cells are matched once: whether one has a true cell near does not depend on the threshold, and a
+    true cell is hit up to the highest score near it. Cells are then counted by the number of thresholds that they reach.
+    """
+    cuts = F.array(*[F.lit(float(x)) for x in thresholds])
+    reached = scores.withColumn("k", F.size(F.filter(cuts, lambda c: c <= F.col("score")))).where("k > 0").select("grid_id", "y", "x", "k")
+    zero = F.lit(0)
+    sides = [
+        reached.select("grid_id", "k", F.lit(1).alias("pred"), zero.alias("near"), zero.alias("hit")),
+        grids.within(reached, truth, distance).select("grid_id", "k", zero, F.lit(1), zero),
+        grids.best_within(truth, reached, distance, "k").select("grid_id", "k", zero, zero, F.lit(1)),
+    ]
+    every = sides[0].union(sides[1]).union(sides[2])
+    sums = every.groupBy("grid_id", "k").agg(*[F.sum(c).alias(c) for c in ("pred", "near", "hit")])
     # a grid without a true cell, or without a prediction at some threshold, still has counts of zero there
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(float(x)).alias("cut")) for i, x in enumerate(thresholds)]))
     ids = scores.select("grid_id").distinct().withColumn("_s", steps).select("grid_id", F.col("_s.t").alias("t"), F.col("_s.cut").alias("threshold"))
-    full = ids.join(counts, ["grid_id", "t"], "left").fillna(0, ["tp", "fp", "fn"])
-    return with_prf(full)
+    full = ids.join(sums.withColumn("t", F.col("k") - 1), ["grid_id", "t"], "left").join(truth.groupBy("grid_id").agg(F.count("*").alias("true")), "grid_id", "left")
+    above = Window.partitionBy("grid_id").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row per threshold
+    at = {c: F.coalesce(F.sum(c).over(above), zero) for c in ("pred", "near", "hit")}
+    tp = at["near"].alias("tp")
+    return with_prf(full.select("grid_id", "t", "threshold", tp, (at["pred"] - at["near"]).alias("fp"), (F.coalesce("true", zero) - at["hit"]).alias("fn")))
 
 
 def with_prf(df: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import boxes as B
+from gleaner.sources.tables import staged
 
 CELL = ["grid_id", "y", "x"]
 
@@ -96,21 +100,33 @@ def band(cells: DataFrame, mask: str, radius: int = 1) -> DataFrame:
     return neighbourhood(edge, F.col("_e"), radius, "max").withColumn("in_band", F.col("near") == 1).drop("_m", "_e", "near")
 
 
-def within(points: DataFrame, others: DataFrame, distance: float) -> DataFrame:
-    """Rows of `points` that have one of `others` of their grid within a Euclidean distance.
+def _near(points: DataFrame, others: DataFrame, distance: float, value: str | None = None) -> tuple[DataFrame, DataFrame, Column]:
+    """Both tables filed for a join, and its condition: points of a grid within a Euclidean distance.
 
     Points are filed in squares as wide as the distance; each looks into its own and the eight around, by an equi-join.
     """
     side = max(1.0, float(distance))
     own = points.withColumn("_by", F.floor(F.col("y") / side)).withColumn("_bx", F.floor(F.col("x") / side))
     around = F.explode(F.array(*[F.struct((F.col("_y0") + i).alias("_by"), (F.col("_x0") + j).alias("_bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    base = others.select(F.col("grid_id").alias("_g"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.floor(F.col("y") / side).alias("_y0"), F.floor(F.col("x") / side).alias("_x0"))
-    spread = base.withColumn("_s", around).select("_g", "_y", "_x", F.col("_s._by").alias("_oy"), F.col("_s._bx").alias("_ox"))
+    kept = [F.col(value).alias("_v")] if value else []
+    base = others.select(F.col("grid_id").alias("_g"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.floor(F.col("y") / side).alias("_y0"), F.floor(F.col("x") / side).alias("_x0"), *kept)
+    spread = base.withColumn("_s", around).select("_g", "_y", "_x", F.col("_s._by").alias("_oy"), F.col("_s._bx").alias("_ox"), *(["_v"] if value else []))
     near = (F.col("y") - F.col("_y")) ** 2 + (F.col("x") - F.col("_x")) ** 2 <= float(distance) ** 2
-    on = (F.col("grid_id") == F.col("_g")) & (F.col("_by") == F.col("_oy")) & (F.col("_bx") == F.col("_ox")) & near
+    return own, spread, (F.col("grid_id") == F.col("_g")) & (F.col("_by") == F.col("_oy")) & (F.col("_bx") == F.col("_ox")) & near
+
+
+def within(points: DataFrame, others: DataFrame, distance: float) -> DataFrame:
+    """Rows of `points` that have one of `others` of their grid within a Euclidean distance."""
+    own, spread, on = _near(points, others, distance)
     return own.join(spread, on, "left_semi").select(points.columns)
 
 
+def best_within(points: DataFrame, others: DataFrame, distance: float, value: str) -> DataFrame:
+    """Cells of `points` that `within` would keep, each with the greatest value of `others` near it."""
+    own, spread, on = _near(points.select(CELL), others, distance, value)
+    return own.join(spread, on).groupBy(*CELL).agg(F.max("_v").alias(value))
+
+
 def match_counts(pred: DataFrame, truth: DataFrame, distance: float, keys: list[str] | None = None) -> DataFrame:
     """tp, fp and fn of each grid: predicted cells near a true one, others, and true cells with no prediction near.
 
@@ -147,11 +163,16 @@ def assign_unlabelled(cells: DataFrame, value: str = "gray", cutoff: float = 40.
     return cells.join(means, "grid_id").withColumn("side", side).drop("_ma", "_mb")
 
 
-def cells_in_boxes(cells: DataFrame, boxes: DataFrame, edge: str, least_balance: float = 0.20) -> DataFrame:
-    """Per box (grid_id, box_id): shares of both masks by its area, and the density of edge cells, or -1 where the smaller share is below the least."""
+def cells_in_boxes(cells: DataFrame, boxes: DataFrame, edge: str, least_balance: float = 0.20, side: int = 64) -> DataFrame:
+    """Per box (grid_id, box_id): shares of both masks by its area, and the density of edge cells, or -1 where the smaller share is below the least.
+
+    Boxes are filed under the squares of `side` cells that they reach, so a box meets cells of those squares alone.
+    """
     inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    own = cells.withColumnRenamed("grid_id", "_g")
-    joined = boxes.join(own, (F.col("grid_id") == F.col("_g")) & inside, "left")
+    own = cells.withColumnRenamed("grid_id", "_g").withColumn("_cy", F.floor(F.col("y") / side)).withColumn("_cx", F.floor(F.col("x") / side))
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / side), F.greatest(F.floor((F.col(high) - 1) / side), F.floor(F.col(low) / side))))
+    filed = boxes.withColumn("_by", reach("y1", "y2")).withColumn("_bx", reach("x1", "x2"))
+    joined = filed.join(own, (F.col("grid_id") == F.col("_g")) & (F.col("_by") == F.col("_cy")) & (F.col("_bx") == F.col("_cx")) & inside, "left")
     sums = joined.groupBy("grid_id", "box_id", *B.Box._fields).agg(*[F.sum(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"_{c}") for c in ("in_a", "in_b", edge)])
     area = B.Box.of().area.cast("double")
     shares = sums.select("grid_id", "box_id", F.when(area > 0, F.col("_in_a") / area).otherwise(F.lit(0.0)).alias("frac_a"), F.when(area > 0, F.col("_in_b") / area).otherwise(F.lit(0.0)).alias("frac_b"), F.when(area > 0, F.col(f"_{edge}") / area).otherwise(F.lit(0.0)).alias("_d"))
@@ -181,7 +202,7 @@ def band_statistics(cells: DataFrame, ids: DataFrame, band_flag: str, signal: st
     return ids.join(stats, "grid_id", "left").withColumn("empty", F.col("mean").isNull())
 
 
-def dominant_values(cells: DataFrame, value: str = "gray", step: int = 8, tolerance: float = 20.0, least: float = 0.05, rounds: int = 50) -> DataFrame:
+def dominant_values(cells: DataFrame, value: str = "gray", step: int = 8, tolerance: float = 20.0, least: float = 0.05) -> DataFrame:
     """Per grid: centres of its most common values with their share of all cells.
 
     Values become a small histogram; in each group the most common one left takes in those within the tolerance, centres
@@ -197,9 +218,7 @@ def dominant_values(cells: DataFrame, value: str = "gray", step: int = 8, tolera
         coarse = (v // step) * step + step / 2
         free = n > 0
         centres: list[float] = []
-        for _ in range(rounds):
-            if not free.any():
-                break
+        while free.any():  # each round takes one value at least
             sums = pd.Series(n[free]).groupby(coarse[free]).sum()
             seed = float(sums.index[sums.to_numpy() == sums.max()].min())
             near = free & (abs(v - seed) <= tolerance)
@@ -217,28 +236,43 @@ def dominant_values(cells: DataFrame, value: str = "gray", step: int = 8, tolera
     return histogram.groupBy("grid_id").applyInPandas(found, "grid_id long, rank int, centre double, share double")
 
 
-def spaced_peaks(cells: DataFrame, value: str, n: int, separation: float, pool: int = 64, metric: str = "euclidean") -> DataFrame:
-    """Per grid: up to n highest cells, none within the separation of a higher one taken; only the `pool` highest cells can be taken.
+def spaced_peaks(cells: DataFrame, value: str, n: int, separation: float, metric: str = "euclidean", fill: bool = False, seed: int = 0) -> DataFrame:
+    """Per grid: up to n highest cells (rank, value), none within the separation of a higher one taken, of all its cells.
 
-    Equal values go by y, then x. Grids in which fewer than n are found give none.
+    Equal values go by y, then x. Grids in which fewer than n are found give none or, with `fill`, all found and others at
+    random (by a seeded hash of their place) for the rest. Cells stream by in order; only those taken are held.
     """
-    import pandas as pd
-
-    order = Window.partitionBy("grid_id").orderBy(F.col(value).desc(), "y", "x")
-    top = cells.select(*CELL, F.col(value).alias("v")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pool)
-
-    def taken(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for r in rows.sort_values("r").itertuples():
-            apart = (lambda a: abs(a[1] - r.y) + abs(a[2] - r.x)) if metric == "manhattan" else (lambda a: ((a[1] - r.y) ** 2 + (a[2] - r.x) ** 2) ** 0.5)  # noqa: B023
-            if all(apart(a) > separation for a in out):
-                out.append((r.grid_id, r.y, r.x, r.v))
-            if len(out) == n:
-                break
-        out = out if len(out) == n else []
-        return pd.DataFrame([(*a[:3], i + 1, a[3]) for i, a in enumerate(out)], columns=["grid_id", "y", "x", "rank", "value"])
-
-    return top.groupBy("grid_id").applyInPandas(taken, "grid_id long, y long, x long, rank int, value double")
+    rows = cells.select(F.col("grid_id").cast("long"), F.col("y").cast("long"), F.col("x").cast("long"), F.col(value).cast("double").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, taken, done = None, [], []
+        for batch in batches:
+            for g, y, x, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != grid:
+                    done += taken if fill or len(taken) == n else []
+                    grid, taken = g, []
+                if len(taken) < n and all((abs(a[1] - y) + abs(a[2] - x) if metric == "manhattan" else ((a[1] - y) ** 2 + (a[2] - x) ** 2) ** 0.5) > separation for a in taken):
+                    taken.append((g, y, x, len(taken) + 1, v))
+            if len(done) > 10_000:
+                yield _peaks(done)
+                done = []
+        yield _peaks(done + (taken if fill or len(taken) == n else []))
+
+    schema = "grid_id long, y long, x long, rank int, value double"
+    found = rows.repartition("grid_id").sortWithinPartitions("grid_id", F.col("v").desc(), "y", "x").mapInArrow(run, schema)
+    if not fill:
+        return found
+    found = staged(found, "peaks")
+    have = found.groupBy("grid_id").agg(F.count("*").alias("_have")).where(F.col("_have") < n)
+    spare = rows.join(have, "grid_id").join(found.select(CELL), CELL, "left_anti")
+    order = Window.partitionBy("grid_id").orderBy(F.xxhash64(F.lit(seed), "y", "x"), "y", "x")
+    drawn = spare.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n - F.col("_have"))
+    return found.unionByName(drawn.select(*CELL, (F.col("_have") + F.col("_r")).cast("int").alias("rank"), F.col("v").alias("value")))
+
+
+def _peaks(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["grid_id", "y", "x", "rank", "value"])
 
 
 def shared_boundary(cells: DataFrame, a: str, b: str, distance: float) -> DataFrame:

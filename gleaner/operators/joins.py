@@ -52,16 +52,26 @@ def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float) ->
     Boxes are also filed in squares of a grid, so that a group of many boxes is not paired whole: a pair meets in the
     square that holds the upper left corner of its intersection.
     """
-    side = 256
-    box = B.Box.of()
-    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), *box)
-    spread = rows.withColumn("gy", F.explode(F.sequence(F.floor(F.col("y1") / side), F.floor((F.col("y2") - 1) / side)))).withColumn("gx", F.explode(F.sequence(F.floor(F.col("x1") / side), F.floor((F.col("x2") - 1) / side))))
-    a = spread.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")))
+    a = _in_squares(df.select(F.col(group).alias("g"), F.col(key).alias("k"), *B.Box.of()))
     b = a.select("g", "gy", "gx", F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
-    corner = (F.floor(F.greatest("y1", "y1_b") / side) == F.col("gy")) & (F.floor(F.greatest("x1", "x1_b") / side) == F.col("gx"))
-    iou = B.iou(box, B.Box.of(suffix="_b"))
-    met = a.join(b, ["g", "gy", "gx"]).where((F.col("k") < F.col("j")) & corner).select(F.col("g").alias(group), F.col("k").alias("i"), "j", iou.alias("iou"))
-    return met.where(F.col("iou") >= threshold)
+    met = a.join(b, ["g", "gy", "gx"]).where((F.col("k") < F.col("j")) & _meeting_square())
+    return met.select(F.col("g").alias(group), F.col("k").alias("i"), "j", B.iou(B.Box.of(), B.Box.of(suffix="_b")).alias("iou")).where(F.col("iou") >= threshold)
+
+
+#: Side of the squares that boxes are filed in.
+SQUARE = 256
+
+
+def _in_squares(rows: DataFrame) -> DataFrame:
+    """Boxes with an area, a row for each square (gy, gx) that they reach into."""
+    solid = rows.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")))
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / SQUARE), F.floor((F.col(high) - 1) / SQUARE)))
+    return solid.withColumn("gy", reach("y1", "y2")).withColumn("gx", reach("x1", "x2"))
+
+
+def _meeting_square() -> Column:
+    """Whether a square holds the upper left corner of the intersection of a box and one with the suffix `_b`."""
+    return (F.floor(F.greatest("y1", "y1_b") / SQUARE) == F.col("gy")) & (F.floor(F.greatest("x1", "x1_b") / SQUARE) == F.col("gx"))
 
 
 def skip_processed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -86,13 +96,16 @@ def collect_by_parent(children: DataFrame, parents: DataFrame | None, key: str,
 def match_greedy(pred: DataFrame, truth: DataFrame, group: str, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches (i predicted, j true, iou) per group: the best IoU first (ties: lower i, then j), none below the threshold.
 
-    Pairs of a group that overlap enough stand together in a partition, best first, and one pass over them keeps those
-    whose boxes are both free; it holds the boxes used in the group at hand, not its pairs.
+    Boxes meet in squares, as in `overlapping_pairs`. Pairs of a group that overlap enough stand together in a partition,
+    best first, and one pass over them keeps those whose boxes are both free; it holds the boxes used in the group at hand,
+    not its pairs.
     """
-    box, other = B.Box.of(), B.Box.of(suffix="_b")
-    t = truth.select(group, F.col("box_id").alias("j"), *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
+    p = _in_squares(pred.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("i"), *B.Box.of()))
+    t = _in_squares(truth.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("j"), *B.Box.of()))
+    t = t.select("g", "gy", "gx", "j", *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
     touch = (F.col("x1") < F.col("x2_b")) & (F.col("x1_b") < F.col("x2")) & (F.col("y1") < F.col("y2_b")) & (F.col("y1_b") < F.col("y2"))
-    pairs = pred.select(group, F.col("box_id").alias("i"), *box).join(t, group).where(touch).select(F.col(group).cast("long").alias("g"), F.col("i").cast("long"), F.col("j").cast("long"), B.iou(box, other).alias("iou")).where(F.col("iou") >= threshold)
+    met = p.join(t, ["g", "gy", "gx"]).where(touch & _meeting_square())
+    pairs = met.select("g", "i", "j", B.iou(B.Box.of(), B.Box.of(suffix="_b")).alias("iou")).where(F.col("iou") >= threshold)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used_i, used_j = None, set(), set()

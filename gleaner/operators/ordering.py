@@ -1,7 +1,7 @@
 """Ordered operators: windows, ranks, splits and samples.
 
-A window without a partition would put all rows into one task. Where a global order is meant, rows are numbered in two
-steps instead: counted by range of the order, then numbered within each range.
+A window without a partition would put all rows into one task. Where a global order is meant, rows are dealt by sampled
+ranges of the order instead, numbered within each range, and moved up by the counts of the ranges before.
 """
 
 from __future__ import annotations
@@ -9,27 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.tables import staged
 
-def numbered(df: DataFrame, order: Column, ties: list[str], name: str = "n", parts: int = 65_536) -> DataFrame:
-    """`df` with a row number from 1 in the order of an integer or hex-string column's value, ties by the columns named.
 
-    `order` must be a long or a hash string; its first 16 bits (or its span divided by `parts`) name the range of a row, and
-    only the table of ranges, of 65,536 rows at most, is numbered in one task and sent to all.
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """`df`, written in an order, with the number of a row's range (`_range`) and its place there from 0 (`_place`).
+
+    Ranges are of about equal size whatever the values are: their edges come from a sample. Give columns that tell rows apart, so that
+    rows of one value need not share a range. The table is written, as ranges must not be drawn anew.
     """
-    kind = df.select(order.alias("_o")).dtypes[0][1]
-    rows = df.withColumn("_o", order)
-    if kind == "string":
-        filed = rows.withColumn("_f", F.conv(F.substring("_o", 1, 4), 16, 10).cast("int"))
-    else:
-        ends = rows.agg(F.min("_o").alias("lo"), F.max("_o").alias("hi")).first()
-        lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
-        filed = rows.withColumn("_f", F.floor((F.col("_o") - F.lit(lo)) / F.lit((hi - lo) / parts + 1)).cast("int"))
-    sizes = filed.groupBy("_f").agg(F.count("*").alias("_c"))
-    before = Window.orderBy(F.col("_f").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sizes = sizes.select(F.col("_f").alias("_g"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    own = Window.partitionBy("_f").orderBy("_o", *ties)
-    out = filed.withColumn("_r", F.row_number().over(own)).join(F.broadcast(sizes), F.col("_f").eqNullSafe(F.col("_g")))
-    return out.withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_o", "_f", "_g", "_b", "_r")
+    columns = {f"_o{k}": c for k, c in enumerate(order)}
+    dealt = df.withColumns(columns).repartitionByRange(*[F.col(c).asc_nulls_first() for c in columns])
+    place = F.monotonically_increasing_id()  # the range's number in the upper bits, the place in the lower 33
+    rows = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in columns]).withColumn("_m", place)
+    rows = rows.select(*df.columns, F.shiftright("_m", 33).alias("_range"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_place"))
+    return staged(rows, "ranges")
+
+
+def before(sizes: DataFrame, totals: list[str]) -> DataFrame:
+    """Sums of each total over the ranges before, as `_<name>`; a row per range."""
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(F.col("_range").alias("_of_range"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in totals])
+
+
+def numbered(df: DataFrame, order: Column | list[Column], ties: list[str], name: str = "n") -> DataFrame:
+    """`df` with a row number from 1 in the order of one or more columns (nulls first), ties by the columns named."""
+    rows = in_ranges(df, [*(order if isinstance(order, list) else [order]), *[F.col(t) for t in ties]])
+    sizes = before(rows.groupBy("_range").agg(F.count("*").alias("c")), ["c"])
+    return rows.join(sizes, F.col("_range") == F.col("_of_range")).withColumn(name, F.col("_c") + F.col("_place") + 1).drop("_range", "_place", "_of_range", "_c")
 
 
 def seeded(key: str, seed: int) -> Column:
@@ -37,33 +44,65 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def rolling_mean(df: DataFrame, value: str, keys: list[str], order: list[str], n: int = 100) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumn("rolling", F.avg(value).over(w))
+#: Rows of a group that a window task takes.
+CHUNK = 1_000_000
+
+
+def chunked(df: DataFrame, keys: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """`df` with each row's place in its group (`_at`, from 0, in the order) and the chunk of the group that it is in (`_c`)."""
+    rows = numbered(df, [F.col(c) for c in (*keys, *order)], [], "_at")
+    first = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_at").alias("_first"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = rows.join(first, on).withColumn("_at", F.col("_at") - F.col("_first"))
+    return rows.withColumn("_c", F.floor(F.col("_at") / chunk)).drop("_first", *[f"_k{i}" for i in range(len(keys))])
+
+
+def rolling_mean(df: DataFrame, value: str, keys: list[str], order: list[str], n: int = 100, chunk: int = CHUNK) -> DataFrame:
+    """Adds `rolling`: the mean of a row and the n - 1 before it. Chunks of a group take the last n - 1 rows of the one before with them."""
+    rows = chunked(df, keys, order, max(chunk, n))
+    ahead = rows.where(F.col("_at") % max(chunk, n) > max(chunk, n) - n).withColumn("_c", F.col("_c") + 1)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(ahead.withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(*keys, "_c").orderBy("_at").rowsBetween(-(n - 1), 0)
+    return both.withColumn("rolling", F.avg(value).over(w)).where("_own").drop("_at", "_c", "_own")
+
+
+def _carried(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], chunk: int) -> tuple[DataFrame, Window]:
+    """Rows of `chunked` with each total over the chunks of their group before, as `_<name>`; and the window within a chunk."""
+    rows = chunked(df, keys, order, chunk)
+    sums = rows.groupBy(*keys, "_c").agg(*[f.alias(n) for n, f in totals.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    carried = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_c").alias("_d"), *[(F.max(n) if n == "top" else F.sum(n)).over(earlier).alias(f"_{n}") for n in totals])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = rows.join(carried, [*on, F.col("_c") == F.col("_d")]).drop("_d", *[f"_k{i}" for i in range(len(keys))])
+    return joined, Window.partitionBy(*keys, "_c").orderBy("_at")
 
 
-def running_mean(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.avg(value).over(w))
+def running_mean(df: DataFrame, value: str, keys: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Adds `running`: the mean of a row and all before it in its group; chunks of a group carry sums and counts on."""
+    rows, own = _carried(df, keys, order, {"total": F.sum(value), "many": F.count(value)}, chunk)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.coalesce("_total", F.lit(0.0)) + F.sum(value).over(upto)
+    return rows.withColumn("running", total / (F.coalesce("_many", F.lit(0)) + F.count(value).over(upto))).drop("_at", "_c", "_total", "_many")
 
 
-def running_best(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds `is_best`: strictly better than all before, and than 0."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("is_best", F.col(value) > F.greatest(F.coalesce(F.max(value).over(w), F.lit(0.0)), F.lit(0.0)))
+def running_best(df: DataFrame, value: str, keys: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Adds `is_best`: strictly better than all before, and than 0; chunks of a group carry the best on."""
+    rows, own = _carried(df, keys, order, {"top": F.max(value)}, chunk)
+    earlier = F.max(value).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("is_best", F.col(value) > F.greatest(F.coalesce(earlier, F.lit(0.0)), F.coalesce("_top", F.lit(0.0)), F.lit(0.0))).drop("_at", "_c", "_top")
 
 
 def every_nth(df: DataFrame, keys: list[str], order: list[str], spacing: int, most: int) -> DataFrame:
     """Every `spacing`-th row of each group, at most `most` of them (then at even steps); groups shorter than the spacing give none."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    rows = df.withColumn("_place", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     taken = F.ceil(F.col("_n") / spacing)
-    at = F.col("_i") / spacing
-    rows = rows.where((F.col("_n") >= spacing) & (F.col("_i") % spacing == 0)).withColumn("_j", at.cast("long")).withColumn("_t", taken)
+    at = F.col("_place") / spacing
+    rows = rows.where((F.col("_n") >= spacing) & (F.col("_place") % spacing == 0)).withColumn("_j", at.cast("long")).withColumn("_t", taken)
     # position p of `most` even ones is the entry floor(p * taken / most)
     p = F.ceil(F.col("_j") * most / F.col("_t"))
     even = (p < most) & (F.floor(p * F.col("_t") / most) == F.col("_j"))
-    return rows.where((F.col("_t") <= most) | even).drop("_i", "_n", "_j", "_t")
+    return rows.where((F.col("_t") <= most) | even).drop("_place", "_n", "_j", "_t")
 
 
 def minmax(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -124,8 +163,8 @@ def matched_and_shuffled(df: DataFrame, key: str, prompt: str, n: int, seed: int
     for r in range(-(-n // total)):
         base = numbered(df.select(key, prompt), seeded(key, seed + 2 * r), [key], "position")
         if r % 2:
-            other = numbered(df.select(F.col(key).alias("_k"), F.col(prompt).alias("_p")), seeded("_k", seed + 2 * r + 1), ["_k"], "position")
-            rows = base.join(other, "position").select("position", key, F.col("_p").alias(prompt), F.lit("shuffled").alias("pair_type"))
+            other = numbered(df.select(F.col(key).alias("_k"), F.col(prompt).alias("_prompt")), seeded("_k", seed + 2 * r + 1), ["_k"], "position")
+            rows = base.join(other, "position").select("position", key, F.col("_prompt").alias(prompt), F.lit("shuffled").alias("pair_type"))
         else:
             rows = base.select("position", key, prompt, F.lit("matched").alias("pair_type"))
         rows = rows.withColumn("position", F.col("position") + r * total)

@@ -107,7 +107,8 @@ def k_medoids(df: DataFrame, key: str, vector: str, k: int, rounds: int = 100) -
 def facility_location(df: DataFrame, key: str, vector: str, score: str, k: int, threshold: float = -1.0) -> list[int]:
     """Always the row that raises the coverage of all rows most, with a hundredth of its relative score; coverage starts at 0.
 
-    Pairs below `threshold` (or 0, as coverage is never below) are not formed.
+    Pairs below `threshold` (or 0, as coverage is never below) are not stored, so with vectors of little likeness give a
+    threshold: gains are then those of closer pairs alone. Without one the stored pairs grow with the square of the rows.
     """
     rows = _units(df, key, vector, [score])
     pairs = VO.similar_pairs(rows, key, "u", max(threshold, 1e-12))
@@ -140,15 +141,19 @@ def constrained(df: DataFrame, key: str, include: DataFrame | None = None, exclu
     return out.withColumn("required", F.lit(False)) if marks is None else out.join(marks, F.col(key) == F.col("_k"), "left").withColumn("required", F.col("_k").isNotNull()).drop("_k")
 
 
+#: Vectors that a task of the first round holds, about.
+PART_ROWS = 50_000
+
+
 def partitioned(df: DataFrame, key: str, vector: str, k: int, method, parts: int) -> list[int]:
-    """Two rounds: the k_center rows of each of `parts` hash groups, in parallel, then `method` among their union."""
+    """Two rounds: the k_center rows of each hash group, in parallel, then `method` among their union. Groups are `parts` or more, as rows ask for."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         table = pa.Table.from_batches(tables)
-        ids, u = table.column(0).to_numpy(), np.array(table.column(1).to_pylist())
+        ids, u = table.column(0).to_numpy(), VO._matrix(table.column(1).combine_chunks())
         far = u @ u.mean(axis=0)
         chosen = [int(np.argmin(far))]
         near = u @ u[chosen[0]]
@@ -159,6 +164,7 @@ def partitioned(df: DataFrame, key: str, vector: str, k: int, method, parts: int
         yield pa.record_batch([pa.array(ids[chosen])], ["id"])
 
     rows = _units(df, key, vector, [])
+    parts = max(parts, -(-rows.count() // PART_ROWS))
     kept = rows.repartition(parts, key).mapInArrow(local, "id long").withColumnRenamed("id", key)
     return method(df.join(staged(kept, "kept"), key, "left_semi"))
 
@@ -235,8 +241,16 @@ def suppress_overlaps(df: DataFrame, group: str = "image_id", key: str = "box_id
     return rows.join(gone, ["g", "k"], "left_anti").select(F.col("g").alias(group), F.col("k").alias(key))
 
 
-def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str = "score", threshold: float = 0.3, top: int | None = None) -> DataFrame:
-    """(group, key, score) of boxes by score (ties by key): one stays if no better one that stays overlaps it by more than the threshold."""
+#: Boxes of a group up to which one pass of a task decides it.
+PASS_ROWS = 2_000
+
+
+def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str = "score", threshold: float = 0.3, top: int | None = None, pass_rows: int = PASS_ROWS) -> DataFrame:
+    """(group, key, score) of boxes by score (ties by key): one stays if no better one that stays overlaps it by more than the threshold.
+
+    Groups of up to `pass_rows` boxes are decided in one pass each; larger ones by their overlapping pairs, in rounds. Both
+    give the same.
+    """
 
     def decide(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
@@ -248,7 +262,37 @@ def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str
         return [(r[0], r[1], r[6]) for r in kept]
 
     rows = df.select(F.col(group).cast("long"), F.col(key).cast("long"), *[F.col(c).cast("long") for c in B.Box._fields], F.col(score).cast("double"))
-    return _by_group(rows, group, [F.col(score).desc(), F.col(key)], decide, f"{group} long, {key} long, {score} double")
+    schema = f"{group} long, {key} long, {score} double"
+    large = staged(rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > pass_rows).select(group), "large")
+    if not large.limit(1).count():
+        return _by_group(rows, group, [F.col(score).desc(), F.col(key)], decide, schema)
+    small = _by_group(rows.join(large, group, "left_anti"), group, [F.col(score).desc(), F.col(key)], decide, schema)
+    return small.unionByName(_eliminated(rows.join(large, group, "left_semi"), group, key, score, threshold, top))
+
+
+def _eliminated(df: DataFrame, group: str, key: str, score: str, threshold: float, top: int | None) -> DataFrame:
+    """`nms` in rounds: boxes whose better neighbours are all gone stay, and their worse neighbours go, until none is left."""
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), *B.Box._fields, F.col(score).alias("s"))
+    scores = staged(rows.select("g", "k", "s"), "boxes")
+    pairs = overlapping_pairs(rows, "g", "k", threshold).where(F.col("iou") > threshold).select("g", "i", "j")
+    ends = [scores.select("g", F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ij"]
+    pairs = pairs.join(ends[0], ["g", "i"]).join(ends[1], ["g", "j"])
+    first = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
+    pairs = staged(pairs.select("g", F.when(first, F.col("i")).otherwise(F.col("j")).alias("better"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("worse")), "pairs")
+    left, stays = scores.select("g", "k"), None
+    while left.limit(1).count():
+        held = pairs.select("g", F.col("worse").alias("k")).distinct()
+        now = staged(left.join(held, ["g", "k"], "left_anti"), "stays")
+        stays = now if stays is None else stays.unionByName(now)
+        gone = pairs.join(now.select("g", F.col("k").alias("better")), ["g", "better"], "left_semi").select("g", F.col("worse").alias("k")).distinct()
+        left = staged(left.join(now, ["g", "k"], "left_anti").join(gone, ["g", "k"], "left_anti"), "left")
+        both = left.select("g", F.col("k").alias("better")), left.select("g", F.col("k").alias("worse"))
+        pairs = staged(pairs.join(both[0], ["g", "better"], "left_semi").join(both[1], ["g", "worse"], "left_semi"), "pairs")
+    kept = scores.join(stays, ["g", "k"], "left_semi") if stays is not None else scores
+    if top is not None:
+        w = Window.partitionBy("g").orderBy(F.col("s").desc(), "k")
+        kept = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    return kept.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(score))
 
 
 def process_bboxes(df: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import vectors as V
 
-#: Reference sides and query blocks of at most this many vectors are sent to all tasks.
-BLOCK = 4096
+#: Vectors of a block, about: what one task holds of either side.
+QUERIES, ROWS = 8192, 32_768
 
 
 def centroid(df: DataFrame, vector: str, normalize: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -55,77 +55,106 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _block(n: int, size: int) -> tuple[Column, int]:
+    """A row's block by a hash of its id, and the number of blocks that `n` rows make."""
+    blocks = max(1, -(-n // size))
+    return F.pmod(F.xxhash64("id"), F.lit(blocks)), blocks
+
+
+def _each(blocks: int) -> Column:
+    """A row for each block of the other side."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, exclude_self: bool = False) -> DataFrame:
     """Per query (query_id): its k nearest rows of `base` by cosine, with rank; ties by key. Exact.
 
-    Queries are a stated set: they go round in blocks of BLOCK vectors that every task multiplies with its rows, keeping
-    its own k best for each, and the best of those are ranked. `base` is never shuffled.
+    Queries are a stated set. Both sides are dealt into blocks, as many as their rows make; each block of queries meets each
+    of rows in one task, which keeps the k best of the block for each query, and the best of those are ranked.
     """
-    spark = base.sparkSession
-    n = queries.count()
-    out = None
-    numbered = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    parts = max(1, -(-n // BLOCK))
-    for part in range(parts):
-        block = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
-        rows = block.collect()  # about BLOCK vectors
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in rows]), _unit(np.array([r["v"] for r in rows]))))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            kept_s, kept_i = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), np.int64)
-            for batch in batches:
-                own, m = batch.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(1)))
-                for at in range(0, len(own), 2048):
-                    s = q @ m[at : at + 2048].T
+    q, b = _vectors(queries, key, vector), _vectors(base, key, vector)
+    q_block, q_blocks = _block(queries.count(), QUERIES)
+    b_block, b_blocks = _block(base.count(), ROWS)
+    q = q.withColumn("qb", q_block).select("id", "v", "qb", _each(b_blocks).alias("bb"))
+    b = b.withColumn("bb", b_block).select("id", "v", _each(q_blocks).alias("qb"), "bb")
+
+    def best(left, right):
+        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(ids) and len(own):
+            q, m = _unit(_matrix(left["v"].combine_chunks())), _unit(_matrix(right["v"].combine_chunks()))
+            for low in range(0, len(ids), 1024):
+                some = ids[low : low + 1024]
+                kept_s, kept_i = np.empty((len(some), 0)), np.empty((len(some), 0), np.int64)
+                for at in range(0, len(own), 4096):
+                    s = q[low : low + 1024] @ m[at : at + 4096].T
+                    near = own[at : at + 4096]
                     if exclude_self:
-                        s[ids[:, None] == own[None, at : at + 2048]] = -np.inf
+                        s[some[:, None] == near[None, :]] = -np.inf
                     kept_s = np.concatenate([kept_s, s], axis=1)
-                    kept_i = np.concatenate([kept_i, np.broadcast_to(own[at : at + 2048], s.shape)], axis=1)
+                    kept_i = np.concatenate([kept_i, np.broadcast_to(near, s.shape)], axis=1)
                     order = np.lexsort((kept_i, -kept_s.round(9)), axis=1)[:, :k]
                     kept_s, kept_i = np.take_along_axis(kept_s, order, 1), np.take_along_axis(kept_i, order, 1)
-            ok = np.isfinite(kept_s)
-            yield pa.record_batch([pa.array(np.repeat(ids, kept_s.shape[1])[ok.reshape(-1)]), pa.array(kept_i[ok]), pa.array(kept_s[ok])], ["query_id", "neighbour_id", "similarity"])
+                ok = np.isfinite(kept_s)
+                out.append((np.repeat(some, ok.sum(axis=1)), kept_i[ok], kept_s[ok]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "neighbour_id", "similarity"])
 
-        found = base.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(best, "query_id long, neighbour_id long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, neighbour_id long, similarity double, rank int")
+    met = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(best, "query_id long, neighbour_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "neighbour_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
-    """Pairs (id_a < id_b) with a cosine of `threshold` or more. Exact.
 
-    Rows are dealt into blocks, each pair of blocks meets in one task, and only pairs over the threshold leave it.
-    """
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("b"))
+def _block_pairs(df: DataFrame, key: str, vector: str, found, schema: str, size: int) -> DataFrame:
+    """`found(ids, products, other ids, same block)` of each pair of blocks, as many as the rows make; each pair meets in one task."""
+    rows = _vectors(df, key, vector)
+    block, blocks = _block(df.count(), size)
+    rows = rows.withColumn("b", block)
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.least(o, F.col("b")) * blocks + F.greatest(o, F.col("b"))))
-    dealt = rows.withColumn("meet", meets).repartition(blocks * (blocks + 1) // 2, "meet")
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = {"long": pa.int64(), "double": pa.float64()}
+    kinds = [types[c.split()[1]] for c in schema.split(", ")]
 
     def pairs(key_, table):
         ids, b = table["id"].to_numpy(), table["b"].to_numpy()
         m = _unit(_matrix(table["v"].combine_chunks()))
         low, high = divmod(key_[0].as_py(), blocks)
         left, right = np.flatnonzero(b == low), np.flatnonzero(b == high)
-        a_, b_, s_ = [], [], []
-        for at in range(0, len(left), 1024):
-            rows_ = left[at : at + 1024]
-            s = m[rows_] @ m[right].T
-            i, j = np.nonzero(s >= threshold)
-            x, y = ids[rows_[i]], ids[right[j]]
-            ok = (x < y) if low == high else np.ones(len(x), bool)
-            a_.append(np.minimum(x, y)[ok])
-            b_.append(np.maximum(x, y)[ok])
-            s_.append(s[i, j][ok])
-        flat = lambda parts, t: pa.array(np.concatenate(parts) if parts else np.empty(0), t)
-        return pa.table([flat(a_, pa.int64()), flat(b_, pa.int64()), flat(s_, pa.float64())], ["id_a", "id_b", "similarity"])
-
-    return dealt.groupBy("meet").applyInArrow(pairs, "id_a long, id_b long, similarity double")
+        parts = [found(ids[left[at : at + 1024]], m[left[at : at + 1024]] @ m[right].T, ids[right], low == high) for at in range(0, len(left), 1024)]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.empty(0)] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return rows.withColumn("meet", meets).groupBy("meet").applyInArrow(pairs, schema)
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, size: int = QUERIES) -> DataFrame:
+    """Pairs (id_a < id_b) with a cosine of `threshold` or more. Exact.
+
+    Rows are dealt into blocks of about `size`, each pair of blocks meets in one task, and only pairs over the threshold leave it.
+    """
+
+    def over(ids: np.ndarray, s: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+        i, j = np.nonzero(s >= threshold)
+        x, y = ids[i], others[j]
+        ok = (x < y) if same else np.ones(len(x), bool)
+        return np.minimum(x, y)[ok], np.maximum(x, y)[ok], s[i, j][ok]
+
+    return _block_pairs(df, key, vector, over, "id_a long, id_b long, similarity double", size)
+
+
+def similarity_extremes(df: DataFrame, key: str, vector: str, size: int = QUERIES) -> DataFrame:
+    """One row: the least and greatest cosine of two different rows (`min`, `max`). Each pair of blocks returns its own two."""
+
+    def ends(ids: np.ndarray, s: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+        own = s[ids[:, None] < others[None, :]] if same else s.reshape(-1)
+        return (own.min(keepdims=True), own.max(keepdims=True)) if len(own) else (np.empty(0), np.empty(0))
+
+    found = _block_pairs(df, key, vector, ends, "min double, max double", size)
+    return found.agg(F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def ivf_centres(base: DataFrame, key: str, vector: str, lists: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
@@ -134,6 +163,8 @@ def ivf_centres(base: DataFrame, key: str, vector: str, lists: int, sample: int
     share = min(1.0, sample / max(n, 1))
     u = F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 11) / float(1 << 53)
     rows = base.where(u <= share).orderBy(F.xxhash64(key)).limit(sample).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    if not rows:
+        return np.empty((0, 0))
     m = _unit(np.array([r["v"] for r in rows]))
     lists = min(lists, len(m))
     centres = m[np.random.default_rng(0).choice(len(m), lists, replace=False)]
@@ -153,7 +184,7 @@ def ann_ivf(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 m = _unit(_matrix(batch.column(1)))
-                near = np.argsort(-(m @ centres.value.T), axis=1, kind="stable")[:, :n] if len(m) else np.empty((0, 1), np.int64)
+                near = np.argsort(-(m @ centres.value.T), axis=1, kind="stable")[:, :n] if len(m) and len(centres.value) else np.empty((len(m), 0), np.int64)
                 times = near.shape[1]
                 rows = pa.array(np.repeat(np.arange(len(m)), times))
                 unit = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * m.shape[1] + 1, max(m.shape[1], 1), dtype=np.int32)[: len(rows) + 1]), pa.array(m[rows.to_numpy()].reshape(-1)))

@@ -86,8 +86,8 @@ def a10_similarity_summary(spark, sf_dir):
     """The mean by its closed form; extremes over all pairs, met block by block."""
     rows = views.vecs(spark, sf_dir)
     mean = VO.diversity(rows, "e").select(F.round("mean_similarity", 6).alias("mean"))
-    pairs = VO.similar_pairs(rows, "vec_id", "e", -1.0).agg(F.round(F.min("similarity"), 6).alias("min"), F.round(F.max("similarity"), 6).alias("max"))
-    return mean.join(pairs)  # one row each
+    ends = VO.similarity_extremes(rows, "vec_id", "e").select(F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+    return mean.join(ends)  # one row each
 
 
 @query(duck("vecs", f"WITH {_SIMS} SELECT round(1 - avg(s), 6) AS diversity, (SELECT count(*) FROM vecs) AS n FROM p"))
@@ -217,19 +217,19 @@ def a21_average_precision(spark, sf_dir):
 
 
 _SWEEP = """n AS (SELECT count(*) AS n FROM embeddings), sc AS (SELECT g.grid_id, g.y, g.x, g.v + 0.5 * h.v AS score, g.in_a AS truth FROM grid g JOIN grid h ON h.grid_id = (g.grid_id + 1) % (SELECT n FROM n) AND h.y = g.y AND h.x = g.x),
-th AS (SELECT i AS t, (i + 1) * 0.1 AS threshold FROM range(0, 9) r(i)),
-pr AS (SELECT grid_id, t, y, x FROM sc, th WHERE score >= threshold), tr AS (SELECT grid_id, y, x FROM sc WHERE truth),
-tp AS (SELECT p.grid_id, t, count(*) AS tp FROM pr p WHERE EXISTS (SELECT 1 FROM tr WHERE tr.grid_id = p.grid_id AND abs(tr.y - p.y) + abs(tr.x - p.x) <= 1) GROUP BY 1, 2),
-np AS (SELECT grid_id, t, count(*) AS np FROM pr GROUP BY 1, 2), nt AS (SELECT grid_id, count(*) AS nt FROM tr GROUP BY 1),
-hit AS (SELECT tr.grid_id, th.t, count(*) AS hit FROM tr, th WHERE EXISTS (SELECT 1 FROM pr p WHERE p.grid_id = tr.grid_id AND p.t = th.t AND abs(tr.y - p.y) + abs(tr.x - p.x) <= 1) GROUP BY 1, 2),
-c AS (SELECT i.grid_id, th.t, threshold, coalesce(tp, 0) AS tp, coalesce(np, 0) - coalesce(tp, 0) AS fp, coalesce(nt, 0) - coalesce(hit, 0) AS fn FROM (SELECT DISTINCT grid_id FROM sc) i CROSS JOIN th LEFT JOIN tp USING (grid_id, t) LEFT JOIN np USING (grid_id, t) LEFT JOIN nt USING (grid_id) LEFT JOIN hit USING (grid_id, t)),
+th AS (SELECT i AS t, (i + 1) / 100 AS threshold FROM range(0, 99) r(i)), tr AS (SELECT grid_id, y, x FROM sc WHERE truth),
+nr AS (SELECT grid_id, score, EXISTS (SELECT 1 FROM tr WHERE tr.grid_id = sc.grid_id AND abs(tr.y - sc.y) + abs(tr.x - sc.x) <= 1) AS near FROM sc),
+mx AS (SELECT tr.grid_id, max(score) AS top FROM tr JOIN sc ON tr.grid_id = sc.grid_id AND abs(tr.y - sc.y) + abs(tr.x - sc.x) <= 1 GROUP BY tr.grid_id, tr.y, tr.x),
+np AS (SELECT grid_id, t, count(*) AS np, count(*) FILTER (near) AS tp FROM nr JOIN th ON score >= threshold GROUP BY 1, 2), nt AS (SELECT grid_id, count(*) AS nt FROM tr GROUP BY 1),
+hit AS (SELECT grid_id, t, count(*) AS hit FROM mx JOIN th ON top >= threshold GROUP BY 1, 2),
+c AS (SELECT i.grid_id, th.t, threshold, coalesce(tp, 0) AS tp, coalesce(np, 0) - coalesce(tp, 0) AS fp, coalesce(nt, 0) - coalesce(hit, 0) AS fn FROM (SELECT DISTINCT grid_id FROM sc) i CROSS JOIN th LEFT JOIN np USING (grid_id, t) LEFT JOIN nt USING (grid_id) LEFT JOIN hit USING (grid_id, t)),
 prf AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c),
 sweep AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f FROM prf)"""
 
 
 def _sweep(spark, sf_dir):
     rows = paired(spark, sf_dir).withColumn("score", F.col("v") + 0.5 * F.col("pv"))
-    return evaluate.pr_sweep(rows.select("grid_id", "y", "x", "score"), rows.where("in_a").select("grid_id", "y", "x"), [(i + 1) * 0.1 for i in range(9)], 1.0)
+    return evaluate.pr_sweep(rows.select("grid_id", "y", "x", "score"), rows.where("in_a").select("grid_id", "y", "x"), [(i + 1) / 100 for i in range(99)], 1.0)
 
 
 @query(duck("grid", f"WITH {_SWEEP} SELECT grid_id, t::INTEGER AS t, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f, 6) AS f FROM sweep"))
@@ -286,9 +286,24 @@ def a27_optimal_target(spark, sf_dir):
     return stats.target_size(views.boxes(spark, sf_dir), F.greatest(box.width, box.height))
 
 
-@query()
+@query(
+    duck(
+        "grid",
+        """WITH RECURSIVE h AS (SELECT grid_id, gray::DOUBLE AS v, count(*) AS n, floor(gray / 8) * 8 + 4 AS c FROM grid GROUP BY grid_id, gray),
+l AS (SELECT grid_id, list({'v': v, 'n': n, 'c': c} ORDER BY v) AS cells, sum(n) AS total FROM h GROUP BY grid_id),
+r AS (SELECT grid_id, 0 AS k, cells AS free, []::DOUBLE[] AS centres FROM l
+ UNION ALL SELECT grid_id, k + 1, rest, CASE WHEN len([c FOR c IN centres IF abs(centre - c) <= 30]) = 0 THEN list_append(centres, centre) ELSE centres END
+ FROM (SELECT *, list_sum([e.v * e.n FOR e IN near]) / list_sum([e.n FOR e IN near]) AS centre FROM
+ (SELECT *, CASE WHEN len([e FOR e IN free IF abs(e.v - seed) <= 20]) > 0 THEN [e FOR e IN free IF abs(e.v - seed) <= 20] ELSE [e FOR e IN free IF e.c = seed] END AS near,
+ CASE WHEN len([e FOR e IN free IF abs(e.v - seed) <= 20]) > 0 THEN [e FOR e IN free IF abs(e.v - seed) > 20] ELSE [e FOR e IN free IF e.c <> seed] END AS rest FROM
+ (SELECT *, -(list_max([{'s': list_sum([x.n FOR x IN free IF x.c = e.c]), 'c': -e.c} FOR e IN free])).c AS seed FROM r WHERE len(free) > 0) a) b) d),
+f AS (SELECT grid_id, unnest(arg_max(centres, k)) AS centre FROM r GROUP BY grid_id),
+s AS (SELECT grid_id, centre, list_sum([e.n FOR e IN cells IF abs(e.v - centre) <= 20]) / total AS share FROM f JOIN l USING (grid_id))
+SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY share DESC, centre)::INTEGER AS rank, round(centre, 6) AS centre, round(share, 6) AS share FROM s WHERE share >= 0.05""",
+    )
+)
 def a28_dominant_values(spark, sf_dir):
-    return grids.dominant_values(views.grid(spark, sf_dir))
+    return grids.dominant_values(views.grid(spark, sf_dir)).select("grid_id", "rank", F.round("centre", 6).alias("centre"), F.round("share", 6).alias("share"))
 
 
 @query(duck("grid", "WITH i AS (SELECT DISTINCT grid_id FROM grid), s AS (SELECT grid_id, min(x) AS x1, max(x) + 1 AS x2, min(y) AS y1, max(y) + 1 AS y2 FROM grid WHERE v > 0.25 GROUP BY 1) SELECT grid_id, coalesce((x1 + x2) / 2 / 8, 0.5) AS cx, coalesce((y1 + y2) / 2 / 8, 0.5) AS cy, coalesce((x2 - x1) / 8, 0.1) AS w, coalesce((y2 - y1) / 8, 0.1) AS h FROM i LEFT JOIN s USING (grid_id)"))

@@ -69,17 +69,21 @@ def f4_fenced_json(spark, sf_dir):
 @query(
     duck(
         "pairs",
-        """WITH s AS (SELECT doc_id, trim(texture_a) AS a, trim(texture_b) AS b, doc_id % 3 AS k, string_split(concat(trim(texture_a), ' ', trim(texture_b)), ' ') AS w FROM pairs WHERE doc_id % 7 < 3 AND length(trim(texture_b)) > 0 AND position(' to ' IN concat(' ', texture_a, ' ', texture_b, ' ')) = 0
- AND NOT regexp_matches(concat(' ', texture_a, ' ', texture_b, ' '), ' (and|vs|[|]) '))
-SELECT doc_id, CASE WHEN k < 2 THEN a ELSE array_to_string(w[1 : len(w) // 2], ' ') END AS first, CASE WHEN k < 2 THEN b ELSE array_to_string(w[len(w) // 2 + 1 :], ' ') END AS second FROM s""",
+        """WITH t AS (SELECT doc_id, concat(trim(texture_a), CASE doc_id % 3 WHEN 0 THEN ' <TO> ' WHEN 1 THEN ' to ' ELSE ' ' END, trim(texture_b)) AS t FROM pairs),
+p AS (SELECT doc_id, string_split(t, ' to ') AS p FROM t WHERE position(' <TO> ' IN t) = 0 AND position(' to ' IN t) > 0),
+e AS (SELECT doc_id, i, len(regexp_extract_all(p[i], '[^ ]+')) AS c, len(p) AS k FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
+n AS (SELECT doc_id, i, k, sum(c) OVER (PARTITION BY doc_id ORDER BY i) + i - 1 AS l, sum(c) OVER (PARTITION BY doc_id) + k - 1 AS total FROM e),
+best AS (SELECT doc_id, arg_min(i, abs(total - 1 - 2 * l) * 1000000 + i) AS i FROM n WHERE i < k GROUP BY doc_id),
+s AS (SELECT doc_id, CASE WHEN position(' <TO> ' IN t) > 0 THEN ' <TO> ' WHEN position(' to ' IN t) > 0 THEN ' to ' WHEN position(' and ' IN t) > 0 THEN ' and ' WHEN position(' vs ' IN t) > 0 THEN ' vs ' WHEN position(' | ' IN t) > 0 THEN ' | ' END AS sep, t, regexp_extract_all(t, '[^ ]+') AS w FROM t)
+SELECT s.doc_id, CASE WHEN sep = ' to ' THEN trim(array_to_string(p[1 : i], ' to ')) WHEN sep IS NULL THEN array_to_string(w[1 : len(w) // 2], ' ') ELSE trim(substr(t, 1, position(sep IN t) - 1)) END AS first,
+ CASE WHEN sep = ' to ' THEN trim(array_to_string(p[i + 1 :], ' to ')) WHEN sep IS NULL THEN array_to_string(w[len(w) // 2 + 1 :], ' ') ELSE trim(substr(t, position(sep IN t) + length(sep))) END AS second
+FROM s LEFT JOIN p ON p.doc_id = s.doc_id LEFT JOIN best ON best.doc_id = s.doc_id""",
     )
 )
 def f5_split_description(spark, sf_dir):
-    padded = F.concat(F.lit(" "), F.col("texture_a"), F.lit(" "), F.col("texture_b"), F.lit(" "))
-    rows = views.pairs(spark, sf_dir).where((F.col("doc_id") % 7 < 3) & (F.length(F.trim("texture_b")) > 0) & ~padded.contains(" to ") & ~padded.rlike(r" (and|vs|[|]) "))
     sep = F.when(F.col("doc_id") % 3 == 0, " <TO> ").when(F.col("doc_id") % 3 == 1, " to ").otherwise(" ")
     first, second = T.split_description(F.concat(F.trim("texture_a"), sep, F.trim("texture_b")))
-    return rows.select("doc_id", first.alias("first"), second.alias("second"))
+    return views.pairs(spark, sf_dir).select("doc_id", first.alias("first"), second.alias("second"))
 
 
 @query(

@@ -15,7 +15,7 @@ _GRID = """SELECT vec_id AS grid_id, CAST(pos DIV 8 AS BIGINT) AS y, CAST(pos %
  CAST(floor((CAST(v AS DOUBLE) + 1) * 127.5) AS BIGINT) AS gray, CAST(v AS DOUBLE) > 0.05 AS in_a, CAST(v AS DOUBLE) < -0.05 AS in_b
 FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS pos, v"""
 _PAIRS = r"""SELECT doc_id, array_join(slice(w, 1, CAST(2 + doc_id % 12 AS INT)), ' ') AS texture_a,
- array_join(slice(w, CAST(3 + doc_id % 12 AS INT), CAST(2 + doc_id % 9 AS INT)), ' ') AS texture_b, lang, source
+ array_join(slice(w, CAST(3 + doc_id % 12 AS INT), size(w)), ' ') AS texture_b, lang, source
 FROM (SELECT doc_id, lang, source, split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ')), ' ') AS w FROM {documents}) t"""
 _PREDS = """SELECT concat('doc_', CAST(d.doc_id AS VARCHAR(20))) AS crop_name, CAST(d.n_chars % 101 AS DOUBLE) / 100 AS iou_a, CAST(d.n_chars % 97 AS DOUBLE) / 96 AS iou_b,
  CAST((d.doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS score, l.quality = 1 AS matched, d.source AS model
@@ -30,7 +30,7 @@ DUCK = {
  floor((v::DOUBLE + 1) * 127.5)::BIGINT AS gray, v::DOUBLE > 0.05 AS in_a, v::DOUBLE < -0.05 AS in_b
 FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) t""",
     "pairs": r"""SELECT doc_id, array_to_string(w[1 : 2 + doc_id % 12], ' ') AS texture_a,
- array_to_string(w[3 + doc_id % 12 : 4 + doc_id % 12 + doc_id % 9], ' ') AS texture_b, lang, source
+ array_to_string(w[3 + doc_id % 12 :], ' ') AS texture_b, lang, source
 FROM (SELECT doc_id, lang, source, string_split(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), ' ') AS w FROM documents) t""",
     "preds": _PREDS.format(documents="documents", labels="labels"),
     "runlog": _RUNLOG.format(events="events"),

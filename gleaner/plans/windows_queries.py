@@ -121,7 +121,7 @@ def t6_sample_then_sort(spark, sf_dir):
         "grid",
         """WITH RECURSIVE o AS (SELECT grid_id, y, x, v, row_number() OVER (PARTITION BY grid_id ORDER BY v DESC, y, x) AS k FROM grid),
 r AS (SELECT DISTINCT grid_id, 0::BIGINT AS k, []::STRUCT(y BIGINT, x BIGINT, v DOUBLE)[] AS kept FROM o
- UNION ALL SELECT r.grid_id, o.k, CASE WHEN len(kept) < 4 AND len([b for b in kept if (o.y - b.y) ** 2 + (o.x - b.x) ** 2 <= 4]) = 0 THEN list_append(kept, {'y': o.y, 'x': o.x, 'v': o.v}) ELSE kept END FROM r JOIN o ON o.grid_id = r.grid_id AND o.k = r.k + 1 WHERE o.k <= 64),
+ UNION ALL SELECT r.grid_id, o.k, CASE WHEN len(kept) < 4 AND len([b for b in kept if (o.y - b.y) ** 2 + (o.x - b.x) ** 2 <= 4]) = 0 THEN list_append(kept, {'y': o.y, 'x': o.x, 'v': o.v}) ELSE kept END FROM r JOIN o ON o.grid_id = r.grid_id AND o.k = r.k + 1),
 f AS (SELECT grid_id, arg_max(kept, k) AS kept FROM r GROUP BY grid_id)
 SELECT grid_id, kept[i].y AS y, kept[i].x AS x, i::INTEGER AS rank, kept[i].v AS value FROM f, range(1, 5) t(i) WHERE len(kept) = 4""",
     )

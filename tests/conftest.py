@@ -32,3 +32,9 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def oracle_dir():
+    """Queries are held against their SQL on a larger set than the other tests use: small ones hide ties and rare rows."""
+    return os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")

@@ -9,8 +9,8 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, sf_dir, name):
-    check(spark, sf_dir, QUERIES[name], SQL[name])
+def test_query_equals_sql(spark, oracle_dir, name):
+    check(spark, oracle_dir, QUERIES[name], SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

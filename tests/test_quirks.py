@@ -156,6 +156,41 @@ def test_numbers_are_a_permutation_of_order(spark):
     assert known == sorted(known)
 
 
+def test_numbers_of_an_order_with_outliers_and_nulls(spark):
+    values = [None, None, 10**15, *[5] * 300, *range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, x long").repartition(5)
+    got = {r["n"]: r["id"] for r in ordering.numbered(df, F.col("x"), ["id"]).collect()}
+    want = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    assert [got[k + 1] for k in range(len(values))] == want
+
+
+def test_chunks_of_a_group_carry_on(spark):
+    rows = [(g, i, float((i * 31 + 7) % 23)) for g in ("a", "b", None) for i in range(57)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    for chunk in (9, 1000):
+        rolling = {(r["g"], r["i"]): r["rolling"] for r in ordering.rolling_mean(df, "v", ["g"], ["i"], n=6, chunk=chunk).collect()}
+        running = {(r["g"], r["i"]): r["running"] for r in ordering.running_mean(df, "v", ["g"], ["i"], chunk=chunk).collect()}
+        best = {(r["g"], r["i"]): r["is_best"] for r in ordering.running_best(df, "v", ["g"], ["i"], chunk=chunk).collect()}
+        for g in ("a", "b", None):
+            v = [x for h, _, x in rows if h == g]
+            for i in range(57):
+                assert abs(rolling[g, i] - sum(v[max(0, i - 5) : i + 1]) / len(v[max(0, i - 5) : i + 1])) < 1e-9
+                assert abs(running[g, i] - sum(v[: i + 1]) / (i + 1)) < 1e-9
+                assert best[g, i] == (v[i] > max([0.0, *v[:i]]))
+
+
+def test_scores_that_many_rows_share_are_ranked(spark):
+    from gleaner.operators import evaluate
+
+    df = spark.createDataFrame([(f"k{i:03}", 0.5 if i % 3 else i / 300, i % 2 == 0) for i in range(300)], "k string, s double, m boolean")
+    rows = sorted(((-r["s"], r["k"], r["m"]) for r in df.collect()))
+    got = {r["k"]: (r["rank"], r["tp"], r["fp"]) for r in evaluate.ranked_counts(df.repartition(4), "s", "m", "k").collect()}
+    hits = 0
+    for n, (_, k, m) in enumerate(rows, 1):
+        hits += m
+        assert got[k] == (n, hits, n - hits)
+
+
 def test_points_within_are_those_of_all_pairs(spark):
     import random
 

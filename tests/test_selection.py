@@ -209,6 +209,73 @@ def test_spaced_peaks(spark, sf_dir):
         assert got.get(g, []) == (want if len(want) == 4 else [])
 
 
+def masks(spark, grids_=6, side=40):
+    """Grids with one high plateau of more than 64 cells and smaller peaks far from it."""
+    rows = []
+    for g in range(grids_):
+        for y in range(side):
+            for x in range(side):
+                top = 10.0 if y < 9 and x < 9 else 0.0
+                rows.append((g, y, x, top + ((y * 37 + x * 101 + g * 53) % 97) / 97))
+    return spark.createDataFrame(rows, "grid_id long, y long, x long, v double")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_spaced_peaks_are_found_among_all_cells(spark, metric):
+    cells = masks(spark)
+    got = {}
+    for r in grids.spaced_peaks(cells, "v", 4, 15.0, metric).orderBy("grid_id", "rank").collect():
+        got.setdefault(r["grid_id"], []).append((r["y"], r["x"]))
+    far = (lambda y, x, a, b: abs(y - a) + abs(x - b)) if metric == "manhattan" else (lambda y, x, a, b: ((y - a) ** 2 + (x - b) ** 2) ** 0.5)
+    for g, rows in groups([(r["grid_id"], r["y"], r["x"], r["v"]) for r in cells.collect()]).items():
+        want = []
+        for _, y, x, _ in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+            if len(want) < 4 and all(far(y, x, a, b) > 15.0 for a, b in want):
+                want.append((y, x))
+        assert len(want) == 4 and got[g] == want
+
+
+def test_spaced_peaks_are_filled_at_random(spark):
+    cells = masks(spark, 2, 10)
+    assert grids.spaced_peaks(cells, "v", 6, 12.0).count() == 0
+    got = grids.spaced_peaks(cells, "v", 6, 12.0, "manhattan", fill=True).orderBy("grid_id", "rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5, 6] * 2 and len({(r["grid_id"], r["y"], r["x"]) for r in got}) == 12
+    again = grids.spaced_peaks(cells.repartition(3), "v", 6, 12.0, "manhattan", fill=True).orderBy("grid_id", "rank").collect()
+    assert got == again
+
+
+def test_nms_of_large_groups_is_that_of_small_ones(spark):
+    draw = np.random.default_rng(11)
+    rows = [(g, i, x, y, x + int(draw.integers(20, 90)), y + int(draw.integers(20, 90)), float(draw.integers(0, 50)) / 50) for g, n in ((0, 300), (1, 6), (2, 40)) for i, (x, y) in enumerate(draw.integers(0, 300, (n, 2)).tolist())]
+    df = spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long, score double")
+    for top in (None, 5):
+        one, other = (sorted(map(tuple, selection.nms(df, top=top, pass_rows=n).collect())) for n in (1000, 30))
+        assert one == other and one
+
+
+def test_blocks_do_not_change_neighbours(spark, vectors, monkeypatch):
+    df, u, _ = vectors
+    pairs = {(r["id_a"], r["id_b"]) for r in VO.similar_pairs(df, "vec_id", "e", 0.3, size=30).collect()}
+    s = u @ u.T
+    assert pairs == {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if s[i, j] >= 0.3}
+    ends = VO.similarity_extremes(df, "vec_id", "e", size=30).first()
+    off = s[~np.eye(len(u), dtype=bool)]
+    assert abs(ends["min"] - off.min()) < 1e-12 and abs(ends["max"] - off.max()) < 1e-12
+    monkeypatch.setattr(VO, "QUERIES", 9)
+    monkeypatch.setattr(VO, "ROWS", 31)
+    got = {(r["query_id"], r["rank"]): r["neighbour_id"] for r in VO.knn(df.where("vec_id % 5 = 0"), df, 4, "vec_id", "e", exclude_self=True).collect()}
+    for q in range(0, 200, 5):
+        order = sorted((-round(s[q, i], 9), i) for i in range(200) if i != q)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [i for _, i in order]
+
+
+def test_search_in_an_empty_base(spark, vectors):
+    df, _, _ = vectors
+    assert VO.ann_ivf(df.limit(3), df.where("false"), 4, "vec_id", "e").count() == 0
+    assert VO.knn(df.limit(3), df.where("false"), 4, "vec_id", "e").count() == 0
+    assert VO.knn(df.where("false"), df, 4, "vec_id", "e").count() == 0
+
+
 def test_dominant_values_of_two_levels(spark):
     cells = spark.createDataFrame([(0, y, x, 20 if x < 3 else 200) for y in range(4) for x in range(4)], "grid_id long, y long, x long, gray long")
     got = [(r["centre"], r["share"]) for r in grids.dominant_values(cells).orderBy("rank").collect()]
