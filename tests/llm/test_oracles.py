@@ -9,8 +9,8 @@ SQL = llm.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, sf_dir, name):
-    check(spark, sf_dir, llm.queries()[name], SQL[name])
+def test_query_equals_sql(spark, oracle_dir, name):
+    check(spark, oracle_dir, llm.queries()[name], SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(llm.queries()) - set(SQL)))
