@@ -75,18 +75,36 @@ def filesystem(root: str) -> tuple[pafs.FileSystem, str]:
     return store, path
 
 
-CHUNK_ROW = "home string, doc_no long, id long, n_bytes long, payload_bytes long, ord int, digest binary, size int, offset long, stored int"
+#: A row per chunk. `part` is the task that wrote the pack; a document's first chunk has its recipe.
+CHUNK_ROW = "part int, home string, doc_no long, id long, ord int, digest binary, offset long, stored int, recipe binary"
+_HEAD, _PART = struct.Struct("<QQI"), struct.Struct("<32sII")
+
+
+def recipe_of(n_bytes: int, size: int, parts: list[tuple[bytes, int, int]]) -> bytes:
+    """A document's recipe: header, and for each chunk in order its digest, its size and the size of its stored bytes."""
+    return MAGIC + _HEAD.pack(n_bytes, size, len(parts)) + b"".join(_PART.pack(*p) for p in parts)
+
+
+def read_recipe(recipe: bytes) -> tuple[int, int, list[tuple[bytes, int, int]]]:
+    """What `recipe_of` was given."""
+    if recipe[: len(MAGIC)] != MAGIC:
+        raise ValueError("not a recipe")
+    n_bytes, size, n = _HEAD.unpack_from(recipe, len(MAGIC))
+    return n_bytes, size, [_PART.unpack_from(recipe, len(MAGIC) + _HEAD.size + k * _PART.size) for k in range(n)]
 
 
 def write_packs(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Appends chunks to packs below `root`; returns a written table with a row per chunk of each document (CHUNK_ROW).
 
     Within a pack a digest is stored once. A task's tries write packs of new names, and only those of the finished try are
-    in the table.
+    in the table. Stored bytes depend on a chunk's bytes alone, so a recipe holds for whichever copy is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         store, folder = filesystem(root)
+        part_no = TaskContext.get().partitionId()
         squeeze = zstandard.ZstdCompressor(level=3)
         home, sink, at, known, doc_no = "", None, 0, {}, 0
         for batch in batches:
@@ -106,23 +124,28 @@ def write_packs(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
                         home, at, known, doc_no = f"{uuid.uuid4().hex}.pack", 0, {}, 0
                         sink = store.open_output_stream(f"{folder}/{home}")
                     edges = chunk_edges(places, begin, begin + len(body))
-                    for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                        part = whole[a:b]
-                        digest = hashlib.sha256(part).digest()
+                    parts: list[tuple[bytes, int, int]] = []
+                    spots: list[int] = []
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        chunk = whole[a:b]
+                        digest = hashlib.sha256(chunk).digest()
                         place = known.get(digest)
                         if place is None:
-                            packed = squeeze.compress(part)
-                            packed = packed if len(packed) < len(part) else part
+                            packed = squeeze.compress(chunk)
+                            packed = packed if len(packed) < len(chunk) else chunk
                             sink.write(packed)
                             place = known[digest] = (at, len(packed))
                             at += len(packed)
-                        rows.append((home, doc_no, k, int(offsets[k + 1] - offsets[k]), len(body), n, digest, b - a, *place))
+                        parts.append((digest, b - a, place[1]))
+                        spots.append(place[0])
+                    recipe = recipe_of(int(offsets[k + 1] - offsets[k]), len(body), parts)
+                    rows += [(part_no, home, doc_no, k, n, p[0], spot, p[2], None if n else recipe) for n, (p, spot) in enumerate(zip(parts, spots, strict=True))]
                     begin += len(body)
                     doc_no += 1
                 columns = list(zip(*rows, strict=True))
-                types = [pa.string(), pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32()]
+                types = [pa.int32(), pa.string(), pa.int64(), None, pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
                 arrays = [ids.take(pa.array(c, pa.int64())) if t is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.record_batch(arrays, ["home", "doc_no", "id", "n_bytes", "payload_bytes", "ord", "digest", "size", "offset", "stored"])
+                yield pa.record_batch(arrays, [c.split()[0] for c in CHUNK_ROW.split(", ")])
         if sink is not None:
             sink.close()
 
@@ -131,20 +154,17 @@ def write_packs(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
     return docs.sparkSession.read.schema(CHUNK_ROW).parquet(chunks)
 
 
-def recipes(chunks: DataFrame) -> DataFrame:
-    """Per document: home, doc_no, id, n_bytes, payload_bytes and `parts`, its chunks in order, each at the one place of its digest.
+def placed(chunks: DataFrame) -> DataFrame:
+    """Rows of `chunks` with `pack` and `at`, the one place of their digest: of all its places the least by a hash of digest and pack.
 
-    A digest's place is the least (pack, offset) of all; a digest that a third of all documents share is summed up before
-    it is shuffled, and its rows meet one row in a join that Spark can split.
+    So shared chunks are read from all packs alike. A digest that a third of all documents share is summed up before it is
+    shuffled, and its rows meet one row in a join that Spark can split.
     """
+    spread = F.xxhash64("digest", "home")
     # written, so that the join below has nothing but its own exchanges and a hot digest's rows can be split
-    places = written(chunks.groupBy("digest").agg(F.min(F.struct("home", "offset", "stored")).alias("place")), "places")
-    part = F.struct("ord", F.col("place.home").alias("pack"), F.col("place.offset").alias("offset"), F.col("place.stored").alias("stored"), "size", "digest")
-    packs = chunks.select("home").distinct().count()
-    joined = chunks.select("home", "doc_no", "id", "n_bytes", "payload_bytes", "ord", "size", "digest").join(places, "digest")
-    dealt = joined.select("home", "doc_no", "id", "n_bytes", "payload_bytes", part.alias("part")).repartition(max(1, packs), "home")
-    listed = dealt.groupBy("home", "doc_no").agg(F.first("id").alias("id"), F.first("n_bytes").alias("n_bytes"), F.first("payload_bytes").alias("payload_bytes"), F.sort_array(F.collect_list("part")).alias("parts"))
-    return listed.sortWithinPartitions("home", "doc_no")
+    places = written(chunks.groupBy("digest").agg(F.min(F.struct(spread.alias("h"), "home", "offset")).alias("place")), "places")
+    places = places.select("digest", F.col("place.home").alias("pack"), F.col("place.offset").alias("at"))
+    return chunks.select("part", "home", "doc_no", "id", "ord", "digest", "stored", "recipe").join(places, "digest")
 
 
 class PackReader:
@@ -188,44 +208,59 @@ def sample_features(body: bytes, unit: int = UNIT) -> str:
     return f"{len(body) // unit}:{mean * 1000:.0f}:{var * 1000:.0f}:{-(share * np.log2(share)).sum() * 1000:.0f}:{len(share)}"
 
 
-def rebuilt(recipe: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
-    """Reads payloads back by their recipes; a chunk whose digest or size differs fails the job.
+def rebuilt(chunks: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
+    """Reads payloads back by their recipes and places; a chunk whose digest or size differs fails the job.
 
     Per document: id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks.
-    The stored form of a document is a header, and for each chunk its digest, sizes and stored bytes.
+    The stored form of a document is its recipe, as written, and the stored bytes of its chunks in order. A task reads the
+    packs that one task wrote, so tasks are as even as those that wrote.
     """
+    top = chunks.agg(F.max("part").alias("n")).first()["n"]
+    rows = placed(chunks).repartitionById(1 + (top or 0), F.col("part")).sortWithinPartitions("home", "doc_no", "ord")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def document(packs: PackReader, unpack: zstandard.ZstdDecompressor, doc: int | None, stored_recipe: bytes, places: list[tuple[str, int]]) -> tuple:
         import zlib
 
+        n_bytes, size, parts = read_recipe(stored_recipe)
+        form, length, body = hashlib.sha256(stored_recipe), len(stored_recipe), []
+        for (digest, n, stored), (pack, at) in zip(parts, places, strict=True):
+            raw = packs.read(pack, at, stored)
+            chunk = unpack.decompress(raw) if stored < n else raw
+            if len(chunk) != n or hashlib.sha256(chunk).digest() != digest:
+                raise ValueError(f"chunk at {at} of {pack} is not what was stored")
+            body.append(chunk)
+            form.update(raw)
+            length += len(raw)
+        whole = b"".join(body)
+        if len(whole) != size:
+            raise ValueError("a payload's chunks do not add up")
+        return (doc, n_bytes, size, hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), length, form.hexdigest(), sample_features(whole), len(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, unpack = PackReader(root), zstandard.ZstdDecompressor()
+        doc, recipe, places, out = None, None, [], []
         for batch in batches:
-            out: list[tuple] = []
-            for row in range(batch.num_rows):
-                home, doc, n_bytes, size, parts = (batch.column(k)[row].as_py() for k in (0, 2, 3, 4, 5))
-                packs.at_home(home)
-                form = hashlib.sha256(MAGIC + struct.pack("<QQI", n_bytes, size, len(parts)))
-                length = len(MAGIC) + 20
-                body = []
-                for p in parts:
-                    stored = packs.read(p["pack"], p["offset"], p["stored"])
-                    chunk = unpack.decompress(stored) if p["stored"] < p["size"] else stored
-                    if len(chunk) != p["size"] or hashlib.sha256(chunk).digest() != p["digest"]:
-                        raise ValueError(f"chunk at {p['offset']} of {p['pack']} is not what was stored")
-                    body.append(chunk)
-                    form.update(p["digest"] + struct.pack("<II", p["size"], p["stored"]))
-                    form.update(stored)
-                    length += 40 + len(stored)
-                whole = b"".join(body)
-                if len(whole) != size:
-                    raise ValueError("a payload's chunks do not add up")
-                out.append((doc, n_bytes, size, hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), length, form.hexdigest(), sample_features(whole), len(parts)))
-            names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-            columns = list(zip(*out, strict=True)) or [()] * len(types)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return recipe.mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int")
+            for home, ident, ord_, own, pack, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not ord_:  # a document's first chunk
+                    if recipe is not None:
+                        out.append(document(packs, unpack, doc, recipe, places))
+                    packs.at_home(home)
+                    doc, recipe, places = ident, own, []
+                places.append((pack, at))
+            yield _results(out, id_col)
+            out = []
+        if recipe is not None:
+            yield _results([document(packs, unpack, doc, recipe, places)], id_col)
+
+    columns = rows.select("home", "id", "ord", "recipe", "pack", "at")
+    return columns.mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int")
+
+
+def _results(rows: list[tuple], id_col: str) -> pa.RecordBatch:
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def stored_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,4 +270,10 @@ def stored_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts have equal values. An empty table gives an empty result. Other columns are not read.
     """
     root = work_path(docs.sparkSession, "media")
-    return rebuilt(recipes(write_packs(docs, root, id_col, text_col)), root, id_col)
+    return rebuilt(write_packs(docs, root, id_col, text_col), root, id_col)
+
+
+def unreferenced(chunks: DataFrame) -> DataFrame:
+    """One row: stored bytes of all packs, and those of copies that no recipe reads (a digest that several packs hold)."""
+    own = chunks.select("home", "digest", "stored").distinct().groupBy("digest").agg(F.max("stored").alias("stored"), F.count("*").alias("n"))
+    return own.agg(F.sum(F.col("stored") * F.col("n")).alias("stored"), F.sum(F.col("stored") * (F.col("n") - 1)).alias("unreferenced"))
