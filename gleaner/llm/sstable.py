@@ -13,6 +13,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import BinaryIO
 
 import numpy as np
@@ -23,22 +24,24 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import work_path
+from gleaner.llm.shared import work_path, written
 from gleaner.llm.tokens import library_pieces
 
 MAGIC = b"GLSST001"
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7  # bits a key; about 1 % of absent keys pass
-_KEY = struct.Struct(">BQI")
+_KEY = struct.Struct(">BQQI")
+#: The part of a key that names an id: what the filter knows and look-ups go by.
+_ID = 9
 
 
-def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
-    """A key that sorts as the id does, null first; `ordinal` tells repeated ids apart."""
-    return _KEY.pack(0, 0, ordinal) if doc_id is None else _KEY.pack(1, doc_id + (1 << 63), ordinal)
+def key_of(doc_id: int | None, text_hash: int = -(1 << 63), ordinal: int = 0) -> bytes:
+    """A key that sorts as the id does, null first; a hash of the text and `ordinal` tell rows of one id apart."""
+    return _KEY.pack(0 if doc_id is None else 1, 0 if doc_id is None else doc_id + (1 << 63), text_hash + (1 << 63), ordinal)
 
 
 def id_of(key: bytes) -> int | None:
-    known, value, _ = _KEY.unpack(key)
+    known, value, _, _ = _KEY.unpack(key)
     return value - (1 << 63) if known else None
 
 
@@ -108,7 +111,7 @@ class ShardWriter:
         bits = max(64, BLOOM_BITS * len(self.hashes))
         bloom = np.zeros(bits, bool)
         for key in self.hashes:
-            bloom[_probes(key, bits)] = True
+            bloom[_probes(key[:_ID], bits)] = True
         index = b"".join(k + struct.pack("<QI", at, size) for k, at, size in self.index)
         footer = json.dumps({"index": [self.at, len(index)], "bloom": [self.at + len(index), -(-bits // 8), bits], "rows": len(self.hashes)}).encode()
         self.sink.write(index + np.packbits(bloom, bitorder="little").tobytes() + footer + struct.pack("<I", len(footer)) + MAGIC)
@@ -147,13 +150,19 @@ class ShardReader:
             pos += length
 
     def may_have(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key[:_ID], self.bits))
 
     def get(self, key: bytes) -> bytes | None:
-        block = bisect.bisect_right(self.keys, key) - 1
-        if block < 0 or not self.may_have(key):
+        """The first value of the key's id, by the filter, a binary search of the index and one block, or the next."""
+        if not self.may_have(key):
             return None
-        return next((v for k, v in self._entries(block) if k == key), None)
+        block = max(0, bisect.bisect_left(self.keys, key[:_ID]) - 1)
+        while block < len(self.places) and self.keys[block][:_ID] <= key[:_ID]:
+            for k, v in self._entries(block):
+                if k[:_ID] == key[:_ID]:
+                    return v
+            block += 1
+        return None
 
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
         for block in range(len(self.places)):
@@ -172,50 +181,72 @@ def pack_ids(ids: np.ndarray, wide: bool) -> bytes:
     return ids.astype("<u4" if wide else "<u2").tobytes()
 
 
+def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row, written: id, h (a hash of the text) and value (a byte that tells the width, then the ids with the end id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, p in library_pieces(batch.column(2), path):
+                ids, at = p.tokens()
+                values = []
+                for k in range(j - i):
+                    own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))
+                    wide = bool(own.max() > 0xFFFF)
+                    values.append(bytes([wide]) + pack_ids(own, wide))
+                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(values, pa.binary())], ["id", "h", "value"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), text_col)
+    return written(own.mapInArrow(run, "id long, h long, value binary"), "encoded")
+
+
+MANIFEST = "shard string, first_key binary, last_key binary, rows long, tokens long"
+
+
 def write_shards(docs: DataFrame, root: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ascending shards below `root`; returns the manifest, a written table with a row per shard.
 
-    Documents are dealt by ranges of their id, so shards don't overlap. A task writes under a new name each time it is tried
-    and only the name that its finished try returned enters the manifest, so retries and lost executors leave no half shard.
+    Texts are encoded where they lie and only ids are shuffled: by ranges of document id and text hash, so that shards follow
+    each other and rows that repeat an id need not share one. A task writes under a new name each time it is tried and only the
+    name that its finished try returned enters the manifest, so retries and lost executors leave no half shard.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         store, folder = filesystem(root)
-        name, writer, sink, tokens, rows, first, last, ordinal = f"{uuid.uuid4().hex}.sst", None, None, 0, 0, None, b"", 0
+        name, writer, sink, tokens, rows, first, key, last, ordinal = f"{uuid.uuid4().hex}.sst", None, None, 0, 0, None, b"", None, 0
         for batch in batches:
-            ids_of = batch.column(0).to_pylist()
-            for i, j, p in library_pieces(batch.column(1), path):
-                ids, at = p.tokens()
-                for k in range(j - i):
-                    if writer is None:
-                        sink = store.open_output_stream(f"{folder}/{name}")
-                        writer = ShardWriter(sink)
-                    own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))
-                    wide = bool(own.max() > 0xFFFF)
-                    doc = ids_of[i + k]
-                    ordinal = ordinal + 1 if rows and doc == last else 0
-                    last = doc
-                    key = key_of(doc, ordinal)
-                    first = first or key
-                    writer.add(key, bytes([wide]) + pack_ids(own, wide))
-                    tokens += len(own)
-                    rows += 1
+            for doc, h, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if writer is None:
+                    sink = store.open_output_stream(f"{folder}/{name}")
+                    writer = ShardWriter(sink)
+                value = value.as_py()
+                ordinal = ordinal + 1 if rows and (doc, h) == last else 0
+                last = (doc, h)
+                key = key_of(doc, h, ordinal)
+                first = first or key
+                writer.add(key, value)
+                tokens += (len(value) - 1) // (4 if value[0] else 2)
+                rows += 1
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.record_batch([[name], [first], [rows], [tokens]], ["shard", "first_key", "rows", "tokens"])
+            yield pa.record_batch([[name], [first], [key], [rows], [tokens]], [c.split()[0] for c in MANIFEST.split(", ")])
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+    order = [F.col("id").asc_nulls_first(), F.col("h")]
+    ordered = encoded(docs, path, end_id, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = f"{root}/manifest"
-    ordered.mapInArrow(write, "shard string, first_key binary, rows long, tokens long").write.parquet(manifest)
-    return docs.sparkSession.read.schema("shard string, first_key binary, rows long, tokens long").parquet(manifest)
+    ordered.mapInArrow(write, MANIFEST).write.parquet(manifest)
+    return docs.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
 def read_shards(manifest: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document, in its shard's order: id_col, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
-    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    """Per document, in its shard's order: id_col, start (ids of all documents before it), n_tokens, ids_crc32, shard.
+
+    Each shard is gone through block by block; the first id of every block is also looked up by filter and binary search, and
+    a look-up that does not give what the block holds fails the job.
+    """
+    before = Window.orderBy("first_key", "last_key").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +254,20 @@ def read_shards(manifest: DataFrame, root: str, id_col: str = "doc_id") -> DataF
         for batch in batches:
             for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{folder}/{shard}") as source:
+                    reader = ShardReader(source)
                     rows: list[tuple] = []
-                    for key, value in ShardReader(source).scan():
-                        ids = np.frombuffer(value, "<u4" if value[0] else "<u2", offset=1).astype("<u4")
-                        rows.append((id_of(key), base, len(ids), zlib.crc32(ids), shard))
-                        base += len(ids)
-                        if len(rows) == 8192:
-                            yield _batch(rows)
-                            rows = []
+                    last = None
+                    for block in range(len(reader.places)):
+                        for n, (key, value) in enumerate(reader._entries(block)):
+                            if not n and key[:_ID] != last and reader.get(key) != value:
+                                raise ValueError(f"{shard}: the look-up of {id_of(key)} does not give its ids")
+                            last = key[:_ID]
+                            ids = np.frombuffer(value, "<u4" if value[0] else "<u2", offset=1).astype("<u4")
+                            rows.append((id_of(key), base, len(ids), zlib.crc32(ids), shard))
+                            base += len(ids)
+                            if len(rows) == 8192:
+                                yield _batch(rows)
+                                rows = []
                     yield _batch(rows)
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -245,38 +282,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def token_shards(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes, writes and reads back: id_col, start, n_tokens (with the end id), ids_crc32, shard.
 
-    Null or empty text is the end id alone. A null id sorts first; repeated ids are each kept, in the order of their texts.
+    Null or empty text is the end id alone. A null id sorts first; repeated ids are each kept, in an order that a hash of their
+    texts gives.
     An empty table gives no shards and no rows. Other columns of `docs` are not read.
     """
     root = work_path(docs.sparkSession, "shards")
     return read_shards(write_shards(docs, root, path, end_id, id_col, text_col), root, id_col)
 
 
-def lookup(root: str, manifest: DataFrame, doc_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def lookup(root: str, manifest: DataFrame, doc_ids: DataFrame, id_col: str = "doc_id", block: int = 1_000_000) -> DataFrame:
     """Ids of single documents without reading whole shards: a row (id_col, ids) for each wanted id that a shard has.
 
-    The first keys of all shards go to the tasks, as a table of at most a million rows; more are refused. Of repeated ids
-    the first is found.
+    First and last keys of up to `block` shards go to the tasks at a time; with more shards, blocks of them take turns. Of
+    rows that repeat an id the first is found.
     """
-    shards = manifest.select("shard", "first_key").orderBy("first_key").limit(1_000_001).collect()
-    if len(shards) > 1_000_000:
-        raise ValueError("too many shards to look up at once: look up ranges of ids")
-    names, firsts = [r["shard"] for r in shards], [bytes(r["first_key"]) for r in shards]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = doc_ids.select(F.col(id_col).cast("long").alias("id")).distinct()
+    ordered = manifest.select("shard", "first_key", "last_key").orderBy("first_key", "last_key").toLocalIterator()
+    found = None
+    while shards := list(islice(ordered, block)):
+        part = wanted.mapInArrow(_finder(root, [(r["shard"], bytes(r["first_key"])[:_ID], bytes(r["last_key"])[:_ID]) for r in shards]), "id long, ids array<long>")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return wanted.select(F.col("id").alias(id_col), F.array().cast("array<long>").alias("ids")).where("false")
+    # an id whose rows go on from one block of shards into the next
+    return found.groupBy("id").agg(F.first("ids").alias("ids")).withColumnRenamed("id", id_col)
+
+
+def _finder(root: str, shards: list[tuple[str, bytes, bytes]]):
+    """A task's part of `lookup`, among some shards in order: ids are grouped by the first shard that may have them."""
+    lasts = [last for _, _, last in shards]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = filesystem(root)
         for batch in batches:
             by_shard: dict[int, list[int | None]] = {}
             for doc in batch.column(0).to_pylist():
-                by_shard.setdefault(bisect.bisect_right(firsts, key_of(doc)) - 1, []).append(doc)
+                by_shard.setdefault(bisect.bisect_left(lasts, key_of(doc)[:_ID]), []).append(doc)
             found: list[tuple] = []
-            for k, wanted in by_shard.items():
-                if k >= 0:
-                    with store.open_input_file(f"{folder}/{names[k]}") as source:
+            for k, docs in by_shard.items():
+                docs = [d for d in docs if k < len(shards) and key_of(d)[:_ID] >= shards[k][1]]
+                if docs:
+                    with store.open_input_file(f"{folder}/{shards[k][0]}") as source:
                         reader = ShardReader(source)
-                        for doc in wanted:
+                        for doc in docs:
                             if (value := reader.get(key_of(doc))) is not None:
                                 found.append((doc, np.frombuffer(value, "<u4" if value[0] else "<u2", offset=1).tolist()))
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], [id_col, "ids"])
+            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["id", "ids"])
 
-    return doc_ids.select(id_col).mapInArrow(read, f"{id_col} long, ids array<long>")
+    return run
