@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from gleaner.llm import bpe, langid, lines, media, packing, quality_rules, ranker, simhash, sstable, textscan, tokens, urls
 from gleaner.llm.queries import tokenizer_path
@@ -183,13 +185,28 @@ def test_bpe_digests(odd, library):
 def test_token_shards(spark, odd, library):
     got = sorted(sstable.token_shards(odd, tokenizer_path()).collect(), key=lambda r: r["start"])
     ids_of = lambda t: library.encode(t or "", add_special_tokens=False).ids + [2]
-    data = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in data]
-    start = 0
-    for r, d in zip(got, data, strict=True):
-        ids = ids_of(d["text"])
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    data = Counter((r["doc_id"], zlib.crc32(np.array(ids_of(r["text"]), "<u4").tobytes()), len(ids_of(r["text"]))) for r in odd.select("doc_id", "text").collect())
+    assert Counter((r["doc_id"], r["ids_crc32"], r["n_tokens"]) for r in got) == data
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert order == sorted(order)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+
+
+def test_rows_of_one_id_need_not_share_a_shard(spark, library):
+    rows = [(7, f"text {k} of the same id") for k in range(300)] + [(3, "before"), (9, "after")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    root = work_path(spark, "shards")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together
+    try:
+        manifest = sstable.write_shards(df, root, tokenizer_path(), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(sstable.read_shards(manifest, root).collect(), key=lambda r: r["start"])
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) > 1
+    assert [r["doc_id"] for r in got] == [3, *[7] * 300, 9] and got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
+    wanted = spark.createDataFrame([(3,), (7,), (8,), (9,)], "doc_id long")
+    for block in (1, 1000):
+        assert sorted(r["doc_id"] for r in sstable.lookup(root, manifest, wanted, block=block).collect()) == [3, 7, 9]
 
 
 def test_shard_lookup(spark, docs, library):
@@ -265,10 +282,23 @@ def test_media_round_trip(odd):
         body = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         want[(r["doc_id"], len(raw), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]))] += 1
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
-    by = {}
-    for r in got:
-        by.setdefault((r["payload_sha256"], r["n_bytes"]), set()).add((r["media_bytes"], r["media_sha256"], r["feature"]))
-    assert all(len(v) == 1 for v in by.values())
+    for r in odd.select("doc_id", "text").collect():  # the stored form and the features, put together in plain Python
+        raw = (r["text"] or "").encode()
+        body = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        places = media.cut_places(np.frombuffer(body, np.uint8))
+        edges = media.chunk_edges(places, 0, len(body))
+        chunks = [body[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        stored = [min((c, zstandard.ZstdCompressor(level=3).compress(c)), key=len) for c in chunks]
+        form = b"GLMEDIA1" + struct.pack("<QQI", len(raw), len(body), len(chunks)) + b"".join(hashlib.sha256(c).digest() + struct.pack("<II", len(c), len(z)) for c, z in zip(chunks, stored, strict=True)) + b"".join(stored)
+        share = np.array(list(Counter(body).values())) / len(body)
+        mean = sum(body) / len(body)
+        var = sum((x - mean) ** 2 for x in body) / len(body)
+        want_ = (len(form), hashlib.sha256(form).hexdigest(), len(chunks))
+        mine = [g for g in got if g["doc_id"] == r["doc_id"] and g["payload_sha256"] == hashlib.sha256(body).hexdigest() and g["n_bytes"] == len(raw)]
+        assert mine and all((g["media_bytes"], g["media_sha256"], g["n_chunks"]) == want_ for g in mine)
+        for g in mine:
+            units, m, v, e, kinds = map(int, g["feature"].split(":"))
+            assert units == len(body) // 192 and kinds == len(share) and abs(m - 1000 * mean) <= 1 and abs(v - 1000 * var) <= 1 and abs(e + 1000 * (share * np.log2(share)).sum()) <= 1
 
 
 def test_chunks_follow_content():
@@ -286,8 +316,10 @@ def test_shared_chunks_have_one_place(spark):
     df = spark.createDataFrame([(i, body if i else body + "x") for i in range(6)], "doc_id long, text string").repartition(6)
     root = work_path(spark, "media")
     chunks = media.write_packs(df, root)
-    places = [(p["digest"], p["pack"], p["offset"]) for r in media.recipes(chunks).collect() for p in r["parts"]]
+    places = [(bytes(r["digest"]), r["pack"], r["at"]) for r in media.placed(chunks).collect()]
     assert len({p[0] for p in places}) == len(set(places))
+    sums = media.unreferenced(chunks).first()
+    assert 0 < sums["unreferenced"] < sums["stored"]
 
 
 # --- quality ranking and language
