@@ -3,7 +3,8 @@
 Two sets that are similar enough share one of their first elements in any order that holds for all sets. Sets are filed
 under those, common shingles last. Pairs that meet too seldom to be similar are dropped, the rest are verified. Large
 groups are first joined by links to a few of their members, and then only pairs of different groups are looked at; so no
-link is lost that components need, and a group of near copies costs no square of its size.
+link is lost that components need, and a group of near copies costs no square of its size. A large file is cut into blocks,
+and each pair of its blocks meets in a task of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import textscan
@@ -25,8 +26,10 @@ BLOCK_BYTES = 1 << 20
 #: Texts, about, in which common shingles are counted, how often one must be there, and how many at most are put last. They
 #: decide the order of shingles alone: any order finds all pairs.
 SAMPLE, OFTEN, COMMON = 20_000, 3, 200_000
-#: Members of a file that all others of it are tried against, and files of common shingles for each set, in the first pass.
+#: Members of a file, about, that all others of it are tried against, and files of common shingles for each set, in the first pass.
 HUBS, FILES = 3, 6
+#: Sets of a file; a larger one is cut into blocks.
+FILE_SETS = 20_000
 #: Pairs returned at a time, and bits (a power of two) of the map of sets that are to be verified.
 PAIRS, MAP_BITS = 1 << 17, 1 << 25
 #: Sets whose repetition a task remembers.
@@ -98,61 +101,128 @@ def _filed(sets: DataFrame, common, share: Fraction, hot: bool) -> DataFrame:
                         k = np.concatenate([keys[p] for p in part.tolist()]).view(np.int64)
                         yield pa.record_batch([k, np.repeat(node[part], size[part]), np.repeat(own[part], size[part]), np.repeat(total[part], size[part])], ["key", "node", "own", "n"])
 
-    return sets.select("node", "own", "hashes").mapInArrow(run, "key long, node long, own long, n int").repartition("key").sortWithinPartitions("key")
+    return sets.select("node", "own", "hashes").mapInArrow(run, "key long, node long, own long, n int")
 
 
-def _met(filed: DataFrame, share: Fraction, hubs: bool) -> DataFrame:
-    """(a, b, na, nb) for each file: pairs of different groups, or pairs with one of HUBS members, if their sizes allow a link."""
+def _fits(a: str, b: str, share: Fraction) -> Column:
+    """Whether the sizes of two sets allow a link."""
+    return F.least(a, b) * share.denominator >= F.greatest(a, b) * share.numerator
+
+
+def _tried(filed: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b) for each set b: of the few members of its files that all are tried against, that which it meets most.
+
+    The members are those that are least by each of HUBS hashes, so they come from one aggregation, and a file that a third of all sets are in
+    meets them in a join that Spark can split.
+    """
+    filed = written(filed.select("key", "node", "n"), "files")
+    least = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(HUBS)]
+    few = filed.groupBy("key").agg(F.count("*").alias("c"), *least).where("c > 1")
+    few = few.select("key", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(HUBS)]))).alias("m"))
+    few = written(few.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("na")), "members")
+    met = filed.join(few, "key").where((F.col("a") != F.col("node")) & _fits("na", "n", share))
+    met = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+
+
+MET = "a long, b long, na int, nb int, own long"
+
+
+def _met(filed: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b, na, nb): pairs of sets of different groups that stand in one file, once for each file, if their sizes allow a link."""
+    limit = FILE_SETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), np.int64)
+        rest, large = np.empty((4, 0), np.int64), None
         for batch in batches:
             rest = np.concatenate([rest, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])], axis=1)
-            whole = int(np.searchsorted(rest[0], rest[0, -1], "left")) if rest.shape[1] else 0  # the last file may go on
-            yield from _pairs(rest[:, :whole], share, hubs)
+            if not rest.shape[1]:
+                continue
+            whole = int(np.searchsorted(rest[0], rest[0, -1], "left"))  # the last file may go on
+            for part in (rest[:, :whole], rest[:, whole:] if rest.shape[1] - whole > limit else rest[:, :0]):
+                small, over = _by_size(part, large, limit)
+                yield from _pairs(small, share)
+                if over.shape[1]:
+                    large = int(over[0, -1])
+                    yield _batch_of(over[0], over[1], over[3], np.full(over.shape[1], -1), over[2])
+            rest = rest[:, whole:] if rest.shape[1] - whole <= limit else rest[:, :0]
+        small, over = _by_size(rest, large, limit)
+        yield from _pairs(small, share)
+        if over.shape[1]:
+            yield _batch_of(over[0], over[1], over[3], np.full(over.shape[1], -1), over[2])
+
+    # rows of large files come out as they went in: key, node, n, -1, own
+    out = written(filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, MET), "met")
+    pairs = out.where("own IS NULL").drop("own")
+    over = out.where("own IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("node"), "own", F.col("na").alias("n"))
+    if not over.limit(1).count():
+        return pairs
+    over = over.distinct()  # a set that several tasks have filed
+    sizes = written(over.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("blocks")), "sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    blocks = over.join(sizes, "key").withColumn("block", own)
+    ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
+    dealt = blocks.select("key", "node", "own", "n", "block", F.explode(ends).alias("e"))
+    dealt = dealt.select(F.xxhash64("key", "e.low", "e.high").alias("key"), "node", "own", "n", F.when(F.col("e.low") == F.col("e.high"), -1).otherwise(F.col("block")).alias("block"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((5, 0), np.int64)
+        for batch in batches:
+            rest = np.concatenate([rest, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])], axis=1)
+            whole = int(np.searchsorted(rest[0], rest[0, -1], "left")) if rest.shape[1] else 0
+            yield from _pairs(rest[:4, :whole], share, rest[4, :whole])
             rest = rest[:, whole:]
-        yield from _pairs(rest, share, hubs)
+        yield from _pairs(rest[:4], share, rest[4])
+
+    more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, MET)
+    return pairs.unionByName(more.drop("own"))
+
 
-    return filed.mapInArrow(run, "a long, b long, na int, nb int")
+def _by_size(rows: np.ndarray, large: int | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of files to be paired here, and of large files: those of more than `limit` rows, and the one known to be large."""
+    key = rows[0]
+    if not len(key):
+        return rows, rows
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    many = np.repeat(np.diff(edge), np.diff(edge))
+    over = many > limit
+    if large is not None:
+        over |= key == large
+    return rows[:, ~over], rows[:, over]
 
 
-def _pairs(rows: np.ndarray, share: Fraction, hubs: bool) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: np.ndarray, share: Fraction, block: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of complete files; rows: key, node, own, n. With `block`, of different blocks alone where it is not negative."""
     order = np.lexsort((rows[1], rows[0]))
-    rows = rows[:, order]
+    rows, block = rows[:, order], block if block is None else block[order]
     if rows.shape[1]:  # a set that several tasks have filed
-        rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])]
+        once = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+        rows, block = rows[:, once], block if block is None else block[once]
     key, node, own, n = rows
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    many = np.diff(np.append(edge, len(key)))
-    ahead = np.repeat(edge, many)  # where each row's file begins
     out, held = [], 0
     active, shift = np.arange(len(key)), 1
-    while len(active) and not (hubs and shift > HUBS):
-        if hubs:  # the file's member of place shift - 1 with all after it
-            left = ahead + shift - 1
-            right = np.flatnonzero(np.arange(len(key)) > left)
-            left = left[right]
-            left, right = left[key[left] == key[right]], right[key[left] == key[right]]
-        else:
-            active = active[active + shift < len(key)]
-            active = active[key[active] == key[active + shift]]
-            left, right = active, active + shift
+    while len(active):
+        active = active[active + shift < len(key)]
+        active = active[key[active] == key[active + shift]]
+        left, right = active, active + shift
         ok = (own[left] != own[right]) & (np.minimum(n[left], n[right]) * share.denominator >= np.maximum(n[left], n[right]) * share.numerator)
+        if block is not None:
+            ok &= (block[left] < 0) | (block[left] != block[right])
         left, right = left[ok], right[ok]
         if len(left):
             out.append(np.stack([node[left], node[right], n[left], n[right]]))
             held += len(left)
         if held >= PAIRS:
-            yield _batch(out)
+            yield _batch_of(*np.concatenate(out, axis=1))
             out, held = [], 0
         shift += 1
     if out:
-        yield _batch(out)
+        yield _batch_of(*np.concatenate(out, axis=1))
 
 
-def _batch(out: list[np.ndarray]) -> pa.RecordBatch:
-    a, b, na, nb = np.concatenate(out, axis=1)
-    return pa.record_batch([a, b, na.astype(np.int32), nb.astype(np.int32)], ["a", "b", "na", "nb"])
+def _batch_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, own: np.ndarray | None = None) -> pa.RecordBatch:
+    last = pa.nulls(len(a), pa.int64()) if own is None else pa.array(own)
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), last], ["a", "b", "na", "nb", "own"])
 
 
 def _map(pairs: DataFrame) -> np.ndarray:
@@ -223,19 +293,18 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: st
     sets = rows.where(F.col("hashes").isNotNull()).select("node", "hashes")
 
     # groups: links of sets to a few members of the files of common shingles, for each set to those it meets most
-    met = _met(_filed(sets.withColumn("own", F.col("node")), common, share, True), share, True)
-    met = met.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    hubs = _verified(written(met.select("a", "b"), "met"), sets, share)
+    tried = _tried(_filed(sets.withColumn("own", F.col("node")), common, share, True), share)
+    hubs = _verified(written(tried, "tried"), sets, share)
     roots = components(hubs)
 
     # pairs of different groups: all that may be similar
     inner = _among(sets, hubs).join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("own"), "hashes")
     grouped = inner.unionByName(_among(sets, hubs, False).withColumn("own", F.col("node")))
-    met = _met(_filed(grouped, common, share, False), share, False)
+    met = _met(_filed(grouped, common, share, False), share)
     p, q = share.numerator, share.denominator
     least = F.ceil((F.col("na") + F.col("nb")) * F.lit(p) / F.lit(p + q) - 1e-6) - F.ceil(F.greatest("na", "nb") * F.lit(p) / F.lit(q) - 1e-6) + 1
     met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("a", "b")
-    roots = components(hubs.unionByName(_verified(written(met, "met"), sets, share)))
+    roots = components(hubs.unionByName(_verified(written(met, "candidates"), sets, share)))
 
     distinct = rows.groupBy("node").agg(F.min("id").alias("least"))
     named = written(distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
