@@ -1,6 +1,7 @@
 """Near copies by Jaccard similarity against a comparison of all pairs."""
 
 import numpy as np
+import pytest
 
 from gleaner.llm import jaccard
 
@@ -43,7 +44,9 @@ def edited(r, words, k):
     return out
 
 
-def test_all_pairs_at_the_bound_and_none_below(spark):
+@pytest.mark.parametrize("file_sets", [20_000, 4])  # 4: most files are cut into blocks
+def test_all_pairs_at_the_bound_and_none_below(spark, monkeypatch, file_sets):
+    monkeypatch.setattr(jaccard, "FILE_SETS", file_sets)
     r = np.random.default_rng(5)
     passage, texts = [f"p{k}" for k in range(60)], []
     for b in range(25):
