@@ -28,6 +28,8 @@ BLOCK_BYTES = 1 << 20
 SAMPLE, OFTEN, COMMON = 20_000, 3, 200_000
 #: Members of a file, about, that all others of it are tried against, and files of common shingles for each set, in the first pass.
 HUBS, FILES = 3, 6
+#: Bits (a power of two, of 64 at least) by whose parity two sets are told apart before they are compared.
+ODD_BITS = 256
 #: Sets of a file; a larger one is cut into blocks.
 FILE_SETS = 20_000
 #: Pairs returned at a time, and bits (a power of two) of the map of sets that are to be verified.
@@ -78,13 +80,17 @@ def _common(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, n
 
 
 def _filed(sets: DataFrame, common, share: Fraction, hot: bool) -> DataFrame:
-    """(key, node, own, n) for the first shingles of each set (a, and `own`, its group) by rarity; if `hot`, for a few common ones only."""
+    """(key, node, own, n, rare, bits) for the first shingles of each set by rarity; if `hot`, for a few common ones only.
+
+    `own` is the set's group, `n` its size, `rare` how many of its shingles are not common ones. `bits` has, for each value of
+    a shingle's last bits, whether the set has an odd number of such shingles; rows of common shingles alone carry it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n = common.value
         for batch in batches:
             node, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keys = []
+            keys, often, rare, total, odd = [], [], [], [], []
             for raw in batch.column(2):
                 x = np.frombuffer(raw.as_buffer(), np.uint64)
                 size = len(x)
@@ -92,16 +98,45 @@ def _filed(sets: DataFrame, common, share: Fraction, hot: bool) -> DataFrame:
                 at = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
                 count = np.where(h[at] == x, n[at], 0) if len(h) else np.zeros(size, np.int64)
                 order = np.argsort(count, kind="stable")[:first]  # x ascends: equal counts by hash
-                keys.append(x[order[count[order] > 0][:FILES]] if hot else x[order])
+                order = order[count[order] > 0][:FILES] if hot else order
+                keys.append(x[order])
+                often.append(count[order] > 0)
+                rare.append(int((count == 0).sum()))
+                total.append(size)
+                odd.append(np.packbits(np.bincount((x & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1 == 1, bitorder="little"))
             size = np.array([len(x) for x in keys], np.int64)
-            total = np.array([len(raw.as_buffer()) // 8 for raw in batch.column(2)], np.int32)
-            if size.sum():
-                for part in np.array_split(np.arange(len(keys)), max(1, int(size.sum()) // PAIRS)):
-                    if size[part].sum():
-                        k = np.concatenate([keys[p] for p in part.tolist()]).view(np.int64)
-                        yield pa.record_batch([k, np.repeat(node[part], size[part]), np.repeat(own[part], size[part]), np.repeat(total[part], size[part])], ["key", "node", "own", "n"])
-
-    return sets.select("node", "own", "hashes").mapInArrow(run, "key long, node long, own long, n int")
+            if not size.sum():
+                continue
+            total, rare, odd = np.array(total, np.int32), np.array(rare, np.int32), np.array(odd)
+            for part in np.array_split(np.arange(len(keys)), max(1, int(size.sum()) // PAIRS)):
+                if size[part].sum():
+                    k = np.concatenate([keys[p] for p in part.tolist()]).view(np.int64)
+                    each = lambda values, part=part: np.repeat(values[part], size[part], axis=0)
+                    with_bits = np.concatenate([often[p] for p in part.tolist()]) & (not hot)
+                    yield pa.record_batch([k, each(node), each(own), each(total), each(rare), _binary(each(odd), with_bits)], ["key", "node", "own", "n", "rare", "bits"])
+
+    return sets.select("node", "own", "hashes").mapInArrow(run, "key long, node long, own long, n int, rare int, bits binary")
+
+
+def _binary(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column; null where not valid."""
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum(valid * rows.shape[1], out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(rows[valid].tobytes())])
+
+
+def _columns(batch: pa.RecordBatch, longs: tuple[str, ...]) -> np.ndarray:
+    """Columns of integers and, below, the four words of `bits` (0 for null), as rows of int64."""
+    bits = np.zeros((batch.num_rows, ODD_BITS // 64), np.int64)
+    column = batch.column(batch.schema.get_field_index("bits"))
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    some = column.drop_null()
+    if len(some):
+        _, ends, data = some.buffers()
+        start = np.frombuffer(ends, np.int32)[some.offset]
+        bits[there] = np.frombuffer(data, np.uint8)[start : start + len(some) * ODD_BITS // 8].view(np.int64).reshape(len(some), -1)
+    named = [batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in longs]
+    return np.concatenate([np.stack(named), bits.T])
 
 
 def _fits(a: str, b: str, share: Fraction) -> Column:
@@ -112,30 +147,32 @@ def _fits(a: str, b: str, share: Fraction) -> Column:
 def _tried(filed: DataFrame, share: Fraction) -> DataFrame:
     """(a, b) for each set b: of the few members of its files that all are tried against, that which it meets most.
 
-    The members are those that are least by each of HUBS hashes, so they come from one aggregation, and a file that a third of all sets are in
-    meets them in a join that Spark can split.
+    The members are those with the fewest rare shingles, as an original among edited copies has, told apart by HUBS hashes;
+    so they come from one aggregation, and a file that a third of all sets are in meets them in a join that Spark can split.
     """
-    filed = written(filed.select("key", "node", "n"), "files")
-    least = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(HUBS)]
+    filed = written(filed.select("key", "node", "n", (F.col("rare") / F.col("n")).alias("odd")), "files")
+    order = [F.struct("odd" if not k else F.floor(F.col("odd") * 10), F.xxhash64("node", F.lit(k))) for k in range(HUBS)]
+    least = [F.min_by(F.struct("node", "n", "odd"), order[k]).alias(f"m{k}") for k in range(HUBS)]
     few = filed.groupBy("key").agg(F.count("*").alias("c"), *least).where("c > 1")
     few = few.select("key", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(HUBS)]))).alias("m"))
-    few = written(few.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("na")), "members")
+    few = written(few.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.odd").alias("oa")), "members")
     met = filed.join(few, "key").where((F.col("a") != F.col("node")) & _fits("na", "n", share))
-    met = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
-    return met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    met = met.groupBy("a", "oa", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("oa"), "a")).alias("a")).select("a", "b")
 
 
-MET = "a long, b long, na int, nb int, own long"
+MET = "a long, b long, na int, nb int, own long, bits binary"
 
 
 def _met(filed: DataFrame, share: Fraction) -> DataFrame:
     """(a, b, na, nb): pairs of sets of different groups that stand in one file, once for each file, if their sizes allow a link."""
     limit = FILE_SETS
+    longs = ("key", "node", "own", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, large = np.empty((4, 0), np.int64), None
+        rest, large = np.empty((len(longs) + ODD_BITS // 64, 0), np.int64), None
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])], axis=1)
+            rest = np.concatenate([rest, _columns(batch, longs)], axis=1)
             if not rest.shape[1]:
                 continue
             whole = int(np.searchsorted(rest[0], rest[0, -1], "left"))  # the last file may go on
@@ -144,17 +181,16 @@ def _met(filed: DataFrame, share: Fraction) -> DataFrame:
                 yield from _pairs(small, share)
                 if over.shape[1]:
                     large = int(over[0, -1])
-                    yield _batch_of(over[0], over[1], over[3], np.full(over.shape[1], -1), over[2])
+                    yield _as_filed(over)
             rest = rest[:, whole:] if rest.shape[1] - whole <= limit else rest[:, :0]
         small, over = _by_size(rest, large, limit)
         yield from _pairs(small, share)
         if over.shape[1]:
-            yield _batch_of(over[0], over[1], over[3], np.full(over.shape[1], -1), over[2])
+            yield _as_filed(over)
 
-    # rows of large files come out as they went in: key, node, n, -1, own
     out = written(filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, MET), "met")
-    pairs = out.where("own IS NULL").drop("own")
-    over = out.where("own IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("node"), "own", F.col("na").alias("n"))
+    pairs = out.where("own IS NULL").drop("own", "bits")
+    over = out.where("own IS NOT NULL").select(F.col("a").alias("key"), F.col("b").alias("node"), "own", F.col("na").alias("n"), "bits")
     if not over.limit(1).count():
         return pairs
     over = over.distinct()  # a set that several tasks have filed
@@ -162,20 +198,27 @@ def _met(filed: DataFrame, share: Fraction) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     blocks = over.join(sizes, "key").withColumn("block", own)
     ends = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
-    dealt = blocks.select("key", "node", "own", "n", "block", F.explode(ends).alias("e"))
-    dealt = dealt.select(F.xxhash64("key", "e.low", "e.high").alias("key"), "node", "own", "n", F.when(F.col("e.low") == F.col("e.high"), -1).otherwise(F.col("block")).alias("block"))
+    dealt = blocks.select("key", "node", "own", "n", "bits", "block", F.explode(ends).alias("e"))
+    dealt = dealt.select(F.xxhash64("key", "e.low", "e.high").alias("key"), "node", "own", "n", F.when(F.col("e.low") == F.col("e.high"), -1).otherwise(F.col("block")).alias("block"), "bits")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((5, 0), np.int64)
+        own_longs = (*longs, "block")
+        rest = np.empty((len(own_longs) + ODD_BITS // 64, 0), np.int64)
         for batch in batches:
-            rest = np.concatenate([rest, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)])], axis=1)
+            rest = np.concatenate([rest, _columns(batch, own_longs)], axis=1)
             whole = int(np.searchsorted(rest[0], rest[0, -1], "left")) if rest.shape[1] else 0
-            yield from _pairs(rest[:4, :whole], share, rest[4, :whole])
+            yield from _pairs(np.delete(rest[:, :whole], 4, axis=0), share, rest[4, :whole])
             rest = rest[:, whole:]
-        yield from _pairs(rest[:4], share, rest[4])
+        yield from _pairs(np.delete(rest, 4, axis=0), share, rest[4])
 
     more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, MET)
-    return pairs.unionByName(more.drop("own"))
+    return pairs.unionByName(more.drop("own", "bits"))
+
+
+def _as_filed(rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of large files as they came in (key, node, n, -1, own, bits), to be filed anew."""
+    words = np.ascontiguousarray(rows[4:].T).view(np.uint8).reshape(rows.shape[1], -1)
+    return _batch_of(rows[0], rows[1], rows[3], np.full(rows.shape[1], -1), rows[2], _binary(words, np.ones(rows.shape[1], bool)))
 
 
 def _by_size(rows: np.ndarray, large: int | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,23 +235,31 @@ def _by_size(rows: np.ndarray, large: int | None, limit: int) -> tuple[np.ndarra
 
 
 def _pairs(rows: np.ndarray, share: Fraction, block: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Pairs of complete files; rows: key, node, own, n. With `block`, of different blocks alone where it is not negative."""
+    """Pairs of complete files; rows: key, node, own, n and the words of `bits`. With `block`, of different blocks alone where it is not negative.
+
+    Two sets differ in at least as many shingles as their bits do, so pairs whose bits differ too much are no links.
+    """
     order = np.lexsort((rows[1], rows[0]))
     rows, block = rows[:, order], block if block is None else block[order]
     if rows.shape[1]:  # a set that several tasks have filed
         once = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
         rows, block = rows[:, once], block if block is None else block[once]
-    key, node, own, n = rows
+    key, node, own, n = rows[:4]
+    bits = np.ascontiguousarray(rows[4:].T).view(np.uint64)
+    p, q = share.numerator, share.denominator
     out, held = [], 0
     active, shift = np.arange(len(key)), 1
     while len(active):
         active = active[active + shift < len(key)]
         active = active[key[active] == key[active + shift]]
         left, right = active, active + shift
-        ok = (own[left] != own[right]) & (np.minimum(n[left], n[right]) * share.denominator >= np.maximum(n[left], n[right]) * share.numerator)
+        ok = (own[left] != own[right]) & (np.minimum(n[left], n[right]) * q >= np.maximum(n[left], n[right]) * p)
         if block is not None:
             ok &= (block[left] < 0) | (block[left] != block[right])
         left, right = left[ok], right[ok]
+        # a link differs in at most (q - p) / (q + p) of the shingles of both
+        ok = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) * (q + p) <= (q - p) * (n[left] + n[right])
+        left, right = left[ok], right[ok]
         if len(left):
             out.append(np.stack([node[left], node[right], n[left], n[right]]))
             held += len(left)
@@ -220,9 +271,9 @@ def _pairs(rows: np.ndarray, share: Fraction, block: np.ndarray | None = None) -
         yield _batch_of(*np.concatenate(out, axis=1))
 
 
-def _batch_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, own: np.ndarray | None = None) -> pa.RecordBatch:
-    last = pa.nulls(len(a), pa.int64()) if own is None else pa.array(own)
-    return pa.record_batch([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), last], ["a", "b", "na", "nb", "own"])
+def _batch_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, own: np.ndarray | None = None, bits: pa.Array | None = None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())] if own is None else [pa.array(own), bits]
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), *rest], ["a", "b", "na", "nb", "own", "bits"])
 
 
 def _map(pairs: DataFrame) -> np.ndarray:
