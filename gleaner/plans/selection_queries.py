@@ -70,7 +70,23 @@ def k1_k_center(spark, sf_dir):
     return _picked(spark, sf_dir, "k_center")
 
 
-@query()
+#: From the picks of `k_center`: rows go to their nearest medoid, and each cluster's row with the greatest sum of cosines to it is next, until none changes.
+_MEDOIDS = """, m AS (SELECT 0 AS turn, [C] AS med, false AS done
+ UNION ALL SELECT turn + 1, next, next = med FROM (SELECT turn, med, [coalesce(new[i], med[i]) FOR i IN range(1, 9)] AS next FROM
+ (SELECT turn, med, map_from_entries(list((c, mid))) AS new FROM (SELECT turn, med, c, arg_max(a, (v, -a)) AS mid FROM
+ (SELECT turn, med, c, g.a, round(sum(s), 9) AS v FROM (SELECT turn, med, c, unnest(rows) AS a, rows FROM
+ (SELECT turn, med, c, list(b) AS rows FROM (SELECT turn, med, b, arg_min(i, (-round(s, 9), i)) AS c FROM (SELECT turn, med, i, med[i] AS mid FROM m, range(1, 9) u(i) WHERE NOT done AND turn < 100) x JOIN p ON p.a = mid GROUP BY turn, med, b) y GROUP BY turn, med, c) z) g
+ JOIN p ON p.a = g.a AND list_contains(rows, p.b) GROUP BY turn, med, c, g.a) h GROUP BY turn, med, c) j GROUP BY turn, med) k) l)
+SELECT i::INTEGER AS rank, med[i] AS vec_id FROM (SELECT arg_max(med, turn) AS med FROM m) t, range(1, 9) u(i)"""
+
+
+def _medoids() -> str:
+    sql = _steps("SELECT a AS id FROM p GROUP BY a ORDER BY round(avg(s), 9), a LIMIT 1", _FARTHEST.replace("FN", "max"))
+    head, _ = sql.rsplit(" SELECT 1::INTEGER AS rank", 1)
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + _MEDOIDS.replace("[C]", "[" + ", ".join(f"(SELECT id FROM c{i})" for i in range(1, K + 1)) + "]")
+
+
+@query(_medoids())
 def k2_k_medoids(spark, sf_dir):
     return _picked(spark, sf_dir, "k_medoids")
 
