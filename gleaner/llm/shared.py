@@ -3,39 +3,27 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOTS: dict[str, str] = {}
+from gleaner.sources.tables import shared_folder
+
 _MADE: dict[str, list[str]] = {}
 _LEFT: dict[str, list[str]] = {}
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is missing, a session of one machine (local[...]) gets a temporary folder; a cluster gets an error,
-    as its executors can't see each other's disks.
-    """
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = context.applicationId
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="spark-gleaner-")
-        root = _LOCAL_ROOTS[app]
+    """A new address below the shared folder (see `shared_folder`): that which the cluster names in spark.checkpoint.dir."""
+    root = shared_folder(spark)
     if "://" not in root and root.startswith("/"):
         root = "file://" + root
     elif root.startswith("file:/") and not root.startswith("file://"):
         root = "file://" + root[len("file:") :]
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _MADE.setdefault(context.applicationId, []).append(path)
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
