@@ -263,23 +263,40 @@ def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str
 
     rows = df.select(F.col(group).cast("long"), F.col(key).cast("long"), *[F.col(c).cast("long") for c in B.Box._fields], F.col(score).cast("double"))
     schema = f"{group} long, {key} long, {score} double"
-    large = staged(rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > pass_rows).select(group), "large")
-    if not large.limit(1).count():
+    large = _large(rows, group, pass_rows)
+    if large is None:
         return _by_group(rows, group, [F.col(score).desc(), F.col(key)], decide, schema)
     small = _by_group(rows.join(large, group, "left_anti"), group, [F.col(score).desc(), F.col(key)], decide, schema)
-    return small.unionByName(_eliminated(rows.join(large, group, "left_semi"), group, key, score, threshold, top))
+    return small.unionByName(_nms_in_rounds(rows.join(large, group, "left_semi"), group, key, score, threshold, top))
+
+
+def _large(rows: DataFrame, group: str, pass_rows: int) -> DataFrame | None:
+    """Groups of more than `pass_rows` rows, if there are any."""
+    large = staged(rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > pass_rows).select(group), "large")
+    return large if large.limit(1).count() else None
 
 
-def _eliminated(df: DataFrame, group: str, key: str, score: str, threshold: float, top: int | None) -> DataFrame:
-    """`nms` in rounds: boxes whose better neighbours are all gone stay, and their worse neighbours go, until none is left."""
+def _nms_in_rounds(df: DataFrame, group: str, key: str, score: str, threshold: float, top: int | None) -> DataFrame:
     rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), *B.Box._fields, F.col(score).alias("s"))
     scores = staged(rows.select("g", "k", "s"), "boxes")
     pairs = overlapping_pairs(rows, "g", "k", threshold).where(F.col("iou") > threshold).select("g", "i", "j")
     ends = [scores.select("g", F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ij"]
     pairs = pairs.join(ends[0], ["g", "i"]).join(ends[1], ["g", "j"])
     first = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
-    pairs = staged(pairs.select("g", F.when(first, F.col("i")).otherwise(F.col("j")).alias("better"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("worse")), "pairs")
-    left, stays = scores.select("g", "k"), None
+    pairs = pairs.select("g", F.when(first, F.col("i")).otherwise(F.col("j")).alias("better"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("worse"))
+    kept = scores.join(_staying(scores.select("g", "k"), pairs), ["g", "k"], "left_semi")
+    if top is not None:
+        w = Window.partitionBy("g").orderBy(F.col("s").desc(), "k")
+        kept = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    return kept.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(score))
+
+
+def _staying(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Nodes (g, k) that no better node that stays excludes, by pairs (g, better, worse) that have no cycles.
+
+    In rounds: those whose better ones are all gone stay, their worse ones go, until none is left.
+    """
+    pairs, left, stays = staged(pairs, "pairs"), nodes, None
     while left.limit(1).count():
         held = pairs.select("g", F.col("worse").alias("k")).distinct()
         now = staged(left.join(held, ["g", "k"], "left_anti"), "stays")
@@ -288,11 +305,7 @@ def _eliminated(df: DataFrame, group: str, key: str, score: str, threshold: floa
         left = staged(left.join(now, ["g", "k"], "left_anti").join(gone, ["g", "k"], "left_anti"), "left")
         both = left.select("g", F.col("k").alias("better")), left.select("g", F.col("k").alias("worse"))
         pairs = staged(pairs.join(both[0], ["g", "better"], "left_semi").join(both[1], ["g", "worse"], "left_semi"), "pairs")
-    kept = scores.join(stays, ["g", "k"], "left_semi") if stays is not None else scores
-    if top is not None:
-        w = Window.partitionBy("g").orderBy(F.col("s").desc(), "k")
-        kept = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
-    return kept.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(score))
+    return nodes if stays is None else stays
 
 
 def process_bboxes(df: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -307,11 +320,11 @@ def rank_crops(df: DataFrame, balance: str, least: float = 0.20, threshold: floa
     return nms(df.where(F.col(balance) >= least), threshold=threshold, top=top)
 
 
-def dedup_pairs(pairs: DataFrame, cells: DataFrame, threshold: float = 0.5) -> DataFrame:
+def dedup_pairs(pairs: DataFrame, cells: DataFrame, threshold: float = 0.5, pass_rows: int = PASS_ROWS) -> DataFrame:
     """(image_id, pair_id) of mask pairs that stay: one goes if both its masks overlap those of an earlier one that stays by more than the threshold, either way round.
 
     `cells` has (image_id, pair_id, side 'a' or 'b', y, x). Overlaps come from a join on cells, so only pairs of pairs that
-    touch are looked at.
+    touch are looked at. Images of up to `pass_rows` pairs are decided in one pass each, larger ones in rounds.
     """
     c1 = cells.select("image_id", F.col("pair_id").alias("i"), F.col("side").alias("s"), "y", "x")
     c2 = cells.select("image_id", F.col("pair_id").alias("j"), F.col("side").alias("t"), "y", "x")
@@ -322,7 +335,15 @@ def dedup_pairs(pairs: DataFrame, cells: DataFrame, threshold: float = 0.5) -> D
     sides = {f"{s}{t}": F.max(F.when((F.col("s") == s) & (F.col("t") == t), iou)) for s in "ab" for t in "ab"}
     by = joined.groupBy("image_id", "i", "j").agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sides.items()])
     same = ((F.col("aa") > threshold) & (F.col("bb") > threshold)) | ((F.col("ab") > threshold) & (F.col("ba") > threshold))
-    links = by.where(same).groupBy("image_id", F.col("j").alias("pair_id")).agg(F.collect_list("i").alias("earlier"))
+    same_pairs = by.where(same).select("image_id", "i", "j")
+    large = _large(pairs, "image_id", pass_rows)
+    if large is not None:
+        own = pairs.join(large, "image_id", "left_semi")
+        nodes = staged(own.select(F.col("image_id").cast("long").alias("g"), F.col("pair_id").cast("long").alias("k")), "nodes")
+        links = same_pairs.join(large, "image_id", "left_semi").select(F.col("image_id").alias("g"), F.col("i").alias("better"), F.col("j").alias("worse"))
+        in_rounds = _staying(nodes, links).select(F.col("g").alias("image_id"), F.col("k").alias("pair_id"))
+        pairs, same_pairs = (d.join(large, "image_id", "left_anti") for d in (pairs, same_pairs))
+    links = same_pairs.groupBy("image_id", F.col("j").alias("pair_id")).agg(F.collect_list("i").alias("earlier"))
     rows = pairs.select("image_id", "pair_id").join(links, ["image_id", "pair_id"], "left").select(F.col("image_id").cast("long"), F.col("pair_id").cast("long"), "earlier")
 
     def decide(group: list[tuple]) -> list[tuple]:
@@ -332,7 +353,8 @@ def dedup_pairs(pairs: DataFrame, cells: DataFrame, threshold: float = 0.5) -> D
                 stays.add(pair)
         return [(g, p) for g, p, _ in group if p in stays]
 
-    return _by_group(rows, "image_id", [F.col("pair_id")], decide, "image_id long, pair_id long")
+    in_passes = _by_group(rows, "image_id", [F.col("pair_id")], decide, "image_id long, pair_id long")
+    return in_passes if large is None else in_passes.unionByName(in_rounds)
 
 
 def dedup_text_pairs(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
