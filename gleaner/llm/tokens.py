@@ -22,9 +22,9 @@ from gleaner.llm.textscan import blocks, utf8
 #: Bytes of text cut at a time. Bounds the memory of a task, whatever the number and length of its texts.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text whose pieces are put together and encoded at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20
 #: Bytes of distinct pieces that a Python worker remembers between batches, and of their ids and places.
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 48 << 20
 
 
 @functools.cache
