@@ -67,7 +67,8 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col:
     met = each.join(known.select("short", "digest", "rule", "action"), "short").where(F.col("found") == F.col("digest"))
     order = F.struct(F.length("rule").alias("n"), F.length("suffix").alias("m"), "rule", "action")
     best = met.groupBy("host", "path").agg(F.max(order).alias("best")).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
-    best = written(best, "best")  # so that a hot URL's rows can be split in the join
+    # written, so that a hot URL's rows can be split in the join; its size follows that of the pages: a merge join at every size
+    best = written(best, "best").hint("merge")
     out = rows.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("action", F.lit(otherwise)).alias("verdict"))
 
