@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, langid, lines, media, packing, quality_rules, ranker, simhash, sstable, textscan, tokens, urls
 from gleaner.llm.queries import tokenizer_path
@@ -518,11 +519,18 @@ def test_large_files_are_filed_anew(spark, monkeypatch):
 
 
 def test_one_file_of_very_many_fingerprints(spark):
-    """200,000 fingerprints that agree in 40 bits: one file of each of three keys, and links of a hub."""
-    rows = spark.range(200_000).selectExpr("((id * 2654435761) % 16777213) * 5 % 16777216 AS fp").distinct()
-    n = rows.count()
-    got = simhash.components(simhash.forests(simhash.distances(rows)))
-    assert n > 100_000 and got.select("root").distinct().count() == 1 and got.count() == n - 1  # so many of 24 bits are all connected
+    """200,000 fingerprints that agree in two blocks, so that they make one file, and a thousand more at three bits from one of them."""
+    base = spark.range(200_000).selectExpr("id", "shiftleft(pmod(xxhash64(id), 274877906944L), 26) + 12345 AS fp")
+    flip = sum(1 << b for b in (30, 45, 60))
+    near = base.where("id < 1000").selectExpr("id", f"fp ^ {flip}L AS near")
+    rows = base.select("fp").unionByName(near.select(F.col("near").alias("fp"))).distinct()
+    roots = simhash.components(simhash.forests(simhash.distances(rows))).cache()
+    of = lambda c, n: F.coalesce(F.col(n), F.col(c))
+    pairs = base.join(near, "id").join(roots.toDF("fp", "r1"), "fp", "left").join(roots.toDF("near", "r2"), "near", "left")
+    assert pairs.count() == 1000 and pairs.where(of("fp", "r1") == of("near", "r2")).count() == 1000
+    # chance links among so many of 38 bits: about 670; no others
+    assert 1000 <= roots.count() < 2500 and roots.groupBy("root").count().agg(F.max("count")).first()[0] < 6
+    roots.unpersist()
 
 
 def test_components_of_a_hub(spark):
