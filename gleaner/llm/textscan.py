@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 def lean() -> None:
     """Lets this worker return the memory of large arrays once they are freed, where the C library can be told so."""
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        ctypes.CDLL("libc.so.6").mallopt(_M_MMAP_THRESHOLD, 16 << 20)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
