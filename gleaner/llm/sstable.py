@@ -182,9 +182,10 @@ def pack_ids(ids: np.ndarray, wide: bool) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row, written: id, h (a hash of the text) and value (a byte that tells the width, then the ids with the end id)."""
+    """Per row, written: id, h (a hash of the text) and value (compressed: a byte that tells the width, then the ids with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i, j, p in library_pieces(batch.column(2), path):
                 ids, at = p.tokens()
@@ -192,7 +193,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
                 for k in range(j - i):
                     own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id))
                     wide = bool(own.max() > 0xFFFF)
-                    values.append(bytes([wide]) + pack_ids(own, wide))
+                    values.append(squeeze.compress(bytes([wide]) + pack_ids(own, wide)))
                 yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(values, pa.binary())], ["id", "h", "value"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), text_col)
@@ -214,13 +215,14 @@ def write_shards(docs: DataFrame, root: str, path: str, end_id: int, id_col: str
         import uuid
 
         store, folder = filesystem(root)
+        unpack = zstandard.ZstdDecompressor()
         name, writer, sink, tokens, rows, first, key, last, ordinal = f"{uuid.uuid4().hex}.sst", None, None, 0, 0, None, b"", None, 0
         for batch in batches:
             for doc, h, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if writer is None:
                     sink = store.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(sink)
-                value = value.as_py()
+                value = unpack.decompress(value.as_buffer())
                 ordinal = ordinal + 1 if rows and (doc, h) == last else 0
                 last = (doc, h)
                 key = key_of(doc, h, ordinal)
