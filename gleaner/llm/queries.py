@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, langid, lines, media, packing, quality_rules, ranker, simhash, sstable, urls
+from gleaner.llm import bpe, divergence, langid, lines, media, negatives, packing, quality_rules, ranker, simhash, sketches, sstable, urls
 from gleaner.llm.shared import table
 
 
@@ -60,9 +60,21 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, langid.trained(docs))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compared(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op7_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op7_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE, "op11_source_audit": divergence.ORACLE, "op13_hard_negatives": negatives.ORACLE}

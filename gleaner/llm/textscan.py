@@ -64,9 +64,9 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (bytes other than white space), and the range of words of each document."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (bytes other than white space, or than those marked in `apart`), and the range of words of each document."""
+    solid = ~apart[data]
     before, after = np.zeros_like(solid), np.zeros_like(solid)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     inner = offsets[:-1][offsets[:-1] < len(data)]
