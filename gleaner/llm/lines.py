@@ -30,14 +30,15 @@ def _part(*of: str) -> Column:
 def spread_lines(lines: DataFrame, min_sites: int, precision: int = 10) -> DataFrame:
     """Hashes of lines on `min_sites` sites or more, from rows (h, site).
 
-    Rows are reduced to distinct (line, site) first, so that a line has as many rows as sites. Lines on one site only are
-    left out by the least and greatest site hash. A sketch of 2^precision registers has a relative error of about
-    1.04 / sqrt(2^precision); estimates within four errors of the threshold (and within 1 at least) are settled by exact
-    counts, so the result is that of exact counts but for an error of more than four deviations. Sketches are made for parts
-    of a line's sites and merged, so the shuffle between lets Spark split a hot line's rows in the join before.
+    Lines on one site only are left out by the least and greatest site hash. All others are sketched from their rows as they
+    are: a task sums up the rows that it has of a line before any is shuffled, and sketches of parts of a line's sites are
+    merged, so the shuffle between lets Spark split a hot line's rows in the join before. A sketch of 2^precision registers has
+    a relative error of about 1.04 / sqrt(2^precision). Only lines whose estimate is within four errors of the threshold (and
+    within 1 at least) are reduced to distinct (line, site) and counted, so the result is that of exact counts but for an
+    error of more than four deviations.
     """
     # the number of 0 for a null site, which counts as a site of its own
-    sites = written(lines.select("h", F.xxhash64("site").alias("s")).distinct(), "sites")
+    sites = lines.select("h", F.xxhash64("site").alias("s"))
     if min_sites <= 1:
         return sites.select("h").distinct()
     several = written(sites.groupBy("h").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a < b").select("h"), "several")
@@ -47,8 +48,7 @@ def spread_lines(lines: DataFrame, min_sites: int, precision: int = 10) -> DataF
     margin = max(1.0, 4 * 1.04 / 2 ** (precision / 2) * min_sites)
     sure = sketched.where(F.col("n") > min_sites + margin).select("h")
     near = sketched.where(F.abs(F.col("n") - min_sites) <= margin).select("h")
-    # such a line has few rows more than the threshold
-    exact = sites.join(near, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h")
+    exact = sites.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h")
     return sure.unionByName(exact)
 
 
