@@ -221,11 +221,11 @@ def expected_words(emission: np.ndarray, letter: np.ndarray, docs: np.ndarray, m
     return out
 
 
-def trained(docs: DataFrame, quota: int = 500, held_out: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
+def trained(docs: DataFrame, quota: int = 500, held_out: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", run_words: int = 48, runs: int = 2) -> Field:
     """A field from about `quota` documents of each language at most, none of the held-out fold.
 
-    Of each sampled document, two runs of 48 words from places that a hash picks reach the driver, so what it holds is
-    bounded by the quota and the number of languages. Of rows that repeat an id and language, one counts. Null languages,
+    The field is fitted to a sample: of each sampled document, `runs` runs of `run_words` words, from places anywhere in the
+    text that a hash picks, reach the driver, so what it holds is bounded by these, the quota and the number of languages. Of rows that repeat an id and language, one counts. Null languages,
     ids and texts are left out.
     """
     modulus, remainder = held_out
@@ -235,9 +235,9 @@ def trained(docs: DataFrame, quota: int = 500, held_out: tuple[int, int] = (5, 0
     ids = written(ids, "languages")  # the quota for each language
     chosen = own.join(F.broadcast(ids), (F.col("_of") == F.col("_id")) & (F.col("_in") == F.col("_lang")))
     words = chosen.select("_id", "_lang", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "").alias("w")).where(F.size("w") > 0)
-    places = [F.slice("w", F.pmod(F.xxhash64("_id", F.lit(s)), F.greatest(F.size("w") - 47, F.lit(1))).cast("int") + 1, 48).alias(f"w{s}") for s in (1, 2)]
-    runs = words.select("_id", "_lang", F.struct(*places).alias("runs")).groupBy("_id", "_lang").agg(F.min("runs").alias("runs"))
-    rows = sorted((r["_lang"], r["runs"]["w1"], r["runs"]["w2"]) for r in runs.collect())
+    places = [F.slice("w", F.pmod(F.xxhash64("_id", F.lit(s)), F.greatest(F.size("w") - run_words + 1, F.lit(1))).cast("int") + 1, run_words).alias(f"w{s}") for s in range(1, runs + 1)]
+    taken = words.select("_id", "_lang", F.struct(*places).alias("runs")).groupBy("_id", "_lang").agg(F.min("runs").alias("runs"))
+    rows = sorted((r["_lang"], *r["runs"]) for r in taken.collect())
     langs = sorted({r[0] for r in rows})
     at = {x: i for i, x in enumerate(langs)}
     return fitted([(list(w), at[y]) for y, *both in rows for w in both], langs)
