@@ -256,21 +256,25 @@ def grouped(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
 def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `docs` with one row of each group of copies or near copies: that with the group's smallest id.
 
-    Groups are those of `grouped` and of `jaccard.alike` together: a row goes if either has a smaller id for it. Null and empty
-    texts are one group. Of rows that repeat an id one stays; of rows without an id, one of each text. An empty table stays
-    empty, and all columns stay.
+    Groups are those of `grouped` and of `jaccard.alike` together: a row goes if either has a row before it. Rows are told by
+    id and text (its hash), so rows that share an id but not a text are each judged by their own text; the one of the smaller
+    hash comes first, and rows without an id come after all others. Null and empty texts are one group; of rows that repeat
+    both id and text one stays. An empty table stays empty, and all columns stay.
     """
     from gleaner.llm import jaccard  # which needs this module
 
-    strict = grouped(docs, 3, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
-    wide = jaccard.alike(docs, shingle, similarity, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
-    marks = strict.unionByName(wide).where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    own_names = {n: f"__c{i}" for i, n in enumerate(docs.columns)}  # whatever `docs` calls its columns
+    own = docs.toDF(*own_names.values())
+    id_, text = F.col(own_names[id_col]), F.coalesce(F.col(own_names[text_col]), F.lit(""))
+    key = F.struct(id_.isNull().alias("last"), id_.alias("id"), F.xxhash64(text).alias("h"))
+    keyed = own.select(key.alias("key"), text.alias("text"))
+    strict = grouped(keyed, 3, "key", "text").select("key", "component_id")
+    wide = jaccard.alike(keyed, shingle, similarity, "key", "text").select("key", "component_id")
+    marks = strict.unionByName(wide).groupBy("key").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     marks = written(marks, "marks")
-    heads = marks.where(F.col("_id") == F.col("least")).select(F.col("_id").alias(id_col))
+    heads = marks.where(F.col("key") == F.col("least")).select(F.col("key.id").alias("id"), F.col("key.h").alias("h"))
     # the number of heads follows that of documents: a merge join at every size, not a broadcast while they are few
-    chosen = docs.join(heads.hint("merge"), id_col, "left_semi").select(docs.columns)
+    chosen = own.join(heads.hint("merge"), id_.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_semi")
     if marks.where("n > 2").limit(1).count():
-        chosen = chosen.dropDuplicates([id_col])
-    if strict.where(F.col("_id").isNull()).limit(1).count():
-        chosen = chosen.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return chosen
+        chosen = chosen.withColumn("h", F.xxhash64(text)).dropDuplicates([own_names[id_col], "h"])
+    return chosen.select(*[F.col(c).alias(n) for n, c in own_names.items()])

@@ -641,3 +641,15 @@ def test_clear_deletes_what_a_session_wrote(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist|path"):
         spark.read.parquet(df.inputFiles()[0] if df.inputFiles() else str(tmp_path / "none")).count()
     shared._MADE.update(kept)
+
+
+def test_near_copies_of_one_id_are_told_by_text(spark):
+    """Rows that share an id and not a text stay, unless their text is a copy; of full repeats one stays."""
+    text = lambda k, n=60: " ".join(f"w{k}x{i * i % 997}" for i in range(n))
+    kept = lambda rows: sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.kept(spark.createDataFrame(rows, "doc_id long, text string, __h int, key string")).collect())
+    full = lambda rows: [(*r, 1, "k") for r in rows]
+    assert kept(full([(1, text(1)), (1, text(2)), (2, text(3))])) == sorted([("1", text(1)), ("1", text(2)), ("2", text(3))])
+    assert kept(full([(2, text(1)), (5, text(1)), (5, text(2))])) == sorted([("2", text(1)), ("5", text(2))])
+    assert kept(full([(7, text(1)), (7, text(1)), (7, text(2))])) == sorted([("7", text(1)), ("7", text(2))])
+    assert kept(full([(None, text(1)), (None, text(2)), (None, text(2)), (3, text(1))])) == sorted([("3", text(1)), ("None", text(2))])
+    assert kept(full([(4, None), (2, ""), (4, text(1))])) == sorted([("2", ""), ("4", text(1))])
