@@ -99,9 +99,18 @@ def containment(a: Sketch, b: Sketch, scaled: int = SCALED) -> float:
     return len(np.intersect1d(own, b[0], assume_unique=True)) / len(own)
 
 
+def _bytes(sketch: Sketch) -> bytes:
+    return sketch[0].astype(">u8").tobytes()
+
+
 def written_form(sketch: Sketch) -> str:
     """`all:` or `part:` and the hashes in ascending order, sixteen lower-case hex digits each."""
-    return ("all:" if sketch[1] else "part:") + sketch[0].astype(">u8").tobytes().hex()
+    return ("all:" if sketch[1] else "part:") + _bytes(sketch).hex()
+
+
+def _form(whole: str, hashes: str) -> Column:
+    """`written_form` of stored columns."""
+    return F.concat(F.when(F.col(whole), "all:").otherwise("part:"), F.lower(F.hex(hashes)))
 
 
 def read_form(text: str) -> Sketch:
@@ -146,9 +155,9 @@ def edited(text: str, following: str) -> str:
 
 #: A row of `compared` is a document's result, the text that a task met first, or the last one, whose next another task has.
 RESULT, HEAD, OPEN = 0, 1, 2
-_FIELDS = "role int, part int, doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, packed binary"
+_FIELDS = "role int, part int, doc_id {kind}, n_chars long, edited_sha256 string, whole boolean, own binary, edited_whole boolean, edited binary, near_edited double, near_next double, packed binary"
 _NAMES = [x.split()[0] for x in _FIELDS.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary()]
+_TYPES = [pa.int32(), pa.int32(), None, pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.bool_(), pa.binary(), pa.float64(), pa.float64(), pa.binary()]
 
 
 def _batch(ids: pa.Array, columns: list[list]) -> pa.RecordBatch:
@@ -169,8 +178,10 @@ def _results(part: int, ids: pa.Array, texts: list[str], nexts: list[str], own:
             [],
             [len(t) for t in texts],
             [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new],
-            [written_form(s) for s in own],
-            [written_form(s) for s in other],
+            [s[1] for s in own],
+            [_bytes(s) for s in own],
+            [s[1] for s in other],
+            [_bytes(s) for s in other],
             [containment(a, b, scaled) for a, b in zip(own, other, strict=True)],
             [containment(a, b, scaled) for a, b in zip(own, following, strict=True)],
             [None] * n,
@@ -179,7 +190,7 @@ def _results(part: int, ids: pa.Array, texts: list[str], nexts: list[str], own:
 
 
 def _edge(role: int, part: int, ids: pa.Array, text: bytes) -> pa.RecordBatch:
-    return _batch(ids, [[role], [part], [], [None], [None], [None], [None], [None], [None], [text]])
+    return _batch(ids, [[role], [part], [], *[[None]] * (len(_TYPES) - 4), [text]])
 
 
 def _squeezed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -257,4 +268,5 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scaled: int = SCALED, leas
 
     closed = ends.select("part", "doc_id", "packed", "following").mapInArrow(close, schema)
     out = rows.where(F.col("role") == RESULT).unionByName(closed)
-    return out.select(F.col("doc_id").alias(id_col), *_NAMES[3:-1])
+    forms = _form("whole", "own").alias("fingerprint"), _form("edited_whole", "edited").alias("edited_fingerprint")
+    return out.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", *forms, "near_edited", "near_next")
