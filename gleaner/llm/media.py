@@ -75,8 +75,8 @@ def filesystem(root: str) -> tuple[pafs.FileSystem, str]:
     return store, path
 
 
-#: A row per chunk. `part` is the task that wrote the pack; a document's first chunk has its recipe.
-CHUNK_ROW = "part int, home string, doc_no long, id long, ord int, digest binary, offset long, stored int, recipe binary"
+#: A row per chunk. `part` is the task that wrote the pack; a document's first chunk has its recipe; ids are of the table's type.
+CHUNK_ROW = "part int, home string, doc_no long, id {kind}, ord int, digest binary, offset long, stored int, recipe binary"
 _HEAD, _PART = struct.Struct("<QQI"), struct.Struct("<32sII")
 
 
@@ -149,9 +149,9 @@ def write_packs(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: st
         if sink is not None:
             sink.close()
 
-    chunks = f"{root}/chunks"
-    docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, CHUNK_ROW).write.parquet(chunks)
-    return docs.sparkSession.read.schema(CHUNK_ROW).parquet(chunks)
+    chunks, row = f"{root}/chunks", CHUNK_ROW.format(kind=dict(docs.dtypes)[id_col])
+    docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, row).write.parquet(chunks)
+    return docs.sparkSession.read.schema(row).parquet(chunks)
 
 
 def placed(chunks: DataFrame) -> DataFrame:
@@ -239,7 +239,9 @@ def rebuilt(chunks: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs, unpack = PackReader(root), zstandard.ZstdDecompressor()
         doc, recipe, places, out = None, None, [], []
+        kind = pa.null()
         for batch in batches:
+            kind = batch.column(1).type
             for home, ident, ord_, own, pack, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not ord_:  # a document's first chunk
                     if recipe is not None:
@@ -247,18 +249,18 @@ def rebuilt(chunks: DataFrame, root: str, id_col: str = "doc_id") -> DataFrame:
                     packs.at_home(home)
                     doc, recipe, places = ident, own, []
                 places.append((pack, at))
-            yield _results(out, id_col)
+            yield _results(out, id_col, kind)
             out = []
         if recipe is not None:
-            yield _results([document(packs, unpack, doc, recipe, places)], id_col)
+            yield _results([document(packs, unpack, doc, recipe, places)], id_col, kind)
 
     columns = rows.select("home", "id", "ord", "recipe", "pack", "at")
-    return columns.mapInArrow(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int")
+    return columns.mapInArrow(run, f"{id_col} {dict(chunks.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int")
 
 
-def _results(rows: list[tuple], id_col: str) -> pa.RecordBatch:
+def _results(rows: list[tuple], id_col: str, kind: pa.DataType) -> pa.RecordBatch:
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    types = [kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -266,7 +268,7 @@ def _results(rows: list[tuple], id_col: str) -> pa.RecordBatch:
 def stored_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`rebuilt` of all rows of `docs`, through packs and recipes in the shared folder.
 
-    Null and empty texts are one unit of spaces, with n_bytes 0. Null ids and repeated rows are each stored and read; equal
+    Ids may be of any type. Null and empty texts are one unit of spaces, with n_bytes 0. Null ids and repeated rows are each stored and read; equal
     texts have equal values. An empty table gives an empty result. Other columns are not read.
     """
     root = work_path(docs.sparkSession, "media")

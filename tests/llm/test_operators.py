@@ -206,8 +206,44 @@ def test_rows_of_one_id_need_not_share_a_shard(spark, library):
     assert len({r["shard"] for r in got if r["doc_id"] == 7}) > 1
     assert [r["doc_id"] for r in got] == [3, *[7] * 300, 9] and got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
     wanted = spark.createDataFrame([(3,), (7,), (8,), (9,)], "doc_id long")
-    for block in (1, 1000):
-        assert sorted(r["doc_id"] for r in sstable.lookup(root, manifest, wanted, block=block).collect()) == [3, 7, 9]
+    texts = {}
+    for d, t in sorted(rows, key=lambda r: r[0], reverse=True):
+        texts.setdefault(d, set()).add(tuple(library.encode(t, add_special_tokens=False).ids + [2]))
+    for group in (1, 2, 1000):
+        found = {r["doc_id"]: tuple(r["ids"]) for r in sstable.lookup(root, manifest, wanted, group=group).collect()}
+        assert sorted(found) == [3, 7, 9] and all(v in texts[k] for k, v in found.items())
+
+
+def test_keys_sort_as_ids_do():
+    some = [None, -5, 0, 7, 1 << 62, "", "\x00", "\x00a", "a", "a\x00", "aa", "b", "é", "日本"]
+    keys = [sstable.key_of(x, h, k) for x in some for h in (-3, 9) for k in (0, 1)]
+    assert keys == sorted(keys) and [sstable.id_of(sstable.key_of(x)) for x in some] == some
+
+
+def test_shards_of_string_ids_roll_over(spark, library, monkeypatch):
+    """Several shards from one task, keyed by strings; memory and size of a shard don't follow the range."""
+    rows = [(f"doc-{k:03d}" if k else None, f"some text {k} " * (k % 7)) for k in range(200)] + [("doc-007", "another text"), ("é", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    root = work_path(spark, "shards")
+    manifest = sstable.write_shards(df, root, tokenizer_path(), 2, shard_rows=25)
+    assert manifest.count() > 5
+    got = sorted(sstable.read_shards(manifest, root, kind="string").collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted((r[0] for r in rows), key=lambda d: (d is not None, (d or "").encode()))
+    data = Counter((d, zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for d, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == data
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    wanted = spark.createDataFrame([("doc-150",), ("é",), ("none",), ("doc-007",), (None,)], "doc_id string")
+    for group in (1, 4, 1000):
+        found = {r["doc_id"]: r["ids"] for r in sstable.lookup(root, manifest, wanted, group=group).collect()}
+        assert set(found) == {"doc-150", "é", "doc-007", None} and found["é"] == [2]
+        assert found["doc-150"] == library.encode(dict(rows)["doc-150"], add_special_tokens=False).ids + [2]
+
+
+def test_media_of_string_ids(spark):
+    rows = [("a", "text one"), ("b", None), (None, "text one"), ("a", "x" * 5000)]
+    got = media.stored_and_read(spark.createDataFrame(rows, "name string, body string"), "name", "body").collect()
+    assert Counter((r["name"], r["n_bytes"], r["payload_sha256"]) for r in got) == Counter((n, len(t or ""), hashlib.sha256(media.payload((t or "").encode())).hexdigest()) for n, t in rows)
 
 
 def test_shard_lookup(spark, docs, library):
@@ -231,8 +267,8 @@ def test_shard_file_round_trip(tmp_path):
     reader = sstable.ShardReader(pafs.LocalFileSystem().open_input_file(str(path)))
     assert len(reader.places) > 1
     assert [(sstable.id_of(k), v) for k, v in reader.scan()] == [(i * 3 - 4000, bytes([i % 251]) * (i % 90)) for i in range(5000)]
-    assert all(reader.get(sstable.key_of(i * 3 - 4000)) == bytes([i % 251]) * (i % 90) for i in range(0, 5000, 97))
-    absent = [sstable.key_of(i * 3 - 3999) for i in range(2000)]
+    assert all(reader.get(sstable.id_bytes(i * 3 - 4000)) == bytes([i % 251]) * (i % 90) for i in range(0, 5000, 97))
+    absent = [sstable.id_bytes(i * 3 - 3999) for i in range(2000)]
     assert all(reader.get(k) is None for k in absent[:50])
     assert sum(map(reader.may_have, absent)) < 100
 
