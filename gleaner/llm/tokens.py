@@ -19,8 +19,11 @@ import pyarrow.compute as pc
 
 from gleaner.llm.textscan import blocks, utf8
 
-#: Bytes of text cut at a time. Bounds the memory of a task, whatever the number and length of its texts.
+#: Bytes of text cut at a time. Bounds the memory of a task, whatever the number and length of its texts, but for the longest
+#: piece: one run of letters, digits, marks or spaces is cut whole.
 BLOCK_BYTES = 1 << 20
+#: Bytes in which the end of a part is looked for at a time.
+WINDOW_BYTES = 1 << 16
 #: Bytes of text whose pieces are put together and encoded at a time.
 GROUP_BYTES = 16 << 20
 #: Bytes of distinct pieces that a Python worker remembers between batches, and of their ids and places.
@@ -45,8 +48,8 @@ def _classes() -> np.ndarray:
 def cut(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of all pieces (and the end), and the range of pieces of each document. Special tokens' strings are pieces.
 
-    Long texts are cut part by part: a space after another character than white space begins a piece whatever follows, so
-    parts may end there.
+    Long texts are cut part by part, at places where a piece begins whatever stands before and after: at a space after another
+    character than white space, and at a mark other than the apostrophe after a letter or digit.
     """
     raw = data.tobytes()
     holes = np.array(list(_found(raw, offsets, special)) if special else [], np.int64).reshape(-1, 2)
@@ -81,20 +84,27 @@ def _found(raw: bytes, offsets: np.ndarray, special: tuple[bytes, ...]) -> Itera
         at = min(m.end(), edge)
 
 
-_SOLID_SPACE = re.compile(rb"[!-~] ")
-
-
 def _part_end(raw: bytes, low: int, bounds: np.ndarray) -> int:
-    """Where a part that begins at `low` may end: at a document's edge, else before a space after a printing ASCII character."""
-    want = low + BLOCK_BYTES
-    if want >= len(raw):
+    """Where a part that begins at `low` may end: at a document's edge, else at the next place where a piece surely begins."""
+    at = low + BLOCK_BYTES
+    if at >= len(raw):
         return len(raw)
-    k = int(np.searchsorted(bounds, want, "right")) - 1
+    k = int(np.searchsorted(bounds, at, "right")) - 1
     if bounds[k] > low + BLOCK_BYTES // 2:
         return int(bounds[k])
     following = int(bounds[k + 1]) if k + 1 < len(bounds) else len(raw)
-    found = _SOLID_SPACE.search(raw, want, following)
-    return found.end() - 1 if found else following
+    while at < following:
+        while at < following and raw[at] & 0xC0 == 0x80:  # within a character
+            at += 1
+        text = raw[at : min(at + WINDOW_BYTES, following)].decode("utf-8", "ignore")  # without a character that is cut
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = _classes()[points]
+        sure = (kind[:-1] != 3) & (points[1:] == 0x20)
+        sure |= (kind[:-1] > 0) & (kind[:-1] < 3) & (kind[1:] == 0) & (points[1:] != 0x27)
+        if sure.any():
+            return at + len(text[: int(sure.argmax()) + 1].encode())
+        at += max(1, len(text[:-1].encode()))  # the last character may be followed by such a place
+    return following
 
 
 def _piece_starts(raw: bytes, bounds: np.ndarray) -> np.ndarray:
@@ -228,11 +238,33 @@ def tokenizer(path: str):
     return found
 
 
+#: What a tokenizer's file must say for the rule by which texts are cut here (fixed values of the format).
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN = {"dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def unlike(spec: dict) -> list[str]:
+    """In what a tokenizer's specification asks for another rule than that of this module: none if its ids come out right."""
+    model, first = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    out = [] if spec.get("normalizer") is None else ["normalizer"]
+    out += [f"pre_tokenizer.{k}" for k, v in _BYTE_LEVEL.items() if first.get(k, v if k == "use_regex" else None) != v]
+    out += [] if model.get("type", "BPE") == "BPE" else ["model.type"]
+    out += [f"model.{k}" for k, v in _PLAIN.items() if (model.get(k) or None) != (v or None)]
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    return out + [f"added_tokens.{k}" for k in flags if any(t.get(k) for t in spec.get("added_tokens") or [])]
+
+
 @functools.cache
 def special_texts(path: str) -> tuple[bytes, ...]:
-    """The added tokens' strings; the library gives their ids wherever the strings stand in a text."""
+    """The added tokens' strings; the library gives their ids wherever the strings stand in a text.
+
+    A file whose texts are to be cut by another rule is an error, as its ids would be wrong.
+    """
     with open(path, encoding="utf-8") as f:
-        return tuple(t["content"].encode() for t in json.load(f).get("added_tokens", []))
+        spec = json.load(f)
+    if found := unlike(spec):
+        raise ValueError(f"{path} is not a byte-level BPE of the rule that texts are cut by here: {', '.join(found)}")
+    return tuple(t["content"].encode() for t in spec.get("added_tokens") or [])
 
 
 _memory: dict[str, Memory] = {}

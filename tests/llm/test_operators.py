@@ -689,3 +689,38 @@ def test_near_copies_of_one_id_are_told_by_text(spark):
     assert kept(full([(7, text(1)), (7, text(1)), (7, text(2))])) == sorted([("7", text(1)), ("7", text(2))])
     assert kept(full([(None, text(1)), (None, text(2)), (None, text(2)), (3, text(1))])) == sorted([("3", text(1)), ("None", text(2))])
     assert kept(full([(4, None), (2, ""), (4, text(1))])) == sorted([("2", ""), ("4", text(1))])
+
+
+def test_tokenizers_of_other_rules_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    assert tokens.unlike(spec) == []
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        tokens.special_texts.cache_clear()
+        with pytest.raises(ValueError, match="other.json"):
+            tokens.special_texts(str(path))
+
+
+@pytest.mark.parametrize("window", [1 << 16, 7])
+def test_long_texts_without_ascii_spaces_are_cut_in_parts(monkeypatch, library, window):
+    """Parts end within texts of other scripts, and the pieces are those of the whole text."""
+    monkeypatch.setattr(tokens, "WINDOW_BYTES", window)
+    texts = ["中文文本，没有空格。" * 60, "ไทย" * 40 + "、" + "日本語のテキスト！" * 50, "l'été’s «naïve»" * 40, "é’s\u00a0 x  y" * 60, "字" * 300, "a'b'ct'sé'll，" * 50, "１２３,４５６;" * 40, "\u2003\u2003x" * 99]
+    data, offsets = textscan.utf8(pa.array(texts))
+    whole = tokens.cut(data, offsets)
+    ends = []
+    find = tokens._part_end
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(tokens, "_part_end", lambda *a: ends.append(find(*a)) or ends[-1])
+    parts = tokens.cut(data, offsets)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    inner = np.setdiff1d(ends, offsets)
+    assert len(inner) > 20 and max(np.diff([0, *ends])) <= 900
+    for k, t in enumerate(texts):
+        raw, at = t.encode(), whole[0][whole[1][k] : whole[1][k + 1] + 1] - offsets[k]
+        ids = [i for a, b in zip(at[:-1], at[1:], strict=True) for i in library.encode(raw[a:b].decode(), add_special_tokens=False).ids]
+        assert ids == library.encode(t, add_special_tokens=False).ids
