@@ -39,8 +39,8 @@ def expressions(rules: DataFrame) -> DataFrame:
     """Rules (action, rule) by their expression `host` + `path`; of two actions for one rule, block holds."""
     made = rules.where(F.col("rule").isNotNull() & F.col("action").isin("block", "allow") & (F.instr("rule", "/") > 0))
     host, path = F.translate(F.regexp_extract("rule", "^[^/]*", 0), UPPER, LOWER), F.regexp_extract("rule", "(?s)/.*$", 0)
-    made = made.select(F.concat(host, path).alias("rule"), host.alias("of"), F.length(path).alias("n"), "action")
-    return _digested(made.groupBy("rule", "of", "n").agg(F.max("action").alias("action")), "rule")  # "block" comes after "allow"
+    made = made.select(F.concat(host, path).alias("rule"), F.length(path).alias("n"), "action")
+    return _digested(made.groupBy("rule", "n").agg(F.max("action").alias("action")), "rule")  # "block" comes after "allow"
 
 
 def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -59,9 +59,10 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col:
 
     distinct = rows.where((F.col("host") != "") & F.col("path").startswith("/")).select("host", "path").distinct()
     suffixed = distinct.select("host", "path", F.explode(_suffixes(F.col("host"))).alias("suffix"))
-    # prefixes of the lengths that rules of that host have
-    lengths = known.select(F.col("of").alias("suffix"), "n").distinct()
-    each = suffixed.join(lengths, "suffix").where(F.col("n") <= F.length("path"))
+    # prefixes of the lengths that occur in rules: one row, whose numbers are no more than the longest rule has characters
+    lengths = known.agg(F.collect_set("n").alias("lengths"))
+    fits = F.filter("lengths", lambda n: n <= F.length("path"))
+    each = suffixed.join(F.broadcast(lengths)).select("host", "path", "suffix", F.explode(fits).alias("n"))
     each = each.withColumn("expression", F.concat("suffix", F.col("path").substr(F.lit(1), F.col("n"))))
     each = _digested(each.select("host", "path", "suffix", "expression"), "expression").withColumnRenamed("digest", "found")
     met = each.join(known.select("short", "digest", "rule", "action"), "short").where(F.col("found") == F.col("digest"))
