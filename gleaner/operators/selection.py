@@ -1,12 +1,13 @@
 """Subset selection, suppression and pairing: operators whose choices depend on earlier choices.
 
-Selections of k rows run one Spark job per pick over a written table of vectors; only the picked row reaches the driver.
-For large k, `mode="partitioned"` picks within hash groups first and then among what those picked.
+Selections of k rows take many picks a job: the best rows by the value so far come to the driver with the best value of all
+others, and as values only fall, picks among the former are right until none of them beats the latter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import boxes as B
 from gleaner.functions import vectors as V
+from gleaner.operators import cells
 from gleaner.operators import vectors as VO
 from gleaner.operators.joins import overlapping_pairs
 from gleaner.operators.ordering import minmax, seeded
@@ -22,16 +24,9 @@ from gleaner.operators.records import fix_tiny, valid_boxes
 from gleaner.sources.tables import staged
 
 METHODS = ("k_center", "k_medoids", "maxmin", "facility_location", "quality_diversity", "quality")
-
-
-def _vector(v: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
-
-
-def _best(rows: DataFrame, value: Column, key: str, largest: bool):
-    """The row with the best value; near ties (nine places) go to the smallest key."""
-    order = F.struct((F.round(value, 9) if largest else -F.round(value, 9)).alias("v"), (-F.col(key)).alias("k"))
-    return rows.agg(F.max_by(F.struct(key, "u"), order).alias("r")).first()["r"]
+#: Rows that come to the driver for a round of picks, least and most; vectors whose distances to all rows are taken at a time;
+#: rows of lowest similarity that are kept for each.
+FEW, MANY, PROBES, LOWEST = 512, 4096, 256, 16
 
 
 def _units(df: DataFrame, key: str, vector: str, extra: list[str]) -> DataFrame:
@@ -42,61 +37,220 @@ def _result(df: DataFrame, key: str, picked: list[int]) -> DataFrame:
     return df.sparkSession.createDataFrame([(i + 1, p) for i, p in enumerate(picked)], f"rank int, {key} long")
 
 
-def _loop(rows: DataFrame, key: str, k: int, start: Column, largest_start: bool, step, score: Column, largest: bool, every: int = 8) -> list[int]:
-    """The common loop: a running column `m` is updated with the similarity to the last pick, and the best remaining row is next."""
-    first = _best(rows, start, key, largest_start)
-    picked = [first[key]]
-    state, last = rows.withColumn("m", F.lit(None).cast("double")), first["u"]
+def _order(value: np.ndarray, keys: np.ndarray) -> int:
+    """The place of the greatest value; near ties (nine places) go to the smallest key."""
+    value = value.round(9)
+    best = np.flatnonzero(value == value.max())
+    return int(best[keys[best].argmin()])
+
+
+def _like_all(rows: DataFrame, vectors: np.ndarray, gone: np.ndarray, key: str) -> DataFrame:
+    """`rows` (key, u, ..., m) with m raised to the greatest similarity to any of `vectors`, without the rows of the keys in `gone`."""
+    sent = rows.sparkSession.sparkContext.broadcast((vectors, gone))  # a round's picks, MANY at most
+    names = rows.columns
+    at_key, at_u, at_m = (names.index(c) for c in (key, "u", "m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old = sent.value
+        for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column(at_key).to_numpy(), old)))
+            if batch.num_rows:
+                m = np.maximum(batch.column(at_m).to_numpy(), (cells.matrix(batch.column(at_u)) @ new.T).max(axis=1, initial=-np.inf))
+                yield pa.record_batch([pa.array(m) if k == at_m else c for k, c in enumerate(batch.columns)], names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _greedy(rows: DataFrame, key: str, k: int, first: int, first_vector: list[float], value: Callable, columns: list[str]) -> list[int]:
+    """Greedy picks after `first`, always the row of the greatest value(m, *columns): m is its greatest similarity to the chosen.
+
+    A value must not rise with m. A round writes m for all rows, and brings the best of them to the driver, with the one after
+    as the bound for all the rest. Picks among them hold while they beat that bound, so a round makes one pick at least.
+    """
+    picked = [first]
+    take = min(MANY, max(FEW, k))
+    state = rows.withColumn("m", F.lit(float("-inf")))
+    new = np.array([first_vector])
     while len(picked) < k:
-        sim = V.dot(F.col("u"), _vector(last))
-        state = state.where(F.col(key) != picked[-1]).withColumn("m", step(F.col("m"), sim))
-        if len(picked) % every == 0:
-            state = staged(state, "loop")
-        best = _best(state, score, key, largest)
-        if best is None:
+        state = staged(_like_all(state, new, np.array(picked), key), "similarity")
+        shown = value(F.col("m"), *[F.col(c) for c in columns])
+        best = state.select(key, "u", "m", *columns).orderBy(F.round(shown, 9).desc(), key).limit(take + 1).toArrow()
+        if not best.num_rows:
             break
-        picked.append(best[key])
-        last = best["u"]
+        keys, u, m = best[key].to_numpy(), cells.matrix(best["u"].combine_chunks()), best["m"].to_numpy().copy()
+        extra = [best[c].to_numpy() for c in columns]
+        rest = None
+        if best.num_rows > take:
+            rest = (float(value(m, *extra)[take].round(9)), -int(keys[take]))
+        open_ = np.arange(min(take, best.num_rows))
+        new = []
+        while len(open_) and len(picked) < k:
+            now = value(m[open_], *[x[open_] for x in extra])
+            at = _order(now, keys[open_])
+            if rest is not None and new and (float(now[at].round(9)), -int(keys[open_[at]])) <= rest:
+                break
+            chosen = open_[at]
+            picked.append(int(keys[chosen]))
+            new.append(u[chosen])
+            open_ = np.delete(open_, at)
+            m[open_] = np.maximum(m[open_], u[open_] @ u[chosen])
+        new = np.array(new)
     return picked
 
 
+def _extreme(rows: DataFrame, value: Column, key: str) -> tuple[int, list[float]] | None:
+    """Key and vector of the row with the greatest value; near ties go to the smallest key."""
+    best = rows.agg(F.max_by(F.struct(key, "u"), F.struct(F.round(value, 9).alias("v"), (-F.col(key)).alias("k"))).alias("r")).first()["r"]
+    return None if best is None else (best[key], best["u"])
+
+
 def k_center(df: DataFrame, key: str, vector: str, k: int) -> list[int]:
     """The row least like the mean, then always the row farthest from the chosen ones."""
     rows = _units(df, key, vector, [])
-    mean = VO.centroid(rows, "u", normalize=False).first()["centroid"]
-    return _loop(rows, key, k, V.dot(F.col("u"), _vector(mean)), False, lambda m, s: F.greatest(m, s), F.col("m"), False)
+    mean = VO.centroid(rows, "u", normalize=False).select(F.col("centroid").alias("c"))
+    first = _extreme(rows.join(F.broadcast(mean)), -V.dot(F.col("u"), F.col("c")), key)  # one row
+    return _greedy(rows, key, k, *first, lambda m: -m, []) if first else []
 
 
 def maxmin(df: DataFrame, key: str, vector: str, k: int, true_maxmin: bool = False, seed: int = 42) -> list[int]:
     """From a start that a seeded hash picks, the row whose least similarity to the chosen is smallest: far from some
     chosen row. With `true_maxmin`, far from all of them, as in `k_center`."""
     rows = _units(df, key, vector, [])
-    start = F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("double")
-    step = (lambda m, s: F.greatest(m, s)) if true_maxmin else (lambda m, s: F.least(m, s))
-    return _loop(rows, key, k, start, True, step, F.col("m"), False)
+    first = _extreme(rows, F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("double"), key)
+    if first is None:
+        return []
+    return _greedy(rows, key, k, *first, lambda m: -m, []) if true_maxmin else _farthest_of_any(rows, key, k, first[0])
+
+
+def _farthest_of_any(rows: DataFrame, key: str, k: int, first: int) -> list[int]:
+    """Greedy picks by the least similarity to any chosen row, the lowest first.
+
+    The next pick is the lowest among the lists of rows least like each chosen one. A job makes the lists of a pick that has
+    none, and with it those of rows at the head of other lists, which are the likeliest to be picked.
+    """
+    lists: dict[int, list[tuple[float, int]]] = {}
+    heap: list[tuple[float, int, int]] = []
+    left: dict[int, int] = {}
+    picked, chosen, without = [first], {first}, [first]
+    most = min(k, rows.count())
+
+    def add(p: int) -> None:
+        found = [(s, r, p) for s, r in lists[p] if r not in chosen]
+        left[p] = len(found)
+        for e in found:
+            heapq.heappush(heap, e)
+        if not found and len(lists[p]) == LOWEST:  # used up, and there are more
+            without.append(p)
+
+    while len(picked) < most:
+        if without:
+            ahead = [r for _, r, _ in heapq.nsmallest(PROBES, heap) if r not in lists and r not in chosen]
+            asked = list(dict.fromkeys([*without, *ahead]))
+            lists |= _lowest(rows, key, asked[: max(PROBES, len(without))], chosen)
+            again, without[:] = list(without), []
+            for p in again:
+                add(p)
+            continue
+        _, r, p = heap[0]
+        if r in chosen:
+            heapq.heappop(heap)
+            left[p] -= 1
+            if not left[p] and len(lists[p]) == LOWEST:
+                without.append(p)
+            continue
+        picked.append(r)
+        chosen.add(r)
+        if r in lists:
+            add(r)
+        else:
+            without.append(r)
+    return picked
+
+
+def _lowest(rows: DataFrame, key: str, of: list[int], gone: set[int]) -> dict[int, list[tuple[float, int]]]:
+    """For each of the given rows, the LOWEST rows of least similarity to it but those in `gone`: (similarity, key), near ties by key."""
+    some = rows.where(F.col(key).isin(of)).select(key, "u").toArrow()  # PROBES rows
+    sent = rows.sparkSession.sparkContext.broadcast((some[key].to_numpy(), cells.matrix(some["u"].combine_chunks()), np.array(sorted(gone))))
+    at_most = LOWEST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, u, old = sent.value
+        held_s, held_k = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            ok = ~np.isin(keys, old)
+            s = (u @ cells.matrix(batch.column(1))[ok].T).round(9)
+            held_s = np.concatenate([held_s, s], axis=1)
+            held_k = np.concatenate([held_k, np.broadcast_to(keys[ok], s.shape)], axis=1)
+            order = np.lexsort((held_k, held_s), axis=1)[:, :at_most]
+            held_s, held_k = np.take_along_axis(held_s, order, 1), np.take_along_axis(held_k, order, 1)
+        yield pa.record_batch([pa.array(np.repeat(ids, held_s.shape[1])), pa.array(held_s.reshape(-1)), pa.array(held_k.reshape(-1))], ["of", "s", "k"])
+
+    order = Window.partitionBy("of").orderBy("s", "k")
+    found = rows.select(key, "u").mapInArrow(run, "of long, s double, k long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= at_most)
+    out: dict[int, list[tuple[float, int]]] = {p: [] for p in of}
+    for r in found.collect():  # PROBES * LOWEST rows
+        out[r["of"]].append((r["s"], r["k"]))
+    return {p: sorted(x) for p, x in out.items()}
 
 
 def quality_diversity(df: DataFrame, key: str, vector: str, score: str, k: int, weight: float = 0.3, normalize: bool = True) -> list[int]:
-    """Score (scaled to [0, 1] over all rows, or raw) less `weight` times the greatest similarity to the chosen."""
-    scaled = minmax(df, score) if normalize else df.withColumn("scaled", F.col(score))
+    """Score (scaled to [0, 1] over all rows, or raw) less `weight` (0 or more) times the greatest similarity to the chosen."""
+    if weight < 0:
+        raise ValueError("weight must not be negative")
+    scaled = minmax(df, score) if normalize else df.withColumn("scaled", F.col(score).cast("double"))
     rows = _units(scaled, key, vector, ["scaled"])
-    return _loop(rows, key, k, F.col("scaled"), True, lambda m, s: F.greatest(m, s), F.col("scaled") - weight * F.col("m"), True)
+    first = _extreme(rows, F.col("scaled"), key)
+    return _greedy(rows, key, k, *first, lambda m, q: q - weight * m, ["scaled"]) if first else []
 
 
 def k_medoids(df: DataFrame, key: str, vector: str, k: int, rounds: int = 100) -> list[int]:
     """`k_center` rows, then each cluster's row with the smallest total distance to it, until none changes.
 
-    A row's total distance to its cluster of m is m less its product with the cluster's sum, so no pairs are formed.
+    A row's total distance to its cluster of m is m less its product with the cluster's sum, so no pairs are formed. Tasks get
+    the k medoids' vectors, return sums and then the best row of each cluster, and the driver holds no more than these.
     """
     rows = _units(df, key, vector, [])
     medoids = k_center(df, key, vector, k)
     for _ in range(rounds):
-        at = {r[key]: r["u"] for r in rows.where(F.col(key).isin(medoids)).collect()}  # k rows
-        sims = F.array(*[F.struct((-F.round(V.dot(F.col("u"), _vector(at[m])), 9)).alias("d"), F.lit(i).alias("i")) for i, m in enumerate(medoids)])
-        assigned = rows.withColumn("c", F.array_min(sims)["i"])
-        sums = assigned.select("c", F.posexplode("u").alias("p", "x")).groupBy("c", "p").agg(F.sum("x").alias("s")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda e: e["s"]).alias("s"))
-        best = assigned.join(F.broadcast(sums), "c").groupBy("c").agg(F.max_by(F.col(key), F.struct(F.round(V.dot(F.col("u"), F.col("s")), 9).alias("v"), (-F.col(key)).alias("k"))).alias("m"))
-        new = {r["c"]: r["m"] for r in best.collect()}  # k rows
+        table = rows.where(F.col(key).isin(medoids)).select(key, "u").toArrow()  # k rows
+        own = dict(zip(table[key].to_pylist(), cells.matrix(table["u"].combine_chunks()), strict=True))
+        sent = rows.sparkSession.sparkContext.broadcast(np.array([own[m] for m in medoids]))
+
+        def cluster(m: np.ndarray, centre: np.ndarray) -> np.ndarray:
+            return (m @ centre.T).round(9).argmax(axis=1)
+
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent, cluster=cluster) -> Iterator[pa.RecordBatch]:
+            centre = sent.value
+            total = np.zeros_like(centre)
+            for batch in batches:
+                m = cells.matrix(batch.column(1))
+                if len(m):
+                    np.add.at(total, cluster(m, centre), m)
+            c, p = np.nonzero(total)
+            yield pa.record_batch([pa.array(c), pa.array(p), pa.array(total[c, p])], ["c", "p", "s"])
+
+        whole = np.zeros_like(sent.value)
+        found = rows.select(key, "u").mapInArrow(sums, "c long, p long, s double").groupBy("c", "p").agg(F.sum("s").alias("s")).toArrow()  # k vectors
+        whole[found["c"].to_numpy(), found["p"].to_numpy()] = found["s"].to_numpy()
+        both = rows.sparkSession.sparkContext.broadcast((sent.value, whole))
+
+        def best(batches: Iterator[pa.RecordBatch], both=both, cluster=cluster) -> Iterator[pa.RecordBatch]:
+            centre, total = both.value
+            held: dict[int, tuple[float, int]] = {}
+            for batch in batches:
+                m, keys = cells.matrix(batch.column(1)), batch.column(0).to_numpy()
+                if len(m):
+                    c = cluster(m, centre)
+                    v = np.einsum("ij,ij->i", m, total[c]).round(9)
+                    order = np.lexsort((keys, -v, c))
+                    firsts = order[np.unique(c[order], return_index=True)[1]]
+                    for x, y, z in zip(c[firsts].tolist(), v[firsts].tolist(), keys[firsts].tolist(), strict=True):
+                        held[x] = max(held.get(x, (-np.inf, 0)), (y, -z))
+            yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([v for v, _ in held.values()], pa.float64()), pa.array([z for _, z in held.values()], pa.int64())], ["c", "v", "k"])
+
+        new = rows.select(key, "u").mapInArrow(best, "c long, v double, k long").groupBy("c").agg(F.max(F.struct("v", "k")).alias("b"))
+        new = {r["c"]: -r["b"]["k"] for r in new.collect()}  # k rows
         changed = [new.get(i, m) for i, m in enumerate(medoids)]
         if changed == medoids:
             break
@@ -104,32 +258,113 @@ def k_medoids(df: DataFrame, key: str, vector: str, k: int, rounds: int = 100) -
     return medoids
 
 
+#: Rows whose exact gains are taken in one job of facility location, and rows of the queue that the driver holds.
+TRIED, QUEUE = 48, 4096
+
+
 def facility_location(df: DataFrame, key: str, vector: str, score: str, k: int, threshold: float = -1.0) -> list[int]:
     """Always the row that raises the coverage of all rows most, with a hundredth of its relative score; coverage starts at 0.
 
-    Pairs below `threshold` (or 0, as coverage is never below) are not stored, so with vectors of little likeness give a
-    threshold: gains are then those of closer pairs alone. Without one the stored pairs grow with the square of the rows.
+    Similarities below `threshold` (or 0, as coverage is never below) count as 0. Gains only fall as rows are chosen, so old
+    ones are bounds: the driver has the head of a queue of them, and a job takes anew only the gains of the rows at its top,
+    with what each two of these cover together. That bounds the gains after the next picks from both sides, and rows are
+    picked until the bounds no longer tell which is best. Pairs are summed up where they are met and never stored.
     """
-    rows = _units(df, key, vector, [score])
-    pairs = VO.similar_pairs(rows, key, "u", max(threshold, 1e-12))
-    own = rows.select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(1.0).alias("similarity"))
-    sims = staged(pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "similarity")).unionByName(own), "pairs")
-    top = rows.agg(F.max(score).alias("t")).first()["t"]
-    bonus = rows.select(F.col(key).alias("id_a"), (F.lit(0.01) * (F.col(score) / top if top and top > 0 else F.lit(1.0))).alias("bonus"))
-    cover = staged(rows.select(F.col(key).alias("id_b"), F.lit(0.0).alias("c")), "cover")
+    rows = _units(df, key, vector, [F.col(score).cast("double").alias("score")])
+    least = max(threshold, 1e-12)
+    top = rows.agg(F.max("score").alias("t")).first()["t"]
+    bonus = F.lit(0.01) * (F.col("score") / top if top and top > 0 else F.lit(1.0))
+    gains = VO.similarity_sums(rows, key, "u", least)
+    stale = staged(rows.select(key, bonus.alias("bonus")).join(gains.withColumnRenamed("id", key), key).select(key, "bonus", (F.col("sum") + F.col("bonus")).alias("gain")), "gains")
+    cover = rows.select(key, "u").withColumn("c", F.lit(0.0))
     picked: list[int] = []
-    for _ in range(min(k, rows.count())):
-        gain = sims.join(cover, "id_b").groupBy("id_a").agg(F.sum(F.greatest(F.col("similarity") - F.col("c"), F.lit(0.0))).alias("gain"))
-        ranked = bonus.where(~F.col("id_a").isin(picked)).join(gain, "id_a").select(F.col("id_a").alias(key), (F.col("gain") + F.col("bonus")).alias("v"), F.lit(None).alias("u"))
-        best = _best(ranked, F.col("v"), key, True)
-        if best is None:
-            break
-        picked.append(best[key])
-        now = sims.where(F.col("id_a") == picked[-1]).select("id_b", F.col("similarity").alias("s"))
-        cover = staged(cover.join(now, "id_b", "left").select("id_b", F.greatest("c", F.coalesce("s", F.lit(0.0))).alias("c")), "cover")
+    known: dict[int, float] = {}
+    queue: dict[int, tuple[float, float]] = {}
+    none = (np.inf, 0)
+    rest, new, n = (-np.inf, 0), [], rows.count()
+    rank = lambda x: (-round(known.get(x, queue[x][0]), 9), x)
+    while len(picked) < min(k, n):
+        order = sorted((x for x in queue if x not in picked), key=rank)
+        if not order or rank(order[0]) >= rest:
+            if known:  # what is known by now goes into the table, and the queue is drawn from it anew
+                fresh = rows.sparkSession.createDataFrame(list(known.items()), f"{key} long, now double")
+                stale = staged(stale.join(F.broadcast(fresh), key, "left").select(key, "bonus", F.coalesce("now", "gain").alias("gain")), "gains")  # QUEUE rows
+                known = {}
+            head = stale.where(~F.col(key).isin(picked)).orderBy(F.round("gain", 9).desc(), key).limit(QUEUE + 1).collect()
+            queue = {r[key]: (r["gain"], r["bonus"]) for r in head[:QUEUE]}
+            rest = (-round(head[QUEUE]["gain"], 9), head[QUEUE][key]) if len(head) > QUEUE else none
+            continue
+        tried = order[:TRIED]
+        after = min(rank(order[TRIED]) if len(order) > TRIED else none, rest)
+        if new:
+            cover = staged(_covered(cover, key, np.array(new), np.array(picked[-len(new) :]), least), "cover")
+        u, both = _tried(rows, cover, key, tried, least)
+        low = both.diagonal() + np.array([queue[x][1] for x in tried])
+        high = low.copy()
+        known |= dict(zip(tried, low.tolist(), strict=True))
+        new, open_ = [], list(range(len(tried)))
+        while open_ and len(picked) < k:
+            at = min(open_, key=lambda i: (-high[i].round(9), tried[i]))
+            others = max([high[i] for i in open_ if i != at], default=-np.inf)
+            if high[at] - low[at] > 1e-12 and low[at] <= others + 1e-9 or (-low[at].round(9), tried[at]) >= after:
+                break
+            picked.append(tried[at])
+            new.append(u[at])
+            open_.remove(at)
+            # beside two picks a row adds no more than beside either, and no less than with both overlaps taken off
+            high = np.minimum(high, both.diagonal() + [queue[x][1] for x in tried] - both[:, at])
+            low = low - both[:, at]
     return picked
 
 
+def _residual(s: np.ndarray, c: np.ndarray, least: float) -> np.ndarray:
+    return np.where(s >= least, np.maximum(s - c, 0.0), 0.0)
+
+
+def _covered(cover: DataFrame, key: str, new: np.ndarray, ids: np.ndarray, least: float) -> DataFrame:
+    """`cover` (key, u, c) with c raised to the similarity to each of the new picks, and to 1 for the picks themselves."""
+    sent = cover.sparkSession.sparkContext.broadcast((new, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, own_ids = sent.value
+        for batch in batches:
+            c = batch.column(2).to_numpy()
+            if len(own) and batch.num_rows:
+                s = cells.matrix(batch.column(1)) @ own.T
+                s[batch.column(0).to_numpy()[:, None] == own_ids[None, :]] = 1.0
+                c = np.maximum(c, np.where(s >= least, s, 0.0).max(axis=1))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(c)], batch.schema.names)
+
+    return cover.mapInArrow(run, cover.schema)
+
+
+def _tried(rows: DataFrame, cover: DataFrame, key: str, tried: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the rows, and what each two of them add both to the coverage of all; on the diagonal what each adds."""
+    some = rows.where(F.col(key).isin(tried)).select(key, "u").toArrow()  # TRIED rows
+    place = {x: i for i, x in enumerate(some[key].to_pylist())}
+    vectors = cells.matrix(some["u"].combine_chunks())[[place[x] for x in tried]]
+    sent = rows.sparkSession.sparkContext.broadcast((np.array(tried), vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, u = sent.value
+        total = np.zeros((len(ids), len(ids)))
+        for batch in batches:
+            for low in range(0, batch.num_rows, cells.STEP):
+                part = batch.slice(low, cells.STEP)
+                s = u @ cells.matrix(part.column(1)).T
+                s[ids[:, None] == part.column(0).to_numpy()[None, :]] = 1.0
+                r = _residual(s, part.column(2).to_numpy(), least)
+                for i in range(len(ids)):
+                    total[i] += np.minimum(r, r[i]).sum(axis=1)
+        i, j = np.nonzero(total)
+        yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "s"])
+
+    both = np.zeros((len(tried), len(tried)))
+    found = cover.mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow()
+    both[found["i"].to_numpy(), found["j"].to_numpy()] = found["s"].to_numpy()
+    return vectors, both
+
+
 def constrained(df: DataFrame, key: str, include: DataFrame | None = None, exclude: DataFrame | None = None, score: str | None = None, least: float = 0.0) -> DataFrame:
     """Rows that may be chosen, with `required`: not excluded, at or above the least score, and named to be included."""
     out = df
@@ -141,37 +376,43 @@ def constrained(df: DataFrame, key: str, include: DataFrame | None = None, exclu
     return out.withColumn("required", F.lit(False)) if marks is None else out.join(marks, F.col(key) == F.col("_k"), "left").withColumn("required", F.col("_k").isNotNull()).drop("_k")
 
 
-#: Vectors that a task of the first round holds, about.
-PART_ROWS = 50_000
-
-
 def partitioned(df: DataFrame, key: str, vector: str, k: int, method, parts: int) -> list[int]:
-    """Two rounds: the k_center rows of each hash group, in parallel, then `method` among their union. Groups are `parts` or more, as rows ask for."""
+    """Two rounds: the k_center rows of each of `parts` hash groups, in parallel, then `method` among their union.
+
+    A task holds its group, so `parts` is to be the rows over what a task can hold. It decides the picks, and nothing else does.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         table = pa.Table.from_batches(tables)
-        ids, u = table.column(0).to_numpy(), VO._matrix(table.column(1).combine_chunks())
-        far = u @ u.mean(axis=0)
-        chosen = [int(np.argmin(far))]
+        ids, u = table.column(0).to_numpy(), cells.matrix(table.column(1).combine_chunks())
+        order = np.argsort(ids, kind="stable")
+        ids, u = ids[order], u[order]
+        chosen = [int((u @ u.mean(axis=0)).round(9).argmin())]
         near = u @ u[chosen[0]]
         while len(chosen) < min(k, len(ids)):
             near[chosen] = np.inf
-            chosen.append(int(np.argmin(near)))
+            chosen.append(int(near.round(9).argmin()))
             near = np.maximum(near, u @ u[chosen[-1]])
         yield pa.record_batch([pa.array(ids[chosen])], ["id"])
 
     rows = _units(df, key, vector, [])
-    parts = max(parts, -(-rows.count() // PART_ROWS))
     kept = rows.repartition(parts, key).mapInArrow(local, "id long").withColumnRenamed("id", key)
     return method(df.join(staged(kept, "kept"), key, "left_semi"))
 
 
 def select(df: DataFrame, key: str, vector: str, score: str, k: int, method: str = "quality_diversity", include: DataFrame | None = None, exclude: DataFrame | None = None, least: float | None = None, mode: str = "exact", parts: int = 8, **options) -> DataFrame:
-    """`k` rows at most as (rank, key): required ones first (by score), then the method's among the rest that are allowed."""
+    """`k` rows at most as (rank, key): required ones first (by score), then the method's among the rest that are allowed.
+
+    `mode="partitioned"` picks within `parts` hash groups first; its picks depend on that number.
+    """
     allowed = constrained(df, key, include, exclude, score if least is not None else None, least or 0.0)
+    if method == "quality":
+        best = allowed.orderBy(F.col("required").desc(), F.col(score).desc(), F.when(F.col("required"), F.col(key)).otherwise(-F.col(key))).limit(k)
+        order = Window.orderBy(F.col("required").desc(), F.col(score).desc(), F.when(F.col("required"), F.col(key)).otherwise(-F.col(key)))  # k rows
+        return best.select(F.row_number().over(order).alias("rank"), F.col(key).cast("long").alias(key))
     first = [r[key] for r in allowed.where("required").orderBy(F.col(score).desc(), key).limit(k).collect()]
     rest = allowed.where(~F.col("required"))
     room = min(k, allowed.count()) - len(first)
@@ -182,7 +423,6 @@ def select(df: DataFrame, key: str, vector: str, score: str, k: int, method: str
             "maxmin": lambda d: maxmin(d, key, vector, room, **options),
             "facility_location": lambda d: facility_location(d, key, vector, score, room),
             "quality_diversity": lambda d: quality_diversity(d, key, vector, score, room, **options),
-            "quality": lambda d: [r[key] for r in d.orderBy(F.col(score).desc(), F.col(key).desc()).limit(room).collect()],
         }
         first += methods[method](rest) if mode == "exact" else partitioned(rest, key, vector, room, methods[method], parts)
     return _result(df, key, first)

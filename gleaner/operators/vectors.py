@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import vectors as V
+from gleaner.operators import cells
+from gleaner.sources.tables import staged
 
-#: Vectors of a block, about: what one task holds of either side.
-QUERIES, ROWS = 8192, 32_768
+#: Vectors of a block of queries and of a tile of rows, about: what one task holds of either side.
+QUERIES, ROWS = 65_536, 8192
 
 
 def centroid(df: DataFrame, vector: str, normalize: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -46,47 +48,20 @@ def diversity(df: DataFrame, vector: str) -> DataFrame:
     return whole.select(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean_similarity"), F.when(n > 1, 1 - mean).otherwise(F.lit(1.0)).alias("diversity"))
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+def _met(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(query_id, neighbour_id, similarity): for each query of a tile (`meet`) the `k` best of its rows, ties by id.
 
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-
-def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-
-def _block(n: int, size: int) -> tuple[Column, int]:
-    """A row's block by a hash of its id, and the number of blocks that `n` rows make."""
-    blocks = max(1, -(-n // size))
-    return F.pmod(F.xxhash64("id"), F.lit(blocks)), blocks
-
-
-def _each(blocks: int) -> Column:
-    """A row for each block of the other side."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, exclude_self: bool = False) -> DataFrame:
-    """Per query (query_id): its k nearest rows of `base` by cosine, with rank; ties by key. Exact.
-
-    Queries are a stated set. Both sides are dealt into blocks, as many as their rows make; each block of queries meets each
-    of rows in one task, which keeps the k best of the block for each query, and the best of those are ranked.
+    A tile's queries are dealt into blocks of about QUERIES, and its rows are copied once for each of those.
     """
-    q, b = _vectors(queries, key, vector), _vectors(base, key, vector)
-    q_block, q_blocks = _block(queries.count(), QUERIES)
-    b_block, b_blocks = _block(base.count(), ROWS)
-    q = q.withColumn("qb", q_block).select("id", "v", "qb", _each(b_blocks).alias("bb"))
-    b = b.withColumn("bb", b_block).select("id", "v", _each(q_blocks).alias("qb"), "bb")
+    many = queries.groupBy("meet").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("blocks"))
+    q = queries.join(many, "meet").select("id", "v", "meet", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    b = rows.withColumnRenamed("tile", "meet").join(many, "meet").select("id", "v", "meet", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
-    def best(left, right):
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, own = left["id"].to_numpy(), right["id"].to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids) and len(own):
-            q, m = _unit(_matrix(left["v"].combine_chunks())), _unit(_matrix(right["v"].combine_chunks()))
+            q, m = (cells.matrix(x["v"].combine_chunks()) for x in (left, right))
             for low in range(0, len(ids), 1024):
                 some = ids[low : low + 1024]
                 kept_s, kept_i = np.empty((len(some), 0)), np.empty((len(some), 0), np.int64)
@@ -104,37 +79,86 @@ def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, excl
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "neighbour_id", "similarity"])
 
-    met = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInArrow(best, "query_id long, neighbour_id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "neighbour_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return q.groupBy("meet", "block").cogroup(b.groupBy("meet", "block")).applyInArrow(best, "query_id long, neighbour_id long, similarity double")
 
 
-def _block_pairs(df: DataFrame, key: str, vector: str, found, schema: str, size: int) -> DataFrame:
-    """`found(ids, products, other ids, same block)` of each pair of blocks, as many as the rows make; each pair meets in one task."""
-    rows = _vectors(df, key, vector)
-    block, blocks = _block(df.count(), size)
-    rows = rows.withColumn("b", block)
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.least(o, F.col("b")) * blocks + F.greatest(o, F.col("b"))))
+def knn(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, exclude_self: bool = False) -> DataFrame:
+    """Per query (query_id): its k nearest rows of `base` by cosine, with rank; ties by key. Exact.
+
+    Queries are a stated set. The rows of `base` are filed in tiles around centres. A query first meets the tile whose centre
+    is nearest and has k rows; the worst of the k it finds bounds how far off its neighbours can be, and it goes on only to
+    those tiles that may hold a nearer row. Rows with a null vector take no part.
+    """
+    rows, tiles = cells.tiled(base, key, vector, ROWS)
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "neighbour_id")
+    if len(tiles.rows) < 2:
+        found = _met(cells.units(queries, key, vector).withColumn("meet", F.lit(0).cast("long")), rows, k, exclude_self)
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = staged(rows, "tiles")
+    sent = rows.sparkSession.sparkContext.broadcast(tiles)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        enough = own.rows >= min(k + exclude_self, own.rows.max())
+        for batch in batches:
+            for low in range(0, batch.num_rows, cells.STEP):
+                some = batch.slice(low, cells.STEP)
+                near = np.where(enough, own.angles(cells.matrix(some.column(1))), np.inf)
+                # of the tiles of one cell, which are as near, a query takes one by its id
+                ties = near == near.min(axis=1, keepdims=True)
+                turn = some.column(0).to_numpy() % ties.sum(axis=1)
+                meet = (np.cumsum(ties, axis=1) == turn[:, None] + 1).argmax(axis=1)
+                yield pa.record_batch([*some.columns, pa.array(meet)], ["id", "v", "meet"])
+
+    asked = staged(cells.units(queries, key, vector).mapInArrow(first, "id long, v array<double>, meet long"), "asked")
+    found = staged(_met(asked, rows, k, exclude_self), "found")
+    worst = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("similarity")).alias("worst"))
+    open_ = asked.withColumnRenamed("meet", "tile").join(worst, "id", "left").select("tile", "id", "v", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+    more = staged(cells.reaching(open_, tiles, _nearer, pairs=False), "reach")
+    found = found.unionByName(_met(more.select("id", "v", "meet"), rows, k, exclude_self))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearer(tiles: cells.Tiles, m: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Tiles, but the query's own, that may hold a row at least as near as the worst it has; nine places count as equal."""
+    worst = batch.column(3).to_numpy()
+    far = np.where(worst < -1, np.inf, cells.angle(worst - 2e-9))
+    out = tiles.ends(m)[0] <= far[:, None]
+    out[np.arange(len(m)), batch.column(0).to_numpy()] = False
+    return out
+
+
+def _block_pairs(met: DataFrame, count: int, found, schema: str) -> DataFrame:
+    """`found(ids, products, other ids, same tile)` of each two tiles that meet (tile, id, v, meet); each two meet in one task."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = {"long": pa.int64(), "double": pa.float64()}
     kinds = [types[c.split()[1]] for c in schema.split(", ")]
 
     def pairs(key_, table):
-        ids, b = table["id"].to_numpy(), table["b"].to_numpy()
-        m = _unit(_matrix(table["v"].combine_chunks()))
-        low, high = divmod(key_[0].as_py(), blocks)
-        left, right = np.flatnonzero(b == low), np.flatnonzero(b == high)
-        parts = [found(ids[left[at : at + 1024]], m[left[at : at + 1024]] @ m[right].T, ids[right], low == high) for at in range(0, len(left), 1024)]
+        ids, tile = table["id"].to_numpy(), table["tile"].to_numpy()
+        m = cells.matrix(table["v"].combine_chunks())
+        low, high = divmod(key_[0].as_py(), count)
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        parts = [found(ids[left[at : at + 1024]], m[left[at : at + 1024]] @ m[right].T, ids[right], low == high) for at in range(0, len(left), 1024)] if len(right) else []
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.empty(0)] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return rows.withColumn("meet", meets).groupBy("meet").applyInArrow(pairs, schema)
+    return met.groupBy("meet").applyInArrow(pairs, schema)
+
 
+def meetings(df: DataFrame, key: str, vector: str, threshold: float, size: int) -> tuple[DataFrame, int]:
+    """(tile, id, v, meet): rows in tiles, once for each tile that may hold a row with a cosine of `threshold` or more; and the number of tiles."""
+    rows, tiles = cells.tiled(df, key, vector, size)
+    far = float(cells.angle(np.array(threshold - 1e-12))) if threshold <= 1 else -1.0
+    return cells.reaching(rows, tiles, lambda own, m, _: own.ends(m)[0] <= far, pairs=True), len(tiles.rows)
 
-def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, size: int = QUERIES) -> DataFrame:
+
+def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, size: int = ROWS) -> DataFrame:
     """Pairs (id_a < id_b) with a cosine of `threshold` or more. Exact.
 
-    Rows are dealt into blocks of about `size`, each pair of blocks meets in one task, and only pairs over the threshold leave it.
+    Rows are filed in tiles of about `size` around centres, and a row is sent only to tiles that may hold one near enough. Two
+    tiles meet in one task, and only pairs over the threshold leave it. Where vectors have no clusters all tiles meet. Rows
+    with a null vector take no part.
     """
 
     def over(ids: np.ndarray, s: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
@@ -143,62 +167,61 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, size:
         ok = (x < y) if same else np.ones(len(x), bool)
         return np.minimum(x, y)[ok], np.maximum(x, y)[ok], s[i, j][ok]
 
-    return _block_pairs(df, key, vector, over, "id_a long, id_b long, similarity double", size)
+    return _block_pairs(*meetings(df, key, vector, threshold, size), over, "id_a long, id_b long, similarity double")
+
+
+def similarity_sums(df: DataFrame, key: str, vector: str, threshold: float, size: int = ROWS) -> DataFrame:
+    """(id, sum): each row's similarities to all rows that reach `threshold`, summed up; that to itself is 1.
+
+    Tiles that may hold such rows meet as in `similar_pairs`, and return sums.
+    """
+
+    def sums(ids: np.ndarray, s: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+        s = np.where(s >= threshold, s, 0.0)
+        if same:
+            s[ids[:, None] == others[None, :]] = 1.0
+            return ids, s.sum(axis=1)
+        return np.concatenate([ids, others]), np.concatenate([s.sum(axis=1), s.sum(axis=0)])
 
+    found = _block_pairs(*meetings(df, key, vector, threshold, size), sums, "id long, sum double")
+    return found.groupBy("id").agg(F.sum("sum").alias("sum"))
 
-def similarity_extremes(df: DataFrame, key: str, vector: str, size: int = QUERIES) -> DataFrame:
-    """One row: the least and greatest cosine of two different rows (`min`, `max`). Each pair of blocks returns its own two."""
+
+def similarity_extremes(df: DataFrame, key: str, vector: str, size: int = ROWS) -> DataFrame:
+    """One row: the least and greatest cosine of two different rows (`min`, `max`), by branch and bound. Exact.
+
+    Each tile first meets itself and the tile whose centre is farthest. What these give bounds both ends, and rows go on only
+    to tiles that may hold a row that is nearer or farther than that.
+    """
 
     def ends(ids: np.ndarray, s: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
         own = s[ids[:, None] < others[None, :]] if same else s.reshape(-1)
         return (own.min(keepdims=True), own.max(keepdims=True)) if len(own) else (np.empty(0), np.empty(0))
 
-    found = _block_pairs(df, key, vector, ends, "min double, max double", size)
-    return found.agg(F.min("min").alias("min"), F.max("max").alias("max"))
+    rows, tiles = cells.tiled(df, key, vector, size)
+    count = len(tiles.rows)
+    rows = staged(rows, "tiles") if count > 1 else rows
+    partner = np.concatenate([(tiles.centre[k : k + cells.STEP] @ tiles.centre.T).argmin(axis=1) for k in range(0, count, cells.STEP)] or [np.empty(0, np.int64)])
 
+    def at_first(own: cells.Tiles, m: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        tile = batch.column(0).to_numpy()[:, None]
+        every = np.arange(len(own.rows))[None, :]
+        return (every == tile) | (partner[tile] == every) | (partner[every] == tile)
 
-def ivf_centres(base: DataFrame, key: str, vector: str, lists: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """Unit centres of `lists` clusters by spherical k-means over a sample that a hash of the key picks (`sample` rows at most)."""
-    n = base.count()
-    share = min(1.0, sample / max(n, 1))
-    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 11) / float(1 << 53)
-    rows = base.where(u <= share).orderBy(F.xxhash64(key)).limit(sample).select(F.col(vector).cast("array<double>").alias("v")).collect()
-    if not rows:
-        return np.empty((0, 0))
-    m = _unit(np.array([r["v"] for r in rows]))
-    lists = min(lists, len(m))
-    centres = m[np.random.default_rng(0).choice(len(m), lists, replace=False)]
-    for _ in range(rounds):
-        own = (m @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, m)
-        centres = _unit(np.where(np.abs(sums).sum(axis=1, keepdims=True) > 0, sums, centres))
-    return centres
-
-
-def ann_ivf(queries: DataFrame, base: DataFrame, k: int, key: str, vector: str, lists: int = 100, probes: int = 10) -> DataFrame:
-    """`knn` among rows of the lists whose centres are nearest to a query. Every row is in one list; recall is less than exact."""
-    centres = base.sparkSession.sparkContext.broadcast(ivf_centres(base, key, vector, lists))
-
-    def listed(df: DataFrame, n: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                m = _unit(_matrix(batch.column(1)))
-                near = np.argsort(-(m @ centres.value.T), axis=1, kind="stable")[:, :n] if len(m) and len(centres.value) else np.empty((len(m), 0), np.int64)
-                times = near.shape[1]
-                rows = pa.array(np.repeat(np.arange(len(m)), times))
-                unit = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * m.shape[1] + 1, max(m.shape[1], 1), dtype=np.int32)[: len(rows) + 1]), pa.array(m[rows.to_numpy()].reshape(-1)))
-                yield pa.record_batch([batch.column(0).take(rows), unit, pa.array(near.reshape(-1).astype(np.int32))], ["id", "v", "list"])
-
-        return df.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "id long, v array<double>, list int")
-
-    q = listed(queries, probes).select(F.col("id").alias("query_id"), F.col("v").alias("_q"), "list")
-    b = listed(base, 1).select(F.col("id").alias("neighbour_id"), F.col("v").alias("_b"), "list")
-    met = q.join(b, "list").select("query_id", "neighbour_id", V.dot(F.col("_q"), F.col("_b")).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "neighbour_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    schema = "min double, max double"
+    found = staged(_block_pairs(cells.reaching(rows, tiles, at_first, pairs=True), count, ends, schema), "ends")
+    low, high = found.agg(F.min("min"), F.max("max")).first()
+    if count > 1:
+        near, far = (float(cells.angle(np.array(x))) if x is not None else y for x, y in ((high, np.pi), (low, 0.0)))
+
+        def beyond(own: cells.Tiles, m: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+            least, most = own.ends(m)
+            return ((least < near) | (most > far)) & ~at_first(own, m, batch)
+
+        found = found.unionByName(_block_pairs(cells.reaching(rows, tiles, beyond, pairs=True), count, ends, schema))
+    return found.agg(F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def choose_index(n: int, flat_below: int = 10_000, lists_below: int = 1_000_000) -> str:
-    """Which search fits n vectors: flat, ivf, or graph, for which `ann_ivf` with more lists stands in here."""
+    """Which search fits n vectors: flat, ivf, or graph, for which an index with more lists (`index.VectorIndex`) stands in here."""
     return "flat" if n < flat_below else "ivf" if n < lists_below else "graph"

@@ -1,5 +1,7 @@
 """Loop operators against plain numpy, written from their definitions."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,21 +99,6 @@ def test_constraints_and_partitioned_mode(vectors):
     assert len(set(two)) == 10 and spread(two) > 0.9 * spread(exact)
 
 
-def test_ivf_recall(spark, sf_dir):
-    df = views.vecs(spark, sf_dir)
-    queries = df.where("vec_id % 20 = 0")
-    exact = {(r[0], r[1]) for r in VO.knn(queries, df, 10, "vec_id", "e").select("query_id", "neighbour_id").collect()}
-    found = {(r[0], r[1]) for r in VO.ann_ivf(queries, df, 10, "vec_id", "e", lists=20, probes=12).select("query_id", "neighbour_id").collect()}
-    assert len(found & exact) / len(exact) >= 0.8
-
-
-def test_ivf_query_recall(spark, sf_dir):
-    from gleaner.plans import registry
-
-    exact, found = ({(r[0], r[1]) for r in registry.queries()[q](spark, sf_dir).select("query_id", "neighbour_id").collect()} for q in ("j11_knn_join", "j15_ann_join_ivf"))
-    assert len(found & exact) / len(exact) >= 0.9
-
-
 def boxes(spark, rows):
     return spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long, score double")
 
@@ -271,7 +258,6 @@ def test_blocks_do_not_change_neighbours(spark, vectors, monkeypatch):
 
 def test_search_in_an_empty_base(spark, vectors):
     df, _, _ = vectors
-    assert VO.ann_ivf(df.limit(3), df.where("false"), 4, "vec_id", "e").count() == 0
     assert VO.knn(df.limit(3), df.where("false"), 4, "vec_id", "e").count() == 0
     assert VO.knn(df.where("false"), df, 4, "vec_id", "e").count() == 0
 
@@ -303,3 +289,97 @@ def test_empty_tables(spark):
 
 def test_selected_centroid_of_nothing_is_null_safe(spark):
     assert VO.centroid(spark.createDataFrame([], "id long, v array<double>"), "v").select(F.col("centroid")).count() <= 1
+
+
+def jobs_of(spark, f):
+    """What f returns, and how many jobs it ran."""
+    sc = spark.sparkContext
+    group = f"counted-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, group)
+    try:
+        return f(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    """Vectors in clusters and without, with copies and a zero vector."""
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.normal(size=(20, 12))[r.integers(0, 20, 400)] + 0.2 * r.normal(size=(400, 12)), r.normal(size=(400, 12))])
+    x[50:80] = x[3]
+    x[700] = 0.0
+    score = r.random(800).round(3)
+    df = spark.createDataFrame([(k, [float(y) for y in v], float(q)) for k, (v, q) in enumerate(zip(x, score, strict=True))], "vec_id long, e array<double>, score double").repartition(5).cache()
+    return df, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), score
+
+
+@pytest.mark.parametrize("few", [7, 512])
+def test_many_picks_a_job(spark, cloud, monkeypatch, few):
+    """The picks of the loop that takes one at a time, and far fewer jobs than picks."""
+    df, x, score = cloud
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "MANY", few)
+    k = 120 if few > 7 else 20
+    start = first_max(-(x @ x.mean(axis=0)), np.ones(len(x), bool))
+    got, jobs = jobs_of(spark, lambda: selection.k_center(df, "vec_id", "e", k))
+    assert got == greedy(x, k, start, np.maximum, lambda m: -m)
+    assert few == 7 or jobs < k / 6
+    q = (score - score.min()) / (score.max() - score.min())
+    got, jobs = jobs_of(spark, lambda: selection.quality_diversity(df, "vec_id", "e", "score", k))
+    assert got == greedy(x, k, first_max(q, np.ones(len(x), bool)), np.maximum, lambda m: q - 0.3 * m)
+    assert few == 7 or jobs < k / 6
+
+
+@pytest.mark.parametrize("probes, lowest", [(2, 3), (256, 16)])
+def test_farthest_of_any_by_lists(spark, cloud, monkeypatch, probes, lowest):
+    df, x, _ = cloud
+    monkeypatch.setattr(selection, "PROBES", probes)
+    monkeypatch.setattr(selection, "LOWEST", lowest)
+    k = 60 if probes > 2 else 9
+    got, jobs = jobs_of(spark, lambda: selection.maxmin(df, "vec_id", "e", k))
+    assert got == greedy(x, k, got[0], np.minimum, lambda m: -m)
+    assert probes == 2 or jobs < k
+
+
+def coverage(x, score, k, least):
+    s = x @ x.T
+    np.fill_diagonal(s, 1.0)
+    s = np.where(s >= max(least, 1e-12), s, 0.0)
+    c, picked = np.zeros(len(x)), []
+    for _ in range(k):
+        gain = np.maximum(s - c, 0).sum(axis=1) + 0.01 * score / score.max()
+        ok = np.ones(len(x), bool)
+        ok[picked] = False
+        picked.append(first_max(gain, ok))
+        c = np.maximum(c, s[picked[-1]])
+    return picked
+
+
+@pytest.mark.parametrize("tried, queue, least", [(48, 4096, -1.0), (48, 4096, 0.7), (5, 12, 0.7)])
+def test_lazy_facility_location(spark, cloud, monkeypatch, tried, queue, least):
+    df, x, score = cloud
+    monkeypatch.setattr(selection, "TRIED", tried)
+    monkeypatch.setattr(selection, "QUEUE", queue)
+    k = 25 if tried > 10 else 4
+    got, jobs = jobs_of(spark, lambda: selection.facility_location(df, "vec_id", "e", "score", k, least))
+    assert got == coverage(x, score, k, least)
+    assert tried < 48 or least < 0 or jobs < 4 * k
+
+
+def test_partitioned_query_by_brute_force(spark, sf_dir):
+    """The query's own picks: k_center within each hash group, then among what those chose."""
+    from gleaner.plans import registry, selection_queries
+
+    rows = views.vecs(spark, sf_dir).select("vec_id", "e", F.expr("pmod(hash(CAST(vec_id AS BIGINT)), 4)").alias("part")).orderBy("vec_id").collect()
+    x = np.array([r["e"] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    k, ids = selection_queries.K, np.array([r["vec_id"] for r in rows])
+
+    def centre(at):
+        own = x[at]
+        start = first_max(-(own @ own.mean(axis=0)), np.ones(len(at), bool))
+        return [at[i] for i in greedy(own, min(k, len(at)), start, np.maximum, lambda m: -m)]
+
+    union = sorted(i for p in range(4) for i in centre([j for j, r in enumerate(rows) if r["part"] == p]))
+    assert picked(registry.queries()["k6_select_partitioned"](spark, sf_dir)) == [int(ids[i]) for i in centre(union)]
