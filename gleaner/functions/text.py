@@ -32,11 +32,16 @@ def length_reason(a: Column, b: Column, least: int = 4, most: int = 12) -> Colum
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits, within the row; 0 for an empty text. Each distinct character is counted once."""
+    """Shannon entropy of a text's characters in bits, within the row; 0 for an empty text.
+
+    Characters are sorted once, and one pass over them sums up the lengths of runs of equal ones.
+    """
     total = F.length(text).cast("double")
-    kinds = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    counts = F.transform(kinds, lambda c: total - F.length(F.replace(text, c, F.lit(""))))
-    sums = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * F.log2(n))
+    part = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    run = lambda c, n, s: F.struct(c.alias("c"), n.alias("n"), s.alias("s"))
+    step = lambda a, c: F.when(a["c"] == c, run(c, a["n"] + 1, a["s"])).otherwise(run(c, F.lit(1.0), a["s"] + part(a["n"])))
+    characters = F.sort_array(F.split(text, ""))
+    sums = F.aggregate(characters, run(F.lit(""), F.lit(0.0), F.lit(0.0)), step, lambda a: a["s"] + part(a["n"]))
     return F.when(total > 0, F.log2(total) - sums / total).otherwise(F.lit(0.0))
 
 
