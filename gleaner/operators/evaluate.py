@@ -14,9 +14,8 @@ def quality_band(iou: Column, good: float = 0.7, bad: float = 0.4) -> Column:
 
 def binarized(df: DataFrame, group: str, score: str, threshold: float) -> DataFrame:
     """Adds `on`: score above the threshold, after a sigmoid in groups whose scores leave [-0.5, 1.5]."""
-    own = Window.partitionBy(group)
-    logits = (F.min(score).over(own) < -0.5) | (F.max(score).over(own) > 1.5)
-    return df.withColumn("_l", logits).withColumn("on", F.when(F.col("_l"), 1 / (1 + F.exp(-F.col(score)))).otherwise(F.col(score)) > threshold).drop("_l")
+    logits = (F.min(score) < -0.5) | (F.max(score) > 1.5)
+    return ordering.with_sums(df, [group], logits.alias("_l")).withColumn("on", F.when(F.col("_l"), 1 / (1 + F.exp(-F.col(score)))).otherwise(F.col(score)) > threshold).drop("_l")
 
 
 def _share(a: Column, b: Column, empty: float) -> Column:

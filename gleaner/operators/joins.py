@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import boxes as B
+from gleaner.sources.tables import staged
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -93,12 +95,17 @@ def collect_by_parent(children: DataFrame, parents: DataFrame | None, key: str,
     return joined.withColumn("outcome", F.when(F.col("_l").isin(accepted), "kept").when(F.col("_l").isin(rejected), "diverted").otherwise("dropped")).drop("_l")
 
 
-def match_greedy(pred: DataFrame, truth: DataFrame, group: str, threshold: float = 0.5) -> DataFrame:
+#: Pairs of a group up to which one task settles it.
+PASS_PAIRS = 100_000
+
+
+def match_greedy(pred: DataFrame, truth: DataFrame, group: str, threshold: float = 0.5, pass_pairs: int = PASS_PAIRS) -> DataFrame:
     """One-to-one matches (i predicted, j true, iou) per group: the best IoU first (ties: lower i, then j), none below the threshold.
 
-    Boxes meet in squares, as in `overlapping_pairs`. Pairs of a group that overlap enough stand together in a partition,
-    best first, and one pass over them keeps those whose boxes are both free; it holds the boxes used in the group at hand,
-    not its pairs.
+    Boxes meet in squares, as in `overlapping_pairs`. A pair that is the best of both its boxes is a match whatever else is
+    chosen, so all such pairs are taken at once, what shares a box with them goes, and the rest has new best pairs: the same
+    matches as one pass over all pairs, in few rounds. Groups of up to `pass_pairs` pairs are settled within a task, side by
+    side in numpy; larger ones in rounds of Spark, so that their pairs can be split.
     """
     p = _in_squares(pred.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("i"), *B.Box.of()))
     t = _in_squares(truth.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("j"), *B.Box.of()))
@@ -106,22 +113,64 @@ def match_greedy(pred: DataFrame, truth: DataFrame, group: str, threshold: float
     touch = (F.col("x1") < F.col("x2_b")) & (F.col("x1_b") < F.col("x2")) & (F.col("y1") < F.col("y2_b")) & (F.col("y1_b") < F.col("y2"))
     met = p.join(t, ["g", "gy", "gx"]).where(touch & _meeting_square())
     pairs = met.select("g", "i", "j", B.iou(B.Box.of(), B.Box.of(suffix="_b")).alias("iou")).where(F.col("iou") >= threshold)
-
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, used_i, used_j = None, set(), set()
-        for batch in batches:
-            keep = []
-            for n, (g, i, j) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                if g != at:
-                    at, used_i, used_j = g, set(), set()
-                if i not in used_i and j not in used_j:
-                    used_i.add(i)
-                    used_j.add(j)
-                    keep.append(n)
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    ordered = pairs.repartition("g").sortWithinPartitions("g", F.col("iou").desc(), "i", "j")
-    return ordered.mapInArrow(matched, "g long, i long, j long, iou double").withColumnRenamed("g", group)
+    pairs = staged(pairs, "pairs")
+    large = staged(pairs.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > pass_pairs).select("g"), "large")
+    some = large.limit(1).count() > 0
+    small = pairs.join(large, "g", "left_anti") if some else pairs
+    found = small.repartition("g").sortWithinPartitions("g").mapInArrow(_settled, pairs.schema)
+    if some:
+        found = found.unionByName(_settled_in_rounds(pairs.join(large, "g", "left_semi")))
+    return found.withColumnRenamed("g", group)
+
+
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """The first place of each different row."""
+    order = np.lexsort(columns)  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return order[new]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of complete groups, all groups at hand side by side; groups come one after the other."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        g = table["g"].to_numpy()
+        whole = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0  # the last group may go on
+        yield from _matches(table.slice(0, whole))
+        rest = table.slice(whole)
+    if rest is not None:
+        yield from _matches(rest)
+
+
+def _matches(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    g, i, j, iou = (table[c].to_numpy() for c in ("g", "i", "j", "iou"))
+    open_ = np.lexsort((j, i, -iou))  # best first
+    taken: list[np.ndarray] = []
+    while len(open_):
+        a, b, c = g[open_], i[open_], j[open_]
+        both = np.intersect1d(_first(a, b), _first(a, c), assume_unique=True)
+        taken.append(open_[both])
+        used = np.zeros(len(open_), bool)
+        for ends in (b, c):
+            _, code = np.unique(np.stack([a, ends]), axis=1, return_inverse=True)
+            used |= np.isin(code.reshape(-1), code.reshape(-1)[both])
+        open_ = open_[~used]
+    if taken:
+        yield from table.take(pa.array(np.sort(np.concatenate(taken)))).combine_chunks().to_batches()
+
+
+def _settled_in_rounds(pairs: DataFrame) -> DataFrame:
+    """As `_matches`, by aggregation and joins: a round for each step of the longest chain of pairs that wait for a better one."""
+    left, taken = staged(pairs, "open"), None
+    while left.limit(1).count():
+        order = F.struct(F.col("iou").alias("v"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
+        best = {c: left.groupBy("g", c).agg(F.max(order).alias("b")).select("g", (-F.col("b.i")).alias("i"), (-F.col("b.j")).alias("j")) for c in "ij"}
+        now = staged(left.join(best["i"].intersect(best["j"]), ["g", "i", "j"], "left_semi").select("g", "i", "j", "iou"), "matches")
+        taken = now if taken is None else taken.unionByName(now)
+        left = staged(left.join(now.select("g", "i"), ["g", "i"], "left_anti").join(now.select("g", "j"), ["g", "j"], "left_anti"), "open")
+    return pairs if taken is None else taken.select("g", "i", "j", "iou")
 
 
 def apply_once(df: DataFrame, column: str, f) -> DataFrame:

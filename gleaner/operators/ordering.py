@@ -105,6 +105,16 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], spacing: int, mo
     return rows.where((F.col("_t") <= most) | even).drop("_place", "_n", "_j", "_t")
 
 
+def with_sums(df: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """`df` with aggregates of each row's group (null keys are a group): summed up before they are shuffled, and joined, so a hot group can be split."""
+    names = [f"_g{i}" for i in range(len(keys))]
+    found = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(*sums)
+    on = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return df.join(found, on).drop(*names)
+
+
 def minmax(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Adds `scaled`: (x - min) / (max - min) of the group, 1 where all are equal. Without keys, the ends are a one-row table joined to all rows."""
     lo, hi = F.min(value).alias("_lo"), F.max(value).alias("_hi")
@@ -114,9 +124,8 @@ def minmax(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFram
 
 def confident_top(df: DataFrame, keys: list[str], score: str, ties: list[str], floor: float = 0.3, most: int = 100) -> DataFrame:
     """Per group, rows above the floor by score, or all rows where none is; at most `most`."""
-    own = Window.partitionBy(*keys)
-    rows = df.withColumn("_c", F.count_if(F.col(score) > floor).over(own)).where((F.col(score) > floor) | (F.col("_c") == 0))
-    w = own.orderBy(F.col(score).desc(), *ties)
+    rows = with_sums(df, keys, F.count_if(F.col(score) > floor).alias("_c")).where((F.col(score) > floor) | (F.col("_c") == 0))
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties)  # Spark cuts to `most` before the shuffle as well
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_c", "_k")
 
 

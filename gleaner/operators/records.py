@@ -80,8 +80,14 @@ def adapted(df: DataFrame) -> DataFrame:
 
 
 def updated(df: DataFrame, changes: DataFrame, key: str, extra: str = "extra") -> DataFrame:
-    """`df` with the changes of matching keys: columns that it has are set, others go into the map `extra`. The last change of a key is not defined if there are several."""
-    names = [c for c in changes.columns if c != key]
+    """`df` with the changes of matching keys: columns that it has are set, others go into the map `extra`.
+
+    Several changes of a key are made one: each column takes its last value that is not null by a column `seq`, if there is
+    one, else the greatest.
+    """
+    names = [c for c in changes.columns if c not in (key, "seq")]
+    last = (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))) if "seq" in changes.columns else F.max
+    changes = changes.groupBy(key).agg(*[last(c).alias(c) for c in names]) if names else changes.select(key).distinct()
     known, unknown = [c for c in names if c in df.columns], [c for c in names if c not in df.columns]
     own = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in names])
     out = df.join(own, df[key] == own["_key"], "left")

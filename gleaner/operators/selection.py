@@ -428,40 +428,48 @@ def select(df: DataFrame, key: str, vector: str, score: str, k: int, method: str
     return _result(df, key, first)
 
 
-def _by_group(df: DataFrame, group: str, order: list[Column], decide, schema: str) -> DataFrame:
-    """`decide` over the rows of each group in order, all groups of a partition in one pass; a group is held while it is decided."""
-    names = [f.split()[0] for f in schema.split(", ")]
+def _by_group(df: DataFrame, order: list[Column], decide: Callable[[pa.Table], np.ndarray], kept: int, schema: str) -> DataFrame:
+    """The rows that `decide` gives the places of, group by group (the first column) in order; their first `kept` columns.
+
+    All groups of a partition are decided in one pass; a group is held while it is decided.
+    """
+    group = df.columns[0]
+
+    def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g = table[group].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, int)
+        found = [a + decide(table.slice(a, b - a)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        if found:
+            yield from table.select(range(kept)).take(pa.array(np.concatenate(found).astype(np.int64))).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        out: list[tuple] = []
+        rest = None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
-                if row[0] != at:
-                    out += decide(held) if held else []
-                    at, held = row[0], []
-                held.append(row)
-            if len(out) > 10_000:
-                yield _rows(out, names, batch.schema)
-                out = []
-        out += decide(held) if held else []
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out])
-
-    def _rows(out: list[tuple], names_: list[str], _schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([dict(zip(names_, r, strict=True)) for r in out])
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            g = table[group].to_numpy()
+            whole = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0  # the last group may go on
+            yield from chosen(table.slice(0, whole))
+            rest = table.slice(whole)
+        if rest is not None:
+            yield from chosen(rest)
 
     return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
 
-def _overlap(a: tuple, b: tuple) -> float:
-    """IoU of rows (group, id, x1, y1, x2, y2, ...)."""
-    w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
-    if w <= 0 or h <= 0:
-        return 0.0
-    inter = w * h
-    return inter / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - inter)
+def _stay(box: np.ndarray, threshold: float, top: int | None) -> np.ndarray:
+    """Places of the boxes (x1, y1, x2, y2; best first) that no better one that stays overlaps by more than the threshold."""
+    x1, y1, x2, y2 = box
+    area = (x2 - x1) * (y2 - y1)
+    open_, out = np.arange(len(x1)), []
+    while len(open_) and len(out) != top:
+        k, open_ = open_[0], open_[1:]
+        out.append(k)
+        w = np.minimum(x2[open_], x2[k]) - np.maximum(x1[open_], x1[k])
+        h = np.minimum(y2[open_], y2[k]) - np.maximum(y1[open_], y1[k])
+        inter = np.where((w > 0) & (h > 0), w * h, 0).astype(float)
+        open_ = open_[~((inter > 0) & (inter / np.maximum(area[open_] + area[k] - inter, 1e-300) > threshold))]
+    return np.array(out, np.int64)
 
 
 def suppress_overlaps(df: DataFrame, group: str = "image_id", key: str = "box_id", threshold: float = 0.6, keep_larger: bool = True) -> DataFrame:
@@ -481,8 +489,8 @@ def suppress_overlaps(df: DataFrame, group: str = "image_id", key: str = "box_id
     return rows.join(gone, ["g", "k"], "left_anti").select(F.col("g").alias(group), F.col("k").alias(key))
 
 
-#: Boxes of a group up to which one pass of a task decides it.
-PASS_ROWS = 2_000
+#: Boxes of a group up to which one pass of a task decides it, and the side of the squares that boxes of larger ones are decided in.
+PASS_ROWS, SQUARE = 2_000, 2_048
 
 
 def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str = "score", threshold: float = 0.3, top: int | None = None, pass_rows: int = PASS_ROWS) -> DataFrame:
@@ -492,21 +500,17 @@ def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str
     give the same.
     """
 
-    def decide(rows: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
-        for r in rows:
-            if all(_overlap(r, k) <= threshold for k in kept):
-                kept.append(r)
-                if len(kept) == top:
-                    break
-        return [(r[0], r[1], r[6]) for r in kept]
-
-    rows = df.select(F.col(group).cast("long"), F.col(key).cast("long"), *[F.col(c).cast("long") for c in B.Box._fields], F.col(score).cast("double"))
+    rows = df.select(F.col(group).cast("long"), F.col(key).cast("long"), F.col(score).cast("double"), *[F.col(c).cast("long") for c in B.Box._fields])
     schema = f"{group} long, {key} long, {score} double"
+
+    def decide(table: pa.Table) -> np.ndarray:
+        return _stay(np.stack([table.column(c).to_numpy() for c in (3, 4, 5, 6)]), threshold, top)
+
+    order = [F.col(score).desc(), F.col(key)]
     large = _large(rows, group, pass_rows)
     if large is None:
-        return _by_group(rows, group, [F.col(score).desc(), F.col(key)], decide, schema)
-    small = _by_group(rows.join(large, group, "left_anti"), group, [F.col(score).desc(), F.col(key)], decide, schema)
+        return _by_group(rows, order, decide, 3, schema)
+    small = _by_group(rows.join(large, group, "left_anti").select(rows.columns), order, decide, 3, schema)
     return small.unionByName(_nms_in_rounds(rows.join(large, group, "left_semi"), group, key, score, threshold, top))
 
 
@@ -524,28 +528,68 @@ def _nms_in_rounds(df: DataFrame, group: str, key: str, score: str, threshold: f
     pairs = pairs.join(ends[0], ["g", "i"]).join(ends[1], ["g", "j"])
     first = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
     pairs = pairs.select("g", F.when(first, F.col("i")).otherwise(F.col("j")).alias("better"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("worse"))
-    kept = scores.join(_staying(scores.select("g", "k"), pairs), ["g", "k"], "left_semi")
+    square = F.xxhash64(*[F.floor((F.col(a) + F.col(b)) / (2 * SQUARE)) for a, b in (("y1", "y2"), ("x1", "x2"))])
+    kept = scores.join(_staying(rows.select("g", "k", square.alias("t")), pairs), ["g", "k"], "left_semi")
     if top is not None:
         w = Window.partitionBy("g").orderBy(F.col("s").desc(), "k")
         kept = kept.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     return kept.select(F.col("g").alias(group), F.col("k").alias(key), F.col("s").alias(score))
 
 
+#: Pairs of a tile, about, up to which one task decides it at a time.
+TILE_PAIRS = 1_000_000
+
+
 def _staying(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes (g, k) that no better node that stays excludes, by pairs (g, better, worse) that have no cycles.
 
-    In rounds: those whose better ones are all gone stay, their worse ones go, until none is left.
+    `nodes` has a column `t` too, the tile that a node is decided in. A task decides of its tile all that does not wait for a
+    node of another one: a node stays if all its better ones are gone, and goes if one of them stays. What is decided takes its
+    worse nodes out of the other tiles, and the rest goes into the next round. So rounds follow how often chains of pairs cross
+    tiles, not how long they are. A tile of many pairs is dealt into parts.
     """
-    pairs, left, stays = staged(pairs, "pairs"), nodes, None
-    while left.limit(1).count():
-        held = pairs.select("g", F.col("worse").alias("k")).distinct()
-        now = staged(left.join(held, ["g", "k"], "left_anti"), "stays")
-        stays = now if stays is None else stays.unionByName(now)
-        gone = pairs.join(now.select("g", F.col("k").alias("better")), ["g", "better"], "left_semi").select("g", F.col("worse").alias("k")).distinct()
-        left = staged(left.join(now, ["g", "k"], "left_anti").join(gone, ["g", "k"], "left_anti"), "left")
-        both = left.select("g", F.col("k").alias("better")), left.select("g", F.col("k").alias("worse"))
-        pairs = staged(pairs.join(both[0], ["g", "better"], "left_semi").join(both[1], ["g", "worse"], "left_semi"), "pairs")
-    return nodes if stays is None else stays
+    nodes = staged(nodes.select("g", "k", "t"), "nodes")
+    pairs = staged(pairs.select("g", "better", "worse"), "pairs")
+    placed = pairs.join(nodes.select("g", F.col("k").alias("worse"), "t"), ["g", "worse"])
+    many = placed.groupBy("g", "t").agg(F.count("*").alias("n")).where(F.col("n") > TILE_PAIRS).select("g", "t", F.ceil(F.col("n") / TILE_PAIRS).alias("parts"))
+    part = F.pmod(F.xxhash64("k"), F.coalesce("parts", F.lit(1)))
+    left = staged(nodes.join(many, ["g", "t"], "left").select("g", "k", F.xxhash64("t", part).alias("t")), "left")
+    held = pairs.select("g", F.col("worse").alias("k")).distinct()
+    stays = staged(left.join(held, ["g", "k"], "left_anti").select("g", "k"), "stays")  # nothing excludes these
+    while True:
+        gone = pairs.join(stays.select("g", F.col("k").alias("better")), ["g", "better"], "left_semi").select("g", F.col("worse").alias("k")).distinct()
+        left = staged(left.join(stays, ["g", "k"], "left_anti").join(gone, ["g", "k"], "left_anti"), "left")
+        if not left.limit(1).count():
+            return stays
+        places = left.select("g", F.col("k").alias("better"), F.col("t").alias("tb")), left.select("g", F.col("k").alias("worse"), "t")
+        pairs = staged(pairs.select("g", "better", "worse").join(places[0], ["g", "better"]).join(places[1], ["g", "worse"]), "pairs")
+        rows = pairs.select("g", "t", F.col("worse").alias("k"), "better", (F.col("t") == F.col("tb")).alias("own")).unionByName(left.select("g", "t", "k", F.lit(None).cast("long").alias("better"), F.lit(True).alias("own")))
+        decided = staged(rows.groupBy("g", "t").applyInArrow(_decided, "g long, k long, stays boolean"), "decided")
+        stays = staged(stays.unionByName(decided.where("stays").select("g", "k")), "stays")
+        left = left.join(decided.where("NOT stays").select("g", "k"), ["g", "k"], "left_anti")
+
+
+def _decided(table: pa.Table) -> pa.Table:
+    """Of a tile's nodes (a row each without `better`) and pairs, the nodes that can be decided within it."""
+    k, better, own = table["k"].to_numpy(), table["better"], table["own"].to_numpy(zero_copy_only=False)
+    single = better.is_null().to_numpy(zero_copy_only=False)
+    ids = np.sort(k[single])
+    worse = np.searchsorted(ids, k[~single])
+    inside = own[~single]
+    above = np.where(inside, np.searchsorted(ids, better.drop_null().to_numpy()), 0)
+    status = np.zeros(len(ids), np.int8)  # 1 stays, 2 goes
+    while True:
+        waits = np.zeros(len(ids), bool)
+        waits[worse[~inside | (status[above] == 0)]] = True
+        goes = np.zeros(len(ids), bool)
+        goes[worse[inside & (status[above] == 1)]] = True
+        now = np.where(status > 0, status, np.where(goes, 2, np.where(waits, 0, 1))).astype(np.int8)
+        if (now == status).all():
+            break
+        status = now
+    done = np.flatnonzero(status)
+    g = table["g"][0].as_py()
+    return pa.table([pa.array(np.full(len(done), g)), pa.array(ids[done]), pa.array(status[done] == 1)], ["g", "k", "stays"])
 
 
 def process_bboxes(df: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -579,21 +623,22 @@ def dedup_pairs(pairs: DataFrame, cells: DataFrame, threshold: float = 0.5, pass
     large = _large(pairs, "image_id", pass_rows)
     if large is not None:
         own = pairs.join(large, "image_id", "left_semi")
-        nodes = staged(own.select(F.col("image_id").cast("long").alias("g"), F.col("pair_id").cast("long").alias("k")), "nodes")
+        nodes = own.select(F.col("image_id").cast("long").alias("g"), F.col("pair_id").cast("long").alias("k"), F.floor(F.col("pair_id") / pass_rows).alias("t"))
         links = same_pairs.join(large, "image_id", "left_semi").select(F.col("image_id").alias("g"), F.col("i").alias("better"), F.col("j").alias("worse"))
         in_rounds = _staying(nodes, links).select(F.col("g").alias("image_id"), F.col("k").alias("pair_id"))
         pairs, same_pairs = (d.join(large, "image_id", "left_anti") for d in (pairs, same_pairs))
     links = same_pairs.groupBy("image_id", F.col("j").alias("pair_id")).agg(F.collect_list("i").alias("earlier"))
     rows = pairs.select("image_id", "pair_id").join(links, ["image_id", "pair_id"], "left").select(F.col("image_id").cast("long"), F.col("pair_id").cast("long"), "earlier")
 
-    def decide(group: list[tuple]) -> list[tuple]:
-        stays: set[int] = set()
-        for _, pair, earlier in group:
-            if not stays.intersection(earlier or ()):
-                stays.add(pair)
-        return [(g, p) for g, p, _ in group if p in stays]
+    def decide(table: pa.Table) -> np.ndarray:
+        pair, earlier = table.column(1).to_pylist(), table.column(2).to_pylist()
+        stays: dict[int, int] = {}
+        for n, (p, before) in enumerate(zip(pair, earlier, strict=True)):
+            if not any(e in stays for e in before or ()):
+                stays[p] = n
+        return np.array(list(stays.values()), np.int64)
 
-    in_passes = _by_group(rows, "image_id", [F.col("pair_id")], decide, "image_id long, pair_id long")
+    in_passes = _by_group(rows, [F.col("pair_id")], decide, 2, "image_id long, pair_id long")
     return in_passes if large is None else in_passes.unionByName(in_rounds)
 
 

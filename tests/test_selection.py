@@ -383,3 +383,41 @@ def test_partitioned_query_by_brute_force(spark, sf_dir):
 
     union = sorted(i for p in range(4) for i in centre([j for j, r in enumerate(rows) if r["part"] == p]))
     assert picked(registry.queries()["k6_select_partitioned"](spark, sf_dir)) == [int(ids[i]) for i in centre(union)]
+
+
+def test_one_image_of_many_boxes(spark):
+    """100,000 boxes of one image, decided in squares by a bounded number of jobs; the same as a list pass in numpy."""
+    r = np.random.default_rng(8)
+    n = 100_000
+    x, y = r.integers(0, 20_000, n), r.integers(0, 20_000, n)
+    w, h = r.integers(20, 120, n), r.integers(20, 120, n)
+    score = r.random(n).round(3)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"image_id": 1, "box_id": np.arange(n), "x1": x, "y1": y, "x2": x + w, "y2": y + h, "score": score}))
+    got, jobs = jobs_of(spark, lambda: {r["box_id"] for r in selection.nms(df).select("box_id").collect()})
+    order = np.lexsort((np.arange(n), -score))
+    want, cell = set(), {}
+    for k in order.tolist():
+        near = [o for gy in range(y[k] // 128 - 1, y[k] // 128 + 2) for gx in range(x[k] // 128 - 1, x[k] // 128 + 2) for o in cell.get((gy, gx), ())]
+        if all(iou((0, 0, x[k], y[k], x[k] + w[k], y[k] + h[k]), (0, 0, x[o], y[o], x[o] + w[o], y[o] + h[o])) <= 0.3 for o in near):
+            want.add(k)
+            cell.setdefault((y[k] // 128, x[k] // 128), []).append(k)
+    assert got == want and jobs < 150
+
+
+def test_large_groups_are_matched_in_rounds(spark, many):
+    """Ties, chains of pairs and groups of any size give the matches of one pass over all pairs, best first."""
+    left, right = boxes(spark, many), boxes(spark, [(g, b, x1 + 3, y1 + 2, x2 + 3, y2 + 2, s) for g, b, x1, y1, x2, y2, s in many])
+    found = [sorted(map(tuple, joins.match_greedy(left, right, "image_id", 0.1, n).collect())) for n in (100_000, 12, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 200
+    by = groups(many)
+    want = []
+    for g, rows in by.items():
+        pairs = sorted((-v, a[1], b[1]) for a in rows for b in rows if (v := iou(a[:2] + a[2:6], (b[0], b[1], b[2] + 3, b[3] + 2, b[4] + 3, b[5] + 2))) >= 0.1)
+        used = set()
+        for v, i, j in pairs:
+            if ("i", i) not in used and ("j", j) not in used:
+                used |= {("i", i), ("j", j)}
+                want.append((g, i, j, -v))
+    assert [(g, i, j) for g, i, j, _ in found[0]] == sorted((g, i, j) for g, i, j, _ in want)
