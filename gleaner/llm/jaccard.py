@@ -4,7 +4,8 @@ Two sets that are similar enough share one of their first elements in any order
 under those, common shingles last. Pairs that meet too seldom to be similar are dropped, the rest are verified. Large
 groups are first joined by links to a few of their members, and then only pairs of different groups are looked at; so no
 link is lost that components need, and a group of near copies costs no square of its size. A large file is cut into blocks,
-and each pair of its blocks meets in a task of its own.
+and each pair of its blocks meets in a task of its own. What stays square is a file of many unlike sets, as a shingle makes
+that is rare in the sample yet stands among the rarest of many texts: its blocks all meet, and parity bits drop most pairs.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +46,27 @@ def leaving(spark: SparkSession) -> Iterator[None]:
     """Notes the paths that are made within, for `drop_left`."""
     made = _MADE.setdefault(spark.sparkContext.applicationId, [])
     before = len(made)
-    yield
-    _LEFT.setdefault(spark.sparkContext.applicationId, []).extend(made[before:])
+    try:
+        yield
+    finally:
+        _LEFT.setdefault(spark.sparkContext.applicationId, []).extend(made[before:])
+
+
+def _roots(df: DataFrame) -> list[str]:
+    """The folders and files that df's scans were given; not the files in them."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        with contextlib.suppress(Py4JError):  # a leaf that reads no files
+            found = leaves.apply(k).relation().location().rootPaths()
+            out += [found.apply(i).toString() for i in range(found.size())]
+    return out
 
 
 def drop_left(spark: SparkSession, unless_read: DataFrame) -> None:
     """Deletes what `leaving` has noted, but not if `unless_read` reads any of it."""
     paths = _LEFT.get(spark.sparkContext.applicationId, [])
     ends = tuple({p.rsplit("/", 1)[1] for p in paths})  # a random name each
-    if paths and not any(f"/{end}/" in file for file in unless_read.inputFiles() for end in ends):
+    if paths and not any(f"/{end}/" in f"{root}/" for root in _roots(unless_read) for end in ends):
         _delete(spark, paths)
         made = _MADE.get(spark.sparkContext.applicationId, [])
         made[:] = [p for p in made if p not in set(paths)]
