@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import paths
+from gleaner.sources import arrays
 
 CORRUPT = "_corrupt"
 
@@ -22,8 +23,15 @@ def list_files(spark: SparkSession, root: str, suffixes: list[str], recursive: b
     return rows.select("path", paths.name(c).alias("name"), paths.stem(c).alias("stem"), paths.suffix(c).alias("suffix"), "length", "modified").where(F.col("suffix").isin([s.lower() for s in suffixes]))
 
 
+#: Bytes of a file up to which one task reads it whole.
+WHOLE_BYTES = 64 << 20
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Records of files that hold one JSON array each. A file is read by one task: line-delimited or Parquet files suit large tables."""
+    """Records of files that hold one JSON array each. Small files are read whole; if there is a larger one, all go by byte ranges."""
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    if (sizes.agg(F.max("length").alias("n")).first()["n"] or 0) > WHOLE_BYTES:
+        return arrays.read_arrays(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
