@@ -724,3 +724,46 @@ def test_long_texts_without_ascii_spaces_are_cut_in_parts(monkeypatch, library,
         raw, at = t.encode(), whole[0][whole[1][k] : whole[1][k + 1] + 1] - offsets[k]
         ids = [i for a, b in zip(at[:-1], at[1:], strict=True) for i in library.encode(raw[a:b].decode(), add_special_tokens=False).ids]
         assert ids == library.encode(t, add_special_tokens=False).ids
+
+
+def test_predicted_by_forward_backward_in_plain_python(spark):
+    """A fixed field's predictions: features of each word one by one, and sums over all paths by recursion."""
+    draw = np.random.default_rng(21)
+    field = langid.Field(["aa", "bb", "cc"], draw.normal(size=(langid.BUCKETS, 3)), draw.normal(size=(3, 3)))
+    texts = ["one two three", "1 2 3", "Zwei 12 wörter, hier!", "x", " ".join(f"w{k}" for k in range(150)), "", None, "--- a ---"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predicted(df, field).collect()}
+    weights = field.weights.astype(np.float32)
+    for k, t in enumerate(texts):
+        emission, letter = [], []
+        for w in words(t):
+            bucket, _, has = langid.word_features([w])
+            emission.append([sum(float(weights[b, y]) for b in bucket) / len(bucket) ** 0.5 if has[0] else 0.0 for y in range(3)])
+            letter.append(bool(has[0]))
+        if not any(letter):
+            assert got[k] == ("und", 0.0)
+            continue
+        n = len(emission)
+        ahead = [[np.exp(e) for e in emission[0]]]
+        for e in emission[1:]:
+            step = [sum(ahead[-1][x] * np.exp(field.moves[x][y]) for x in range(3)) * np.exp(e[y]) for y in range(3)]
+            ahead.append([s / sum(step) for s in step])
+        behind = [[1.0] * 3]
+        for e in emission[:0:-1]:
+            step = [sum(np.exp(field.moves[x][y]) * np.exp(e[y]) * behind[0][y] for y in range(3)) for x in range(3)]
+            behind.insert(0, [s / sum(step) for s in step])
+        total = [0.0] * 3
+        for p in range(n):
+            post = [ahead[p][y] * behind[p][y] for y in range(3)]
+            if letter[p]:
+                total = [s + q / sum(post) for s, q in zip(total, post, strict=True)]
+        best = max(range(3), key=lambda y: total[y])
+        assert got[k][0] == field.langs[best] and abs(got[k][1] - total[best] / sum(total)) < 1e-4
+
+
+def test_runs_of_a_sampled_document_are_parameters(spark, docs):
+    """The whole of each sampled text may be taken, or a few words."""
+    some = docs.limit(120)
+    for how in ({"run_words": 8, "runs": 1}, {"run_words": 100_000, "runs": 1}):
+        field = langid.trained(some, quota=10, **how)
+        assert set(field.langs) <= {r["lang"] for r in some.select("lang").distinct().collect()}
