@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,19 +209,18 @@ def dominant_values(cells: DataFrame, value: str = "gray", step: int = 8, tolera
     Values become a small histogram; in each group the most common one left takes in those within the tolerance, centres
     closer than 1.5 tolerances merge, and shares are recounted over all cells of the histogram's exact values.
     """
-    import pandas as pd
-
     # a grid has at most as many rows here as a channel has values
-    histogram = cells.groupBy("grid_id", F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    histogram = cells.groupBy(F.col("grid_id").cast("long").alias("grid_id"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        v, n = rows["v"].to_numpy(), rows["n"].to_numpy()
+    def found(v: np.ndarray, n: np.ndarray) -> list[tuple[float, float]]:
         coarse = (v // step) * step + step / 2
         free = n > 0
         centres: list[float] = []
         while free.any():  # each round takes one value at least
-            sums = pd.Series(n[free]).groupby(coarse[free]).sum()
-            seed = float(sums.index[sums.to_numpy() == sums.max()].min())
+            at, of = np.unique(coarse[free], return_inverse=True)
+            sums = np.zeros(len(at), np.int64)
+            np.add.at(sums, of, n[free])
+            seed = float(at[sums.argmax()])  # the least of the most common
             near = free & (abs(v - seed) <= tolerance)
             if not near.any():
                 near = free & (coarse == seed)
@@ -228,12 +228,30 @@ def dominant_values(cells: DataFrame, value: str = "gray", step: int = 8, tolera
             if all(abs(centre - c) > 1.5 * tolerance for c in centres):
                 centres.append(centre)
             free = free & ~near
-        total = n.sum()
-        out = [(c, float(n[abs(v - c) <= tolerance].sum()) / total) for c in centres]
-        out = sorted(((c, s) for c, s in out if s >= least), key=lambda x: (-x[1], x[0]))
-        return pd.DataFrame({"grid_id": rows["grid_id"].iloc[0], "rank": range(1, len(out) + 1), "centre": [c for c, _ in out], "share": [s for _, s in out]})
+        shares = [(c, float(n[abs(v - c) <= tolerance].sum()) / n.sum()) for c in centres]
+        return sorted(((c, s) for c, s in shares if s >= least), key=lambda x: (-x[1], x[0]))
+
+    def grids(table: pa.Table) -> pa.RecordBatch:
+        g, v, n = (table[c].to_numpy() for c in ("grid_id", "v", "n"))
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, np.int64)
+        out = [(int(g[a]), k, c, s) for a, b in zip(edges[:-1], edges[1:], strict=True) for k, (c, s) in enumerate(found(v[a:b], n[a:b]), 1)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["grid_id", "rank", "centre", "share"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            g = table["grid_id"].to_numpy()
+            whole = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0  # the last grid may go on
+            yield grids(table.slice(0, whole))
+            rest = table.slice(whole)
+        if rest is not None:
+            yield grids(rest)
 
-    return histogram.groupBy("grid_id").applyInPandas(found, "grid_id long, rank int, centre double, share double")
+    dealt = histogram.where("grid_id IS NOT NULL AND v IS NOT NULL").repartition("grid_id").sortWithinPartitions("grid_id", "v")
+    return dealt.mapInArrow(run, "grid_id long, rank int, centre double, share double")
 
 
 def spaced_peaks(cells: DataFrame, value: str, n: int, separation: float, metric: str = "euclidean", fill: bool = False, seed: int = 0) -> DataFrame:
@@ -247,17 +265,28 @@ def spaced_peaks(cells: DataFrame, value: str, n: int, separation: float, metric
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, taken, done = None, [], []
         for batch in batches:
-            for g, y, x, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != grid:
+            g, y, x, v = (c.to_numpy() for c in batch.columns)
+            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if g[a] != grid:
                     done += taken if fill or len(taken) == n else []
-                    grid, taken = g, []
-                if len(taken) < n and all((abs(a[1] - y) + abs(a[2] - x) if metric == "manhattan" else ((a[1] - y) ** 2 + (a[2] - x) ** 2) ** 0.5) > separation for a in taken):
-                    taken.append((g, y, x, len(taken) + 1, v))
+                    grid, taken = g[a], []
+                open_ = np.ones(b - a, bool)
+                for t in taken:
+                    open_ &= apart(y[a:b] - t[1], x[a:b] - t[2])
+                while len(taken) < n and open_.any():
+                    k = a + int(open_.argmax())
+                    taken.append((int(grid), int(y[k]), int(x[k]), len(taken) + 1, float(v[k])))
+                    open_ &= apart(y[a:b] - y[k], x[a:b] - x[k])
+                    open_[: k - a + 1] = False
             if len(done) > 10_000:
                 yield _peaks(done)
                 done = []
         yield _peaks(done + (taken if fill or len(taken) == n else []))
 
+    def apart(dy: np.ndarray, dx: np.ndarray) -> np.ndarray:
+        return (np.abs(dy) + np.abs(dx) if metric == "manhattan" else np.sqrt(dy * dy + dx * dx)) > separation
+
     schema = "grid_id long, y long, x long, rank int, value double"
     found = rows.repartition("grid_id").sortWithinPartitions("grid_id", F.col("v").desc(), "y", "x").mapInArrow(run, schema)
     if not fill:
