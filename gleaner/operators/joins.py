@@ -123,12 +123,15 @@ def match_greedy(pred: DataFrame, truth: DataFrame, group: str, threshold: float
     return found.withColumnRenamed("g", group)
 
 
-def _first(*columns: np.ndarray) -> np.ndarray:
-    """The first place of each different row."""
-    order = np.lexsort(columns)  # stable
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
-    return order[new]
+def _codes(*columns: np.ndarray) -> np.ndarray:
+    """A number for each different row."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), np.int64)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +149,17 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matches(table: pa.Table) -> Iterator[pa.RecordBatch]:
     g, i, j, iou = (table[c].to_numpy() for c in ("g", "i", "j", "iou"))
+    own, other = _codes(g, i), _codes(g, j)
     open_ = np.lexsort((j, i, -iou))  # best first
+    free = np.ones(len(g), bool), np.ones(len(g), bool)
     taken: list[np.ndarray] = []
     while len(open_):
-        a, b, c = g[open_], i[open_], j[open_]
-        both = np.intersect1d(_first(a, b), _first(a, c), assume_unique=True)
-        taken.append(open_[both])
-        used = np.zeros(len(open_), bool)
-        for ends in (b, c):
-            _, code = np.unique(np.stack([a, ends]), axis=1, return_inverse=True)
-            used |= np.isin(code.reshape(-1), code.reshape(-1)[both])
-        open_ = open_[~used]
+        firsts = (np.unique(code[open_], return_index=True)[1] for code in (own, other))
+        both = open_[np.intersect1d(*firsts, assume_unique=True)]
+        taken.append(both)
+        free[0][own[both]] = False
+        free[1][other[both]] = False
+        open_ = open_[free[0][own[open_]] & free[1][other[open_]]]
     if taken:
         yield from table.take(pa.array(np.sort(np.concatenate(taken)))).combine_chunks().to_batches()
 

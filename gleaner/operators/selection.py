@@ -281,7 +281,7 @@ def facility_location(df: DataFrame, key: str, vector: str, score: str, k: int,
     known: dict[int, float] = {}
     queue: dict[int, tuple[float, float]] = {}
     none = (np.inf, 0)
-    rest, new, n = (-np.inf, 0), [], rows.count()
+    rest, new, n, width = (-np.inf, 0), [], rows.count(), TRIED
     rank = lambda x: (-round(known.get(x, queue[x][0]), 9), x)
     while len(picked) < min(k, n):
         order = sorted((x for x in queue if x not in picked), key=rank)
@@ -294,12 +294,12 @@ def facility_location(df: DataFrame, key: str, vector: str, score: str, k: int,
             queue = {r[key]: (r["gain"], r["bonus"]) for r in head[:QUEUE]}
             rest = (-round(head[QUEUE]["gain"], 9), head[QUEUE][key]) if len(head) > QUEUE else none
             continue
-        tried = order[:TRIED]
-        after = min(rank(order[TRIED]) if len(order) > TRIED else none, rest)
+        tried = order[:width]
+        after = min(rank(order[width]) if len(order) > width else none, rest)
         if new:
             cover = staged(_covered(cover, key, np.array(new), np.array(picked[-len(new) :]), least), "cover")
-        u, both = _tried(rows, cover, key, tried, least)
-        low = both.diagonal() + np.array([queue[x][1] for x in tried])
+        u, gain, both = _tried(rows, cover, key, tried, least, len(tried) <= TRIED)
+        low = gain + np.array([queue[x][1] for x in tried])
         high = low.copy()
         known |= dict(zip(tried, low.tolist(), strict=True))
         new, open_ = [], list(range(len(tried)))
@@ -311,9 +311,14 @@ def facility_location(df: DataFrame, key: str, vector: str, score: str, k: int,
             picked.append(tried[at])
             new.append(u[at])
             open_.remove(at)
+            if both is None:
+                break
             # beside two picks a row adds no more than beside either, and no less than with both overlaps taken off
-            high = np.minimum(high, both.diagonal() + [queue[x][1] for x in tried] - both[:, at])
+            high = np.minimum(high, gain + [queue[x][1] for x in tried] - both[:, at])
             low = low - both[:, at]
+        # where each pick lowers all gains, as without a threshold, more rows are tried at a time
+        near_top = bool(new) and picked[-1] in order[:TRIED]
+        width = max(TRIED, width // 2) if near_top else width if new else min(4 * width, QUEUE)
     return picked
 
 
@@ -338,31 +343,35 @@ def _covered(cover: DataFrame, key: str, new: np.ndarray, ids: np.ndarray, least
     return cover.mapInArrow(run, cover.schema)
 
 
-def _tried(rows: DataFrame, cover: DataFrame, key: str, tried: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of the rows, and what each two of them add both to the coverage of all; on the diagonal what each adds."""
-    some = rows.where(F.col(key).isin(tried)).select(key, "u").toArrow()  # TRIED rows
+def _tried(rows: DataFrame, cover: DataFrame, key: str, tried: list[int], least: float, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The vectors of the rows, what each adds to the coverage of all, and with `pairs` what each two add both."""
+    some = rows.where(F.col(key).isin(tried)).select(key, "u").toArrow()  # QUEUE rows
     place = {x: i for i, x in enumerate(some[key].to_pylist())}
     vectors = cells.matrix(some["u"].combine_chunks())[[place[x] for x in tried]]
     sent = rows.sparkSession.sparkContext.broadcast((np.array(tried), vectors))
+    step = cells.STEP if len(tried) <= TRIED else max(1, cells.STEP * TRIED // len(tried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, u = sent.value
-        total = np.zeros((len(ids), len(ids)))
+        total = np.zeros((len(ids), len(ids) if pairs else 1))
         for batch in batches:
-            for low in range(0, batch.num_rows, cells.STEP):
-                part = batch.slice(low, cells.STEP)
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
                 s = u @ cells.matrix(part.column(1)).T
                 s[ids[:, None] == part.column(0).to_numpy()[None, :]] = 1.0
                 r = _residual(s, part.column(2).to_numpy(), least)
-                for i in range(len(ids)):
-                    total[i] += np.minimum(r, r[i]).sum(axis=1)
+                if pairs:
+                    for i in range(len(ids)):
+                        total[i] += np.minimum(r, r[i]).sum(axis=1)
+                else:
+                    total[:, 0] += r.sum(axis=1)
         i, j = np.nonzero(total)
         yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "s"])
 
-    both = np.zeros((len(tried), len(tried)))
+    both = np.zeros((len(tried), len(tried) if pairs else 1))
     found = cover.mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow()
     both[found["i"].to_numpy(), found["j"].to_numpy()] = found["s"].to_numpy()
-    return vectors, both
+    return (vectors, both.diagonal().copy(), both) if pairs else (vectors, both[:, 0], None)
 
 
 def constrained(df: DataFrame, key: str, include: DataFrame | None = None, exclude: DataFrame | None = None, score: str | None = None, least: float = 0.0) -> DataFrame:
@@ -429,18 +438,15 @@ def select(df: DataFrame, key: str, vector: str, score: str, k: int, method: str
 
 
 def _by_group(df: DataFrame, order: list[Column], decide: Callable[[pa.Table], np.ndarray], kept: int, schema: str) -> DataFrame:
-    """The rows that `decide` gives the places of, group by group (the first column) in order; their first `kept` columns.
+    """The rows that `decide` gives the places of, from the rows of complete groups (the first column) in order; their first `kept` columns.
 
-    All groups of a partition are decided in one pass; a group is held while it is decided.
+    The groups at hand are decided side by side; a group is held while it is decided.
     """
     group = df.columns[0]
 
     def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        g = table[group].to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])) if len(g) else np.zeros(1, int)
-        found = [a + decide(table.slice(a, b - a)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        if found:
-            yield from table.select(range(kept)).take(pa.array(np.concatenate(found).astype(np.int64))).combine_chunks().to_batches()
+        if table.num_rows:
+            yield from table.select(range(kept)).take(pa.array(decide(table))).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -457,19 +463,24 @@ def _by_group(df: DataFrame, order: list[Column], decide: Callable[[pa.Table], n
     return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
 
-def _stay(box: np.ndarray, threshold: float, top: int | None) -> np.ndarray:
-    """Places of the boxes (x1, y1, x2, y2; best first) that no better one that stays overlaps by more than the threshold."""
+def _stay(g: np.ndarray, box: np.ndarray, threshold: float, top: int | None) -> np.ndarray:
+    """Places of the boxes (x1, y1, x2, y2; by group, best first) that no better one that stays overlaps by more than the threshold.
+
+    Each round takes the best box left of every group.
+    """
     x1, y1, x2, y2 = box
     area = (x2 - x1) * (y2 - y1)
-    open_, out = np.arange(len(x1)), []
+    open_, out = np.arange(len(g)), []
     while len(open_) and len(out) != top:
-        k, open_ = open_[0], open_[1:]
-        out.append(k)
-        w = np.minimum(x2[open_], x2[k]) - np.maximum(x1[open_], x1[k])
-        h = np.minimum(y2[open_], y2[k]) - np.maximum(y1[open_], y1[k])
+        first = np.flatnonzero(np.concatenate([[True], g[open_[1:]] != g[open_[:-1]]]))
+        out.append(open_[first])
+        best = np.repeat(open_[first], np.diff(np.append(first, len(open_))))
+        w = np.minimum(x2[open_], x2[best]) - np.maximum(x1[open_], x1[best])
+        h = np.minimum(y2[open_], y2[best]) - np.maximum(y1[open_], y1[best])
         inter = np.where((w > 0) & (h > 0), w * h, 0).astype(float)
-        open_ = open_[~((inter > 0) & (inter / np.maximum(area[open_] + area[k] - inter, 1e-300) > threshold))]
-    return np.array(out, np.int64)
+        over = (inter > 0) & (inter / np.maximum(area[open_] + area[best] - inter, 1e-300) > threshold)
+        open_ = open_[~over & (open_ != best)]
+    return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
 def suppress_overlaps(df: DataFrame, group: str = "image_id", key: str = "box_id", threshold: float = 0.6, keep_larger: bool = True) -> DataFrame:
@@ -504,7 +515,7 @@ def nms(df: DataFrame, group: str = "image_id", key: str = "box_id", score: str
     schema = f"{group} long, {key} long, {score} double"
 
     def decide(table: pa.Table) -> np.ndarray:
-        return _stay(np.stack([table.column(c).to_numpy() for c in (3, 4, 5, 6)]), threshold, top)
+        return _stay(table.column(0).to_numpy(), np.stack([table.column(c).to_numpy() for c in (3, 4, 5, 6)]), threshold, top)
 
     order = [F.col(score).desc(), F.col(key)]
     large = _large(rows, group, pass_rows)
@@ -631,11 +642,10 @@ def dedup_pairs(pairs: DataFrame, cells: DataFrame, threshold: float = 0.5, pass
     rows = pairs.select("image_id", "pair_id").join(links, ["image_id", "pair_id"], "left").select(F.col("image_id").cast("long"), F.col("pair_id").cast("long"), "earlier")
 
     def decide(table: pa.Table) -> np.ndarray:
-        pair, earlier = table.column(1).to_pylist(), table.column(2).to_pylist()
-        stays: dict[int, int] = {}
-        for n, (p, before) in enumerate(zip(pair, earlier, strict=True)):
-            if not any(e in stays for e in before or ()):
-                stays[p] = n
+        stays: dict[tuple[int, int], int] = {}
+        for n, (g, p, before) in enumerate(zip(*(table.column(c).to_pylist() for c in range(3)), strict=True)):
+            if not any((g, e) in stays for e in before or ()):
+                stays[g, p] = n
         return np.array(list(stays.values()), np.int64)
 
     in_passes = _by_group(rows, [F.col("pair_id")], decide, 2, "image_id long, pair_id long")
