@@ -2,27 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import paths
-from gleaner.sources import arrays
+from gleaner.sources import arrays, tables
 
 CORRUPT = "_corrupt"
 
 
-def list_files(spark: SparkSession, root: str, suffixes: list[str], recursive: bool = True) -> DataFrame:
-    """path, name, stem, suffix, length and modified of files by suffix, in any case. Contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+#: Opens an address in a task: the file system, and the path on it.
+Opener = Callable[[str], tuple[fs.FileSystem, str]]
+#: Entries that a task returns at a time, and folders that a task lists in a round, about.
+ENTRIES, FOLDERS = 10_000, 64
+_ENTRY = "path string, folder boolean, length long, modified timestamp"
+
+
+def list_files(spark: SparkSession, root: str, suffixes: list[str], recursive: bool = True, opener: Opener | None = None) -> DataFrame:
+    """path, name, stem, suffix, length and modified of files by suffix, in any case. Contents are not read.
+
+    Folders are listed in rounds, one for each level, by tasks that write what they find; the driver holds no names. One
+    folder is one task's, which holds its entries. Tasks open `file:` addresses themselves, others with `opener`. Where there
+    is none, or for a pattern of names, Spark lists on the driver, and leaves out files of no bytes.
+    Names that Spark's readers pass over (with a leading dot or underscore) are passed over.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    address = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    local = opener is None and address.startswith("file:")
+    if any(c in root for c in "*?[{") or not (local or opener):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        rows = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    else:
+        rows = _listed(spark, address, recursive, opener or _local)
     c = F.col("path")
     return rows.select("path", paths.name(c).alias("name"), paths.stem(c).alias("stem"), paths.suffix(c).alias("suffix"), "length", "modified").where(F.col("suffix").isin([s.lower() for s in suffixes]))
 
 
+def _local(address: str) -> tuple[fs.FileSystem, str]:
+    return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+
+
+def _listed(spark: SparkSession, root: str, recursive: bool, opener: Opener) -> DataFrame:
+    """path, length and modified of the files below a folder, as tables written round by round."""
+    if not tables.exists(spark, root):
+        raise FileNotFoundError(root)
+    folders, rounds = spark.createDataFrame([(root,)], "path string"), []
+    count = 1
+    while count:
+        parts = min(-(-count // FOLDERS), 4 * spark.sparkContext.defaultParallelism) if count > FOLDERS else count
+        rounds.append(tables.staged(folders.repartition(parts).mapInArrow(_entries(opener), _ENTRY), "listing"))
+        folders = rounds[-1].where("folder").select("path")
+        count = folders.count() if recursive else 0
+    return reduce(DataFrame.unionByName, rounds).where("NOT folder").select("path", "length", "modified")
+
+
+def _entries(opener: Opener) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is in each folder; a file has itself."""
+
+    def batch_of(found: list[tuple[str, bool, int | None, int]]) -> pa.RecordBatch:
+        path, folder, length, modified = zip(*found, strict=True)
+        at = pa.array(modified, pa.int64()).cast(pa.timestamp("us", "UTC"))
+        return pa.record_batch([pa.array(path), pa.array(folder), pa.array(length, pa.int64()), at], ["path", "folder", "length", "modified"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for address in batch.column(0).to_pylist():
+                store, path = opener(address)
+                whole = store.get_file_info(path).is_file
+                for e in [store.get_file_info(path)] if whole else store.get_file_info(fs.FileSelector(path)):
+                    name = e.base_name
+                    if not whole and (name.startswith(".") or name.startswith("_") and "=" not in name):
+                        continue
+                    own = address if whole else f"{address.rstrip('/')}/{name}"
+                    held.append((own, not e.is_file, e.size if e.is_file else None, (e.mtime_ns or 0) // 1_000_000 * 1_000))
+                    if len(held) == ENTRIES:
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
+
+    return run
+
+
 #: Bytes of a file up to which one task reads it whole.
 WHOLE_BYTES = 64 << 20
 
