@@ -314,7 +314,8 @@ def p33_place_cells(spark, sf_dir):
     return grids.placed(cells, placed, 8, 8, 16, 12).select("grid_id", "y", "x", "v")
 
 
-@query(duck("grid", "SELECT grid_id, [round(avg(v), 6), round(var_pop(v), 6), round(max(v), 6)] AS features FROM grid GROUP BY grid_id HAVING count(*) FILTER (WHERE in_a) >= 20"))
+# what rounds to zero is 0 in both, not -0 (+ 0.0)
+@query(duck("grid", "SELECT grid_id, [round(avg(v), 6) + 0.0, round(var_pop(v), 6) + 0.0, round(max(v), 6) + 0.0] AS features FROM grid GROUP BY grid_id HAVING count(*) FILTER (WHERE in_a) >= 20"))
 def p34_feature_rows(spark, sf_dir):
     stats = views.grid(spark, sf_dir).groupBy("grid_id").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.max("v").alias("top"), (F.count_if("in_a") >= 20).alias("success"))
     return records.feature_rows(stats, "grid_id", ["mean", "var", "top"])
