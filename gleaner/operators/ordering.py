@@ -129,6 +129,13 @@ def confident_top(df: DataFrame, keys: list[str], score: str, ties: list[str], f
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_c", "_k")
 
 
+def best_per_group(df: DataFrame, keys: list[str], score: str, key: str) -> DataFrame:
+    """The row (key, score) of the greatest score of each group, of equal ones that of the smallest key; null scores take no part."""
+    row = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))
+    best = df.groupBy(*keys).agg(F.min(F.when(F.col(score).isNotNull(), row)).alias("_r"), F.max(score).alias(score))
+    return best.select(*keys, F.col("_r.k").alias(key), score)
+
+
 def recent_messages(df: DataFrame, n: int, role: str, conversation: str = "conv_id", turn: str = "turn", text: str = "text", most: int = 200) -> DataFrame:
     """Of the last 2n messages of each conversation, those of a role, their text cut at `most` characters."""
     w = Window.partitionBy(conversation).orderBy(F.col(turn).desc())

@@ -105,9 +105,9 @@ def t4_confident_top(spark, sf_dir):
     return ordering.confident_top(views.preds(spark, sf_dir), ["model"], "score", ["crop_name"], 0.9, 4).select("model", "crop_name", "score")
 
 
-@query(duck("preds", "SELECT model, arg_max(crop_name, score) AS crop_name, max(score) AS score FROM preds GROUP BY 1"))
+@query(duck("preds", "SELECT model, first(crop_name ORDER BY score DESC, crop_name) FILTER (WHERE score IS NOT NULL) AS crop_name, max(score) AS score FROM preds GROUP BY 1"))
 def t5_best_per_group(spark, sf_dir):
-    return views.preds(spark, sf_dir).groupBy("model").agg(F.max_by("crop_name", "score").alias("crop_name"), F.max("score").alias("score"))
+    return ordering.best_per_group(views.preds(spark, sf_dir), ["model"], "score", "crop_name")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 100")

@@ -32,3 +32,15 @@ def test_features_have_no_negative_zero(spark, sf_dir, tmp_path):
     path = folder(tmp_path, sf_dir, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     ours, theirs = both(spark, path, "p34_feature_rows")
     assert len(ours) == 2 and ours == theirs
+
+
+def test_the_best_of_equal_scores_is_the_smallest_key(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    copies = docs.unionByName(docs.selectExpr("doc_id + 100000 AS doc_id", "text", "lang", "source", "n_chars")).orderBy("n_chars")
+    labels = copies.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    path = folder(tmp_path, sf_dir, documents=copies, labels=labels)
+    ours, theirs = both(spark, path, "t5_best_per_group")
+    assert ours and ours == theirs
+    # in any order of the rows
+    again = folder(tmp_path / "again", sf_dir, documents=copies.orderBy("doc_id"), labels=labels) if not (tmp_path / "again").mkdir() else None
+    assert ours == both(spark, again, "t5_best_per_group")[0]
