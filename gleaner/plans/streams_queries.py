@@ -17,10 +17,18 @@ EVENT = "event_id long, ts timestamp, user_id long, event_type string, value dou
 
 
 def _stream(spark, sf_dir, files=8):
-    """Events as a stream of files in the order of time."""
-    path = tables.new_path(spark, "events")
+    """Events as a stream of files in the order of time.
+
+    A stream takes files in the order in which they were written. They are dealt by ranges at once, and then written one after
+    the other: tasks that write side by side end in any order, and a watermark would drop rows of the earlier ranges.
+    """
+    dealt, path = tables.new_path(spark, "dealt"), tables.new_path(spark, "events")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    rows.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    ranges = rows.repartitionByRange(files, "ts").withColumn("range", F.spark_partition_id())
+    ranges.sortWithinPartitions("range", "ts").write.partitionBy("range").parquet(dealt)
+    ranges = spark.read.schema(f"{EVENT}, range int").parquet(dealt)
+    for k in range(files):
+        ranges.where(F.col("range") == k).drop("range").coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(path)
 
 

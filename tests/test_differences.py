@@ -2,7 +2,10 @@
 
 import os
 
-from gleaner.plans import registry
+import pytest
+
+from gleaner.plans import registry, streams_queries
+from gleaner.sources.tables import shared_folder
 from tests.oracle import connect
 
 
@@ -44,3 +47,16 @@ def test_the_best_of_equal_scores_is_the_smallest_key(spark, sf_dir, tmp_path):
     # in any order of the rows
     again = folder(tmp_path / "again", sf_dir, documents=copies.orderBy("doc_id"), labels=labels) if not (tmp_path / "again").mkdir() else None
     assert ours == both(spark, again, "t5_best_per_group")[0]
+
+
+@pytest.mark.parametrize("files", [8])
+def test_files_of_a_stream_come_in_the_order_of_time(spark, oracle_dir, monkeypatch, files):
+    made = []
+    new_path = streams_queries.tables.new_path
+    monkeypatch.setattr(streams_queries.tables, "new_path", lambda s, label: made.append((label, new_path(s, label))) or made[-1][1])
+    streams_queries._stream(spark, oracle_dir, files)
+    path = dict(made)["events"].removeprefix("file://")
+    assert path.startswith(shared_folder(spark).removeprefix("file://"))
+    names = sorted((f for f in os.listdir(path) if f.startswith("part-")), key=lambda f: os.stat(f"{path}/{f}").st_mtime_ns)
+    ends = [spark.read.parquet(f"file://{path}/{f}").selectExpr("min(ts)", "max(ts)").first() for f in names]
+    assert len(ends) == files and all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
