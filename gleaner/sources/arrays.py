@@ -17,82 +17,125 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CUT = b"}"
-#: Bytes of records that a task returns at a time.
-OUT_BYTES = 8 << 20
+#: Bytes of a range that a task holds at a time, about: at least a record.
+PIECE = 1 << 20
 
 
 def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of quotes that no backslash escapes, and per byte +1 for an opening bracket or brace and -1 for a closing one."""
-    slash = data == 0x5C
-    run = np.arange(len(data)) - np.maximum.accumulate(np.where(slash, -1, np.arange(len(data))))  # backslashes up to here
     escaped = np.zeros(len(data), bool)
-    escaped[1:] = run[:-1] % 2 == 1
+    slash = np.flatnonzero(data == 0x5C)
+    if len(slash):
+        first = np.flatnonzero(np.diff(slash, prepend=-2) > 1)  # of each run of backslashes
+        place = np.arange(len(slash)) - np.repeat(first, np.diff(np.append(first, len(slash))))
+        after = slash[place % 2 == 0] + 1
+        escaped[after[after < len(data)]] = True
     step = ((data == 0x7B) | (data == 0x5B)).astype(np.int8) - ((data == 0x7D) | (data == 0x5D)).astype(np.int8)
     return np.flatnonzero((data == 0x22) & ~escaped), step
 
 
 def inside(size: int, quotes: np.ndarray, begins_inside: bool) -> np.ndarray:
     """Which bytes are within a string, its opening quote included."""
-    turn = np.zeros(size, np.int8)
-    turn[quotes] = 1
-    return (np.cumsum(turn, dtype=np.int64) + begins_inside) % 2 == 1
+    turn = np.zeros(size, bool)
+    turn[quotes] = True
+    return np.logical_xor.accumulate(turn) ^ begins_inside if size else turn
 
 
 def records(data: np.ndarray, begins_inside: bool, depth: int) -> tuple[list[tuple[int, int]], tuple[int, int] | None, tuple[int, int] | None]:
-    """Whole records (start, end) of a range, the part of a record that began before it, and that of one that goes on after it."""
+    """Whole elements (start, end) of a piece, the part of one that began before it, and that of one that goes on after it.
+
+    Elements are objects or lists; what is neither is left out.
+    """
     quotes, step = marks(data)
-    step = np.where(inside(len(data), quotes, begins_inside), 0, step)
-    level = depth + np.cumsum(step, dtype=np.int64)
-    starts = np.flatnonzero((step > 0) & (level == 2) & (data == 0x7B))
-    ends = np.flatnonzero((step < 0) & (level == 1) & (data == 0x7D)) + 1
+    step[inside(len(data), quotes, begins_inside)] = 0
+    return _cut(step, depth)
+
+
+def _cut(step: np.ndarray, depth: int) -> tuple[list[tuple[int, int]], tuple[int, int] | None, tuple[int, int] | None]:
+    at = np.flatnonzero(step)
+    turn = step[at]
+    level = depth + np.cumsum(turn, dtype=np.int64)
+    starts, ends = at[(turn > 0) & (level == 2)], at[(turn < 0) & (level == 1)] + 1
     head = None
     if depth >= 2:
-        head = (0, int(ends[0]) if len(ends) else len(data))
+        head = (0, int(ends[0]) if len(ends) else len(step))
         ends = ends[1:]
-    tail = (int(starts[-1]), len(data)) if len(starts) > len(ends) else None
+    tail = (int(starts[-1]), len(step)) if len(starts) > len(ends) else None
     return list(zip(starts[: len(ends)].tolist(), ends.tolist(), strict=True)), head, tail
 
 
-Range = tuple[str, int, bytes]
+Range = tuple[str, int]
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[Range]:
-    """(file, start, bytes) of the ranges that a task reads; rows (value, file, start) come range by range."""
-    at, held = None, []
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Range, bytes | None]]:
+    """The ranges that a task reads, in pieces of about PIECE bytes that end after a closing brace, and None at the end of each.
+
+    Rows (value, file, start) come range by range.
+    """
+    at, held, size = None, [], 0
     for batch in batches:
         for value, file, start in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if (file, start) != at:
-                if at is not None:
-                    yield (*at, CUT.join(held) + CUT)
-                at, held = (file, start), []
-            held.append(value.as_buffer().to_pybytes())
+            if (file, start) != at or size >= PIECE:
+                if held:
+                    yield at, b"".join(held)
+                    held, size = [], 0
+                if (file, start) != at:
+                    if at is not None:
+                        yield at, None
+                    at = (file, start)
+            held += [value.as_buffer().to_pybytes(), CUT]
+            size += len(held[-2]) + 1
     if at is not None:
-        yield (*at, CUT.join(held) + CUT)
+        yield at, b"".join(held)
+        yield at, None
 
 
 def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for file, start, raw in _ranges(batches):
+    odd, depths = 0, [0, 0]
+    for (file, start), raw in _pieces_of(batches):
+        if raw is None:
+            yield pa.record_batch([pa.array([file]), pa.array([start]), pa.array([odd]), *(pa.array([d]) for d in depths)], ["file", "start", "odd", "outside", "inside"])
+            odd, depths = 0, [0, 0]
+            continue
         data = np.frombuffer(raw, np.uint8)
         quotes, step = marks(data)
-        depths = [int(step[~inside(len(data), quotes, b)].sum(dtype=np.int64)) for b in (False, True)]
-        yield pa.record_batch([pa.array([file]), pa.array([start]), pa.array([len(quotes) % 2]), *(pa.array([d]) for d in depths)], ["file", "start", "odd", "outside", "inside"])
+        in_ = inside(len(data), quotes, bool(odd))  # of a range that begins outside a string; the other way round in one that begins inside
+        depths = [d + int(step[x].sum(dtype=np.int64)) for d, x in zip(depths, (~in_, in_), strict=True)]
+        odd = (odd + len(quotes)) % 2
+
 
+def _elements(begins: dict[Range, tuple[bool, int]]):
+    """Objects (part null) and parts of elements that go over the borders of a range: 0 of one that began before, 1 of one that begins in it."""
+    names = ["file", "start", "part", "value"]
 
-def _pieces(begins: dict[tuple[str, int], tuple[bool, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "start", "part", "value"]
-        for file, start, raw in _ranges(batches):
-            found, head, tail = records(np.frombuffer(raw, np.uint8), *begins.get((file, start), (False, 0)))
-            rows = [(a, b, None) for a, b in found] + [(*span, part) for span, part in ((head, 0), (tail, 1)) if span]
-            low = 0
-            while low < len(rows):
-                high, held = low, 0
-                while high < len(rows) and (high == low or held < OUT_BYTES):
-                    held += rows[high][1] - rows[high][0]
-                    high += 1
-                some = rows[low:high]
-                yield pa.record_batch([pa.array([file] * len(some)), pa.array([start] * len(some)), pa.array([r[2] for r in some], pa.int32()), pa.array([raw[a:b] for a, b, _ in some], pa.binary())], names)
-                low = high
+        now, open_, part, within, depth = None, [], 0, False, 0
+        for at, raw in _pieces_of(batches):
+            if at != now:
+                now, open_, part = at, [], 0
+                within, depth = begins.get(at, (False, 0))
+            out: list[tuple[int | None, bytes]] = []
+            if raw is None:
+                out += [(part, b"".join(open_))] if open_ else []
+                now = None
+            else:
+                data = np.frombuffer(raw, np.uint8)
+                quotes, step = marks(data)
+                step[inside(len(data), quotes, within)] = 0
+                found, head, tail = _cut(step, depth)
+                if head:
+                    open_.append(raw[: head[1]])
+                within, depth = within ^ bool(len(quotes) % 2), depth + int(step.sum(dtype=np.int64))
+                if head and (found or tail or depth < 2):  # it ends here
+                    whole = b"".join(open_)
+                    if part == 0 or whole[:1] == b"{":
+                        out.append((None if part else 0, whole))
+                    open_, part = [], 1
+                out += [(None, raw[a:b]) for a, b in found if raw[a] == 0x7B]
+                if tail:
+                    open_, part = [raw[tail[0] :]], 1
+            if out:
+                yield pa.record_batch([pa.array([at[0]] * len(out)), pa.array([at[1]] * len(out)), pa.array([p for p, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names)
 
     return run
 
@@ -111,12 +154,13 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     begins = begins.withColumn("depth", F.coalesce(F.sum("adds").over(before), F.lit(0)))
     known = {(r["file"], r["start"]): (r["within"], r["depth"]) for r in begins.select("file", "start", "within", "depth").collect()}
 
-    pieces = rows.mapInArrow(_pieces(known), "file string, start long, part int, value binary")
+    pieces = rows.mapInArrow(_elements(known), "file string, start long, part int, value binary")
     # parts follow the tail that begins their record
     turn = Window.partitionBy("file").orderBy("start", "part")
     parts = pieces.where("part IS NOT NULL").withColumn("record", F.sum("part").over(turn))
     whole = F.array_sort(F.collect_list(F.struct("start", F.col("value").cast("string").alias("value"))))
     joined = parts.groupBy("file", "record").agg(F.array_join(F.transform(whole, lambda p: p["value"]), "").alias("value"))
+    joined = joined.where(F.col("value").startswith("{"))  # lists go
     return pieces.where("part IS NULL").select(F.col("value").cast("string").alias("value")).unionByName(joined.select("value"))
 
 

@@ -4,6 +4,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,38 @@ def test_a_manifest_of_large_files(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(files, "WHOLE_BYTES", 1)
     large = files.read_manifest(spark, path, "doc_id long, text string, source string")
     assert large.exceptAll(df).count() == df.exceptAll(large).count() == 0 and large.where(F.col("text").isNull()).count() == df.where(F.col("text").isNull()).count()
+
+
+@pytest.mark.parametrize("piece", [1, 50, 1000])
+def test_a_range_is_read_piece_by_piece(spark, monkeypatch, piece):
+    """Records over many pieces and ranges, and lists between them, which are left out."""
+    rows = list(objects(150))
+    texts = [x for r in rows for x in (json.dumps(r), json.dumps([[1, {"id": 7}], "]"]))]
+    raw = ("[" + ",\n".join(texts) + "]").encode()
+    monkeypatch.setattr(arrays, "PIECE", piece)
+
+    def batches(low, high):
+        values = raw[low:high].removesuffix(b"}").split(b"}")
+        yield pa.record_batch([pa.array(values, pa.binary()), pa.array(["f"] * len(values)), pa.array([low] * len(values))], ["value", "file", "start"])
+
+    cuts = [0, *[raw.index(b"}", at) + 1 for at in range(700, len(raw) - 700, 700)], len(raw)]
+    ranges = sorted(set(zip(cuts, cuts[1:], strict=False)) - {(c, c) for c in cuts})
+    within, depth, begins, held = False, 0, {}, []
+    for low, high in ranges:
+        (b,) = arrays._changes(batches(low, high))
+        begins["f", low] = (within, depth)
+        depth += b.column("inside" if within else "outside")[0].as_py()
+        within ^= bool(b.column("odd")[0].as_py())
+    got, parts, most = [], [], 0
+    for low, high in ranges:
+        for b in arrays._elements(begins)(batches(low, high)):
+            most = max(most, sum(map(len, b.column("value").to_pylist())))
+            for p, v in zip(b.column("part").to_pylist(), b.column("value").to_pylist(), strict=True):
+                if p is None:
+                    got.append(v)
+                elif p:
+                    parts.append(v)
+                else:
+                    parts[-1] += v
+    found = [json.loads(v) for v in got + [p for p in parts if p.startswith(b"{")]]
+    assert sorted(found, key=lambda r: r["id"]) == rows and (piece > 50 or most < 5000)
