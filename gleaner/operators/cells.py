@@ -22,6 +22,8 @@ from gleaner.sources.tables import staged
 CENTRES, SAMPLE = 4096, 65_536
 #: Rows that are set against all centres at a time.
 STEP = 1024
+#: Rows that a task gives out at a time when it sends rows to tiles.
+SPREAD = 4096
 #: Radians by which angles may be wrong through rounding.
 SLACK = 1e-6
 
@@ -191,10 +193,12 @@ def reaching(rows: DataFrame, tiles: Tiles, reaches, pairs: bool) -> DataFrame:
             for low in range(0, batch.num_rows, STEP):
                 some = batch.slice(low, STEP)
                 m = matrix(some.column(names.index("v")))
-                i, j = np.nonzero(reaches(own, m, some))
-                if pairs:
-                    tile = some.column(names.index("tile")).to_numpy()[i]
-                    j = np.minimum(tile, j) * count + np.maximum(tile, j)
-                yield pa.record_batch([*(c.take(pa.array(i)) for c in some.columns), pa.array(j.astype(np.int64))], [*names, "meet"])
+                met = np.nonzero(reaches(own, m, some))
+                for at in range(0, len(met[0]), SPREAD):
+                    i, j = (x[at : at + SPREAD] for x in met)
+                    if pairs:
+                        tile = some.column(names.index("tile")).to_numpy()[i]
+                        j = np.minimum(tile, j) * count + np.maximum(tile, j)
+                    yield pa.record_batch([*(c.take(pa.array(i)) for c in some.columns), pa.array(j.astype(np.int64))], [*names, "meet"])
 
     return rows.mapInArrow(run, schema)

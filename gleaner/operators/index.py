@@ -20,7 +20,9 @@ from gleaner.operators import cells
 #: A row is in the two nearest lists if the second centre's angle is at most this much of the first's.
 BORDER = 1.15
 #: Codes and queries of a group, about: what one task holds.
-CODES, QUERIES = 65_536, 16_384
+CODES, QUERIES = 32_768, 4096
+#: Rows that a task gives out at a time when it sends queries to lists.
+SPREAD = 4096
 #: Share of the lists that a search goes through, and vectors read for each row asked for.
 PROBED, READ = 0.42, 4
 
@@ -107,15 +109,18 @@ class VectorIndex:
         """
         count = max(len(self.centres.own), 1)
         probes = min(count, probes or max(8, round(PROBED * count)))
+        step = max(1, SPREAD // probes)
         sent = self.spark.sparkContext.broadcast(self.centres)
 
         def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for batch in batches:
-                m = cells.matrix(batch.column(1))
-                near = own.nearest(m, probes, len(own.tops))[0] if len(own.own) and len(m) else np.zeros((len(m), 1), np.int64)
-                at = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
-                yield pa.record_batch([*(c.take(at) for c in batch.columns), pa.array(near.reshape(-1))], ["id", "v", "list"])
+                for low in range(0, batch.num_rows, step):
+                    some = batch.slice(low, step)
+                    m = cells.matrix(some.column(1))
+                    near = own.nearest(m, probes, len(own.tops))[0] if len(own.own) else np.zeros((len(m), 1), np.int64)
+                    at = pa.array(np.repeat(np.arange(len(m)), near.shape[1]))
+                    yield pa.record_batch([*(c.take(at) for c in some.columns), pa.array(near.reshape(-1))], ["id", "v", "list"])
 
         asked = cells.units(queries, key, vector)
         spread = asked.mapInArrow(asking, "id long, v array<double>, list long")

@@ -14,7 +14,9 @@ from gleaner.operators import cells
 from gleaner.sources.tables import staged
 
 #: Vectors of a block of queries and of a tile of rows, about: what one task holds of either side.
-QUERIES, ROWS = 65_536, 8192
+QUERIES, ROWS = 4096, 8192
+#: Vectors of either side that are multiplied at a time.
+LEFT, RIGHT = 256, 4096
 
 
 def centroid(df: DataFrame, vector: str, normalize: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -48,6 +50,18 @@ def diversity(df: DataFrame, vector: str) -> DataFrame:
     return whole.select(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mean_similarity"), F.when(n > 1, 1 - mean).otherwise(F.lit(1.0)).alias("diversity"))
 
 
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `k` greatest of each row of `s` and their ids, near ties (nine places) by id; only what reaches the k-th is put in order."""
+    if s.shape[1] <= 2 * k:
+        return s, np.broadcast_to(ids, s.shape)
+    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - 2e-9
+    many = int((s >= edge).sum(axis=1).max())
+    if many > s.shape[1] // 2:
+        return s, np.broadcast_to(ids, s.shape)
+    at = np.argpartition(s, s.shape[1] - many, axis=1)[:, s.shape[1] - many :]
+    return np.take_along_axis(s, at, 1), ids[at]
+
+
 def _met(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """(query_id, neighbour_id, similarity): for each query of a tile (`meet`) the `k` best of its rows, ties by id.
 
@@ -62,16 +76,16 @@ def _met(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool) -> Dat
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(ids) and len(own):
             q, m = (cells.matrix(x["v"].combine_chunks()) for x in (left, right))
-            for low in range(0, len(ids), 1024):
-                some = ids[low : low + 1024]
+            for low in range(0, len(ids), LEFT):
+                some = ids[low : low + LEFT]
                 kept_s, kept_i = np.empty((len(some), 0)), np.empty((len(some), 0), np.int64)
-                for at in range(0, len(own), 4096):
-                    s = q[low : low + 1024] @ m[at : at + 4096].T
-                    near = own[at : at + 4096]
+                for at in range(0, len(own), RIGHT):
+                    s = q[low : low + LEFT] @ m[at : at + RIGHT].T
+                    near = own[at : at + RIGHT]
                     if exclude_self:
                         s[some[:, None] == near[None, :]] = -np.inf
-                    kept_s = np.concatenate([kept_s, s], axis=1)
-                    kept_i = np.concatenate([kept_i, np.broadcast_to(near, s.shape)], axis=1)
+                    new_s, new_i = _best(s, near, k)
+                    kept_s, kept_i = np.concatenate([kept_s, new_s], axis=1), np.concatenate([kept_i, new_i], axis=1)
                     order = np.lexsort((kept_i, -kept_s.round(9)), axis=1)[:, :k]
                     kept_s, kept_i = np.take_along_axis(kept_s, order, 1), np.take_along_axis(kept_i, order, 1)
                 ok = np.isfinite(kept_s)
@@ -139,7 +153,8 @@ def _block_pairs(met: DataFrame, count: int, found, schema: str) -> DataFrame:
         m = cells.matrix(table["v"].combine_chunks())
         low, high = divmod(key_[0].as_py(), count)
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-        parts = [found(ids[left[at : at + 1024]], m[left[at : at + 1024]] @ m[right].T, ids[right], low == high) for at in range(0, len(left), 1024)] if len(right) else []
+        mr, ir = (m, ids) if low == high else (m[right], ids[right])
+        parts = [found(ids[left[at : at + LEFT]], m[left[at : at + LEFT]] @ mr.T, ir, low == high) for at in range(0, len(left), LEFT)] if len(right) else []
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.empty(0)] * len(names)
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 

@@ -99,3 +99,29 @@ def test_no_rows(spark):
     few = table(spark, np.eye(3))
     assert VO.knn(few, none, 2, "id", "e").count() == VO.knn(none, few, 2, "id", "e").count() == 0
     assert VO.similar_pairs(few.union(spark.createDataFrame([(9, None)], "id long, e array<double>")), "id", "e", -0.5).count() == 3
+
+
+def test_the_best_of_a_block_keep_near_ties():
+    r = np.random.default_rng(3)
+    s = r.integers(0, 40, (50, 300)) / 40 + r.integers(-2, 3, (50, 300)) * 1e-10
+    s[0] = -np.inf
+    s[1] = 0.5
+    ids = r.permutation(1000)[:300]
+    for k in (1, 5, 290):
+        order = lambda a, i: np.lexsort((i, -a.round(9)), axis=1)[:, :k]
+        wide = np.broadcast_to(ids, s.shape)
+        a, i = VO._best(s, ids, k)
+        assert (np.take_along_axis(i, order(a, i), 1) == np.take_along_axis(wide, order(s, wide), 1)).all()
+
+
+def test_rows_go_to_tiles_a_few_at_a_time(spark, monkeypatch):
+    """However many tiles a row goes to, a task gives out SPREAD rows at a time."""
+    tiles = cells.Tiles(np.zeros((40, 2)), np.full(40, 4.0), np.full(40, 9))
+    rows = spark.createDataFrame([(k % 40, k, [1.0, 0.0]) for k in range(500)], "tile long, id long, v array<double>").coalesce(1)
+    monkeypatch.setattr(cells, "SPREAD", 64)
+    made = []
+    real = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: made.append(f) or real(self, f, schema))
+    cells.reaching(rows, tiles, lambda own, m, _: np.ones((len(m), 40), bool), pairs=True)
+    sizes = [b.num_rows for b in made[0](iter(rows.toArrow().combine_chunks().to_batches()))]
+    assert sum(sizes) == 500 * 40 and max(sizes) <= 64
