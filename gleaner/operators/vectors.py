@@ -185,21 +185,37 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, size:
     return _block_pairs(*meetings(df, key, vector, threshold, size), over, "id_a long, id_b long, similarity double")
 
 
-def similarity_sums(df: DataFrame, key: str, vector: str, threshold: float, size: int = ROWS) -> DataFrame:
-    """(id, sum): each row's similarities to all rows that reach `threshold`, summed up; that to itself is 1.
+def coverage_gains(rows: DataFrame, tiles: cells.Tiles, threshold: float) -> DataFrame:
+    """(id, sum): what each row's similarities to all rows (tile, id, v, c), as far as they reach `threshold`, exceed the coverage c of these by.
 
-    Tiles that may hold such rows meet as in `similar_pairs`, and return sums.
+    The similarity to itself is 1; c is 0 or more, and `threshold` above 0. Tiles that may hold such rows meet as in
+    `similar_pairs`, once for both, and return sums.
     """
+    count = len(tiles.rows)
+    far = float(cells.angle(np.array(threshold - 1e-12))) if threshold <= 1 else -1.0
+    met = cells.reaching(rows, tiles, lambda own, m, _: own.ends(m)[0] <= far, pairs=True)
 
-    def sums(ids: np.ndarray, s: np.ndarray, others: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
-        s = np.where(s >= threshold, s, 0.0)
-        if same:
-            s[ids[:, None] == others[None, :]] = 1.0
-            return ids, s.sum(axis=1)
-        return np.concatenate([ids, others]), np.concatenate([s.sum(axis=1), s.sum(axis=0)])
-
-    found = _block_pairs(*meetings(df, key, vector, threshold, size), sums, "id long, sum double")
-    return found.groupBy("id").agg(F.sum("sum").alias("sum"))
+    def gains(key_, table):
+        ids, tile, c = table["id"].to_numpy(), table["tile"].to_numpy(), table["c"].to_numpy()
+        m = cells.matrix(table["v"].combine_chunks())
+        low, high = divmod(key_[0].as_py(), count)
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        total = np.zeros(len(ids))
+        for i in range(0, len(left), LEFT):
+            a = left[i : i + LEFT]
+            for j in range(0, len(right), cells.STEP):
+                b = right[j : j + cells.STEP]
+                s = m[a] @ m[b].T
+                if low == high:
+                    s[ids[a][:, None] == ids[b][None, :]] = 1.0
+                s[s < threshold] = 0.0
+                # the greater of both less the coverage is what exceeds it
+                total[a] += np.maximum(s, c[b][None, :]).sum(axis=1) - c[b].sum()
+                if low != high:
+                    total[b] += np.maximum(s, c[a][:, None]).sum(axis=0) - c[a].sum()
+        return pa.table([pa.array(ids), pa.array(total)], ["id", "sum"])
+
+    return met.groupBy("meet").applyInArrow(gains, "id long, sum double").groupBy("id").agg(F.sum("sum").alias("sum"))
 
 
 def similarity_extremes(df: DataFrame, key: str, vector: str, size: int = ROWS) -> DataFrame:

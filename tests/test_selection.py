@@ -73,6 +73,24 @@ def test_facility_location(vectors):
     assert picked(selection.select(df, "vec_id", "e", "score", 4, "facility_location")) == want
 
 
+def test_facility_location_brings_few_vectors_to_the_driver(vectors, monkeypatch):
+    df, x, score = vectors
+    asked = []
+    tried = selection._tried
+    monkeypatch.setattr(selection, "_tried", lambda rows, cover, key, ids, *rest: asked.append(len(ids)) or tried(rows, cover, key, ids, *rest))
+    monkeypatch.setattr(selection, "QUEUE", 8)
+    monkeypatch.setattr(selection, "TRIED", 2)
+    monkeypatch.setattr(selection, "TILE_LEAST", 40, raising=False)
+    s, cover, want = x @ x.T, np.zeros(len(x)), []
+    for _ in range(4):
+        gain = np.maximum(s - cover, 0).sum(axis=1) + 0.01 * score / score.max()
+        gain[want] = -np.inf
+        want.append(first_max(gain, np.ones(len(x), bool)))
+        cover = np.maximum(cover, s[want[-1]])
+    assert picked(selection.select(df, "vec_id", "e", "score", 4, "facility_location")) == want
+    assert sum(asked) < 40  # each pick lowers the gains of all 200
+
+
 def test_k_medoids(vectors):
     df, x, _ = vectors
     medoids = greedy(x, 5, first_max(-(x @ x.mean(axis=0)), np.ones(len(x), bool)), np.maximum, lambda m: -m)
