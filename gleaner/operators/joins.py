@@ -51,24 +51,54 @@ def attach_text(stems: DataFrame, lookup: DataFrame, key: str, text: str, order:
 def overlapping_pairs(df: DataFrame, group: str, key: str, threshold: float) -> DataFrame:
     """Pairs (i < j) of boxes of a group with an IoU of `threshold` or more.
 
-    Boxes are also filed in squares of a grid, so that a group of many boxes is not paired whole: a pair meets in the
-    square that holds the upper left corner of its intersection.
+    Groups of a few boxes are paired as they are. Boxes of larger ones are also filed in squares of a grid, so that such a
+    group is not paired whole: a pair meets in the square that holds the upper left corner of its intersection.
     """
-    a = _in_squares(df.select(F.col(group).alias("g"), F.col(key).alias("k"), *B.Box.of()))
-    b = a.select("g", "gy", "gx", F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
-    met = a.join(b, ["g", "gy", "gx"]).where((F.col("k") < F.col("j")) & _meeting_square())
-    return met.select(F.col("g").alias(group), F.col("k").alias("i"), "j", B.iou(B.Box.of(), B.Box.of(suffix="_b")).alias("iou")).where(F.col("iou") >= threshold)
+    a = df.select(F.col(group).alias("g"), F.col(key).alias("k"), *B.Box.of())
+    b = a.select("g", F.col("k").alias("j"), *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
+    met = _met(a, b, _crowded(a)).where(F.col("k") < F.col("j"))
+    return met.select(F.col("g").alias(group), F.col("k").alias("i"), "j", _iou().alias("iou")).where(F.col("iou") >= threshold)
+
+
+#: Boxes of a group, on one side at least, up to which it is paired without squares.
+PAIRED_ROWS = 64
+
+
+def _crowded(rows: DataFrame) -> DataFrame | None:
+    """Groups (g) of more than PAIRED_ROWS rows, if there are any."""
+    many = staged(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_ROWS).select("g"), "crowded")
+    return many if many.limit(1).count() else None
+
+
+def _met(left: DataFrame, right: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """Boxes with an area beside those of the same group on the right (suffix `_b`): all, in crowded groups those whose intersection begins in a square that both reach.
+
+    Few rows of the left meet each row of a group that is not crowded, so these pairs grow as the rows.
+    """
+    left = left.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2"))).withColumn("area", B.Box.of().area)
+    right = right.where((F.col("x1_b") < F.col("x2_b")) & (F.col("y1_b") < F.col("y2_b"))).withColumn("area_b", B.Box.of(suffix="_b").area)
+    if crowded is None:
+        return left.join(right, "g")
+    filed = [_in_squares(rows.join(crowded, "g", "left_semi"), suffix) for rows, suffix in ((left, ""), (right, "_b"))]
+    in_squares = filed[0].join(filed[1], ["g", "gy", "gx"]).where(_meeting_square()).drop("gy", "gx")
+    return left.join(crowded, "g", "left_anti").join(right, "g").unionByName(in_squares)
+
+
+def _iou() -> Column:
+    """As `boxes.iou` of boxes that `_met` brings together, in so few terms that a join's loop is still compiled."""
+    side = lambda low, high: F.greatest(F.least(high, f"{high}_b") - F.greatest(low, f"{low}_b"), F.lit(0))
+    inter = side("x1", "x2") * side("y1", "y2")
+    return inter / (F.col("area") + F.col("area_b") - inter)
 
 
 #: Side of the squares that boxes are filed in.
 SQUARE = 256
 
 
-def _in_squares(rows: DataFrame) -> DataFrame:
+def _in_squares(rows: DataFrame, suffix: str = "") -> DataFrame:
     """Boxes with an area, a row for each square (gy, gx) that they reach into."""
-    solid = rows.where((F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")))
-    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / SQUARE), F.floor((F.col(high) - 1) / SQUARE)))
-    return solid.withColumn("gy", reach("y1", "y2")).withColumn("gx", reach("x1", "x2"))
+    reach = lambda low, high: F.explode(F.sequence(F.floor(F.col(low + suffix) / SQUARE), F.floor((F.col(high + suffix) - 1) / SQUARE)))
+    return rows.withColumn("gy", reach("y1", "y2")).withColumn("gx", reach("x1", "x2"))
 
 
 def _meeting_square() -> Column:
@@ -102,17 +132,14 @@ PASS_PAIRS = 100_000
 def match_greedy(pred: DataFrame, truth: DataFrame, group: str, threshold: float = 0.5, pass_pairs: int = PASS_PAIRS) -> DataFrame:
     """One-to-one matches (i predicted, j true, iou) per group: the best IoU first (ties: lower i, then j), none below the threshold.
 
-    Boxes meet in squares, as in `overlapping_pairs`. A pair that is the best of both its boxes is a match whatever else is
+    Boxes meet in their group, in large ones in squares, as in `overlapping_pairs`. A pair that is the best of both its boxes is a match whatever else is
     chosen, so all such pairs are taken at once, what shares a box with them goes, and the rest has new best pairs: the same
     matches as one pass over all pairs, in few rounds. Groups of up to `pass_pairs` pairs are settled within a task, side by
     side in numpy; larger ones in rounds of Spark, so that their pairs can be split.
     """
-    p = _in_squares(pred.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("i"), *B.Box.of()))
-    t = _in_squares(truth.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("j"), *B.Box.of()))
-    t = t.select("g", "gy", "gx", "j", *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
-    touch = (F.col("x1") < F.col("x2_b")) & (F.col("x1_b") < F.col("x2")) & (F.col("y1") < F.col("y2_b")) & (F.col("y1_b") < F.col("y2"))
-    met = p.join(t, ["g", "gy", "gx"]).where(touch & _meeting_square())
-    pairs = met.select("g", "i", "j", B.iou(B.Box.of(), B.Box.of(suffix="_b")).alias("iou")).where(F.col("iou") >= threshold)
+    p = pred.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("i"), *B.Box.of())
+    t = truth.select(F.col(group).cast("long").alias("g"), F.col("box_id").cast("long").alias("j"), *[F.col(c).alias(f"{c}_b") for c in B.Box._fields])
+    pairs = _met(p, t, _crowded(p)).select("g", "i", "j", _iou().alias("iou")).where((F.col("iou") >= threshold) if threshold > 0 else (F.col("iou") > 0))
     pairs = staged(pairs, "pairs")
     large = staged(pairs.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > pass_pairs).select("g"), "large")
     some = large.limit(1).count() > 0

@@ -147,6 +147,21 @@ def groups(rows):
     return out
 
 
+@pytest.mark.parametrize("most", [64, 11, 0])
+def test_boxes_of_small_groups_are_paired_without_squares(spark, many, monkeypatch, most):
+    monkeypatch.setattr(joins, "PAIRED_ROWS", most, raising=False)
+    rows = [r for r in many if r[0] % 3 or r[1] < 9]  # groups of 9 and of 12
+    want = {(a[0], a[1], b[1]) for g in groups(rows).values() for a in g for b in g if a[1] < b[1] and iou(a, b) >= 0.2}
+    out = joins.overlapping_pairs(boxes(spark, rows), "image_id", "box_id", 0.2)
+    assert sorted((r["image_id"], r["i"], r["j"]) for r in out.collect()) == sorted(want)
+    assert ("Generate" in out._jdf.queryExecution().optimizedPlan().toString()) == (most < 12)
+    own, other = boxes(spark, rows), boxes(spark, [(g, b, x1 + 3, y1 + 2, x2 + 3, y2 + 2, s) for g, b, x1, y1, x2, y2, s in rows])
+    monkeypatch.setattr(joins, "PAIRED_ROWS", 1000, raising=False)
+    whole = sorted(joins.match_greedy(own, other, "image_id").select("image_id", "i", "j").collect())
+    monkeypatch.setattr(joins, "PAIRED_ROWS", most, raising=False)
+    assert sorted(joins.match_greedy(own, other, "image_id").select("image_id", "i", "j").collect()) == whole and whole
+
+
 def test_suppress_overlaps(spark, many):
     want = set()
     for g, rows in groups(many).items():
