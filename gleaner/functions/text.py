@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,35 +142,39 @@ def fenced_json(text: Column) -> Column:
 
 def split_description(text: Column, mode: str = "balanced") -> tuple[Column, Column]:
     """Two descriptions in one: at ` <TO> `, else at ` to ` (of several, the one that balances word counts best, or with
-    mode="first" the first), else at the first of ` and `, ` vs `, ` | `, else in half."""
-
-    def at_first(sep: str) -> Column:
-        n = F.instr(text, sep)
-        return F.array(F.trim(F.substring(text, F.lit(1), n - 1)), F.trim(F.substring(text, n + F.lit(len(sep)), F.length(text))))
-
-    sure, usual, *others = SEPARATORS
-    parts = F.split(text, usual, -1)
-
-    # words left of the i-th separator are those of the first i parts and the separators between them
-    sizes = F.transform(parts, lambda p: F.size(words(p)))
-    total = F.aggregate(sizes, F.size(parts) - 1, lambda n, x: n + x)  # with all separators as words
-    nothing = F.struct(F.lit(0).alias("left"), F.lit(0).alias("i"), F.lit(2**31 - 1).alias("d"), F.lit(0).alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        left, i = acc["left"] + x + F.when(acc["i"] > 0, 1).otherwise(0), acc["i"] + 1
-        d = F.when(i < F.size(parts), F.abs(total - 1 - 2 * left)).otherwise(2**31 - 1)  # what is right: total - 1 - left
-        return F.struct(left.alias("left"), i.alias("i"), F.least(acc["d"], d).alias("d"), F.when(d < acc["d"], i).otherwise(acc["at"]).alias("at"))
-
-    at = F.aggregate(sizes, nothing, step)["at"]
-    balanced = F.array(F.trim(F.array_join(F.slice(parts, F.lit(1), at), usual)), F.trim(F.array_join(F.slice(parts, at + 1, F.size(parts)), usual)))
-    whole = words(text)
-    half = F.floor(F.size(whole) / 2).cast("int")
-    halves = F.array(F.array_join(F.slice(whole, F.lit(1), half), " "), F.array_join(F.slice(whole, half + 1, F.size(whole)), " "))
-    both = F.when(F.instr(text, sure) > 0, at_first(sure)).when(F.instr(text, usual) > 0, balanced if mode == "balanced" else at_first(usual))
-    for sep in others:
-        both = both.when(F.instr(text, sep) > 0, at_first(sep))
-    both = both.otherwise(halves)
-    return both[0], both[1]
+    mode="first" the first), else at the first of ` and `, ` vs `, ` | `, else in half.
+
+    Tasks go through a text once for both.
+    """
+    both = F.arrow_udf(_splitter(mode == "balanced"), "first string, second string")(text)
+    return both["first"], both["second"]
+
+
+def _splitter(balanced: bool) -> Callable[[pa.Array], pa.Array]:
+    def split(texts: pa.Array) -> pa.Array:
+        halves = [_halves(t, balanced) for t in texts.cast(pa.large_binary()).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([h[k] for h in halves], pa.binary()).cast(pa.string()) for k in range(2)], ["first", "second"])
+
+    return split
+
+
+def _halves(text: bytes | None, balanced: bool) -> tuple[bytes | None, bytes | None]:
+    """Bytes split at the white space of `SPACES`, and only blanks are trimmed."""
+    if text is None:
+        return None, None
+    sure, usual, *others = (s.encode() for s in SEPARATORS)
+    if balanced and sure not in text and usual in text:
+        parts = text.split(usual)
+        sizes = np.array([len(p.split()) for p in parts])
+        left = np.cumsum(sizes)[:-1] + np.arange(len(parts) - 1)  # separators are words too
+        at = int(np.abs(sizes.sum() + len(parts) - 2 - 2 * left).argmin()) + 1
+        return usual.join(parts[:at]).strip(b" "), usual.join(parts[at:]).strip(b" ")
+    for separator in (sure, usual, *others):
+        first, found, second = text.partition(separator)
+        if found:
+            return first.strip(b" "), second.strip(b" ")
+    whole = text.split()
+    return b" ".join(whole[: len(whole) // 2]), b" ".join(whole[len(whole) // 2 :])
 
 
 def render_colours(colours: Column) -> Column:
