@@ -38,15 +38,25 @@ def length_reason(a: Column, b: Column, least: int = 4, most: int = 12) -> Colum
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters in bits, within the row; 0 for an empty text.
 
-    Characters are sorted once, and one pass over them sums up the lengths of runs of equal ones.
+    Tasks count the characters of a text at a time in numpy.
     """
-    total = F.length(text).cast("double")
-    part = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    run = lambda c, n, s: F.struct(c.alias("c"), n.alias("n"), s.alias("s"))
-    step = lambda a, c: F.when(a["c"] == c, run(c, a["n"] + 1, a["s"])).otherwise(run(c, F.lit(1.0), a["s"] + part(a["n"])))
-    characters = F.sort_array(F.split(text, ""))
-    sums = F.aggregate(characters, run(F.lit(""), F.lit(0.0), F.lit(0.0)), step, lambda a: a["s"] + part(a["n"]))
-    return F.when(total > 0, F.log2(total) - sums / total).otherwise(F.lit(0.0))
+    return F.coalesce(F.arrow_udf(_entropies, "double")(text), F.lit(0.0))
+
+
+def _entropies(texts: pa.Array) -> pa.Array:
+    return pa.array([_entropy(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.float64())
+
+
+def _entropy(text: bytes | None) -> float:
+    if not text:
+        return 0.0
+    n = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    if n[128:].any():  # characters of several bytes
+        points = np.frombuffer(text.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.bincount(points) if points.max() < 1 << 16 else np.unique(points, return_counts=True)[1]
+    n = n[n > 0].astype(float)
+    total = n.sum()
+    return float(np.log2(total) - (n * np.log2(n)).sum() / total) + 0.0
 
 
 def refine_action(answer: Column, width: Column, height: Column) -> tuple[Column, Column]:

@@ -1,5 +1,9 @@
 """Texts that are gone through once a row, and split and measured as they always were."""
 
+import math
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -26,3 +30,12 @@ def test_odd_texts_are_split_once(spark):
     out = spark.createDataFrame([(t,) for t in SPLITS], "t string").select("t", first.alias("a"), second.alias("b"))
     assert {r["t"]: (r["a"], r["b"]) for r in out.collect()} == SPLITS
     assert once(out)
+
+
+def test_odd_texts_are_counted_once(spark):
+    out = spark.createDataFrame([(t,) for t in ENTROPIES], "t string").select("t", T.entropy(F.col("t")).alias("h"))
+    found = {r["t"]: r["h"] for r in out.collect()}
+    for t in ENTROPIES:
+        n = Counter(t or "")
+        assert found[t] == pytest.approx(-sum(c / n.total() * math.log2(c / n.total()) for c in n.values()))
+    assert once(out)
