@@ -71,10 +71,15 @@ def placed(cells: DataFrame, boxes: DataFrame, mask_w: int, mask_h: int, width:
     """
     box = B.clamp(B.Box.of(), F.lit(width), F.lit(height))
     own = boxes.select("grid_id", *box.named()).where(B.is_valid(B.Box.of()))
-    target = own.withColumn("ty", F.explode(F.sequence("y1", F.col("y2") - 1))).withColumn("tx", F.explode(F.sequence("x1", F.col("x2") - 1)))
-    source = target.select("grid_id", F.col("ty"), F.col("tx"), F.floor((F.col("ty") - F.col("y1")) * mask_h / (F.col("y2") - F.col("y1"))).alias("y"), F.floor((F.col("tx") - F.col("x1")) * mask_w / (F.col("x2") - F.col("x1"))).alias("x"))
-    rest = [c for c in cells.columns if c not in CELL]
-    return source.join(cells, CELL).select("grid_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *rest)
+
+    def taking(at: Column, size: int, low: Column, high: Column) -> Column:
+        """The places from `low` on that take the source cell `at`: a run, or none."""
+        first, end = (low + F.ceil(n * (high - low) / size) for n in (at, at + 1))
+        return F.explode(F.when((at >= 0) & (at < size) & (first < end), F.sequence(first, end - 1)))
+
+    # cells meet their grid's box alone, and are copied after that
+    met = cells.join(own, "grid_id").withColumn("ty", taking(F.col("y"), mask_h, F.col("y1"), F.col("y2"))).withColumn("tx", taking(F.col("x"), mask_w, F.col("x1"), F.col("x2")))
+    return met.select("grid_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *[c for c in cells.columns if c not in CELL])
 
 
 def neighbourhood(cells: DataFrame, value: Column, radius: int, op: str) -> DataFrame:
