@@ -133,6 +133,15 @@ def units(df: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors(df, key, vector).where("v IS NOT NULL").mapInArrow(run, "id long, v array<double>")
 
 
+def dealt(df: DataFrame, key: str, vector: str, size: int) -> tuple[DataFrame, Tiles]:
+    """(tile, id, v) of unit vectors, and the tiles: `size` rows or fewer each, about, dealt by a hash, so that all reach all."""
+    given = units(df, key, vector)
+    n = df.where(F.col(vector).isNotNull()).count()
+    count = -(-n // size)
+    tile = F.pmod(F.xxhash64("id"), F.lit(max(1, count))).alias("tile")
+    return given.select(tile, "id", "v"), Tiles(np.zeros((count, 1)), np.full(count, 4.0), np.full(count, size))
+
+
 def tiled(df: DataFrame, key: str, vector: str, size: int) -> tuple[DataFrame, Tiles]:
     """(tile, id, v) of unit vectors, and the tiles: `size` rows or fewer each, about.
 

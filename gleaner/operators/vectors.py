@@ -17,6 +17,9 @@ from gleaner.sources.tables import staged
 QUERIES, ROWS = 4096, 8192
 #: Vectors of either side that are multiplied at a time.
 LEFT, RIGHT = 256, 4096
+#: Rows of either tile whose gains are taken at a time, partitions at most that tiles meet in, and the threshold up to which no
+#: tile is ruled out.
+BLOCK, MEETINGS, NONE = 512, 4096, 1e-9
 
 
 def centroid(df: DataFrame, vector: str, normalize: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -185,37 +188,103 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, size:
     return _block_pairs(*meetings(df, key, vector, threshold, size), over, "id_a long, id_b long, similarity double")
 
 
-def coverage_gains(rows: DataFrame, tiles: cells.Tiles, threshold: float) -> DataFrame:
-    """(id, sum): what each row's similarities to all rows (tile, id, v, c), as far as they reach `threshold`, exceed the coverage c of these by.
+def coverage_gains(rows: DataFrame, tiles: cells.Tiles, threshold: float, after: tuple[np.ndarray, np.ndarray] | None = None, exact: bool = False) -> DataFrame:
+    """(id, g0, ...): what each row's similarities to all rows (tile, id, v, c), as far as they reach `threshold`, exceed the coverage c of these by.
 
-    The similarity to itself is 1; c is 0 or more, and `threshold` above 0. Tiles that may hold such rows meet as in
-    `similar_pairs`, once for both, and return sums.
+    g1 and on are the same beside the first, the first two and so on of some rows (ids, vectors) that come to the coverage
+    with `after`: similarities are taken once for all of them. The similarity to itself is 1; c is 0 or more, and `threshold`
+    above 0. Tiles that may hold such rows meet once for both, each two in a partition of their own, and return sums. These
+    are in single precision, and raised by all that it may be off by, so none is below what is meant; or `exact`, in double.
     """
     count = len(tiles.rows)
-    far = float(cells.angle(np.array(threshold - 1e-12))) if threshold <= 1 else -1.0
-    met = cells.reaching(rows, tiles, lambda own, m, _: own.ends(m)[0] <= far, pairs=True)
+    kind = np.float64 if exact else np.float32
+    sent = rows.sparkSession.sparkContext.broadcast(after)  # a few rows
 
-    def gains(key_, table):
-        ids, tile, c = table["id"].to_numpy(), table["tile"].to_numpy(), table["c"].to_numpy()
-        m = cells.matrix(table["v"].combine_chunks())
-        low, high = divmod(key_[0].as_py(), count)
-        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-        total = np.zeros(len(ids))
-        for i in range(0, len(left), LEFT):
-            a = left[i : i + LEFT]
-            for j in range(0, len(right), cells.STEP):
-                b = right[j : j + cells.STEP]
-                s = m[a] @ m[b].T
-                if low == high:
-                    s[ids[a][:, None] == ids[b][None, :]] = 1.0
-                s[s < threshold] = 0.0
-                # the greater of both less the coverage is what exceeds it
-                total[a] += np.maximum(s, c[b][None, :]).sum(axis=1) - c[b].sum()
-                if low != high:
-                    total[b] += np.maximum(s, c[a][:, None]).sum(axis=0) - c[a].sum()
-        return pa.table([pa.array(ids), pa.array(total)], ["id", "sum"])
-
-    return met.groupBy("meet").applyInArrow(gains, "id long, sum double").groupBy("id").agg(F.sum("sum").alias("sum"))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, c, ids = cells.matrix(batch.column(2)), batch.column(3).to_numpy(), batch.column(1).to_numpy()
+            own = [*v.T, c]
+            for x, u in zip(*sent.value, strict=True) if sent.value and len(ids) else ():
+                s = v @ u
+                s[ids == x] = 1.0
+                own.append(np.maximum(own[-1], np.where(s >= threshold, s, 0.0)))
+            body = np.stack(own, axis=1).astype(kind)
+            yield pa.record_batch([*batch.columns[:2], pa.array([x.tobytes() for x in body], pa.binary()), *batch.columns[4:]], ["tile", "id", "body", *batch.schema.names[4:]])
+
+    if threshold <= NONE:  # half of all rows are as near, so all tiles meet
+        every = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+        meet = F.explode(F.transform(every, lambda o: F.least("tile", o) * count + F.greatest("tile", o)))
+        met = rows.select("tile", "id", "v", "c").mapInArrow(packed, "tile long, id long, body binary").withColumn("meet", meet)
+    else:
+        far = float(cells.angle(np.array(threshold - 1e-12))) if threshold <= 1 else -1.0
+        met = cells.reaching(rows.select("tile", "id", "v", "c"), tiles, lambda own, m, _: own.ends(m)[0] <= far, pairs=True)
+        met = met.mapInArrow(packed, "tile long, id long, body binary, meet long")
+    covers = 1 + len(after[0]) if after else 1
+    names = [f"g{k}" for k in range(covers)]
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for meet, table in _whole(batches, "meet"):
+            ids, sums = _exceeding(table, *divmod(meet, count), covers, kind, threshold)
+            yield pa.record_batch([pa.array(ids), *(pa.array(s) for s in sums)], ["id", *names])
+
+    # each two tiles have a number without gaps, and so a partition that no others share, up to MEETINGS of them
+    low, high = F.floor(F.col("meet") / count), F.col("meet") % count
+    parts = max(1, min(count * (count + 1) // 2, MEETINGS))
+    dealt = met.repartitionById(parts, ((F.floor(high * (high + 1) / 2) + low) % parts).cast("int")).sortWithinPartitions("meet")
+    found = dealt.mapInArrow(gains, "id long, " + ", ".join(f"{g} double" for g in names))
+    return found.groupBy("id").agg(*[F.sum(g).alias(g) for g in names])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[int, pa.Table]]:
+    """The groups of sorted batches, one after the other."""
+    held, now = [], None
+    for batch in batches:
+        g = batch.column(group).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else []
+        for low, high in zip(starts, [*starts[1:], len(g)], strict=True):
+            if held and g[low] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(g[low])
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _exceeding(table: pa.Table, low: int, high: int, covers: int, kind: type, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the rows of two tiles, and under each coverage what the similarities to the rows of the other tile exceed it by."""
+    first = np.argsort(table["tile"].to_numpy() != low, kind="stable")
+    ids, body = table["id"].to_numpy()[first], np.frombuffer(b"".join(table["body"].to_pylist()), kind).reshape(len(first), -1)[first]
+    n, width, same = len(ids), body.shape[1] - covers, low == high
+    m, cover = np.ascontiguousarray(body[:, :width]), np.ascontiguousarray(body[:, width:].T)
+    left = n if same else int((table["tile"].to_numpy() == low).sum())
+    # products of unit rows in single precision, and coverages, are off by so much at most
+    unit = float(np.finfo(np.float32).eps) / 2
+    off = (width + 8) * unit if kind == np.float32 else 0.0
+    least = threshold - off
+    sums, held, ones = np.zeros((covers, n)), np.empty(BLOCK * BLOCK, kind), np.ones(BLOCK, kind)
+    for i in range(0, left, BLOCK):
+        a = slice(i, min(i + BLOCK, left))
+        for j in range(i if same else left, n, BLOCK):
+            b = slice(j, min(j + BLOCK, n))
+            s = m[a] @ m[b].T
+            if same:
+                s[ids[a][:, None] == ids[b][None, :]] = 1.0
+            if least > 0:
+                s[s < least] = 0.0
+            over, (across, down) = held[: s.size].reshape(s.shape), (ones[: s.shape[1]], ones[: s.shape[0]])
+            # the greater of both less the coverage is what exceeds it; each coverage is that before or more
+            for k in range(covers):
+                sums[k, a] += np.maximum(over if k else s, cover[k, b], out=over) @ across
+            for k in range(covers if not same or i != j else 0):
+                sums[k, b] += down @ np.maximum(over if k else s, cover[k, a, None], out=over)
+    total, whole = np.empty((covers, n)), cover.astype(np.float64)
+    total[:, :left], total[:, left:] = whole[:, 0 if same else left :].sum(axis=1)[:, None], whole[:, :left].sum(axis=1)[:, None]
+    if kind == np.float32:  # and sums of BLOCK numbers, none below 0, by a share
+        sums *= 1 + (BLOCK + 2) * unit
+        sums[:, :left] += off * (n if same else n - left)
+        sums[:, left:] += off * left
+    return ids, sums - total
 
 
 def similarity_extremes(df: DataFrame, key: str, vector: str, size: int = ROWS) -> DataFrame:

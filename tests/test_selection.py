@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import grids, joins, selection
+from gleaner.operators import cells, grids, joins, selection
 from gleaner.operators import vectors as VO
 from gleaner.plans import views
 
@@ -400,6 +400,74 @@ def test_lazy_facility_location(spark, cloud, monkeypatch, tried, queue, least):
     assert tried < 48 or least < 0 or jobs < 4 * k
 
 
+def small(monkeypatch):
+    """Sizes at which 800 rows are many, and meet in tiles; returns the calls of the pass over all pairs, as they come."""
+    for name, value in (("QUEUE", 64), ("TRIED", 8), ("TILE_LEAST", 100)):
+        monkeypatch.setattr(selection, name, value)
+    calls, gains = [], VO.coverage_gains
+    monkeypatch.setattr(VO, "coverage_gains", lambda *a: calls.append(a[-1]) or gains(*a))
+    return calls
+
+
+def test_facility_location_meets_all_pairs_once_for_many_picks(spark, cloud, monkeypatch):
+    df, x, score = cloud
+    calls = small(monkeypatch)
+    assert selection.facility_location(df, "vec_id", "e", "score", 8) == coverage(x, score, 8, -1.0)
+    assert calls == [False]  # once, in single precision
+
+
+@pytest.mark.parametrize("right", [0, 1, 3])
+def test_facility_location_with_wrong_guesses(spark, cloud, monkeypatch, right):
+    """Picks are those of the exact gains, whatever is guessed."""
+    df, x, score = cloud
+    calls, want = small(monkeypatch), coverage(x, score, 6, -1.0)
+
+    def guess(cover, key, count, gone, n):
+        ids = [*want[len(gone) : len(gone) + right], *[i for i in range(100, 120) if i not in want]][:count]
+        return (np.array(ids), x[ids]) if ids else None
+
+    monkeypatch.setattr(selection, "_guessed", guess)
+    assert selection.facility_location(df, "vec_id", "e", "score", 6) == want
+    assert len(calls) <= 7 - right
+
+
+def test_facility_location_with_more_copies_than_the_queue_holds(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 12))
+    x[r.permutation(400)[:200]] = x[7] = x.mean(axis=0) + 0.1
+    df = spark.createDataFrame([(k, [float(y) for y in v], 1.0) for k, v in enumerate(x)], "vec_id long, e array<double>, score double").repartition(5)
+    calls = small(monkeypatch)
+    got = selection.facility_location(df, "vec_id", "e", "score", 4)
+    assert got == coverage(x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(400), 4, -1.0)
+    assert True in calls  # bounds in single precision cannot tell 200 copies apart
+
+
+def test_facility_location_of_no_rows(spark):
+    df = spark.createDataFrame([(1, None, 0.5)], "vec_id long, e array<double>, score double")
+    assert selection.facility_location(df, "vec_id", "e", "score", 3) == []
+
+
+@pytest.mark.parametrize("least", [1e-12, 0.6])
+def test_coverage_gains(spark, cloud, least):
+    """Gains of all rows beside none, one and two more: exact, or bounds that are above by little, also near the threshold."""
+    df, x, _ = cloud
+    c = np.random.default_rng(2).random(800) * 0.2
+    both = df.select("vec_id", "e").join(spark.createDataFrame(list(enumerate(c.tolist())), "vec_id long, c double"), "vec_id")
+    filed, tiles = (cells.dealt if least < 0.1 else cells.tiled)(both, "vec_id", "e", 150)
+    assert len(tiles.rows) > 4
+    rows = filed.join(both.select(F.col("vec_id").alias("id"), "c"), "id").select("tile", "id", "v", "c")
+    s = x @ x.T
+    np.fill_diagonal(s, 1.0)
+    s = np.where(s >= least, s, 0.0)
+    covers = [c, np.maximum(c, s[5]), np.maximum(np.maximum(c, s[5]), s[700])]
+    want = np.array([np.maximum(s - y, 0).sum(axis=1) for y in covers])
+    for exact in (True, False):
+        found = sorted(VO.coverage_gains(rows, tiles, least, (np.array([5, 700]), x[[5, 700]]), exact).collect())
+        got = np.array([r[1:] for r in found]).T
+        assert [r["id"] for r in found] == list(range(800))
+        assert np.abs(got - want).max() < (1e-9 if exact else 0.05) and (exact or (got >= want).all())
+
+
 def test_partitioned_query_by_brute_force(spark, sf_dir):
     """The query's own picks: k_center within each hash group, then among what those chose."""
     from gleaner.plans import registry, selection_queries
